@@ -5,16 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import chat, media, mixing
 from ._tables import read, written
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.read_back(chat.format_conversations(turns.unionByName(extra)))
+
+
+def op2_media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(media.store_texts(read(spark, sf_dir, "documents")))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     return mixing.mix_sources(written(sized, "sizes"), "size")
 
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_media_clips": op2_media_clips,
     "op5_mix_sources": op5_mix_sources,
 }
 
