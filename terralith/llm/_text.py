@@ -66,11 +66,16 @@ def chunks(col: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.n
         i = j
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes that part letter runs: all but ASCII letters, digits and bytes of longer characters.
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def words(buf: np.ndarray, offs: np.ndarray, parting: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of all rows, and for each row the index of its first word (one more at the end)."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    on = ~SPACE[buf]
+    on = ~parting[buf]
     cut = offs[(offs > 0) & (offs < len(buf))]
     before = np.empty_like(on)
     before[0], before[1:] = False, on[:-1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing
+from . import chat, media, mixing, quality, toxicity
 from ._tables import read, written
 
 
@@ -20,15 +20,32 @@ def op2_media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.store_texts(read(spark, sf_dir, "documents")))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train_quality(docs, quality.ratings(read(spark, sf_dir, "labels")))
+    scored = quality.score_quality(docs, model).drop("text")
+    return scored.withColumn("keep", (F.col("tail_probability") >= 0.5).cast("int"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     return mixing.mix_sources(written(sized, "sizes"), "size")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("toxic").alias("grade"))
+    scored = toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_media_clips": op2_media_clips,
+    "op4_quality": op4_quality,
     "op5_mix_sources": op5_mix_sources,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
