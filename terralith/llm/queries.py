@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, media, mixing, quality, toxicity
+from . import chat, html, jaccard, media, mixing, quality, toxicity
 from ._tables import read, written
 
 
@@ -32,6 +32,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(written(sized, "sizes"), "size")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = html.extract(pages, html.train_pages(html.labelled_pages(spark)))
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_media_clips": op2_media_clips,
     "op4_quality": op4_quality,
     "op5_mix_sources": op5_mix_sources,
+    "op6_jaccard_join": op6_jaccard_join,
     "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
 }
