@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, jaccard, media, mixing, quality, toxicity
+from . import chat, decontam, html, jaccard, media, mixing, quality, toxicity
 from ._tables import read, written
 
 
@@ -20,6 +20,10 @@ def op2_media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.store_texts(read(spark, sf_dir, "documents")))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train_quality(docs, quality.ratings(read(spark, sf_dir, "labels")))
@@ -53,6 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_media_clips": op2_media_clips,
+    "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
     "op5_mix_sources": op5_mix_sources,
     "op6_jaccard_join": op6_jaccard_join,
