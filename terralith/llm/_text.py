@@ -58,7 +58,11 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(col: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of about ``limit`` bytes, whole rows only: (first row, end row, bytes, offsets)."""
-    buf, offs = column_bytes(col)
+    yield from parts(*column_bytes(col), limit)
+
+
+def parts(buf: np.ndarray, offs: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The same for bytes with offsets."""
     i, n = 0, len(offs) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)

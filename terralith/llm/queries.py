@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html, jaccard, media, mixing, quality, suffix, toxicity
+from . import chat, decontam, html, jaccard, katz, media, mixing, quality, suffix, toxicity
 from ._tables import read, written
 
 
@@ -40,6 +40,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -66,6 +70,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_mix_sources": op5_mix_sources,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_katz_score": op7_katz_score,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
