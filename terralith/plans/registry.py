@@ -2,5 +2,429 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terralith.functions import geometry as G
+from terralith.operators import compat, indexes, separability, spatial, stats, texture, topology, variogram
+from terralith.plans import fixtures as X
+
+BANDS = ["b1", "b2", "b3", "b4", "b5"]
+NUMERIC = ["f0", "f1", "f2", "f3", "f4", "f5", "f_sig", "f_col"]
+META = {"x0": -1007.0, "dx": 30.0, "y0": 3000.0, "dy": -30.0, "width": 700, "height": 80}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, digits: int = 5, **more: int) -> Callable:
+    """Registers a function by its name; doubles of its result are rounded, as those of the oracle are (``more``: by column)."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            # adding 0 turns a negative zero into a plain one
+            return df.select(*((F.round(c, more.get(c, digits)) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def r(x: str, name: str, digits: int = 5) -> str:
+    return f"round({x}, {digits}) + 0.0e0 AS {name}"
+
+
+def melt(bands: list[str], source: str = "pixels") -> str:
+    return " UNION ALL ".join(f"SELECT objeto_id, '{b}' AS band, {b} AS x FROM {source}" for b in bands)
+
+
+LONG = X.WITH + f", long AS ({melt(BANDS)}), mid AS (SELECT *, avg(x) OVER w AS mu, median(x) OVER w AS med, min(x) OVER w AS low, max(x) OVER w AS high, count(*) OVER w AS n FROM long WINDOW w AS (PARTITION BY objeto_id, band))"
+SKEW = "CASE WHEN count(*) > 2 AND var_pop(x) > 0 THEN avg(power(x - mu, 3)) / nullif(power(var_pop(x), 1.5e0), 0) ELSE 0 END"
+KURT = "CASE WHEN count(*) > 2 AND var_pop(x) > 0 THEN avg(power(x - mu, 4)) / nullif(power(var_pop(x), 2), 0) - 3 ELSE 0 END"
+
+
+def entropy_sql(bins: int) -> str:
+    bin_ = f"least(CASE WHEN high > low THEN floor((x - low) / (high - low) * {bins}) ELSE 0 END, {bins - 1})"
+    return f"SELECT objeto_id, band, abs(sum(-p * log2(p))) AS entropy FROM (SELECT objeto_id, band, count(*) / max(n) AS p FROM mid GROUP BY objeto_id, band, {bin_}) h GROUP BY objeto_id, band"
+
+
+#: Quantiles are decimals of up to 8 places; rounding them earlier would meet ties.
+EXACT = {"median": 8, "min": 8, "max": 8, "p25": 8, "p75": 8, "mad": 8}
+
+
+@query(
+    LONG + f""", e AS ({entropy_sql(16)}), s AS (SELECT objeto_id, band, count(*) AS n, avg(x) AS mean, median(x) AS median, stddev_pop(x) AS std, min(x) AS min, max(x) AS max,
+      quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.75) AS p75, {SKEW} AS skew, {KURT} AS kurt, median(abs(x - med)) AS mad FROM mid GROUP BY objeto_id, band)
+    SELECT s.objeto_id, s.band, n, """ + ", ".join(r(c, c, EXACT.get(c, 5)) for c in ("mean", "median", "std", "min", "max", "p25", "p75", "skew", "kurt", "mad", "entropy")) + " FROM s JOIN e ON s.objeto_id = e.objeto_id AND s.band = e.band",
+    **EXACT,
+)
+def object_band_stats(spark: SparkSession, d: str) -> DataFrame:
+    return stats.object_band_statistics(X.pixels(spark, d), BANDS)
+
+
+@query(
+    X.WITH + f""", long AS ({melt(['b1', 'b2', 'b3', 'b4', 'b8'])}), mid AS (SELECT *, avg(x) OVER w AS mu, min(x) OVER w AS low, max(x) OVER w AS high, count(*) OVER w AS n FROM long WINDOW w AS (PARTITION BY band)),
+    e AS (SELECT band, abs(sum(-p * log2(p))) AS entropia FROM (SELECT band, count(*) / max(n) AS p FROM mid GROUP BY band, least(CASE WHEN high > low THEN floor((x - low) / (high - low) * 256) ELSE 0 END, 255)) h GROUP BY band),
+    s AS (SELECT band, avg(x) AS media, var_pop(x) AS varianza, stddev_pop(x) AS std, avg(power(x - mu, 3)) / power(var_pop(x), 1.5e0) AS asimetria, avg(power(x - mu, 4)) / power(var_pop(x), 2) - 3 AS curtosis, count(*) AS total_pixeles FROM mid GROUP BY band)
+    SELECT s.band, total_pixeles, """ + ", ".join(r(c, c, 4) for c in ("media", "varianza", "std", "asimetria", "curtosis", "entropia")) + " FROM s JOIN e ON s.band = e.band", 4,
+)
+def band_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return stats.band_statistics(X.pixels(spark, d), ["b1", "b2", "b3", "b4", "b8"])
+
+
+CORR = ["b1", "b2", "b3", "b4", "b5", "b6"]
+PAIRS = [(a, b) for i, a in enumerate(CORR) for b in CORR[i + 1 :]]
+
+
+@query(X.WITH + " " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {r(f'corr({a}, {b})', 'r', 4)} FROM pixels" for a, b in PAIRS), 4)
+def band_pearson(spark: SparkSession, d: str) -> DataFrame:
+    return stats.pearson(X.pixels(spark, d), CORR)
+
+
+RANKS = ", ".join(f"rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0e0 AS {b}" for b in CORR)
+
+
+@query(X.WITH + f", ranks AS (SELECT {RANKS} FROM pixels) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {r(f'corr({a}, {b})', 'r', 4)} FROM ranks" for a, b in PAIRS), 4)
+def band_spearman(spark: SparkSession, d: str) -> DataFrame:
+    return stats.spearman(X.pixels(spark, d), CORR)
+
+
+@query(X.WITH + " SELECT round((" + " + ".join(f"abs(corr({a}, {b}))" for a, b in PAIRS) + f") * 2 / {len(CORR) * (len(CORR) - 1)}, 4) + 0.0e0 AS mean_abs_correlation FROM pixels", 4)
+def mean_abs_correlation(spark: SparkSession, d: str) -> DataFrame:
+    return stats.mean_abs_correlation(stats.pearson(X.pixels(spark, d), CORR), len(CORR))
+
+
+def index_sql(a: str, b: str, name: str) -> str:
+    v = f"CASE WHEN {a} + {b} <> 0 THEN ({a} - {b}) / ({a} + {b}) ELSE 0 END"
+    return X.WITH + f" SELECT objeto_id, {r(f'avg({v})', name + '_mean')}, {r(f'stddev_pop({v})', name + '_std')}, {r(f'min({v})', name + '_min')}, {r(f'max({v})', name + '_max')} FROM pixels GROUP BY objeto_id"
+
+
+@query(index_sql("b1", "b3", "ndvi"))
+def object_ndvi(spark: SparkSession, d: str) -> DataFrame:
+    return stats.ndvi(X.pixels(spark, d), "b1", "b3")
+
+
+@query(index_sql("b3", "b4", "ndwi"))
+def object_ndwi(spark: SparkSession, d: str) -> DataFrame:
+    return stats.ndwi(X.pixels(spark, d), "b3", "b4")
+
+
+@query(X.WITH + f" SELECT o.objeto_id, {r('coalesce(avg(p.b2), 0)', 'value')} FROM objects o LEFT JOIN pixels p ON o.objeto_id = p.objeto_id AND p.b2 > 60 AND o.objeto_id % 7 <> 0 GROUP BY o.objeto_id")
+def zonal_mean(spark: SparkSession, d: str) -> DataFrame:
+    pixels = X.pixels(spark, d).where("b2 > 60 AND objeto_id % 7 <> 0")
+    return spatial.zonal_mean(pixels, X.objects(spark, d), "b2")
+
+
+def grid(spark: SparkSession, d: str) -> DataFrame:
+    """A raster made of the pixels: row, col of META, with bands."""
+    col, row = F.floor((F.col("pixel_x") - META["x0"]) / META["dx"]).cast("int"), F.floor((F.col("pixel_y") - META["y0"]) / META["dy"]).cast("int")
+    return X.pixels(spark, d).where("pixel_x < 19992 AND pixel_y < 3000 AND pixel_y > 600").select(row.alias("row"), col.alias("col"), "b1", "b2").groupBy("row", "col").agg(F.max("b1").alias("b1"), F.max("b2").alias("b2"))
+
+
+@query(
+    X.WITH + """, grid AS (SELECT CAST(floor((pixel_y - 3000.0e0) / -30.0e0) AS INT) AS "row", CAST(floor((pixel_x + 1007.0e0) / 30.0e0) AS INT) AS col, max(b1) AS b1, max(b2) AS b2
+      FROM pixels WHERE pixel_x < 19992 AND pixel_y < 3000 AND pixel_y > 600 GROUP BY 1, 2),
+    placed AS (SELECT *, -1007.0e0 + (col + 0.5e0) * 30.0e0 AS pixel_x, 3000.0e0 - ("row" + 0.5e0) * 30.0e0 AS pixel_y FROM grid),
+    inside AS (SELECT o.objeto_id, o.clase, g.* FROM placed g JOIN objects o ON g.pixel_x > o.xmin AND g.pixel_x < o.xmax AND g.pixel_y > o.ymin AND g.pixel_y < o.ymax),
+    alone AS (SELECT objeto_id, clase, least(greatest(CAST(trunc(((xmin + xmax) / 2 + 1007.0e0) / 30.0e0) AS INT), 0), 699) AS col, least(greatest(CAST(trunc(((ymin + ymax) / 2 - 3000.0e0) / -30.0e0) AS INT), 0), 79) AS "row"
+      FROM objects WHERE objeto_id NOT IN (SELECT objeto_id FROM inside)),
+    every AS (SELECT objeto_id, clase, pixel_x, pixel_y, "row", col, b1, b2 FROM inside UNION ALL
+      SELECT a.objeto_id, a.clase, g.pixel_x, g.pixel_y, g."row", g.col, g.b1, g.b2 FROM alone a JOIN placed g ON a."row" = g."row" AND a.col = g.col)
+    SELECT objeto_id, clase, """ + ", ".join(r(c, c) for c in ("pixel_x", "pixel_y", "b1", "b2")) + ', "row", col FROM every'
+)
+def pixel_extraction_pip(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.extract_pixels(grid(spark, d), X.with_polygons(X.objects(spark, d)), META, ["b1", "b2"])
+
+
+BOX = "-1007.0e0 AS rx0, 600.0e0 AS ry0, 19993.0e0 AS rx1, 3000.0e0 AS ry1"
+
+
+@query(
+    X.WITH + f""", b AS (SELECT min(xmin) AS x0, min(ymin) AS y0, max(xmax) AS x1, max(ymax) AS y1, {BOX} FROM objects)
+    SELECT {r('x0', 'x0')}, {r('y0', 'y0')}, {r('x1', 'x1')}, {r('y1', 'y1')}, greatest(x0, rx0) < least(x1, rx1) AND greatest(y0, ry0) < least(y1, ry1) AS overlaps,
+    {r('CASE WHEN greatest(x0, rx0) < least(x1, rx1) AND greatest(y0, ry0) < least(y1, ry1) THEN least(100, (least(x1, rx1) - greatest(x0, rx0)) * (least(y1, ry1) - greatest(y0, ry0)) / ((x1 - x0) * (y1 - y0)) * 100) ELSE 0 END', 'overlap_pct')} FROM b"""
+)
+def extent_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return compat.extents(X.with_polygons(X.objects(spark, d)), META)
+
+
+@query(X.WITH + f", b AS (SELECT *, {BOX} FROM objects), h AS (SELECT xmin <= rx1 AND xmax >= rx0 AND ymin <= ry1 AND ymax >= ry0 AS hit FROM b) SELECT count(*) AS total, count(*) FILTER (WHERE hit) AS inside, {r('count(*) FILTER (WHERE hit) * 100.0e0 / count(*)', 'coverage_pct')} FROM h")
+def coverage(spark: SparkSession, d: str) -> DataFrame:
+    return compat.coverage(X.with_polygons(X.objects(spark, d)), META)
+
+
+@query(
+    X.WITH + ", a AS (SELECT (xmax - xmin) * (ymax - ymin) AS a FROM objects) SELECT count(*) AS n, "
+    + ", ".join(r(e, c) for e, c in (("min(a)", "area_min"), ("max(a)", "area_max"), ("avg(a)", "area_mean"), ("stddev_pop(a)", "area_std"), ("avg(900.0e0 / a)", "ratio_mean"), ("median(900.0e0 / a)", "ratio_median"))) + " FROM a"
+)
+def observational_resolution(spark: SparkSession, d: str) -> DataFrame:
+    return compat.resolution(X.with_polygons(X.objects(spark, d)), 900.0)
+
+
+@query(
+    X.WITH + ", m AS (SELECT objeto_id, (xmax - xmin) AS w, (ymax - ymin) AS h, (xmin + xmax) / 2 AS cx, (ymin + ymax) / 2 AS cy FROM objects) SELECT objeto_id, "
+    + ", ".join(r(e, c) for e, c in (("w * h", "geom_area"), ("2 * (w + h)", "geom_perimeter"), ("4 * pi() * w * h / power(2 * (w + h), 2)", "geom_circularity"), ("1.0e0", "geom_convexity"), ("least(w, h) / greatest(w, h)", "geom_elongation"), ("2 * (w + h) / (4 * sqrt(w * h))", "geom_shape_index"), ("log2(5.0e0)", "geom_shannon_shape"), ("2 * ln(2 * (w + h)) / ln(w * h)", "geom_fractal_dim"), ("cx", "cx"), ("cy", "cy"))) + " FROM m"
+)
+def polygon_measures(spark: SparkSession, d: str) -> DataFrame:
+    objects = X.with_polygons(X.objects(spark, d))
+    return topology.shapes(objects).join(spatial.centroids(objects), "objeto_id")
+
+
+@query(
+    X.WITH + """ SELECT a.objeto_id, count(b.objeto_id) AS neighbors FROM objects a LEFT JOIN objects b ON a.objeto_id <> b.objeto_id
+      AND a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax
+      AND NOT (a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax) GROUP BY a.objeto_id"""
+)
+def touch_degree(spark: SparkSession, d: str) -> DataFrame:
+    return topology.touch_degree(X.with_polygons(X.objects(spark, d)))
+
+
+def valued(spark: SparkSession, d: str) -> DataFrame:
+    """(objeto_id, cx, cy, value): centroids and means of b8."""
+    means = spatial.zonal_mean(X.pixels(spark, d), X.objects(spark, d), "b8")
+    return X.objects(spark, d).select("objeto_id", ((F.col("xmin") + F.col("xmax")) / 2).alias("cx"), ((F.col("ymin") + F.col("ymax")) / 2).alias("cy")).join(means, "objeto_id")
+
+
+DIST = "sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2))"
+
+
+@query(X.WITH_CENTROIDS + f", d AS (SELECT a.objeto_id, {DIST} AS d, row_number() OVER (PARTITION BY a.objeto_id ORDER BY {DIST}) AS k FROM centroids a JOIN centroids b ON a.objeto_id <> b.objeto_id) SELECT objeto_id, {r('avg(d)', 'proximity')} FROM d WHERE k <= 3 GROUP BY objeto_id")
+def centroid_proximity3(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.nearest(valued(spark, d))
+
+
+@query(
+    X.WITH_CENTROIDS + f""", z AS (SELECT objeto_id, cx, cy, value - (SELECT avg(value) FROM centroids) AS z FROM centroids),
+    l AS (SELECT a.objeto_id, max(a.z) AS z, sum(b.z / {DIST}) / sum(1 / {DIST}) AS lag FROM z a JOIN z b ON a.objeto_id <> b.objeto_id GROUP BY a.objeto_id)
+    SELECT {r('(SELECT sum(z * lag) FROM l) / (SELECT sum(z * z) FROM z)', 'moran_i', 6)}, {r('-1.0e0 / ((SELECT count(*) FROM z) - 1)', 'expected', 6)}""", 6,
+)
+def morans_i(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.morans_i(valued(spark, d))
+
+
+@query(
+    X.WITH_CENTROIDS + f""", p AS (SELECT {DIST} AS d, power(a.value - b.value, 2) / 2 AS g FROM centroids a JOIN centroids b ON a.objeto_id < b.objeto_id), c AS (SELECT max(d) / 2 AS cutoff FROM p),
+    m AS (SELECT least(CAST(floor(d / (cutoff / 15)) AS INT), 14) AS lag, avg(g) AS gamma, count(*) AS pairs FROM p, c WHERE d < cutoff GROUP BY 1)
+    SELECT CAST(k AS INT) AS lag, {r('(k + 0.5e0) * cutoff / 15', 'h')}, {r('coalesce(gamma, 0)', 'gamma')}, coalesce(pairs, 0) AS pairs FROM range(15) t(k), c LEFT JOIN m ON m.lag = t.k"""
+)
+def semivariogram_lags(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.semivariogram(valued(spark, d))
+
+
+@query()
+def semivariogram_fit(spark: SparkSession, d: str) -> DataFrame:
+    points = valued(spark, d)
+    return variogram.semivariogram_fit(spatial.semivariogram(points), points)
+
+
+CELLS = X.WITH + """, lvl AS (SELECT objeto_id, r - min(r) OVER w AS r, c - min(c) OVER w AS c, b5 AS v, count(*) OVER w AS n,
+  CAST(trunc(CASE WHEN max(b5) OVER w > min(b5) OVER w THEN (b5 - min(b5) OVER w) / (max(b5) OVER w - min(b5) OVER w) * 7.999e0 ELSE 0 END) AS INT) AS q FROM pixels WINDOW w AS (PARTITION BY objeto_id)),
+  nb AS (SELECT a.objeto_id, a.q AS i, b.q AS j FROM lvl a JOIN lvl b ON a.objeto_id = b.objeto_id AND ((a.r = b.r AND b.c = a.c + 1) OR (a.c = b.c AND b.r = a.r + 1)) WHERE a.n >= 4),
+  cm AS (SELECT objeto_id, i, j, count(*) AS n FROM (SELECT objeto_id, i, j FROM nb UNION ALL SELECT objeto_id, j, i FROM nb) u GROUP BY objeto_id, i, j)"""
+
+
+def cell_grid(spark: SparkSession, d: str) -> DataFrame:
+    return texture.cells(X.pixels(spark, d).withColumnsRenamed({"r": "row", "c": "col"}), "b5")
+
+
+@query(CELLS + " SELECT objeto_id, i, j, n FROM cm")
+def glcm_counts(spark: SparkSession, d: str) -> DataFrame:
+    return texture.cooccurrence(texture.quantized(cell_grid(spark, d)))
+
+
+@query(
+    CELLS + """, p AS (SELECT *, n / sum(n) OVER (PARTITION BY objeto_id) AS p FROM cm),
+    s AS (SELECT objeto_id, sum((i - j) * (i - j) * p) AS contrast, sum(p / (1 + (i - j) * (i - j))) AS homogeneity, sum(p * p) AS asm, sum(-p * log2(p + 1e-10)) AS entropy, sum(i * p) AS mean, sum(i * i * p) AS ii, sum(i * j * p) AS ij FROM p GROUP BY objeto_id)
+    SELECT o.objeto_id, """ + ", ".join(r(e, c, 7) for e, c in (
+        ("coalesce(contrast, 0)", "contrast"), ("coalesce(homogeneity, 1)", "homogeneity"), ("coalesce(asm, 1)", "asm"), ("coalesce(entropy, 0)", "entropy"), ("coalesce(mean, 0)", "mean"),
+        ("coalesce(greatest(ii - mean * mean, 0), 0)", "variance"), ("coalesce(CASE WHEN sqrt(greatest(ii - mean * mean, 0)) > 1e-10 THEN (ij - mean * mean) / (ii - mean * mean) ELSE 0 END, 0)", "correlation")))
+    + " FROM (SELECT DISTINCT objeto_id FROM pixels) o LEFT JOIN s ON o.objeto_id = s.objeto_id", 7,
+)
+def glcm_features(spark: SparkSession, d: str) -> DataFrame:
+    cells = cell_grid(spark, d)
+    return texture.texture(texture.cooccurrence(texture.quantized(cells)), cells)
+
+
+@query(
+    CELLS + """, g AS (SELECT a.objeto_id, x.v - a.v AS gx, y.v - a.v AS gy FROM lvl a LEFT JOIN lvl x ON a.objeto_id = x.objeto_id AND a.r = x.r AND x.c = a.c + 1
+      LEFT JOIN lvl y ON a.objeto_id = y.objeto_id AND a.c = y.c AND y.r = a.r + 1 WHERE a.n >= 4 AND (x.v IS NOT NULL OR y.v IS NOT NULL)),
+    m AS (SELECT objeto_id, sqrt(coalesce(gx, 0) * coalesce(gx, 0) + coalesce(gy, 0) * coalesce(gy, 0)) AS m FROM g)
+    SELECT objeto_id, """ + r("avg(m)", "edge_mean") + ", " + r("stddev_pop(m)", "edge_std") + " FROM m GROUP BY objeto_id"
+)
+def edge_features(spark: SparkSession, d: str) -> DataFrame:
+    return texture.edge_strength(cell_grid(spark, d))
+
+
+@query()
+def pc1_texture(spark: SparkSession, d: str) -> DataFrame:
+    pixels = texture.local_component(X.pixels(spark, d), ["b1", "b2", "b3", "b4"]).withColumnsRenamed({"r": "row", "c": "col"})
+    return texture.texture_features(texture.cells(pixels, "pc1"))
+
+
+LAGS = X.WITH + """, s AS (SELECT * FROM pixels WHERE r < 12), pr AS (SELECT a.objeto_id, sqrt(power(a.pixel_x - b.pixel_x, 2) + power(a.pixel_y - b.pixel_y, 2)) AS d, power(a.b5 - b.b5, 2) / 2 AS g
+  FROM s a JOIN s b ON a.objeto_id = b.objeto_id AND (a.pixel_x < b.pixel_x OR (a.pixel_x = b.pixel_x AND a.pixel_y < b.pixel_y))),
+  w AS (SELECT objeto_id, max(d) / 5 AS width FROM pr GROUP BY objeto_id),
+  lg AS (SELECT pr.objeto_id, CAST(floor(d / width) AS INT) AS lag, (floor(d / width) + 0.5e0) * width AS h, g FROM pr JOIN w ON pr.objeto_id = w.objeto_id WHERE floor(d / width) < 5)"""
+
+
+@query(LAGS + f" SELECT objeto_id, lag, {r('min(h)', 'h', 4)}, {r('avg(g)', 'gamma', 4)}, count(*) AS pairs FROM lg GROUP BY objeto_id, lag", 4)
+def local_variogram_lags(spark: SparkSession, d: str) -> DataFrame:
+    return variogram.local_lags(X.pixels(spark, d).where("r < 12"), "b5")
+
+
+@query()
+def local_variogram_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    return variogram.local_variograms(X.pixels(spark, d), "b5")
+
+
+@query()
+def pca_variance(spark: SparkSession, d: str) -> DataFrame:
+    return stats.pca(X.pixels(spark, d), CORR)
+
+
+@query()
+def pca_loadings(spark: SparkSession, d: str) -> DataFrame:
+    return stats.loadings(X.features(spark, d), ["f_sig", "f_col", "f1", "f3"])
+
+
+FPAIRS = [(a, b) for i, a in enumerate(NUMERIC) for b in NUMERIC[i + 1 :]]
+
+
+@query(X.WITH_FEATURES + ", c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM features" for a, b in FPAIRS) + f") SELECT a, b, {r('r', 'r')} FROM c WHERE abs(r) > 0.85")
+def collinear_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = X.features(spark, d)
+    keep = [c for c in separability.feature_columns(rows) if c in [*NUMERIC, "f_const"]]  # f_const is constant and goes
+    return separability.collinear_pairs(rows, keep)
+
+
+MI_COLUMNS = ["f1", "f2", "f_sig"]
+
+
+def mi_sql(c: str) -> str:
+    return f"""SELECT '{c}' AS variable, greatest(0, psi_n + avg(pk - pn - pm)) AS mi FROM (
+      SELECT (SELECT count(*) FROM features) AS total, (SELECT p FROM psi WHERE n = (SELECT count(*) FROM features)) AS psi_n, a.p AS pk, b.p AS pn, e.p AS pm
+      FROM (SELECT x.objeto_id, x.nc, least(3, x.nc - 1) AS k, (SELECT count(*) FROM features q WHERE CASE WHEN q.{c} < x.v THEN x.v - q.{c} ELSE q.{c} - x.v END < x.kd) AS m
+        FROM (SELECT objeto_id, clase, v, nc, list_sort(list_filter([abs(v - l1), abs(v - l2), abs(v - l3), abs(r1 - v), abs(r2 - v), abs(r3 - v)], lambda z: z IS NOT NULL))[least(3, nc - 1)] AS kd
+          FROM (SELECT objeto_id, clase, {c} AS v, count(*) OVER (PARTITION BY clase) AS nc, lag({c}, 1) OVER o AS l1, lag({c}, 2) OVER o AS l2, lag({c}, 3) OVER o AS l3, lead({c}, 1) OVER o AS r1, lead({c}, 2) OVER o AS r2, lead({c}, 3) OVER o AS r3
+            FROM features WINDOW o AS (PARTITION BY clase ORDER BY {c})) y) x WHERE x.nc > 1) t
+      JOIN psi a ON a.n = t.k JOIN psi b ON b.n = t.nc JOIN psi e ON e.n = greatest(1, t.m)) u GROUP BY psi_n"""
+
+
+@query(
+    X.WITH_FEATURES + ", psi AS (SELECT n, -0.5772156649015329e0 + coalesce(sum(1.0e0 / (n - 1)) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS p FROM (SELECT n FROM range(2, 60000) t(n)) z UNION ALL SELECT 1, -0.5772156649015329e0) "
+    + f"SELECT variable, {r('mi', 'mi', 4)} FROM (" + " UNION ALL ".join(mi_sql(c) for c in MI_COLUMNS) + ") g", 4,
+)
+def mutual_information(spark: SparkSession, d: str) -> DataFrame:
+    return separability.mutual_information(X.features(spark, d), MI_COLUMNS)
+
+
+@query()
+def collinearity_prune(spark: SparkSession, d: str) -> DataFrame:
+    kept = separability.prune_collinear(X.features(spark, d), NUMERIC)
+    return spark.createDataFrame([(i, c) for i, c in enumerate(kept)], "position int, variable string")
+
+
+@query()
+def kmeans_elbow(spark: SparkSession, d: str) -> DataFrame:
+    return separability.kmeans(X.features(spark, d), ["f_sig", "f_col"], most=5, starts=2)[0]
+
+
+INERTIA = [(2, 900.0), (3, 500.0), (4, 300.0), (5, 260.0), (6, 235.0), (7, 220.0), (8, 210.0)]
+
+
+@query(
+    "WITH i(k, inertia) AS (VALUES " + ", ".join(f"({k}, {v}e0)" for k, v in INERTIA) + "), e AS (SELECT min(k) AS k0, max(k) AS k1, arg_min(inertia, k) AS i0, arg_max(inertia, k) AS i1 FROM i), "
+    f"g AS (SELECT CAST(k AS INT) AS k, inertia, abs((i1 - i0) * k + (k0 - k1) * inertia + k1 * i0 - k0 * i1) / sqrt(power(i1 - i0, 2) + power(k0 - k1, 2)) AS gap FROM i, e) SELECT k, {r('inertia', 'inertia')}, {r('gap', 'gap')}, k = (SELECT arg_max(k, gap) FROM g) AS selected FROM g"
+)
+def elbow_select(spark: SparkSession, d: str) -> DataFrame:
+    return separability.elbow(spark.createDataFrame(INERTIA, "k int, inertia double"))
+
+
+@query(
+    X.WITH_FEATURES + f""", p AS (SELECT a.objeto_id, a.label AS la, b.label AS lb, sqrt(power(a.f_sig - b.f_sig, 2) + power(a.f2 - b.f2, 2)) AS d FROM features a JOIN features b ON a.objeto_id <> b.objeto_id),
+    m AS (SELECT objeto_id, la, lb, avg(d) AS d FROM p GROUP BY objeto_id, la, lb), s AS (SELECT objeto_id, max(d) FILTER (WHERE la = lb) AS a, min(d) FILTER (WHERE la <> lb) AS b FROM m GROUP BY objeto_id)
+    SELECT {r('avg(coalesce((b - a) / greatest(a, b), 0))', 'silhouette')} FROM s"""
+)
+def silhouette(spark: SparkSession, d: str) -> DataFrame:
+    return separability.silhouette(X.features(spark, d), ["f_sig", "f2"], "label")
+
+
+@query(
+    X.WITH_FEATURES + f""", c AS (SELECT label, avg(f_sig) AS x, avg(f2) AS y FROM features GROUP BY label), s AS (SELECT f.label, max(c.x) AS x, max(c.y) AS y, avg(sqrt(power(f_sig - c.x, 2) + power(f2 - c.y, 2))) AS s FROM features f JOIN c ON f.label = c.label GROUP BY f.label),
+    w AS (SELECT a.label, max((a.s + b.s) / sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2))) AS r FROM s a JOIN s b ON a.label <> b.label GROUP BY a.label) SELECT {r('avg(r)', 'davies_bouldin')} FROM w"""
+)
+def davies_bouldin(spark: SparkSession, d: str) -> DataFrame:
+    return separability.davies_bouldin(X.features(spark, d), ["f_sig", "f2"], "label")
+
+
+@query(X.WITH_FEATURES + " SELECT c.clase, k.cluster, count(f.objeto_id) AS n FROM (SELECT DISTINCT clase FROM features) c CROSS JOIN (SELECT DISTINCT cluster FROM features) k LEFT JOIN features f ON f.clase = c.clase AND f.cluster = k.cluster GROUP BY c.clase, k.cluster")
+def class_cluster_crosstab(spark: SparkSession, d: str) -> DataFrame:
+    return separability.crosstab(X.features(spark, d))
+
+
+@query(X.WITH_FEATURES + f", k AS (SELECT clase, cluster, count(*) AS k FROM features GROUP BY clase, cluster), p AS (SELECT *, k / sum(k) OVER (PARTITION BY clase) AS p FROM k) SELECT clase, CAST(sum(k) AS BIGINT) AS n, {r('abs(sum(-p * ln(p)))', 'entropy')}, {r('max(p)', 'purity')} FROM p GROUP BY clase")
+def purity_entropy(spark: SparkSession, d: str) -> DataFrame:
+    return separability.purity(X.features(spark, d))
+
+
+@query(X.WITH_FEATURES + f", k AS (SELECT clase, cluster, count(*) AS k FROM features GROUP BY clase, cluster), b AS (SELECT cluster, max(k) AS b, sum(k) AS n FROM k GROUP BY cluster) SELECT {r('sum(b) / sum(n)', 'global_purity')} FROM b")
+def global_purity(spark: SparkSession, d: str) -> DataFrame:
+    return separability.global_purity(X.features(spark, d))
+
+
+CLASSES = X.WITH_FEATURES + """, k AS (SELECT clase AS k, count(*) AS n, avg(f_sig) AS x, avg(f2) AS y, covar_samp(f_sig, f_sig) + 1e-4 AS xx, covar_samp(f_sig, f2) AS xy, covar_samp(f2, f2) + 1e-4 AS yy FROM features GROUP BY clase),
+  p AS (SELECT a.k AS a, b.k AS b, a.x - b.x AS dx, a.y - b.y AS dy, (a.n * a.xx + b.n * b.xx) / (a.n + b.n) AS pxx, (a.n * a.xy + b.n * b.xy) / (a.n + b.n) AS pxy, (a.n * a.yy + b.n * b.yy) / (a.n + b.n) AS pyy,
+    (a.xx + b.xx) / 2 AS mxx, (a.xy + b.xy) / 2 AS mxy, (a.yy + b.yy) / 2 AS myy, a.xx * a.yy - a.xy * a.xy AS d1, b.xx * b.yy - b.xy * b.xy AS d2 FROM k a JOIN k b ON a.k < b.k),
+  m AS (SELECT a, b, sqrt((pyy * dx * dx - 2 * pxy * dx * dy + pxx * dy * dy) / (pxx * pyy - pxy * pxy)) AS mahalanobis,
+    greatest(0, (myy * dx * dx - 2 * mxy * dx * dy + mxx * dy * dy) / (mxx * myy - mxy * mxy) / 8 + 0.5e0 * (ln(mxx * myy - mxy * mxy) - 0.5e0 * (ln(d1) + ln(d2)))) AS bhattacharyya FROM p)"""
+
+
+@query(CLASSES + f" SELECT a, b, {r('mahalanobis', 'mahalanobis')}, {r('bhattacharyya', 'bhattacharyya')} FROM m")
+def class_distances(spark: SparkSession, d: str) -> DataFrame:
+    return separability.class_distances(X.features(spark, d), ["f_sig", "f2"])
+
+
+@query(CLASSES + f" SELECT {r('avg(mahalanobis)', 'mean_mahalanobis')} FROM m")
+def mean_mahalanobis(spark: SparkSession, d: str) -> DataFrame:
+    return separability.mean_mahalanobis(separability.class_distances(X.features(spark, d), ["f_sig", "f2"]))
+
+
+def score_sql(parts: list[tuple[str, str]], score: str, name: str, labels: tuple[str, ...]) -> str:
+    return (
+        "WITH v AS (SELECT CAST(l_orderkey AS BIGINT) AS k, l_linenumber AS line, l_partkey AS part, l_quantity AS q, l_discount AS d, l_tax AS t FROM lineitem WHERE l_orderkey % 50 = 0), "
+        f"p AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in parts)} FROM v), s AS (SELECT *, {score} AS score FROM p) "
+        f"SELECT k, line, part, {r('q', 'q')}, {r('score', name)}, CASE WHEN score >= 80 THEN '{labels[0]}' WHEN score >= 60 THEN '{labels[1]}' WHEN score >= 40 THEN '{labels[2]}' ELSE '{labels[3]}' END AS categoria, "
+        + ", ".join(r(n, n) for n, _ in parts) + " FROM s"
+    )
+
+
+def scored(spark: SparkSession, d: str, columns: dict) -> DataFrame:
+    v = spark.sql("SELECT CAST(l_orderkey AS BIGINT) AS k, l_linenumber AS line, l_partkey AS part, l_quantity AS q, l_discount AS d, l_tax AS t FROM {lineitem} WHERE l_orderkey % 50 = 0", **X.tables(spark, d, "lineitem"))
+    return v.withColumns(columns).drop("d", "t")
+
+
+CLIP = "least(greatest({}, 0), 100)"
+
+
+@query(score_sql([("cobertura", CLIP.format("q * 2.5e0")), ("resolucion", CLIP.format("(1 - d) * 100")), ("informacion", CLIP.format("t * 100 / 8 * 100")), ("redundancia", CLIP.format("(1 - t) * 100")), ("estructura", CLIP.format("greatest(d * 10 - 0.3e0, 0) * 100"))], "0.2e0 * cobertura + 0.25e0 * resolucion + 0.25e0 * informacion + 0.15e0 * redundancia + 0.15e0 * estructura", "toi", indexes.TOI_LABELS), 5)
+def toi(spark: SparkSession, d: str) -> DataFrame:
+    q, disc, tax = F.col("q"), F.col("d"), F.col("t")
+    return scored(spark, d, indexes.toi(q * 2.5, disc, tax * 100, tax, disc * 10 - 0.3))
+
+
+@query(score_sql([("distancia", "100 * (1 - exp(-q / 4))"), ("pureza", "100 * t * 10"), ("agrupamiento", "100 * greatest(d * 8 - 0.2e0, 0)"), ("penalizacion", "greatest((q / 25 - 0.3e0) * 20, 0)")], CLIP.format("0.4e0 * distancia + 0.35e0 * pureza + 0.25e0 * agrupamiento - penalizacion"), "tli", indexes.TLI_LABELS), 5)
+def tli(spark: SparkSession, d: str) -> DataFrame:
+    q, disc, tax = F.col("q"), F.col("d"), F.col("t")
+    return scored(spark, d, indexes.tli(q, tax * 10, disc * 8 - 0.2, q / 25))
+
+
+@query(X.WITH + f", e AS (SELECT objeto_id, xmin AS x, ymin AS y FROM objects) SELECT objeto_id, {r('xmin', 'x0')}, {r('ymin', 'y0')}, {r('xmax', 'x1')}, {r('ymax', 'y1')} FROM objects")
+def geometry_bounds(spark: SparkSession, d: str) -> DataFrame:
+    b = G.bounds(F.col("polygons"))
+    return X.with_polygons(X.objects(spark, d)).select("objeto_id", *(b[c].alias(c) for c in ("x0", "y0", "x1", "y1")))
