@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +45,14 @@ def packs(docs: DataFrame, id_col: str, text: str, size: int = 1 << 22) -> DataF
         ids: list[np.ndarray] = []
         bufs: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
-        held = 0
+        held, made, task = 0, 0, TaskContext.get().partitionId()
 
         def row() -> pa.RecordBatch:
             i, b, n = np.concatenate(ids), np.concatenate(bufs).tobytes(), np.concatenate(sizes)
             head = np.concatenate([i, n]).astype(np.int64).tobytes()
-            name = hashlib.md5(head + hashlib.md5(b).digest()).hexdigest()
+            nonlocal made
+            made += 1
+            name = f"{hashlib.md5(head + hashlib.md5(b).digest()).hexdigest()}-{task}-{made}"  # equal packs of several tasks stay apart
             return rows_of([(name, 0, 0, squeeze(head)), (name, 0, 1, squeeze(b))])
 
         for batch in batches:

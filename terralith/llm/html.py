@@ -206,7 +206,7 @@ def marginals(parents: np.ndarray, levels: list[np.ndarray], kinds: np.ndarray,
     return sigmoid(full[:, 1] - full[:, 0]), np.exp(both)
 
 
-def train_pages(pages: DataFrame, rounds: int = 150, ridge: float = 1e-5) -> bytes:
+def train_pages(pages: DataFrame, rounds: int = 300, ridge: float = 1e-5) -> bytes:
     """A model from labelled pages (column html): blocks marked data-label="content" or "other", which hold for what they
     contain until marked anew; everything else is no content.  The labelled set is meant to be small: its node features are
     gathered for the fit.  Without any page all potentials are 0.
@@ -333,7 +333,7 @@ def labelled_pages(spark: SparkSession, n: int = 600, seed: int = 7) -> DataFram
                 parts.append(rng.choice([f"<blockquote><p>{sentence()}</p></blockquote>", f"<pre>{line(3, 9)}</pre>", f"<figure><img src=x><figcaption>{line(2, 9)}</figcaption></figure>", f"<table><tr><td>{word()}</td><td>{word()}</td></tr></table>", f"<div>{sentence()}</div>"]))
             else:
                 parts.append(f'<p>{sentence()} <a href="/x">{line(1, 3)}</a> {sentence()}</p>')
-        if rng.random() < 0.25:
+        for _ in range(rng.choice((0, 0, 1, 2))):
             at = rng.randint(0, len(parts))
             parts.insert(at, re.sub(r"<(\w+)", r'</p><\1 data-label="other"', other(), count=1))
         return "".join(parts)

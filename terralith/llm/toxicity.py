@@ -80,14 +80,17 @@ def votes(label: np.ndarray, cols: np.ndarray, vals: np.ndarray, offs: np.ndarra
 def label_model(v: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of label 1 by row, P(vote | label) as (voters, 3 votes, 2 labels), and the voters' weights.
 
-    Starts from the sum of votes.  Weights: 1 over 1 plus the correlations above 0.1 with the other voters that remain once the
+    Starts from the sum of votes, in which voters that are almost one (a raw correlation above 0.9) share one vote.  Weights: 1 over 1 plus the correlations above 0.1 with the other voters that remain once the
     label is known; so voters that copy each other share one vote.
     """
     n, m = v.shape
     hot = np.stack([v == x for x in (-1, 0, 1)], 2).astype(float)
-    s = v.sum(1)
+    c = np.cov(v.T.astype(float)).reshape(m, m)
+    d = np.sqrt(np.maximum(1e-9, np.diag(c)))
+    alike = 1 / np.maximum(1, (c / np.outer(d, d) > 0.9).sum(1)) if n > 1 else np.ones(m)
+    s = v @ alike
     q = np.where(s > 0, 0.9, np.where(s < 0, 0.02, prior))
-    weight = np.ones(m)
+    weight = alike
     for step in range(rounds):
         table = np.stack([np.einsum("nmv,n->mv", hot, p) + 0.5 * a for p, a in ((1 - q, 1), (q, 1))], 2)
         table /= table.sum(1, keepdims=True)
@@ -100,12 +103,26 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarr
                 d = np.sqrt(np.maximum(1e-9, np.diag(c)))
                 extra = np.maximum(extra, np.abs(c / np.outer(d, d)) * ((d > 1e-2)[:, None] & (d > 1e-2)[None]))
             np.fill_diagonal(extra, 0)
-            weight = 1 / (1 + np.where(extra > 0.1, extra, 0).sum(1))
+            weight = np.minimum(alike, 1 / (1 + np.where(extra > 0.1, extra, 0).sum(1)))
         ratio = np.log(table[:, :, 1]) - np.log(table[:, :, 0])
         q = sigmoid(np.log(prior / (1 - prior)) + np.einsum("nmv,mv,m->n", hot, ratio, weight))
     return q, table, weight
 
 
+def calibrated(x: np.ndarray, q: np.ndarray, bias: float, rounds: int = 25) -> tuple[float, float]:
+    """(slope, bias) by which scores x, with ``bias`` in them, become the log odds of the given labels q: Platt scaling, by Newton
+    steps with a small ridge.  The penalty and the even weight of both labels leave x too flat and off."""
+    a, b = 1.0, 0.0
+    z = np.stack([x, np.ones(len(x))], 1)
+    for _ in range(rounds):
+        p = sigmoid(a * x + b)
+        g = z.T @ (p - q) + np.array([1e-3 * (a - 1), 1e-3 * b])
+        h = z.T @ (z * np.maximum(1e-6, p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, g)
+        a, b = float(np.clip(a - np.clip(step[0], -1, 1), 0.1, 10)), b - float(np.clip(step[1], -3, 3))
+    return a, a * bias + b
+
+
 def fit_toxicity(label: np.ndarray, cols: np.ndarray, vals: np.ndarray, offs: np.ndarray, rounds: int = 80, sparsity: float = 3e-4) -> bytes:
     """Bias and weights of a logistic model of the posterior labels, by accelerated proximal gradient with an L1 penalty."""
     w, bias = np.zeros(SIZE), 0.0
@@ -129,6 +146,8 @@ def fit_toxicity(label: np.ndarray, cols: np.ndarray, vals: np.ndarray, offs: np
             t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
             y, y_bias = w + (t - 1) / t_next * (w - past), bias + (t - 1) / t_next * (bias - past_bias)
             past, past_bias, t = w, bias, t_next
+        slope, bias = calibrated(dot(w, cols, vals, offs) + bias, label, bias)
+        w = slope * w
     return np.concatenate([[bias], w]).astype(np.float32).tobytes()
 
 
