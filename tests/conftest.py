@@ -16,7 +16,7 @@ DATA = "/root/testdata"
 def spark(tmp_path_factory):
     folder = tmp_path_factory.mktemp("spark")
     conf = {
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.sql.session.timeZone": "UTC",
+        "spark.sql.shuffle.partitions": "4", "spark.sql.codegen.wholeStage": "false", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.sql.session.timeZone": "UTC",
         "spark.checkpoint.dir": f"file://{folder}/shared", "spark.local.dir": f"{folder}/local", "spark.sql.warehouse.dir": f"{folder}/warehouse",
     }
     session = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
