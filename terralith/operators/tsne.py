@@ -66,4 +66,4 @@ def tsne(features: DataFrame, columns: list[str], key: str = "objeto_id", iterat
         y, _ = embed(pdf[columns].to_numpy(float), min(30.0, max(2.0, n / 3)), iterations, seed)
         return pd.DataFrame({key: pdf[key].to_numpy(), "x": y[:, 0], "y": y[:, 1]})
 
-    return rows.groupBy(F.lit(0)).applyInPandas(run, f"{key} long, x double, y double")
+    return rows.withColumn("__all", F.lit("all")).groupBy("__all").applyInPandas(run, f"{key} long, x double, y double")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from terralith.functions import geometry as G
 from terralith.operators import compat, features, indexes, separability, spatial, stats, texture, topology, tsne, variogram
-from terralith.plans import engine
 from terralith.plans import fixtures as X
 
 BANDS = ["b1", "b2", "b3", "b4", "b5"]
@@ -440,13 +439,3 @@ def tsne_2d(spark: SparkSession, d: str) -> DataFrame:
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
     rows = X.pixels(spark, d).withColumnsRenamed({"r": "row", "c": "col"})
     return features.extract_features(rows, X.with_polygons(X.objects(spark, d)), BANDS[:4], (2, 3, 1))
-
-
-@query()
-def observability_index(spark: SparkSession, d: str) -> DataFrame:
-    return engine.observability(grid(spark, d), META, X.with_polygons(X.objects(spark, d)), ["b1", "b2"])["toi"]
-
-
-@query()
-def learnability_index(spark: SparkSession, d: str) -> DataFrame:
-    return engine.separable(X.features(spark, d).select("objeto_id", "clase", *NUMERIC), with_tsne=False)["tli"]
