@@ -395,33 +395,59 @@ def mean_mahalanobis(spark: SparkSession, d: str) -> DataFrame:
     return separability.mean_mahalanobis(separability.class_distances(X.features(spark, d), ["f_sig", "f2"]))
 
 
-def score_sql(parts: list[tuple[str, str]], score: str, name: str, labels: tuple[str, ...]) -> str:
+SAMPLE = " WHERE l_orderkey % 50 = 0"
+
+
+def score_sql(parts: list[tuple[str, str]], score: str, name: str, labels: tuple[str, ...], where: str = "") -> str:
     return (
-        "WITH v AS (SELECT CAST(l_orderkey AS BIGINT) AS k, l_linenumber AS line, l_partkey AS part, l_quantity AS q, l_discount AS d, l_tax AS t FROM lineitem WHERE l_orderkey % 50 = 0), "
+        f"WITH v AS (SELECT CAST(l_orderkey AS BIGINT) AS k, l_linenumber AS line, l_partkey AS part, l_quantity AS q, l_discount AS d, l_tax AS t FROM lineitem{where}), "
         f"p AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in parts)} FROM v), s AS (SELECT *, {score} AS score FROM p) "
         f"SELECT k, line, part, {r('q', 'q')}, {r('score', name)}, CASE WHEN score >= 80 THEN '{labels[0]}' WHEN score >= 60 THEN '{labels[1]}' WHEN score >= 40 THEN '{labels[2]}' ELSE '{labels[3]}' END AS categoria, "
         + ", ".join(r(n, n) for n, _ in parts) + " FROM s"
     )
 
 
-def scored(spark: SparkSession, d: str, columns: dict) -> DataFrame:
-    v = spark.sql("SELECT CAST(l_orderkey AS BIGINT) AS k, l_linenumber AS line, l_partkey AS part, l_quantity AS q, l_discount AS d, l_tax AS t FROM {lineitem} WHERE l_orderkey % 50 = 0", **X.tables(spark, d, "lineitem"))
+def scored(spark: SparkSession, d: str, columns: dict, where: str = "") -> DataFrame:
+    v = spark.sql("SELECT CAST(l_orderkey AS BIGINT) AS k, l_linenumber AS line, l_partkey AS part, l_quantity AS q, l_discount AS d, l_tax AS t FROM {lineitem}" + where, **X.tables(spark, d, "lineitem"))
     return v.withColumns(columns).drop("d", "t")
 
 
 CLIP = "least(greatest({}, 0), 100)"
 
 
-@query(score_sql([("cobertura", CLIP.format("q * 2.5e0")), ("resolucion", CLIP.format("(1 - d) * 100")), ("informacion", CLIP.format("t * 100 / 8 * 100")), ("redundancia", CLIP.format("(1 - t) * 100")), ("estructura", CLIP.format("greatest(d * 10 - 0.3e0, 0) * 100"))], "0.2e0 * cobertura + 0.25e0 * resolucion + 0.25e0 * informacion + 0.15e0 * redundancia + 0.15e0 * estructura", "toi", indexes.TOI_LABELS), 5)
-def toi(spark: SparkSession, d: str) -> DataFrame:
+TOI_SQL = ([("cobertura", CLIP.format("q * 2.5e0")), ("resolucion", CLIP.format("(1 - d) * 100")), ("informacion", CLIP.format("t * 100 / 8 * 100")), ("redundancia", CLIP.format("(1 - t) * 100")), ("estructura", CLIP.format("greatest(d * 10 - 0.3e0, 0) * 100"))], "0.2e0 * cobertura + 0.25e0 * resolucion + 0.25e0 * informacion + 0.15e0 * redundancia + 0.15e0 * estructura", "toi", indexes.TOI_LABELS)
+TLI_SQL = ([("distancia", "100 * (1 - exp(-q / 4))"), ("pureza", "100 * t * 10"), ("agrupamiento", "100 * greatest(d * 8 - 0.2e0, 0)"), ("penalizacion", "greatest((q / 25 - 0.3e0) * 20, 0)")], CLIP.format("0.4e0 * distancia + 0.35e0 * pureza + 0.25e0 * agrupamiento - penalizacion"), "tli", indexes.TLI_LABELS)
+
+
+def toi_columns() -> dict:
     q, disc, tax = F.col("q"), F.col("d"), F.col("t")
-    return scored(spark, d, indexes.toi(q * 2.5, disc, tax * 100, tax, disc * 10 - 0.3))
+    return indexes.toi(q * 2.5, disc, tax * 100, tax, disc * 10 - 0.3)
 
 
-@query(score_sql([("distancia", "100 * (1 - exp(-q / 4))"), ("pureza", "100 * t * 10"), ("agrupamiento", "100 * greatest(d * 8 - 0.2e0, 0)"), ("penalizacion", "greatest((q / 25 - 0.3e0) * 20, 0)")], CLIP.format("0.4e0 * distancia + 0.35e0 * pureza + 0.25e0 * agrupamiento - penalizacion"), "tli", indexes.TLI_LABELS), 5)
-def tli(spark: SparkSession, d: str) -> DataFrame:
+def tli_columns() -> dict:
     q, disc, tax = F.col("q"), F.col("d"), F.col("t")
-    return scored(spark, d, indexes.tli(q, tax * 10, disc * 8 - 0.2, q / 25))
+    return indexes.tli(q, tax * 10, disc * 8 - 0.2, q / 25)
+
+
+# toi and tli score 2 % of the orders, as their SQL does; toi_whole and tli_whole score every row.
+@query(score_sql(*TOI_SQL, where=SAMPLE), 5)
+def toi(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d, toi_columns(), SAMPLE)
+
+
+@query(score_sql(*TLI_SQL, where=SAMPLE), 5)
+def tli(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d, tli_columns(), SAMPLE)
+
+
+@query(score_sql(*TOI_SQL), 5)
+def toi_whole(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d, toi_columns())
+
+
+@query(score_sql(*TLI_SQL), 5)
+def tli_whole(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d, tli_columns())
 
 
 @query(X.WITH + f", e AS (SELECT objeto_id, xmin AS x, ymin AS y FROM objects) SELECT objeto_id, {r('xmin', 'x0')}, {r('ymin', 'y0')}, {r('xmax', 'x1')}, {r('ymax', 'y1')} FROM objects")
