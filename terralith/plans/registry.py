@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -121,12 +122,18 @@ def zonal_mean(spark: SparkSession, d: str) -> DataFrame:
     return spatial.zonal_mean(pixels, X.objects(spark, d), "b2")
 
 
+def raster_of(pixels: DataFrame, meta: dict) -> DataFrame:
+    """A raster made of the pixels: row, col of ``meta``, with bands."""
+    col, row = F.floor((F.col("pixel_x") - meta["x0"]) / meta["dx"]).cast("int"), F.floor((F.col("pixel_y") - meta["y0"]) / meta["dy"]).cast("int")
+    return pixels.select(row.alias("row"), col.alias("col"), "b1", "b2").groupBy("row", "col").agg(F.max("b1").alias("b1"), F.max("b2").alias("b2"))
+
+
 def grid(spark: SparkSession, d: str) -> DataFrame:
-    """A raster made of the pixels: row, col of META, with bands."""
-    col, row = F.floor((F.col("pixel_x") - META["x0"]) / META["dx"]).cast("int"), F.floor((F.col("pixel_y") - META["y0"]) / META["dy"]).cast("int")
-    return X.pixels(spark, d).where("pixel_x < 19992 AND pixel_y < 3000 AND pixel_y > 600").select(row.alias("row"), col.alias("col"), "b1", "b2").groupBy("row", "col").agg(F.max("b1").alias("b1"), F.max("b2").alias("b2"))
+    """The raster of META and the pixels in it."""
+    return raster_of(X.pixels(spark, d).where("pixel_x < 19992 AND pixel_y < 3000 AND pixel_y > 600"), META)
 
 
+# The raster of pixel_extraction_pip is a fixed box, in its SQL too; that of pixel_extraction_whole covers all pixels.
 @query(
     X.WITH + """, grid AS (SELECT CAST(floor((pixel_y - 3000.0e0) / -30.0e0) AS INT) AS "row", CAST(floor((pixel_x + 1007.0e0) / 30.0e0) AS INT) AS col, max(b1) AS b1, max(b2) AS b2
       FROM pixels WHERE pixel_x < 19992 AND pixel_y < 3000 AND pixel_y > 600 GROUP BY 1, 2),
@@ -142,6 +149,31 @@ def pixel_extraction_pip(spark: SparkSession, d: str) -> DataFrame:
     return spatial.extract_pixels(grid(spark, d), X.with_polygons(X.objects(spark, d)), META, ["b1", "b2"])
 
 
+def whole_meta(spark: SparkSession, d: str) -> dict:
+    """A raster of 30 by 30 from the upper left corner of all objects, as wide and high as objects and pixels reach."""
+    o = X.objects(spark, d).agg(F.min("xmin").alias("x0"), F.max("ymax").alias("y0"), F.max("xmax").alias("x1"), F.min("ymin").alias("y1")).head()
+    p = X.pixels(spark, d).agg(F.min("pixel_x").alias("x0"), F.max("pixel_y").alias("y0"), F.max("pixel_x").alias("x1"), F.min("pixel_y").alias("y1")).head()
+    x0, y0 = min(o["x0"], p["x0"] - 15), max(o["y0"], p["y0"] + 15)
+    return {"x0": x0, "dx": 30.0, "y0": y0, "dy": -30.0, "width": math.ceil((max(o["x1"], p["x1"] + 15) - x0) / 30), "height": math.ceil((y0 - min(o["y1"], p["y1"] - 15)) / 30)}
+
+
+@query(
+    X.WITH + """, o AS (SELECT min(xmin) AS x0, max(ymax) AS y0, max(xmax) AS x1, min(ymin) AS y1 FROM objects), p AS (SELECT min(pixel_x) - 15.0e0 AS x0, max(pixel_y) + 15.0e0 AS y0, max(pixel_x) + 15.0e0 AS x1, min(pixel_y) - 15.0e0 AS y1 FROM pixels),
+    b AS (SELECT least(o.x0, p.x0) AS x0, greatest(o.y0, p.y0) AS y0, greatest(o.x1, p.x1) AS x1, least(o.y1, p.y1) AS y1 FROM o, p), meta AS (SELECT x0, y0, CAST(ceil((x1 - x0) / 30.0e0) AS INT) AS width, CAST(ceil((y0 - y1) / 30.0e0) AS INT) AS height FROM b),
+    grid AS (SELECT CAST(floor((pixel_y - y0) / -30.0e0) AS INT) AS "row", CAST(floor((pixel_x - x0) / 30.0e0) AS INT) AS col, max(b1) AS b1, max(b2) AS b2 FROM pixels, meta GROUP BY 1, 2),
+    placed AS (SELECT g.*, x0 + (col + 0.5e0) * 30.0e0 AS pixel_x, y0 - ("row" + 0.5e0) * 30.0e0 AS pixel_y FROM grid g, meta),
+    inside AS (SELECT o.objeto_id, o.clase, g.* FROM placed g JOIN objects o ON g.pixel_x > o.xmin AND g.pixel_x < o.xmax AND g.pixel_y > o.ymin AND g.pixel_y < o.ymax),
+    alone AS (SELECT objeto_id, clase, least(greatest(CAST(trunc(((xmin + xmax) / 2 - x0) / 30.0e0) AS INT), 0), width - 1) AS col, least(greatest(CAST(trunc(((ymin + ymax) / 2 - y0) / -30.0e0) AS INT), 0), height - 1) AS "row"
+      FROM objects, meta WHERE objeto_id NOT IN (SELECT objeto_id FROM inside)),
+    every AS (SELECT objeto_id, clase, pixel_x, pixel_y, "row", col, b1, b2 FROM inside UNION ALL
+      SELECT a.objeto_id, a.clase, g.pixel_x, g.pixel_y, g."row", g.col, g.b1, g.b2 FROM alone a JOIN placed g ON a."row" = g."row" AND a.col = g.col)
+    SELECT objeto_id, clase, """ + ", ".join(r(c, c) for c in ("pixel_x", "pixel_y", "b1", "b2")) + ', "row", col FROM every'
+)
+def pixel_extraction_whole(spark: SparkSession, d: str) -> DataFrame:
+    meta = whole_meta(spark, d)
+    return spatial.extract_pixels(raster_of(X.pixels(spark, d), meta), X.with_polygons(X.objects(spark, d)), meta, ["b1", "b2"])
+
+
 BOX = "-1007.0e0 AS rx0, 600.0e0 AS ry0, 19993.0e0 AS rx1, 3000.0e0 AS ry1"
 
 

@@ -3,7 +3,8 @@
 import pyarrow.parquet as pq
 import pytest
 
-from terralith.plans import registry
+from terralith.operators import spatial
+from terralith.plans import fixtures, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,3 +12,22 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", ["toi_whole", "tli_whole"])
 def test_every_line_is_scored(spark, name):
     assert registry.QUERIES[name](spark, SF).count() == pq.ParquetFile(f"{SF}/lineitem.parquet").metadata.num_rows
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_raster_covers_all_pixels(spark, sf):
+    d = f"/root/testdata/{sf}"
+    meta, pixels = registry.whole_meta(spark, d), fixtures.pixels(spark, d)
+    cells = registry.raster_of(pixels, meta)
+    assert cells.where(f"row < 0 OR col < 0 OR row >= {meta['height']} OR col >= {meta['width']}").count() == 0
+    objects = {r["objeto_id"] for r in pixels.select("objeto_id").distinct().collect()}
+    assert {r["objeto_id"] for r in registry.QUERIES["pixel_extraction_whole"](spark, d).select("objeto_id").distinct().collect()} == objects
+
+
+def test_objects_outside_the_raster_take_its_nearest_cell(spark):
+    meta = {"x0": 0.0, "dx": 10.0, "y0": 40.0, "dy": -10.0, "width": 4, "height": 4}
+    cells = spark.createDataFrame([(r, c, 10.0 * r + c) for r in range(4) for c in range(4)], "row int, col int, b1 double")
+    boxes = [(1, "a", 0.0, 20.0, 20.0, 40.0), (2, "b", 100.0, 110.0, 120.0, 130.0), (3, "b", -90.0, -50.0, -70.0, -30.0)]
+    objects = fixtures.with_polygons(spark.createDataFrame(boxes, "objeto_id long, clase string, xmin double, ymin double, xmax double, ymax double"))
+    got = sorted((r["objeto_id"], r["row"], r["col"], r["b1"]) for r in spatial.extract_pixels(cells, objects, meta, ["b1"]).collect())
+    assert got == [(1, 0, 0, 0.0), (1, 0, 1, 1.0), (1, 1, 0, 10.0), (1, 1, 1, 11.0), (2, 0, 3, 3.0), (3, 3, 0, 30.0)]
