@@ -122,6 +122,12 @@ def zonal_mean(spark: SparkSession, d: str) -> DataFrame:
     return spatial.zonal_mean(pixels, X.objects(spark, d), "b2")
 
 
+# zonal_mean takes a part of the pixels, in its SQL too; zonal_mean_whole takes all.
+@query(X.WITH + f" SELECT o.objeto_id, {r('coalesce(avg(p.b2), 0)', 'value')} FROM objects o LEFT JOIN pixels p ON o.objeto_id = p.objeto_id GROUP BY o.objeto_id")
+def zonal_mean_whole(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.zonal_mean(X.pixels(spark, d), X.objects(spark, d), "b2")
+
+
 def raster_of(pixels: DataFrame, meta: dict) -> DataFrame:
     """A raster made of the pixels: row, col of ``meta``, with bands."""
     col, row = F.floor((F.col("pixel_x") - meta["x0"]) / meta["dx"]).cast("int"), F.floor((F.col("pixel_y") - meta["y0"]) / meta["dy"]).cast("int")
@@ -299,17 +305,27 @@ def pc1_texture(spark: SparkSession, d: str) -> DataFrame:
     return texture.texture_features(texture.cells(pixels, "pc1"))
 
 
-LAGS = X.WITH + """, s AS (SELECT * FROM pixels WHERE r < 12), pr AS (SELECT a.objeto_id, sqrt(power(a.pixel_x - b.pixel_x, 2) + power(a.pixel_y - b.pixel_y, 2)) AS d, power(a.b5 - b.b5, 2) / 2 AS g
+def lags_sql(where: str = "") -> str:
+    return (
+        X.WITH + f""", s AS (SELECT * FROM pixels{where}), pr AS (SELECT a.objeto_id, sqrt(power(a.pixel_x - b.pixel_x, 2) + power(a.pixel_y - b.pixel_y, 2)) AS d, power(a.b5 - b.b5, 2) / 2 AS g
   FROM s a JOIN s b ON a.objeto_id = b.objeto_id AND (a.pixel_x < b.pixel_x OR (a.pixel_x = b.pixel_x AND a.pixel_y < b.pixel_y))),
   w AS (SELECT objeto_id, max(d) / 5 AS width FROM pr GROUP BY objeto_id),
   lg AS (SELECT pr.objeto_id, CAST(floor(d / width) AS INT) AS lag, (floor(d / width) + 0.5e0) * width AS h, g FROM pr JOIN w ON pr.objeto_id = w.objeto_id WHERE floor(d / width) < 5)"""
+        + f" SELECT objeto_id, lag, {r('min(h)', 'h', 4)}, {r('avg(g)', 'gamma', 4)}, count(*) AS pairs FROM lg GROUP BY objeto_id, lag"
+    )
 
 
-@query(LAGS + f" SELECT objeto_id, lag, {r('min(h)', 'h', 4)}, {r('avg(g)', 'gamma', 4)}, count(*) AS pairs FROM lg GROUP BY objeto_id, lag", 4)
+# local_variogram_lags takes the first twelve rows of an object, in its SQL too; local_variogram_lags_whole takes all.
+@query(lags_sql(" WHERE r < 12"), 4)
 def local_variogram_lags(spark: SparkSession, d: str) -> DataFrame:
     return variogram.local_lags(X.pixels(spark, d).where("r < 12"), "b5")
 
 
+@query(lags_sql(), 4)
+def local_variogram_lags_whole(spark: SparkSession, d: str) -> DataFrame:
+    return variogram.local_lags(X.pixels(spark, d), "b5")
+
+
 @query()
 def local_variogram_descriptors(spark: SparkSession, d: str) -> DataFrame:
     return variogram.local_variograms(X.pixels(spark, d), "b5")

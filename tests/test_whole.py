@@ -1,9 +1,11 @@
 """Queries over all rows of their tables, where others of the registry take a part."""
 
+import math
+
 import pyarrow.parquet as pq
 import pytest
 
-from terralith.operators import spatial
+from terralith.operators import spatial, variogram
 from terralith.plans import fixtures, registry
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +33,26 @@ def test_objects_outside_the_raster_take_its_nearest_cell(spark):
     objects = fixtures.with_polygons(spark.createDataFrame(boxes, "objeto_id long, clase string, xmin double, ymin double, xmax double, ymax double"))
     got = sorted((r["objeto_id"], r["row"], r["col"], r["b1"]) for r in spatial.extract_pixels(cells, objects, meta, ["b1"]).collect())
     assert got == [(1, 0, 0, 0.0), (1, 0, 1, 1.0), (1, 1, 0, 10.0), (1, 1, 1, 11.0), (2, 0, 3, 3.0), (3, 3, 0, 30.0)]
+
+
+def test_zonal_mean_of_an_object_without_pixels(spark):
+    pixels = spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 7.0), (3, None)], "objeto_id long, b2 double")
+    objects = spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "objeto_id long")
+    assert {r["objeto_id"]: r["value"] for r in spatial.zonal_mean(pixels, objects, "b2").collect()} == {1: 3.0, 2: 7.0, 3: 0.0, 4: 0.0}
+
+
+def test_zonal_mean_whole_takes_every_pixel(spark):
+    want = {r["objeto_id"]: r["m"] for r in fixtures.pixels(spark, SF).groupBy("objeto_id").agg({"b2": "avg"}).toDF("objeto_id", "m").collect()}
+    got = {r["objeto_id"]: r["value"] for r in registry.QUERIES["zonal_mean_whole"](spark, SF).collect()}
+    assert {k: got[k] for k in want} == pytest.approx(want, abs=1e-5)
+
+
+def test_lags_whole_take_every_pair_of_an_object(spark):
+    """Brute force over all pixels of one object."""
+    key, rows = 3, [(r["pixel_x"], r["pixel_y"], r["b5"]) for r in fixtures.pixels(spark, SF).where("objeto_id = 3").collect()]
+    pairs = [(math.sqrt((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2), (a[2] - b[2]) ** 2 / 2) for i, a in enumerate(rows) for b in rows[:i]]
+    width = max(p[0] for p in pairs) / 5
+    want = {k: [g for d, g in pairs if math.floor(d / width) == k] for k in range(5)}
+    got = {r["lag"]: r for r in registry.QUERIES["local_variogram_lags_whole"](spark, SF).where(f"objeto_id = {key}").collect()}
+    assert {k: r["pairs"] for k, r in got.items()} == {k: len(v) for k, v in want.items()}
+    assert all(got[k]["gamma"] == pytest.approx(sum(v) / len(v), abs=1e-3) for k, v in want.items())
