@@ -10,55 +10,77 @@ from pyspark.sql import functions as F
 from terralith.operators.stats import standardized
 
 
-def affinities(x: np.ndarray, perplexity: float) -> np.ndarray:
-    """Symmetric joint probabilities; each row's bandwidth is found by bisection to the wanted perplexity."""
-    d = ((x[:, None] - x[None]) ** 2).sum(2)
-    n = len(x)
+def distances(x: np.ndarray, part: slice) -> np.ndarray:
+    """Squared distances of the rows of a part to all rows; of a row to itself: infinite."""
+    a, lengths = x[part], (x * x).sum(1)
+    d = np.maximum(lengths[part][:, None] + lengths - 2 * a @ x.T, 0)
+    d[np.arange(len(a)), part.start + np.arange(len(a))] = np.inf
+    return d
+
+
+def bandwidths(x: np.ndarray, part: slice, perplexity: float) -> np.ndarray:
+    """Three rows: factor, least distance and sum of weights of each row of a part, by bisection to the wanted perplexity."""
+    d = distances(x, part)
+    n = len(d)
     low, high, beta = np.zeros(n), np.full(n, np.inf), np.ones(n)
-    np.fill_diagonal(d, np.inf)
     least = d.min(1, keepdims=True)
-    for _ in range(64):
+    finite = np.where(np.isfinite(d), d, 0) - least
+    for k in range(65):
         p = np.exp(-(d - least) * beta[:, None])
         total = p.sum(1)
-        entropy = np.log(total) + beta * np.where(p > 0, (np.where(np.isfinite(d), d, 0) - least) * p, 0).sum(1) / total
-        wide = entropy > np.log(perplexity)
+        if k == 64:
+            break
+        wide = np.log(total) + beta * np.where(p > 0, finite * p, 0).sum(1) / total > np.log(perplexity)
         low, high = np.where(wide, beta, low), np.where(wide, high, beta)
         beta = np.where(np.isinf(high), beta * 2, (low + high) / 2)
-    p /= p.sum(1, keepdims=True)
-    return np.maximum((p + p.T) / (2 * n), 1e-12)
+    return np.stack([beta, least[:, 0], total])
+
+
+def affinities(x: np.ndarray, part: slice, widths: np.ndarray) -> np.ndarray:
+    """Symmetric joint probabilities of the rows of a part with all rows."""
+    d = distances(x, part)
+    beta, least, total = widths
+    ours = np.exp(-(d - least[part][:, None]) * beta[part][:, None]) / total[part][:, None]
+    return np.maximum((ours + np.exp(-(d - least) * beta) / total) / (2 * len(x)), 1e-12)
+
 
+def embed(x: np.ndarray, perplexity: float, iterations: int = 1000, seed: int = 42, step: int = 256) -> tuple[np.ndarray, float]:
+    """(places, divergence): starts from the first two components, with early exaggeration and momentum.
 
-def embed(x: np.ndarray, perplexity: float, iterations: int = 1000, seed: int = 42) -> tuple[np.ndarray, float]:
-    """(places, divergence): starts from the first two components, with early exaggeration and momentum."""
+    Every step sums the forces of all pairs, ``step`` rows at a time; memory grows with the rows, time with their square.
+    """
     n = len(x)
     if n < 3:
         return np.zeros((n, 2)), 0.0
-    p = affinities(x, perplexity)
+    parts = [slice(k, min(k + step, n)) for k in range(0, n, step)]
+    widths = np.concatenate([bandwidths(x, s, perplexity) for s in parts], axis=1)
     u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
     y = np.zeros((n, 2))
     k = min(2, u.shape[1])
     y[:, :k] = u[:, :k] * s[:k]
     y = 1e-4 * y / max(1e-12, y[:, 0].std()) + 1e-6 * np.random.default_rng(seed).standard_normal((n, 2))
     speed, gain, rate = np.zeros_like(y), np.ones_like(y), max(n / 48, 50)
+    near = lambda s: 1 / (1 + distances(y, s))
     for i in range(iterations):
-        q = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(2))
-        np.fill_diagonal(q, 0)
-        w = ((12 if i < 250 else 1) * p - np.maximum(q / q.sum(), 1e-12)) * q
-        grad = 4 * (w.sum(1)[:, None] * y - w @ y)
+        total = sum(near(s).sum() for s in parts)
+        grad = np.empty_like(y)
+        for s in parts:
+            q = near(s)
+            w = ((12 if i < 250 else 1) * affinities(x, s, widths) - np.maximum(q / total, 1e-12)) * q
+            grad[s] = 4 * (w.sum(1)[:, None] * y[s] - w @ y)
         gain = np.maximum(np.where(np.sign(grad) == np.sign(speed), gain * 0.8, gain + 0.2), 0.01)
         speed = (0.5 if i < 250 else 0.8) * speed - rate * gain * grad
         y = y + speed
-    q = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(2))
-    np.fill_diagonal(q, 0)
-    q = np.maximum(q / q.sum(), 1e-12)
-    return y - y.mean(0), float((p * np.log(p / q)).sum())
+    total, lost = sum(near(s).sum() for s in parts), 0.0
+    for s in parts:
+        p = affinities(x, s, widths)
+        lost += float((p * np.log(p / np.maximum(near(s) / total, 1e-12))).sum())
+    return y - y.mean(0), lost
 
 
-def tsne(features: DataFrame, columns: list[str], key: str = "objeto_id", iterations: int = 1000, seed: int = 42, most: int = 3000) -> DataFrame:
-    """(key, x, y) of the objects; ``most`` of them, chosen by a hash of the key, if there are more (a picture needs no more,
-    and each step takes the distances of all pairs)."""
+def tsne(features: DataFrame, columns: list[str], key: str = "objeto_id", iterations: int = 1000, seed: int = 42) -> DataFrame:
+    """(key, x, y) of all objects.  One task embeds them: each step takes the distances of all pairs."""
     rows = standardized(features, columns).select(key, *columns)
-    rows = rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(most)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)

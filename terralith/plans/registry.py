@@ -506,7 +506,7 @@ def geometry_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def tsne_2d(spark: SparkSession, d: str) -> DataFrame:
-    return tsne.tsne(X.features(spark, d), NUMERIC, iterations=250)
+    return tsne.tsne(X.features(spark, d), NUMERIC)
 
 
 @query(digits=4)

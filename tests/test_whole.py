@@ -1,11 +1,13 @@
 """Queries over all rows of their tables, where others of the registry take a part."""
 
+import inspect
 import math
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from terralith.operators import spatial, variogram
+from terralith.operators import spatial, tsne, variogram
 from terralith.plans import fixtures, registry
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +58,21 @@ def test_lags_whole_take_every_pair_of_an_object(spark):
     got = {r["lag"]: r for r in registry.QUERIES["local_variogram_lags_whole"](spark, SF).where(f"objeto_id = {key}").collect()}
     assert {k: r["pairs"] for k, r in got.items()} == {k: len(v) for k, v in want.items()}
     assert all(got[k]["gamma"] == pytest.approx(sum(v) / len(v), abs=1e-3) for k, v in want.items())
+
+
+def test_tsne_gives_a_row_for_every_object(spark):
+    rows = spark.range(3050).selectExpr("id AS objeto_id", "sin(id) AS a", "cos(id * id) AS b")
+    assert tsne.tsne(rows, ["a", "b"], iterations=1).count() == 3050
+
+
+def test_tsne_query_runs_past_early_exaggeration(spark, monkeypatch):
+    seen, real = {}, tsne.tsne
+    monkeypatch.setattr(tsne, "tsne", lambda *a, **k: seen.update(k) or real(*a, **k))
+    registry.QUERIES["tsne_2d"](spark, SF)
+    assert seen.get("iterations", inspect.signature(real).parameters["iterations"].default) == 1000
+
+
+def test_tsne_by_parts_equals_the_whole_matrix():
+    x = np.random.default_rng(0).normal(size=(60, 4))
+    one, many = tsne.embed(x, 10.0, 20, step=60), tsne.embed(x, 10.0, 20, step=7)
+    assert np.allclose(one[0], many[0], rtol=1e-6, atol=1e-12) and one[1] == pytest.approx(many[1])
