@@ -31,15 +31,19 @@ WITH_CENTROIDS = WITH + """, centroids AS (SELECT o.objeto_id, o.clase, (o.xmin
 DIMS = 6
 
 
-def features_sql(base: int, table: str = "{embeddings}") -> str:
-    """The feature table; ``base`` is the index of an array's first element."""
-    dims = ", ".join(f"CAST(embedding[{i + base}] AS DOUBLE) AS f{i}" for i in range(DIMS))
+def features_sql(base: int, table: str = "{embeddings}", count: int = DIMS) -> str:
+    """The feature table with ``count`` dimensions; ``base`` is the index of an array's first element."""
+    dims = ", ".join(f"CAST(embedding[{i + base}] AS DOUBLE) AS f{i}" for i in range(count))
+    names = ", ".join(f"f{i}" for i in range(count))
     return (
-        f"SELECT objeto_id, clase, label, f0, f1, f2, f3, f4, f5, f1 + 0.1e0 * label AS f_sig, 0.95e0 * f1 + 0.05e0 * f2 AS f_col, 1.0e0 AS f_const, (label + objeto_id % 3) % 4 AS cluster "
+        f"SELECT objeto_id, clase, label, {names}, f1 + 0.1e0 * label AS f_sig, 0.95e0 * f1 + 0.05e0 * f2 AS f_col, 1.0e0 AS f_const, (label + objeto_id % 3) % 4 AS cluster "
         f"FROM (SELECT vec_id AS objeto_id, CAST(label AS STRING) AS clase, label, {dims} FROM {table}) e"
     )
 
 
+#: All dimensions of an embedding, for queries whose SQL does not name the features above.
+EVERY = 64
+
 WITH_FEATURES = "WITH features AS (" + features_sql(1, "embeddings") + ")"
 
 
@@ -65,3 +69,8 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(features_sql(0), **tables(spark, sf_dir, "embeddings"))
+
+
+def all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table with every dimension of the embedding: f0 to f63, f_sig, f_col."""
+    return spark.sql(features_sql(0, count=EVERY), **tables(spark, sf_dir, "embeddings"))

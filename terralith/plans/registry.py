@@ -16,6 +16,8 @@ BANDS = ["b1", "b2", "b3", "b4", "b5"]
 NUMERIC = ["f0", "f1", "f2", "f3", "f4", "f5", "f_sig", "f_col"]
 META = {"x0": -1007.0, "dx": 30.0, "y0": 3000.0, "dy": -30.0, "width": 700, "height": 80}
 
+EVERY = [*(f"f{i}" for i in range(X.EVERY)), "f_sig", "f_col"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -372,6 +374,12 @@ def mutual_information(spark: SparkSession, d: str) -> DataFrame:
     return separability.mutual_information(X.features(spark, d), MI_COLUMNS)
 
 
+# mutual_information takes three columns, as its SQL does; mutual_information_whole takes all.
+@query(digits=4)
+def mutual_information_whole(spark: SparkSession, d: str) -> DataFrame:
+    return separability.mutual_information(X.all_features(spark, d), EVERY)
+
+
 @query()
 def collinearity_prune(spark: SparkSession, d: str) -> DataFrame:
     kept = separability.prune_collinear(X.features(spark, d), NUMERIC)
@@ -380,7 +388,7 @@ def collinearity_prune(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans_elbow(spark: SparkSession, d: str) -> DataFrame:
-    return separability.kmeans(X.features(spark, d), ["f_sig", "f_col"], most=5, starts=2)[0]
+    return separability.kmeans(X.all_features(spark, d), EVERY)[0]
 
 
 INERTIA = [(2, 900.0), (3, 500.0), (4, 300.0), (5, 260.0), (6, 235.0), (7, 220.0), (8, 210.0)]

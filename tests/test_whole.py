@@ -7,10 +7,11 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from terralith.operators import spatial, tsne, variogram
+from terralith.operators import separability, spatial, tsne, variogram
 from terralith.plans import fixtures, registry
 
 SF = "/root/testdata/sf0.001"
+KMEANS = separability.kmeans
 
 
 @pytest.mark.parametrize("name", ["toi_whole", "tli_whole"])
@@ -76,3 +77,19 @@ def test_tsne_by_parts_equals_the_whole_matrix():
     x = np.random.default_rng(0).normal(size=(60, 4))
     one, many = tsne.embed(x, 10.0, 20, step=60), tsne.embed(x, 10.0, 20, step=7)
     assert np.allclose(one[0], many[0], rtol=1e-6, atol=1e-12) and one[1] == pytest.approx(many[1])
+
+
+def test_kmeans_query_takes_all_columns_and_defaults(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(separability, "kmeans", lambda rows, columns, **k: seen.append((rows.columns, columns, k)) or (rows, rows))
+    registry.QUERIES["kmeans_elbow"](spark, SF)
+    have, asked, more = seen[0]
+    defaults = inspect.signature(KMEANS).parameters
+    assert (more.get("most", defaults["most"].default), more.get("starts", defaults["starts"].default)) == (8, 10)
+    assert asked == [*(f"f{i}" for i in range(64)), "f_sig", "f_col"] and set(asked) <= set(have)
+
+
+def test_mutual_information_of_all_columns(spark):
+    got = {r["variable"]: r["mi"] for r in registry.QUERIES["mutual_information_whole"](spark, SF).collect()}
+    few = {r["variable"]: r["mi"] for r in registry.QUERIES["mutual_information"](spark, SF).collect()}
+    assert set(got) == set(registry.EVERY) and {k: got[k] for k in few} == pytest.approx(few, abs=1e-4)
