@@ -75,7 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The first four stages can't be expressed in SQL; tests hold each against a brute-force version.
+#: The first four stages can't be expressed in SQL; tests check their columns, types and falling counts, and hold only suffix and Jaccard operators against brute force.
 ORACLE_SQL = None
 
 QUERIES = {"pipeline": run}
