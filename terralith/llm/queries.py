@@ -59,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("toxic").alias("grade"))
-    scored = toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels))
+    scored = toxicity.score_toxicity(docs, toxicity.train_toxicity(docs.where(~held_out), labels))
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
