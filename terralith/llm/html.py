@@ -25,7 +25,9 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ._linear import dot, push, sigmoid
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*'|["'])*)>""", re.S | re.I)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+UNTIL = re.compile(r"[^=>]*+")
+SPACES = re.compile(r"\s*+")
 MARKS = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 LABEL = re.compile(r"""\bdata-label\s*=\s*["']?(\w+)""")
 
@@ -38,11 +40,82 @@ BREAKS = frozenset("br wbr img input hr td th".split())
 CLOSES_P = frozenset("article section main header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre form fieldset figure address details menu hr".split())
 CLOSES_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table article section main body html div nav aside header footer form".split())
+#: Elements that are left out with what they hold.  The first two run to the end of the page if they are never closed.
+LEFT_OUT = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "select")
+NESTING = ("template", "svg")
 
 BITS = 12
 KINDS = ("article", "main", "section", "div", "body", "html", "nav", "aside", "footer", "header", "ul", "ol", "p", "form")
 
 
+def tags_of(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether an end tag, name, attributes) of the tags in page order; comments and LEFT_OUT elements have no name.
+
+    One pass: each search goes on from where the last one ended, and what isn't found once isn't searched for again.  A quote
+    counts only after an equals sign, and only if it is closed; a tag that is never closed is the last one.  A self-closing
+    element that would be left out holds nothing; one without an end tag holds nothing either, but for scripts and styles.
+    """
+    at, n, last, ending = 0, len(page), {q: page.rfind(q) for q in "\"'"}, {}
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            if page.startswith((">", "->"), at + 4):
+                end = page.index(">", at + 4) + 1
+            else:
+                end = page.find("-->", at + 4) + 3
+            end = n if end < 3 else end
+            yield at, end, False, "", ""
+            at = end
+            continue
+        found = NAME.match(page, at)
+        if found is None:
+            if page.startswith(("<!", "<?", "</"), at):
+                end = page.find(">", at) + 1 or n
+                yield at, end, False, "", ""
+                at = end
+            else:
+                at += 1
+            continue
+        name, k = found[1].lower(), found.end()
+        while True:
+            k = UNTIL.match(page, k).end()
+            if k >= n or page[k] == ">":
+                break
+            k = SPACES.match(page, k + 1).end()
+            if k < n and page[k] in last and last[page[k]] > k:
+                k = page.index(page[k], k + 1) + 1
+        end, attrs, ends = min(n, k + 1), page[found.end() : k], page[at + 1] == "/"
+        if k >= n:
+            yield at, n, False, "", ""
+            return
+        if name in LEFT_OUT and not ends:
+            if name not in ending:
+                ending[name] = closings(page, name)
+            end = max(end, ending[name].get(at, n if name in LEFT_OUT[:2] else end))
+            yield at, end, False, "", ""
+        else:
+            yield at, end, ends, name, attrs
+        at = end
+
+
+def closings(page: str, name: str) -> dict[int, int]:
+    """Where the elements of a name that is left out end, by the place of their start tag, in one pass.
+
+    Those of NESTING may hold each other; of others the first end tag counts.
+    """
+    found, open_, at = {}, [], 0
+    tag = re.compile(rf"<(/?){name}(?=[\s/>])", re.I)
+    while m := tag.search(page, at):
+        at = page.find(">", m.end()) + 1
+        if not at:
+            break
+        if m[1]:
+            found.update((k, at) for k in open_[-1:])
+            del open_[-1:]
+        elif (name in NESTING or not open_) and not (page[at - 2] == "/" and name not in LEFT_OUT[:2]):
+            open_.append(m.start())
+    return found
+
+
 def parse(page: str) -> tuple[list[int], list[str], list[str], list[list[str]], list[int], list[int]]:
     """(parents, tags, attribute text, pieces of text, characters inside links, labels or -1) of the nodes in page order.
 
@@ -51,9 +124,12 @@ def parse(page: str) -> tuple[list[int], list[str], list[str], list[list[str]],
     """
     parents, tags, attrs, texts, links, labels = [-1], [""], [""], [[]], [0], [-1]
     stack, leaf, in_link, at = [0], -1, 0, 0
+    opened: dict[str, int] = {}  # elements on the stack by tag, so that it is searched only for what is there
 
     def close(k: int) -> None:
         nonlocal leaf
+        for i in stack[k:]:
+            opened[tags[i]] -= 1
         del stack[k:]
         leaf = -1
 
@@ -73,37 +149,36 @@ def parse(page: str) -> tuple[list[int], list[str], list[str], list[list[str]],
         if in_link:
             links[leaf] += len(text.strip())
 
-    for m in TOKEN.finditer(page):
-        start = m.start()
+    for start, end, ends, name, told in tags_of(page):
         if start > at:
             say(page[at:start])
-        at = m.end()
-        name = m[3]
-        if name is None:
+        at = end
+        if not name:
             continue
-        name = name.lower()
         if name == "a":
-            in_link = 0 if m[2] else 1
+            in_link = 0 if ends else 1
         elif name not in BLOCKS:
             if name in BREAKS:
                 if name == "hr":
                     leaf = -1
                 elif leaf >= 0:
                     texts[leaf].append(" ")
-        elif m[2]:
+        elif ends:
+            if not opened.get(name):
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if tags[stack[k]] == name:
                     close(k)
                     break
         else:
-            if name in CLOSES_P:
+            if name in CLOSES_P and opened.get("p"):
                 for k in range(len(stack) - 1, 0, -1):
                     if tags[stack[k]] == "p":
                         close(k)
                         break
                     if tags[stack[k]] in SCOPES:
                         break
-            if name in CLOSES_SAME:
+            if name in CLOSES_SAME and any(opened.get(t) for t in CLOSES_SAME[name]):
                 for k in range(len(stack) - 1, 0, -1):
                     if tags[stack[k]] in CLOSES_SAME[name]:
                         close(k)
@@ -111,17 +186,17 @@ def parse(page: str) -> tuple[list[int], list[str], list[str], list[list[str]],
                     if tags[stack[k]] in SCOPES:
                         break
             leaf, in_link = -1, 0
-            label = LABEL.search(m[4])
+            label = LABEL.search(told)
             parents.append(stack[-1])
             tags.append(name)
-            attrs.append(m[4])
+            attrs.append(told)
             texts.append([])
             links.append(0)
             labels.append(-1 if label is None else int(label[1] == "content"))
             stack.append(len(parents) - 1)
+            opened[name] = opened.get(name, 0) + 1
     if at < len(page):
-        rest = page[at:]
-        say(rest[: rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", rest) else rest)
+        say(page[at:])
     return parents, tags, attrs, texts, links, labels
 
 
@@ -193,23 +268,27 @@ def marginals(parents: np.ndarray, levels: list[np.ndarray], kinds: np.ndarray,
     up = np.zeros((n, 2))
     pair = edge[kinds[np.maximum(parents, 0)]]
     for level in levels[:0:-1]:
-        up[level] = np.logaddexp.reduce(pair[level] + own[level, None, :], axis=2)
-        np.add.at(own, parents[level], up[level])
+        told = pair[level] + own[level, None, :]
+        up[level] = np.logaddexp(told[:, :, 0], told[:, :, 1])
+        above = parents[level]  # in order, as nodes of a level are in page order
+        head = np.flatnonzero(np.diff(above, prepend=-1))
+        own[above[head]] += np.add.reduceat(up[level], head, axis=0)
     full = own.copy()
     both = np.zeros((n, 2, 2))
     for level in levels[1:]:
         rest = full[parents[level]] - up[level]
-        both[level] = pair[level] + rest[:, :, None]
-        full[level] += np.logaddexp.reduce(both[level], axis=1)
+        told = both[level] = pair[level] + rest[:, :, None]
+        full[level] += np.logaddexp(told[:, 0], told[:, 1])
     both += own[:, None, :]
-    both -= np.logaddexp.reduce(both, axis=(1, 2), keepdims=True)
+    any_ = np.logaddexp(both[:, 0], both[:, 1])
+    both -= np.logaddexp(any_[:, 0], any_[:, 1])[:, None, None]
     return sigmoid(full[:, 1] - full[:, 0]), np.exp(both)
 
 
 def train_pages(pages: DataFrame, rounds: int = 300, ridge: float = 1e-5) -> bytes:
     """A model from labelled pages (column html): blocks marked data-label="content" or "other", which hold for what they
     contain until marked anew; everything else is no content.  The labelled set is meant to be small: its node features are
-    gathered for the fit.  Without any page all potentials are 0.
+    gathered in one task for the fit.  Null pages are empty ones; repeated pages count each; without any page all potentials are 0.
     """
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +302,17 @@ def train_pages(pages: DataFrame, rounds: int = 300, ridge: float = 1e-5) -> byt
                 out.append([x.astype(np.int64).tobytes() for x in (parents, kinds, labels, cols, offs)])
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary()) for k in range(5)], names=list("pklco"))
 
-    got = pages.select("html").mapInArrow(nodes, "p binary, k binary, l binary, c binary, o binary").collect()
-    parts = [[np.frombuffer(bytes(x), np.int64) for x in r] for r in got]
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        parts = [[np.frombuffer(x, np.int64) for x in r] for r in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([fit_pages(parts, rounds, ridge)], pa.binary())], names=["model"])
+
+    table = pages.select("html").mapInArrow(nodes, "p binary, k binary, l binary, c binary, o binary")
+    return bytes(table.repartition(1).mapInArrow(fit, "model binary").head()["model"])
+
+
+def fit_pages(parts: list[list[np.ndarray]], rounds: int, ridge: float) -> bytes:
+    """Edge potentials and unary weights from (parents, kinds, labels, columns, offsets) of each page, by AdaGrad."""
     edge, w = np.zeros((len(KINDS) + 1, 2, 2)), np.zeros(1 << BITS)
     if parts:
         base = np.cumsum([0, *(len(r[0]) for r in parts)])
@@ -234,12 +322,11 @@ def train_pages(pages: DataFrame, rounds: int = 300, ridge: float = 1e-5) -> byt
         child = np.flatnonzero(parents >= 0)
         seen = np.zeros_like(edge)
         np.add.at(seen, (kinds[parents[child]], label[parents[child]], label[child]), 1)
-        ones, n, levels = np.ones(len(cols)), len(label), levels_of(parents)
+        ones, n, levels, above = np.ones(len(cols)), len(label), levels_of(parents), kinds[parents[child]]
         squares, edge_squares = np.full(len(w), 1e-8), np.full(edge.shape, 1e-8)
         for _ in range(rounds):
             p, both = marginals(parents, levels, kinds, dot(w, cols, ones, offs), edge)
-            expected = np.zeros_like(edge)
-            np.add.at(expected, kinds[parents[child]], both[child])
+            expected = np.stack([np.bincount(above, weights=x, minlength=len(edge)) for x in both[child].reshape(-1, 4).T], 1).reshape(edge.shape)
             g, g_edge = push(label - p, cols, ones, offs, len(w)) / n - ridge * w, (seen - expected) / n - ridge * edge
             squares += g * g
             edge_squares += g_edge * g_edge
@@ -250,7 +337,8 @@ def train_pages(pages: DataFrame, rounds: int = 300, ridge: float = 1e-5) -> byt
 
 def extract(pages: DataFrame, model: bytes, column: str = "html") -> DataFrame:
     """``pages`` with text (blocks of content joined by line feeds; empty if none) and content_probability (the mean over
-    its nodes with text; null if there are none).  Columns of these names are replaced; null pages give an empty text."""
+    its nodes with text; null if there are none).  Columns of these names are replaced; null and empty pages give an empty
+    text, a page of any length is taken whole, equal pages give equal texts, and an empty table gives no rows."""
     pages = pages.drop("content_probability", *(["text"] if column != "text" else []))
     keep = [f for f in pages.schema if f.name != column]
     schema = StructType([*keep, StructField("text", StringType()), StructField("content_probability", DoubleType())])

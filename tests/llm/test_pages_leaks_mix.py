@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+import time
 
 import duckdb
 import numpy as np
@@ -42,6 +44,52 @@ def test_long_and_deep_pages_are_whole(spark, model):
     assert got[0].count("\n") == 4999
 
 
+@pytest.mark.parametrize("tag", ['<svg class="i"/>', "<iframe/>", "<template/>", "<math/>", "<svg>", "<iframe>", "<select>", "<img>", "<br/>"])
+def test_empty_and_unclosed_elements_swallow_nothing(spark, model, tag):
+    page = f'<article class="post"><p>Before it there was a whole sentence.</p>{tag}<p>After it came another sentence.</p></article>'
+    assert page_text(spark, model, [page]) == ["Before it there was a whole sentence.\nAfter it came another sentence."]
+
+
+def blocks(page):
+    _, tags, _, pieces, _, _ = html.parse(page)
+    return [html.block_text(x) for x, t in zip(pieces, tags) if t == "#text"]
+
+
+def test_pages_are_read_as_they_stand():
+    assert blocks("<p>a <math><mi>x</mi>=5</math> b</p><p>1 < 2 and 3 > 2</p>") == ["a x=5 b", "1 < 2 and 3 > 2"]
+    assert blocks('<p>x</p><script>var a="</p>"; if(a<b){}</script><p>y</p><style>p{}') == ["x", "y"]
+    assert blocks("<svg><svg><text>no</text></svg><text>no</text></svg><p>yes</p>") == ["yes"]
+    assert blocks("<!--><p>a</p><!-- x > <p>no</p> --><p>b") == ["a", "b"]
+    assert blocks('<p title="a>b">c</p><a href=\'x>y\'>d</a><p title="unclosed>e</p>') == ["c", "d", "e"]
+
+
+@pytest.mark.parametrize("page", ["<a " + '"' * 200_000 + "<", '<a =" ' * 50_000, "<a " * 100_000, "<svg>" * 50_000 + "</svg>", "<svg " * 100_000 + ">", "<!--" * 100_000, "<div>" * 50_000 + "</section>" * 50_000, "<script>" * 50_000])
+def test_crafted_pages_take_no_longer_than_others(page):
+    started = time.perf_counter()
+    blocks(page)
+    assert time.perf_counter() - started < 5
+
+
+def test_pages_unlike_the_training_set(spark, model):
+    """No classes, tables for layout, names in another language: structure alone tells."""
+    said = ["The city council met on Tuesday to discuss the new bridge over the river, which has been closed since March.", "Engineers say that the repairs will take another six months and cost twice as much as planned."]
+    both, want = "".join(f"<p>{x}</p>" for x in said), "\n".join(["Bridge stays closed", *said])
+    pages = [
+        f"<html><body><header><a href=/>Daily</a></header><nav><a href=/a>World</a> <a href=/b>Sport</a></nav><main><h1>Bridge stays closed</h1>{both}</main><footer>© Daily</footer></body></html>",
+        f"<table><tr><td><a href=1>Home</a><br><a href=2>Shop</a><br><a href=3>Mail</a></td><td><h2>Bridge stays closed</h2>{both}</td></tr></table><center><a href=4>Imprint</a> | <a href=5>Contact</a></center>",
+        f'<body><div id="kopf"><ul><li><a href=1>Start</a></li><li><a href=2>Archiv</a></li></ul></div><div id="inhalt"><h1>Bridge stays closed</h1>{both}</div><div id="fuss"><a href=3>Impressum</a> <a href=4>Kontakt</a></div></body>',
+    ]
+    assert page_text(spark, model, pages) == [want] * 3
+
+
+def test_articles_of_the_table_are_whole_and_alone(spark, model):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html.extract(pages, model).select("page_id", "text").collect()}
+    for r in pages.collect():
+        inside = re.search(r"<article>.*?</article>", r["html"], re.S)[0]
+        assert got[r["page_id"]] == "\n".join(x for x in blocks(inside) if x)
+
+
 def test_marginals_as_by_enumeration():
     rng = np.random.default_rng(2)
     parents, kinds = np.array([-1, 0, 0, 1, 1, 2, 4]), np.array([0, 1, 0, 2, 1, 0, 0])
