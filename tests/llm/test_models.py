@@ -32,39 +32,51 @@ def discounts(counts):
     return {r: (r - 0.5) / r for r in range(1, 6)}
 
 
+def discounted(d, c):
+    return d.get(c, 0) * c if c <= 5 else c - 0.05
+
+
 def brute_katz(rows):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
-    one, two, contexts = Counter(), Counter(), Counter()
+    one, two, three, starts = Counter(), Counter(), Counter(), 0
     for i, text in rows:
         if not held[i]:
-            t = tokens(text)
-            one.update(t)
-            pairs = list(zip(["<s>", *t[:-1]], t))
-            two.update(pairs)
-            contexts.update(h for h, _ in pairs)
-    contexts = Counter({**one, "<s>": contexts["<s>"]})
-    n, d1, d2 = sum(one.values()), discounts(one), discounts(two)
-    p1 = {w: d1.get(c, 1) * c / (n + 1) for w, c in one.items()}
+            t = ["<s>", *tokens(text)]
+            one.update(t[1:])
+            two.update(zip(t, t[1:]))
+            three.update(zip(t, t[1:], t[2:]))
+            starts += 1
+    n, d1, d2, d3 = sum(one.values()), discounts(one), discounts(two), discounts(three)
+    p1 = {w: discounted(d1, c) / (n + 1) for w, c in one.items()}
     unknown = 1 - sum(p1.values())
-    after = {}
+    seen = {}
     for (h, w), c in two.items():
-        after.setdefault(h, {})[w] = d2.get(c, 1) * c / (contexts[h] + 0.1)
+        seen.setdefault((h,), {})[w] = discounted(d2, c) / (starts if h == "<s>" else one[h])
+    for (g, h, w), c in three.items():
+        seen.setdefault((g, h), {})[w] = discounted(d3, c) / two[g, h]
+    memo = {}
+
+    def weight(h):
+        if h not in memo:
+            memo[h] = (1 - sum(seen[h].values())) / (1 - sum(p(w, h[1:]) for w in seen[h]))
+        return memo[h]
 
     def p(w, h):
-        if h not in after:
+        if not h:
             return p1.get(w, unknown)
-        seen = after[h]
-        if w in seen:
-            return seen[w]
-        return (1 - sum(seen.values())) / (1 - sum(p1[x] for x in seen)) * p1.get(w, unknown)
+        if h not in seen:
+            return p(w, h[1:])
+        return seen[h][w] if w in seen[h] else weight(h) * p(w, h[1:])
 
-    for h in ["<s>", *list(one)[:10], "never seen"]:
+    some = [("<s>",), ("never seen",), ("never seen", "w1"), *((w,) for w in list(one)[:5] if w != "</s>"), *(g for g in list(two)[:12] if g[1] != "</s>")]
+    for h in some:
         assert math.isclose(sum(p(w, h) for w in one) + p("unknown to all", h), 1, rel_tol=1e-9)
     out = {}
     for i, text in rows:
         t = tokens(text)
         base = sum(math.log10((one[w] + 1) / (n + len(one) + 1)) for w in t)
-        out[i] = (held[i], len(t), sum(one[w] > 0 for w in t), n, base, sum(math.log10(p(w, h)) for h, w in zip(["<s>", *t[:-1]], t)))
+        whole = ["<s>", *t]
+        out[i] = (held[i], len(t), sum(one[w] > 0 for w in t), n, base, sum(math.log10(p(whole[k], tuple(whole[max(0, k - 2) : k]))) for k in range(1, len(whole))))
     return out
 
 
@@ -72,8 +84,9 @@ def brute_katz(rows):
 def test_katz_scores_as_computed_plainly(spark, seed):
     rng = random.Random(seed)
     rows = [(i, " ".join(f"W{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.randint(0, 60)))) for i in range(90)]
+    rows += [(150 + i, "w1 w2 w3 " * 9 + f"w{i}") for i in range(12)]  # histories that are followed by frequent tokens alone
     rows += [(200, None), (201, ""), (202, "  x\ty\n"), (203, "never seen words"), (204, "é É " * 500)]
-    docs = spark.createDataFrame(rows, DOCS).repartition(3).selectExpr("*", "1 AS kind", "'' AS pack")
+    docs = spark.createDataFrame(rows, DOCS).repartition(6).selectExpr("*", "1 AS kind", "'' AS pack")
     got = {r["doc_id"]: r for r in katz.score_documents(docs, buckets=5).collect()}
     want = brute_katz(rows)
     assert got.keys() == want.keys()
@@ -83,6 +96,13 @@ def test_katz_scores_as_computed_plainly(spark, seed):
         assert got[i]["score"] == pytest.approx(w[5], rel=1e-9)
 
 
+def test_counts_keep_64_bits():
+    counts = np.array([0, 1, 5_000_000_000, 1 << 62])
+    for c in (counts, counts[:2], counts[:0]):
+        got, bits = katz.widened(katz.narrow(c, np.ones(len(c))))
+        assert got.tolist() == c.tolist() and bits.tolist() == [1] * len(c)
+
+
 def test_katz_of_nothing_repeats_and_missing_ids(spark):
     assert katz.score_documents(spark.createDataFrame([], DOCS)).count() == 0
     got = katz.score_documents(spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], DOCS)).collect()
