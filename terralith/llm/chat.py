@@ -3,8 +3,9 @@
 Turns are sorted by conversation, and each task walks through its turns once with the state of the current conversation
 only, so a conversation of any length needs no more memory than its longest turn.
 
-Control strings of the template that occur inside a text are escaped by a backslash after their first character, and
-backslashes are doubled; ``unescape`` takes both back.  So no text holds a control string, and formatted output can be parsed.
+Control strings of the template that occur inside a text, or that it forms with the mark before or after it, are escaped by a
+backslash inside them, and backslashes are doubled; ``unescape`` takes both back.  So no text holds a control string, and
+formatted output can be parsed.
 """
 
 from __future__ import annotations
@@ -61,10 +62,16 @@ INSTRUCT = Template(
 )
 
 
-def escape(text: str, controls: tuple[str, ...]) -> str:
+def escape(text: str, controls: tuple[str, ...], before: str = "", after: str = "") -> str:
+    """``text`` without a control string, also none that it forms with the marks that stand before and after it."""
     text = text.replace("\\", "\\\\")
-    if any(c in text for c in controls):
-        text = re.sub("(?=(?:" + "|".join(map(re.escape, controls)) + "))(.)", r"\1\\", text, flags=re.S)
+    whole, n = text + after, len(text)
+    if any(c in whole for c in controls):
+        starts = [m.start() for m in re.finditer("(?=" + "|".join(map(re.escape, controls)) + ")", whole) if m.start() < n]
+        cuts = [0, *(k + 1 for k in starts), n]
+        text = "\\".join(text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+    if any(before.endswith(c[:k]) and (text + after).startswith(c[k:]) for c in controls for k in range(1, len(c))):
+        text = "\\" + text
     return text
 
 
@@ -97,7 +104,7 @@ def format_conversations(turns: DataFrame, template: Template = INSTRUCT, conv:
                 if to is None:
                     to, error = template.after_error.get(r, state), f"{r!r} after {state}"
                 state, marks = to, template.turn(r)
-                out += [(c, number, 0, marks.before, False, state, error), (c, number, 1, escape(t, template.controls), marks.loss, state, error), (c, number, 2, marks.after, False, state, error)]
+                out += [(c, number, 0, marks.before, False, state, error), (c, number, 1, escape(t, template.controls, marks.before, marks.after), marks.loss, state, error), (c, number, 2, marks.after, False, state, error)]
                 number += 1
             yield arrow_rows(out, SEGMENTS)
 

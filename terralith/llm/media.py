@@ -155,7 +155,7 @@ def riff_frames(media: bytes) -> tuple[list[bytes], float]:
                 continue
             elif kind == b"avih":
                 step = struct.unpack_from("<I", media, at + 8)[0] / 1e6
-            elif kind == b"idx1":
+            elif kind == b"idx1" and size >= 16:
                 index = (at + 8, size // 16)
             at += 8 + size + size % 2
     if movi and index:

@@ -36,29 +36,34 @@ def source_targets(sized: DataFrame, source: str, size: str, cycle: int = 3, cap
     return levelled.select("source", "source_size", F.least(F.col("weight") * F.col("level"), F.col("cap").cast("double")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, size: str, id_col: str = "doc_id", source: str = "source", seed: str = "mix", ranges: int = 256, cycle: int = 3, cap: int = 3) -> DataFrame:
+def mix_sources(docs: DataFrame, size: str, id_col: str = "doc_id", source: str = "source", seed: str = "mix", ranges: int | None = None, cycle: int = 3, cap: int = 3) -> DataFrame:
     """``docs`` with source_size, target and taken: the words that the mix takes of each row, repeats counted.
 
     ``size`` names a long column of sizes.  Columns of these names in ``docs`` are replaced.  Null sources form a source of
     their own; null ids are keyed as text 'null'; rows that agree in id and size are interchangeable, so reruns agree.  An
-    empty table gives an empty mix.  ``ranges`` splits every source's keys, so that a hot source is dealt to many tasks.
+    empty table gives an empty mix.  ``ranges`` (where it isn't given: two for each shuffle partition, 256 at least) splits every
+    source's keys, so that a hot source is dealt to many tasks; rows without an id have one key and are split by their size.
     """
     docs = docs.drop("source_size", "target", "taken")
+    ranges = ranges or max(256, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     keyed = docs.withColumn("__key", key).withColumn("__range", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * ranges / 2**32).cast("int"))
-    sums = keyed.groupBy(F.col(source).alias("source"), "__range").agg(F.sum(size).alias("range_size"))
-    earlier = Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # the key of rows without an id parts its range: those below it, these rows by size, those above it
+    nameless = F.md5(F.lit(f"{seed}:null"))
+    keyed = keyed.withColumn("__part", F.when(F.col(id_col).isNull(), F.col(size)).when(F.col("__key") > nameless, 1 << 62).otherwise(-1).cast("long"))
+    sums = keyed.groupBy(F.col(source).alias("source"), "__range", "__part").agg(F.sum(size).alias("range_size"))
+    earlier = Window.partitionBy("source").orderBy("__range", "__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("__earlier", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
     targets = source_targets(sums, "source", "range_size", cycle, cap)
-    plan = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select(F.col("o.source").alias("__source"), F.col("o.__range").alias("__r"), "__earlier", "source_size", "target")
-    here = Window.partitionBy(source, "__range").orderBy("__key", F.col(id_col).asc_nulls_last(), size).rowsBetween(Window.unboundedPreceding, -1)
+    plan = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select(F.col("o.source").alias("__source"), F.col("o.__range").alias("__r"), F.col("o.__part").alias("__p"), "__earlier", "source_size", "target")
+    here = Window.partitionBy(source, "__range", "__part").orderBy("__key", F.col(id_col).asc_nulls_last(), size).rowsBetween(Window.unboundedPreceding, -1)
     run = keyed.withColumn("__before", F.coalesce(F.sum(size).over(here), F.lit(0)))
-    placed = run.join(plan, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__range") == F.col("__r")))
+    placed = run.join(plan, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__range") == F.col("__r")) & (F.col("__part") == F.col("__p")))
     budget, total = F.round("target").cast("long"), F.col("source_size")
     epochs = F.when(total > 0, F.floor(budget / F.greatest(total, F.lit(1)))).otherwise(0).cast("long")
     rest = budget - epochs * total
     taken = epochs * F.col(size) + F.greatest(F.lit(0), F.least(F.col(size), rest - F.col("__earlier") - F.col("__before")))
-    return placed.withColumn("taken", taken.cast("long")).drop("__key", "__range", "__source", "__r", "__earlier", "__before")
+    return placed.withColumn("taken", taken.cast("long")).drop("__key", "__range", "__part", "__source", "__r", "__p", "__earlier", "__before")
 
 
 ORACLE_SQL = r"""

@@ -45,6 +45,30 @@ def test_escaping_is_reversible():
         assert not any(c in said for c in chat.INSTRUCT.controls)
 
 
+def test_no_control_string_arises_at_a_mark():
+    marks = [(t.before, t.after) for t in chat.INSTRUCT.turns.values()] + [("[TURN tool] ", " [/TURN]"), ("<", "S>>"), ("x</", ">")]
+    for before, after in marks:
+        for text in ("[TURN", "", "<", "<<SYS", "s>", "a [/INST", "\\", "\\[TURN", "<s", "/s"):
+            said = chat.escape(text, chat.INSTRUCT.controls, before, after)
+            assert chat.unescape(said) == text
+            whole = before + said + after
+            for c in chat.INSTRUCT.controls:
+                at = [k for k in range(len(whole)) if whole.startswith(c, k)]
+                assert all(k + len(c) <= len(before) or k >= len(before) + len(said) for k in at), (before, text, after)
+
+
+def test_text_that_completes_a_mark_is_read_back(spark):
+    rows = [(1, 0, "user", "so [TURN", ""), (1, 1, "assistant", "</s", "")]
+    segments = chat.format_conversations(spark.createDataFrame(rows, TURNS))
+    assert "[TURN " not in "".join(r["text"] for r in segments.orderBy("turn_no", "part").collect())
+    got = chat.read_back(segments).collect()[0]
+    assert got["turns_sha256"] == hashlib.sha256(b"user\nso [TURN\nassistant\n</s\n").hexdigest() and got["loss_chars"] == 3
+
+
+def test_frames_without_an_index():
+    assert media.riff_frames(b"RIFF\x24\0\0\0AVI LIST\x04\0\0\0movi" + b"idx1\0\0\0\0")[0] == []
+
+
 def test_media_holds_every_byte(spark):
     texts = [None, "", "a", "é" * 300, "x" * 576, "lorem ipsum " * 20_000, "a"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS media", "2 AS n_bytes")
