@@ -40,3 +40,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def deleted(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        ours = shared_dir(spark).split(":")[-1].strip("/") + "/terralith/"
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if ours in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

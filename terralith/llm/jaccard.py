@@ -71,12 +71,12 @@ def minhashes(key: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-SIGNED = "doc_id long, node long, n_shingles long, sig binary"
+SIGNED = "doc_id long, text_md5 string, node long, n_shingles long, sig binary"
 
 
 def signed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """SIGNED rows of the documents that have an id."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.col(text).cast("string")).alias("text_md5"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +85,7 @@ def signed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 node, size = set_keys(key, at)
                 sig = minhashes(key, at).tobytes()
                 w = 4 * HASHES
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array(node), pa.array(size), pa.array([sig[k * w : k * w + w] for k in range(j - i)], pa.binary())], names=["doc_id", "node", "n_shingles", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], batch.column("text_md5")[i:j], pa.array(node), pa.array(size), pa.array([sig[k * w : k * w + w] for k in range(j - i)], pa.binary())], names=["doc_id", "text_md5", "node", "n_shingles", "sig"])
 
     return source.mapInArrow(run, SIGNED)
 
@@ -157,11 +157,12 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple
     return out
 
 
-def dealt(members: DataFrame, group: str, size: Column) -> DataFrame:
-    """``members`` with the task's name (u1, u2, u3) and the row's block: small groups go together, large ones as pairs of
-    blocks, so a node of a group of g nodes is sent g / BLOCK times."""
+def dealt(members: DataFrame, group: str, size: Column, weight: Column | None = None) -> DataFrame:
+    """``members`` with the task's name (u1, u2, u3) and the row's block: small groups go together, about 4000 rows or 64 MB by
+    ``weight``, large ones as pairs of blocks, so a node of a group of g nodes is sent g / BLOCK times."""
     blocks = F.ceil(size / BLOCK).cast("int")
-    total = max(1, members.count() // 4000)
+    row = members.agg(F.count("*").alias("n"), (F.lit(0) if weight is None else F.coalesce(F.sum(weight), F.lit(0))).alias("bytes")).head()
+    total = max(1, row["n"] // 4000, row["bytes"] >> 26)
     own = F.when(blocks <= 1, 0).otherwise(F.pmod(F.xxhash64("node", F.lit(7)), blocks)).cast("int")
     other = F.explode(F.when(blocks <= 1, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), blocks - 1)))
     rows = members.withColumn("block", own).withColumn("other", other)
@@ -207,7 +208,8 @@ def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: fl
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-9, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links): one row a document.
+    """(doc_id, class_id, n_links, text_md5, class_key): one row a document.  ``text_md5`` tells texts of one id apart, and
+    ``class_key`` classes of one least id.
 
     Documents are linked if the Jaccard similarity of their shingle sets reaches the threshold; classes are what links
     connect, named by their least id; n_links counts the other documents a document is linked to.  Null, empty and blank texts
@@ -277,14 +279,14 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float =
         b = pa.array([None] * len(some) + [q for _, q in out], pa.int64())
         return pa.table({"a": pa.array(a), "b": b, "links": pa.array(np.concatenate([links[some], np.zeros(len(out), np.int64)]))})
 
-    found = written(dealt(with_sets, "component", F.col("size")).groupBy("u1", "u2", "u3").applyInArrow(verify, "a long, b long, links long"), "verified")
+    found = written(dealt(with_sets, "component", F.col("size"), F.octet_length("shingles")).groupBy("u1", "u2", "u3").applyInArrow(verify, "a long, b long, links long"), "verified")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     final = components(found.where("b IS NOT NULL"))
     named = final.join(nodes.select("node", "doc_id"), "node")
     heads = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    linked = named.select("node", "component").join(heads, "component").drop("component")
+    linked = named.select("node", "component").join(heads, "component")
     result = nodes.select("node", "doc_id", "copies").join(linked, "node", "left").join(counts, "node", "left")
-    result = result.select("node", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    answer = rows.select("doc_id", "node").join(result, "node").select("doc_id", "class_id", "n_links")
-    nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    result = result.select("node", F.coalesce("component", "node").alias("class_key"), F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    answer = rows.select("doc_id", "node", "text_md5").join(result, "node").select("doc_id", "class_id", "n_links", "text_md5", "class_key")
+    nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.md5(F.col(text).cast("string")).alias("text_md5"), F.lit(None).cast("long").alias("class_key"))
     return answer.unionByName(nameless)
