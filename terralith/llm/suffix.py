@@ -9,7 +9,7 @@ of it and what stands to the left.
 2. Each pack sends the hashes of its anchors to hash buckets (one row for a pack and bucket, each hash once) and gets back
    those that also stand in another document.  What repeats inside the pack is known there.
 3. The suffixes at repeated anchors, one for equal surroundings in a pack with the least document id, are sorted by pack and
-   exchanged as front-coded runs, dealt by the hash of the anchor.  A task merges its runs with a loser tree that keeps each
+   exchanged as front-coded runs, dealt by ranges of their first bytes, so that the merged parts stand in order.  A task merges its runs with a loser tree that keeps each
    head's common prefix with the last output: unequal prefix lengths decide without a look at the bytes, equal ones compare
    only what lies beyond.  The merge gives the sorted suffixes with their common prefixes, and from them, for each offset of
    the anchor in the passage, classes of equal passages with their least document id.
@@ -127,10 +127,37 @@ def repeated_hashes(table: DataFrame, buckets: int) -> DataFrame:
     return table.mapInArrow(send, ROW).groupBy("part").applyInArrow(meet, ROW)
 
 
+def first_bytes(key: np.ndarray) -> np.ndarray:
+    """The first eight bytes as numbers in the order of the bytes."""
+    return np.ascontiguousarray(key[:, :8]).view(">u8").ravel().astype(U64)
+
+
+def range_cuts(table: DataFrame, parts: int, packs_read: int = 256, of_each: int = 2048) -> np.ndarray:
+    """Numbers that cut the suffixes at anchors into ``parts`` ranges, from a sample; they only balance the parts.
+
+    ``packs_read`` packs give ``of_each`` anchors each, the ones with the least hashes, so what comes to the driver is bounded.
+    """
+    n = max(1, table.where("part = 1").count())
+    some = table.where(F.pmod(F.xxhash64("pack"), F.lit(1_000_000)) < int(1e6 * min(1.0, packs_read / n)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_pack(batches):
+            _, buf, offs = opened(rows)
+            _, pos, _, _, h = anchors(buf, offs)
+            pos = pos[np.argsort(h, kind="stable")[:of_each]]
+            padded = np.concatenate([buf, np.zeros(LENGTH, np.uint8)])
+            head = first_bytes(padded[pos[:, None] + np.arange(8)]) if len(pos) else np.zeros(0, U64)
+            yield pa.RecordBatch.from_arrays([pa.array([head.tobytes()], pa.binary())], names=["head"])
+
+    found = some.mapInArrow(run, "head binary").collect()
+    heads = np.sort(np.concatenate([np.frombuffer(r["head"], U64) for r in found])) if found else np.zeros(0, U64)
+    return np.unique(heads[len(heads) * np.arange(1, parts) // parts]) if len(heads) else heads
+
+
 class Suffixes:
     """The suffixes of a pack at its repeated anchors: members, and distinct entries in the order in which they are sent."""
 
-    def __init__(self, ids: np.ndarray, buf: np.ndarray, offs: np.ndarray, repeated: np.ndarray, parts: int):
+    def __init__(self, ids: np.ndarray, buf: np.ndarray, offs: np.ndarray, repeated: np.ndarray, cuts: np.ndarray):
         doc, pos, low, high, h = anchors(buf, offs)
         at = np.minimum(np.searchsorted(repeated, h), max(0, len(repeated) - 1))
         use = np.flatnonzero(repeated[at] == h) if len(repeated) else np.zeros(0, np.int64)
@@ -151,13 +178,10 @@ class Suffixes:
         entry[order] = np.cumsum(fresh) - 1
         heads = np.flatnonzero(fresh)
         least = np.minimum.reduceat(ids[self.doc][order], heads) if n else np.zeros(0, np.int64)
-        part = (h[use][order][heads] // 7919 % parts).astype(np.int64)
-        turn = np.argsort(part, kind="stable")
-        place = np.empty(len(heads), np.int64)
-        place[turn] = np.arange(len(heads))
-        self.entry = place[entry]  # of each member
-        self.key, self.least, self.part = key[order[heads[turn]]], least[turn], part[turn]
-        self.cuts = np.searchsorted(self.part, np.arange(parts + 1))
+        self.entry = entry  # of each member
+        self.key, self.least = key[order[heads]], least
+        part = np.searchsorted(cuts, first_bytes(self.key), "right")  # in order, as the entries are
+        self.cuts = np.searchsorted(part, np.arange(len(cuts) + 2))
 
 
 def front_coded(key: np.ndarray, least: np.ndarray) -> bytes:
@@ -298,10 +322,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Null texts count as empty; documents shorter than a passage lose nothing; rows without an id count as coming after all
     others; rows with equal ids don't take from each other.  An empty table gives no rows.  ``parts`` is the number of hash
-    buckets and of merges (four for each shuffle partition, where it isn't given).
+    buckets and of merges (where it isn't given: one for each four packs of 4 MB, and four for each shuffle partition at least,
+    so that parts don't grow).
     """
-    parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = written(packs(docs, id_col, text), "packs")
+    parts = parts or max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), table.where("part = 1").count() // 4)
+    ranges = range_cuts(table, parts)
     repeated = written(repeated_hashes(table, parts), "repeated")
 
     def gathered(got: pa.Table) -> tuple[str, dict, np.ndarray]:
@@ -311,7 +337,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def send(got: pa.Table) -> pa.Table:
         name, rows, hashes = gathered(got)
-        s = Suffixes(*opened(rows), hashes, parts)
+        s = Suffixes(*opened(rows), hashes, ranges)
         return pa.Table.from_batches([rows_of([(name, 2, k, front_coded(s.key[a:b], s.least[a:b])) for k, (a, b) in enumerate(zip(s.cuts[:-1], s.cuts[1:], strict=True)) if b > a])])
 
     def merge(got: pa.Table) -> pa.Table:
@@ -331,7 +357,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def cut(got: pa.Table) -> pa.Table:
         _, rows, hashes = gathered(got)
         ids, buf, offs = opened(rows)
-        s = Suffixes(ids, buf, offs, hashes, parts)
+        s = Suffixes(ids, buf, offs, hashes, ranges)
         bits = np.zeros(len(s.least), np.uint32)
         for k, (a, b) in enumerate(zip(s.cuts[:-1], s.cuts[1:], strict=True)):
             if b > a:

@@ -4,7 +4,9 @@ import hashlib
 import random
 from collections import defaultdict
 
-from terralith.llm import jaccard, suffix
+import numpy as np
+
+from terralith.llm import _graph, jaccard, suffix
 
 DOCS = "doc_id long, text string"
 
@@ -113,7 +115,7 @@ def test_classes_and_links_as_by_brute_force(spark, monkeypatch):
     want = brute_classes(rows)
     for block in (jaccard.BLOCK, 16):
         monkeypatch.setattr(jaccard, "BLOCK", block)
-        assert sorted(tuple(r) for r in jaccard.jaccard_classes(docs).collect()) == want
+        assert sorted(tuple(r)[:3] for r in jaccard.jaccard_classes(docs).collect()) == want
 
 
 def test_classes_of_nothing_and_of_rows_without_id(spark):
@@ -125,3 +127,37 @@ def test_classes_of_nothing_and_of_rows_without_id(spark):
 def test_pruning_keeps_what_the_posterior_allows():
     least = jaccard.least_matches(0.8, 1e-9)
     assert least == sorted(least) and 0 <= least[0] <= 8 and 20 <= least[-1] <= 40
+
+
+def test_components_of_hubs_and_chains_as_by_union_find(spark, monkeypatch):
+    monkeypatch.setattr(_graph, "HUBS", 8)
+    rng = random.Random(4)
+    pairs = [(1, k) for k in range(2, 300)] + [(k, k + 1) for k in range(400, 440)] + [(rng.randrange(500, 900), rng.randrange(500, 900)) for _ in range(250)] + [(7, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = {r["node"]: r["component"] for r in _graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in list(root)}
+
+
+def test_ranges_of_suffixes_stand_in_order(spark):
+    rng = random.Random(6)
+    shared = ["".join(rng.choice("abcdefgh ") for _ in range(120)) for _ in range(30)]
+    rows = [(k, "".join(rng.choice("abcdefgh ") for _ in range(200)) + rng.choice(shared)) for k in range(200)]
+    table = suffix.packs(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "doc_id", "text")
+    cuts = suffix.range_cuts(table, 8)
+    assert len(cuts) == 7 and (cuts[1:] > cuts[:-1]).all()
+    _, pack = next(suffix.by_pack(iter(table.toArrow().to_batches())))
+    ids, buf, offs = suffix.opened(pack)
+    s = suffix.Suffixes(ids, buf, offs, np.unique(suffix.anchors(buf, offs)[4]), cuts)
+    order = [bytes(k) for k in s.key]
+    assert order == sorted(order) and s.cuts[0] == 0 and s.cuts[-1] == len(order)
+    assert np.diff(s.cuts).min() > len(order) // 24  # none is empty, none has most
