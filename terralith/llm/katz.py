@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._packs import LAST, ROW, by_pack, expand, opened, packs, rows_of, squeeze
-from ._tables import written
+from ._tables import deleted, written
 from ._text import LOWER, U64, crc_mod, mix, owners, parts, span_hash, words
 
 TOP = 5  # greatest count with a Good-Turing discount
@@ -323,6 +323,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return pa.Table.from_batches([rows_of(out)])
 
     first = written(together.unionByName(triples.where(~numbers)).groupBy("pack").applyInArrow(evaluate, ROW), "evaluated")
+    deleted(table, counts, triples)  # what follows reads the evaluated packs alone
 
     def weigh(got: pa.Table) -> pa.Table:
         sums, asked = [], []
