@@ -121,7 +121,7 @@ def test_classes_and_links_as_by_brute_force(spark, monkeypatch):
 def test_classes_of_nothing_and_of_rows_without_id(spark):
     assert jaccard.jaccard_classes(spark.createDataFrame([], DOCS)).count() == 0
     got = jaccard.jaccard_classes(spark.createDataFrame([(None, "a b"), (4, "a b")], DOCS)).collect()
-    assert sorted((tuple(r) for r in got), key=str) == [(4, 4, 0), (None, None, 0)]
+    assert sorted((tuple(r)[:3] for r in got), key=str) == [(4, 4, 0), (None, None, 0)]
 
 
 def test_pruning_keeps_what_the_posterior_allows():
