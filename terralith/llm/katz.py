@@ -21,6 +21,7 @@ the start alone.  N-grams are known by 56-bit hashes.  Documents lie in packs; t
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,7 @@ END, START = 0x00D15EA5ED00D1, 0x00BE61000BE610
 TOKENS, PAIRS, TRIPLES = 1, 2, 3
 COUNTS = 3  # added to a kind of n-grams: the kind of the answers
 STATS, SUMS, ASKED, SCORES, BACKOFF = range(7, 12)
+ROUNDS = 4  # packs are evaluated a part at a time, so that not all of them lie in a shuffle at once
 LONGER = U64(1 << 60)  # marks histories of two tokens
 
 
@@ -264,10 +266,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Null and empty texts hold the end token only; rows without an id belong to the training; repeated rows count each; an
     empty table gives no rows.  Without any training token all scores are 0.  ``buckets``: hash parts of the count tables (where
-    it isn't given: one for each four packs of 6 MB, and two for each shuffle partition at least, so that parts don't grow).
+    it isn't given: one for each four packs of 4 MB, and two for each shuffle partition at least, so that parts don't grow).
     """
     spark = docs.sparkSession
-    table = written(packs(docs, id_col, text, 6 << 20), "packs")
+    table = written(packs(docs, id_col, text), "packs")
     buckets = buckets or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), table.where("kind = 0 AND part = 1").count() // 4)
     counts = written(short_counts(table, buckets), "counts")
     numbers = F.col("kind") == STATS
@@ -322,7 +324,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         out.append((name, SCORES, -1, squeeze(b"".join(by_doc))))
         return pa.Table.from_batches([rows_of(out)])
 
-    first = written(together.unionByName(triples.where(~numbers)).groupBy("pack").applyInArrow(evaluate, ROW), "evaluated")
+    everything, round_of = together.unionByName(triples.where(~numbers)), F.pmod(F.xxhash64("pack"), F.lit(ROUNDS))
+    some = [written(everything.where(round_of == k).groupBy("pack").applyInArrow(evaluate, ROW), "evaluated") for k in range(ROUNDS)]
+    first = functools.reduce(DataFrame.unionByName, some)
     deleted(table, counts, triples)  # what follows reads the evaluated packs alone
 
     def weigh(got: pa.Table) -> pa.Table:
