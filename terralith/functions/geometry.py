@@ -6,7 +6,7 @@ A geometry is array<array<array<struct<x, y>>>>: polygons, each an outer ring an
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,6 +42,11 @@ def edges(ring: Column) -> Column:
     return F.when(n > 1, F.zip_with(F.slice(ring, 1, n - 1), F.slice(ring, 2, n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array())
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it, also inside lambdas."""
+    return F.transform(F.array(value), f)[0]
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
@@ -91,10 +96,11 @@ def centroid(g: Column) -> Column:
         return F.aggregate(edges(ring), start, add, turn)
 
     each = F.flatten(F.transform(g, lambda p: F.transform(p, lambda r, k: moments(r, F.when(k == 0, 1.0).otherwise(-1.0)))))
-    a, mx, my = (total(each[f]) for f in ("a", "mx", "my"))
     v = points(g)
     mean = lambda f: total(v[f]) / F.size(v)
-    return F.struct(F.when(a > 0, o["x"] + F.try_divide(mx, a)).otherwise(mean("x")).alias("x"), F.when(a > 0, o["y"] + F.try_divide(my, a)).otherwise(mean("y")).alias("y"))
+    sums = lambda e: F.struct(total(e["a"]).alias("a"), total(e["mx"]).alias("mx"), total(e["my"]).alias("my"))
+    place = lambda s: F.when(s["a"] > 0, F.struct((o["x"] + F.try_divide(s["mx"], s["a"])).alias("x"), (o["y"] + F.try_divide(s["my"], s["a"])).alias("y"))).otherwise(F.struct(mean("x").alias("x"), mean("y").alias("y")))
+    return let(let(each, sums), place)
 
 
 def _ray(e: Column, x: Column, y: Column) -> Column:
@@ -155,11 +161,11 @@ def fractal_dimension(a: Column, p: Column) -> Column:
 def shannon_shape(g: Column) -> Column:
     """Entropy in bits of the vertices' shares of the distance from the centroid; outer ring with its closing vertex; 0 for
     several polygons."""
-    c = centroid(g)
-    d = F.transform(g[0][0], lambda p: F.sqrt(F.pow(p["x"] - c["x"], F.lit(2)) + F.pow(p["y"] - c["y"], F.lit(2))))
-    s = total(d)
-    terms = F.transform(d, lambda v: F.when((s > 0) & (v > 0), -(v / F.when(s > 0, s)) * F.log2(F.when(v > 0, v) / F.when(s > 0, s))).otherwise(0.0))
-    return F.when(F.size(g) == 1, total(terms)).otherwise(0.0)
+    away = lambda c: F.transform(g[0][0], lambda p: F.sqrt(F.pow(p["x"] - c["x"], F.lit(2)) + F.pow(p["y"] - c["y"], F.lit(2))))
+    term = lambda share: F.when(share > 0, -share * F.log2(F.when(share > 0, share))).otherwise(0.0)
+    shares = lambda d: let(total(d), lambda s: F.transform(d, lambda v: F.coalesce(F.try_divide(v, s), F.lit(0.0))))
+    entropy = let(let(let(centroid(g), away), shares), lambda q: total(F.transform(q, term)))
+    return F.when(F.size(g) == 1, entropy).otherwise(0.0)
 
 
 def hull(p: np.ndarray) -> np.ndarray:

@@ -13,6 +13,9 @@ from pyspark.sql.window import Window
 from terralith.operators.stats import components, pearson, standardized
 
 
+RANGES = 64  # of a variable's values, in mutual information
+
+
 class MissingValuesError(ValueError):
     """Features hold nulls or NaN and no policy says what to do."""
 
@@ -55,7 +58,7 @@ def mutual_information(features: DataFrame, columns: list[str], clase: str = "cl
     points nearer than it comes from bounds that are sorted in among the points.  digamma at whole numbers is a harmonic sum.
     """
     long = features.select(F.col(clase).alias("y"), F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in columns))).alias("e")).select("y", "e.*").where("x IS NOT NULL")
-    by_class, whole = Window.partitionBy("variable", "y"), Window.partitionBy("variable")
+    by_class = Window.partitionBy("variable", "y")
     order = by_class.orderBy("x")
     around = F.filter(F.array(*(f("x", d).over(order) for f in (F.lag, F.lead) for d in range(1, k + 1))), lambda v: v.isNotNull())
     rows = long.withColumns({"around": around, "nc": F.count("*").over(by_class), "id": F.monotonically_increasing_id()}).where("nc > 1")
@@ -68,8 +71,15 @@ def mutual_information(features: DataFrame, columns: list[str], clase: str = "cl
     mark = lambda at, turn, sign: F.struct(at.alias("at"), F.lit(turn).alias("turn"), F.lit(sign).alias("sign"))
     marks = rows.select("variable", "id", F.explode(F.array(mark(low, 2, -1), mark(high, 0, 1))).alias("m")).select("variable", "id", "m.*")
     marks = marks.unionByName(long.select("variable", F.lit(None).cast("long").alias("id"), F.col("x").alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("sign")))
-    below = F.sum(F.when(F.col("turn") == 1, 1).otherwise(0)).over(whole.orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0))
-    m = marks.withColumn("below", below).where("sign <> 0").groupBy("variable", "id").agg(F.greatest(F.sum(F.col("below") * F.col("sign")), F.lit(1)).alias("m"))
+    # a variable's values are cut into ranges, whose points are counted first, so that no task sorts a whole variable
+    cuts = long.groupBy("variable").agg(F.percentile_approx("x", [k / RANGES for k in range(1, RANGES)], 1000).alias("cuts"))  # a row for each column
+    ranged = marks.join(F.broadcast(cuts), "variable").withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("at")))).drop("cuts")
+    points = F.sum(F.when(F.col("turn") == 1, 1).otherwise(0))
+    earlier = F.coalesce(F.sum("points").over(Window.partitionBy("variable").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = ranged.groupBy("variable", "range").agg(points.alias("points")).withColumn("before", earlier).drop("points")
+    inside = points.over(Window.partitionBy("variable", "range").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("inside", inside).where("sign <> 0").join(before, ["variable", "range"])
+    m = placed.groupBy("variable", "id").agg(F.greatest(F.sum((F.col("before") + F.col("inside")) * F.col("sign")), F.lit(1)).alias("m"))
     counts = rows.select("variable", "id", "kk", "nc").join(m, ["variable", "id"])
     terms = counts.select("variable", F.lit(1).alias("one"), F.explode(F.array(*(F.struct(F.col(c).cast("long").alias("n"), F.lit(s).alias("s")) for c, s in (("kk", 1), ("nc", -1), ("m", -1))))).alias("t")).groupBy("variable", "t.n").agg(F.sum("t.s").alias("s"))
     total = counts.groupBy("variable").agg(F.count("*").alias("total"))

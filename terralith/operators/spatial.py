@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,43 +25,77 @@ def distance(ax: str, ay: str, bx: str, by: str) -> Column:
     return F.sqrt(F.pow(F.col(ax) - F.col(bx), 2) + F.pow(F.col(ay) - F.col(by), 2))
 
 
-def all_pairs(points: DataFrame, both_ways: bool, key: str = "objeto_id") -> DataFrame:
-    """(i, j, values, d) of all pairs of objects.  Moran's I weighs every pair, so the work is quadratic in the number of
-    objects by definition; pairs are summed up where they are made, never stored."""
-    a = points.select(F.col(key).alias("i"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("value").alias("vi"))
-    b = points.select(F.col(key).alias("j"), F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("value").alias("vj"))
-    return a.join(b, (F.col("i") != F.col("j")) if both_ways else (F.col("i") < F.col("j"))).withColumn("d", distance("ax", "ay", "bx", "by"))
+PER_BLOCK = 2000
+
+
+def block_pairs(points: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, key: str) -> DataFrame:
+    """``kernel(a, b, same)`` of each two blocks of points, once: blocks of about PER_BLOCK rows, cut by a hash of the key.
+
+    Work over all pairs is quadratic by definition; here a task takes the pairs of two blocks, pairs are never rows, and a point
+    is sent once for each block.
+    """
+    blocks = max(1, -(-points.count() // PER_BLOCK))
+    own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    rows = points.withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = rows.withColumns({"__u": F.least("__own", "__other"), "__v": F.greatest("__own", "__other")}).drop("__other")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, v = pdf["__u"].iloc[0], pdf["__v"].iloc[0]
+        return kernel(pdf[pdf["__own"] == u], pdf[pdf["__own"] == v], u == v)
+
+    return dealt.groupBy("__u", "__v").applyInPandas(run, schema)
+
+
+def gaps(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    return np.hypot(a["cx"].to_numpy()[:, None] - b["cx"].to_numpy(), a["cy"].to_numpy()[:, None] - b["cy"].to_numpy())
 
 
 def morans_i(points: DataFrame, key: str = "objeto_id") -> DataFrame:
     """One row: moran_i and expected, from (key, cx, cy, value).  Weights are inverse distances, row-standardised; objects at
     the same place are no neighbours.  Null for fewer than two objects or equal values."""
-    rows = points.where(valid(F.col("value")))
-    mean = rows.agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
-    z = rows.crossJoin(F.broadcast(mean)).withColumn("value", F.col("value") - F.col("mean"))  # one row is broadcast
-    w = F.when(F.col("d") > 0, 1 / F.when(F.col("d") > 0, F.col("d")))
-    lag = all_pairs(z, True, key).groupBy("i").agg(F.first("vi").alias("zi"), F.try_divide(F.sum(w * F.col("vj")), F.sum(w)).alias("lag"))
-    top = lag.agg(F.sum(F.col("zi") * F.coalesce("lag", F.lit(0.0))).alias("top"))
-    below = z.agg(F.sum(F.col("value") * F.col("value")).alias("below"), F.count("*").alias("n"))
-    return top.crossJoin(below).select(F.when(F.col("n") > 1, F.try_divide("top", "below")).alias("moran_i"), F.when(F.col("n") > 1, -1 / (F.col("n") - 1)).alias("expected"))
+    rows = points.where(valid(F.col("value"))).select(key, "cx", "cy", "value")
+    mean = rows.agg(F.avg("value").alias("mean"))
+    z = rows.crossJoin(F.broadcast(mean)).withColumn("value", F.col("value") - F.col("mean")).drop("mean")  # one row is broadcast
+
+    def weigh(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        d = gaps(a, b)
+        w = np.divide(1.0, d, out=np.zeros_like(d), where=d > 0)
+        sides = [(a, w, b)] if same else [(a, w, b), (b, w.T, a)]
+        return pd.concat([pd.DataFrame({"i": x[key].to_numpy(), "w": m.sum(1), "wz": m @ y["value"].to_numpy()}) for x, m, y in sides])
+
+    sums = block_pairs(z, weigh, "i long, w double, wz double", key).groupBy("i").agg(F.try_divide(F.sum("wz"), F.sum("w")).alias("lag"))
+    lagged = z.join(sums, z[key] == sums["i"], "left")
+    one = lagged.agg(F.sum(F.col("value") * F.coalesce("lag", F.lit(0.0))).alias("top"), F.sum(F.col("value") * F.col("value")).alias("below"), F.count("*").alias("n"))
+    return one.select(F.when(F.col("n") > 1, F.try_divide("top", "below")).alias("moran_i"), F.when(F.col("n") > 1, -1 / (F.col("n") - 1)).alias("expected"))
 
 
 def semivariogram(points: DataFrame, lags: int = 15, key: str = "objeto_id") -> DataFrame:
     """(lag, h, gamma, pairs): mean semivariance by distance, in ``lags`` bins up to half the greatest distance.
 
-    Bins are half-open; an empty one has gamma 0.  Only pairs nearer than the cutoff are joined: objects are laid out in cells
-    as wide as the cutoff, and each meets the nine cells around it.
+    Bins are half-open; an empty one has gamma 0.  The cutoff is so wide that most pairs fall under it: their sums are taken by
+    pairs of blocks.
     """
     rows = points.where(valid(F.col("value"))).select(key, "cx", "cy", "value")
     far = extreme_points(rows)  # the greatest distance is that of two corners of the convex hull
     cutoff = far.alias("a").crossJoin(far.alias("b")).agg((F.max(distance("a.cx", "a.cy", "b.cx", "b.cy")) / 2).alias("cutoff"))
-    cell = lambda x: F.coalesce(F.floor(F.try_divide(F.col(x), F.col("cutoff"))), F.lit(0))
-    placed = rows.crossJoin(F.broadcast(cutoff)).withColumns({"gx": cell("cx"), "gy": cell("cy")})
-    near = placed.withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    near = near.select(F.col(key).alias("j"), F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("value").alias("vj"), (F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"))
-    pairs = placed.join(near, ["gx", "gy"]).where(F.col(key) < F.col("j")).withColumn("d", distance("cx", "cy", "bx", "by")).where("d < cutoff")
-    lag = F.least(F.floor(F.col("d") / (F.col("cutoff") / lags)), F.lit(lags - 1)).cast("int")
-    binned = pairs.groupBy(lag.alias("lag")).agg(F.avg(F.pow(F.col("value") - F.col("vj"), 2) / 2).alias("gamma"), F.count("*").alias("pairs"))
+    placed = rows.crossJoin(F.broadcast(cutoff))  # one row
+
+    def bin_(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        most, n, g = a["cutoff"].iloc[0] if len(a) else np.nan, np.zeros(lags), np.zeros(lags)
+        for k in range(0, len(a), 512):
+            part = a.iloc[k : k + 512]
+            d = np.sqrt((part["cx"].to_numpy()[:, None] - b["cx"].to_numpy()) ** 2 + (part["cy"].to_numpy()[:, None] - b["cy"].to_numpy()) ** 2)
+            use = d < most
+            if same:
+                use &= part[key].to_numpy()[:, None] < b[key].to_numpy()
+            lag = np.minimum(np.floor(d[use] / (most / lags)), lags - 1).astype(int)
+            diff = (part["value"].to_numpy()[:, None] - b["value"].to_numpy())[use]
+            n += np.bincount(lag, minlength=lags)
+            g += np.bincount(lag, weights=diff * diff / 2, minlength=lags)
+        return pd.DataFrame({"lag": np.arange(lags), "n": n, "g": g})
+
+    sums = block_pairs(placed, bin_, "lag int, n double, g double", key)
+    binned = sums.groupBy("lag").agg(F.try_divide(F.sum("g"), F.sum("n")).alias("gamma"), F.sum("n").cast("long").alias("pairs"))
     every = cutoff.select(F.explode(F.sequence(F.lit(0), F.lit(lags - 1))).alias("lag"), "cutoff")
     return every.join(binned, "lag", "left").select("lag", ((F.col("lag") + 0.5) * F.col("cutoff") / lags).alias("h"), F.coalesce("gamma", F.lit(0.0)).alias("gamma"), F.coalesce("pairs", F.lit(0)).alias("pairs"))
 
@@ -77,7 +111,7 @@ def extreme_points(points: DataFrame) -> DataFrame:
             yield pd.DataFrame(known, columns=["cx", "cy"])
 
     schema = "cx double, cy double"
-    return points.select("cx", "cy").mapInPandas(corners, schema).coalesce(1).mapInPandas(corners, schema)
+    return points.select("cx", "cy").mapInPandas(corners, schema).repartition(1).mapInPandas(corners, schema)  # hulls' corners alone meet
 
 
 def nearest(points: DataFrame, k: int = 3, key: str = "objeto_id", per_cell: int = 8) -> DataFrame:
@@ -86,7 +120,7 @@ def nearest(points: DataFrame, k: int = 3, key: str = "objeto_id", per_cell: int
     Objects lie in square cells of about ``per_cell`` each.  An object that finds its k nearest within one cell's width around
     it is done; the others take twice the width, and so on, until the width covers all.
     """
-    rows = points.select(key, "cx", "cy")
+    rows = points.select(key, "cx", "cy").persist()
     box = rows.agg(F.count("*").alias("n"), F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1")).head()
     n = box["n"]
     if n < 2:
@@ -104,11 +138,11 @@ def nearest(points: DataFrame, k: int = 3, key: str = "objeto_id", per_cell: int
         d = asked.join(there, ["gx", "gy"]).where("i != j").select("i", distance("ax", "ay", "bx", "by").alias("d"))
         d = d if last else d.where(F.col("d") <= width)
         top = d.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy("d"))).where(F.col("k") <= k).groupBy(F.col("i").alias(key)).agg(F.avg("d").alias("proximity"), F.count("*").alias("found"))
-        full = (top if last else top.where(F.col("found") == min(k, n - 1))).select(key, "proximity")
+        full = (top if last else top.where(F.col("found") == min(k, n - 1))).select(key, "proximity").persist()
         done = full if done is None else done.unionByName(full)
-        if last:
+        open_ = open_.join(full, key, "left_anti").persist()  # a round reads the one before, not all of them
+        if last or open_.isEmpty():
             return done
-        open_ = open_.join(full, key, "left_anti")
         width *= 4 if n < 10_000 else 2
 
 

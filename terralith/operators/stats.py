@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
@@ -86,8 +89,54 @@ def safe_corr(a: str, b: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def gram(rows: DataFrame, columns: list[str], centre: dict[str, float]) -> DataFrame:
+    """(i, n, sa, sb, saa, sbb, sab): for each column, arrays over all columns of sums over the rows that hold both.
+
+    Each task adds up matrices of its rows, about a centre that keeps digits; one row a column and task is shuffled.
+    """
+    shift = np.array([centre[c] for c in columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = len(columns)
+        n, sa, saa, sab = (np.zeros((p, p)) for _ in range(4))
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns], 1) - shift
+            m = np.isfinite(x).astype(float)
+            x = np.where(m > 0, x, 0)
+            n += m.T @ m
+            sa += x.T @ m
+            saa += (x * x).T @ m
+            sab += x.T @ x
+        out = [pa.array(list(v), pa.list_(pa.float64())) for v in (n, sa, sa.T, saa, saa.T, sab)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(p), pa.int32()), *out], names=["i", "n", "sa", "sb", "saa", "sbb", "sab"])
+
+    names = ["n", "sa", "sb", "saa", "sbb", "sab"]
+    parts = rows.select(*(F.col(c).cast("double").alias(c) for c in columns)).mapInArrow(run, "i int, " + ", ".join(f"{c} array<double>" for c in names))
+    cells = parts.select("i", F.posexplode(F.arrays_zip(*names)).alias("j", "v")).where("i < j")
+    return cells.groupBy("i", "j").agg(*(F.sum(f"v.{c}").alias(c) for c in names))
+
+
+def wide_pearson(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``pearson`` for many columns: sums of matrices instead of an aggregate for each pair."""
+    clean = lambda c: F.when(valid(F.col(c)), F.col(c).cast("double"))
+    means = rows.agg(*(F.avg(clean(c)).alias(c) for c in columns)).head().asDict()
+    flat = rows.agg(*((F.min(clean(c)) == F.max(clean(c))).alias(c) for c in columns)).head().asDict()
+    s = gram(rows, columns, {c: m or 0.0 for c, m in means.items()})
+    top = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")
+    spread = lambda a, b: F.greatest(F.col(a) - F.col(b) * F.col(b) / F.col("n"), F.lit(0.0))
+    r = F.try_divide(top, F.sqrt(spread("saa", "sa")) * F.sqrt(spread("sbb", "sb")))
+    constant = F.array(*(F.lit(bool(flat[c])) for c in columns))
+    names = F.array(*map(F.lit, columns))
+    return s.select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), F.when(~constant[F.col("i")] & ~constant[F.col("j")] & (F.col("n") > 0), r).alias("r"))
+
+
+WIDE = 16  # more columns than this are correlated by matrices
+
+
 def pearson(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r) for i < j, all from one aggregation."""
+    if len(columns) > WIDE:
+        return wide_pearson(rows, columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     one = rows.agg(*(safe_corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)))
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)))).alias("e")).select("e.*")

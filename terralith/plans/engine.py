@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from terralith.functions import crs
 from terralith.operators import compat, features, indexes, separability, spatial, stats, tsne, variogram
+from terralith.sources import pixels as pixel_tables
 from terralith.sources import raster, vector
 
 NO_PAIRS = "a string, b string, r double"
@@ -75,9 +76,14 @@ def separable(table: DataFrame, class_field: str = "clase", nulls: str = "error"
     return out | ({"tsne": tsne.tsne(rows, names)} if with_tsne else {})
 
 
-def separability_of(grid: DataFrame, meta: dict, objects: DataFrame, bands: list[str], class_field: str = "clase", pixels: DataFrame | None = None, sensor: str | tuple[int, int, int] | None = None, **options: object) -> dict[str, DataFrame]:
-    """``separable`` on the features of the layer's objects.  ``pixels`` (an earlier extraction) saves the join; objects that it
-    lacks are extracted from the raster."""
+def separability_of(grid: DataFrame, meta: dict, objects: DataFrame, bands: list[str], class_field: str = "clase", pixels: DataFrame | str | None = None, sensor: str | tuple[int, int, int] | None = None, **options: object) -> dict[str, DataFrame]:
+    """``separable`` on the features of the layer's objects.  ``pixels`` (an earlier extraction, or the path of its CSV) saves the
+    join; objects that it lacks are extracted from the raster, and all are if it can't be read."""
+    if isinstance(pixels, str):
+        pixels = pixel_tables.pixels_or(grid.sparkSession, pixels, bands, lambda: spatial.extract_pixels(grid, objects, meta, bands, clase=class_field))
+    if pixels is not None and not {"row", "col"} <= set(pixels.columns):
+        cell = lambda c, at, step: F.floor((F.col(c) - float(meta[at])) / float(meta[step])).cast("int")
+        pixels = pixels.withColumns({"row": cell("pixel_y", "y0", "dy"), "col": cell("pixel_x", "x0", "dx")})
     if pixels is None or not set(bands) <= set(pixels.columns):
         pixels = spatial.extract_pixels(grid, objects, meta, bands, clase=class_field)
     else:

@@ -57,8 +57,8 @@ def entropy_sql(bins: int) -> str:
     return f"SELECT objeto_id, band, abs(sum(-p * log2(p))) AS entropy FROM (SELECT objeto_id, band, count(*) / max(n) AS p FROM mid GROUP BY objeto_id, band, {bin_}) h GROUP BY objeto_id, band"
 
 
-#: Quantiles are decimals of up to 8 places; rounding them earlier would meet ties.
-EXACT = {"median": 8, "min": 8, "max": 8, "p25": 8, "p75": 8, "mad": 8}
+#: Quantiles and means of the tables' decimals are decimals of some more places; rounding them earlier would meet ties.
+EXACT = {"mean": 8, "median": 8, "min": 8, "max": 8, "p25": 8, "p75": 8, "mad": 8}
 
 
 @query(
@@ -118,15 +118,8 @@ def object_ndwi(spark: SparkSession, d: str) -> DataFrame:
     return stats.ndwi(X.pixels(spark, d), "b3", "b4")
 
 
-@query(X.WITH + f" SELECT o.objeto_id, {r('coalesce(avg(p.b2), 0)', 'value')} FROM objects o LEFT JOIN pixels p ON o.objeto_id = p.objeto_id AND p.b2 > 60 AND o.objeto_id % 7 <> 0 GROUP BY o.objeto_id")
-def zonal_mean(spark: SparkSession, d: str) -> DataFrame:
-    pixels = X.pixels(spark, d).where("b2 > 60 AND objeto_id % 7 <> 0")
-    return spatial.zonal_mean(pixels, X.objects(spark, d), "b2")
-
-
-# zonal_mean takes a part of the pixels, in its SQL too; zonal_mean_whole takes all.
 @query(X.WITH + f" SELECT o.objeto_id, {r('coalesce(avg(p.b2), 0)', 'value')} FROM objects o LEFT JOIN pixels p ON o.objeto_id = p.objeto_id GROUP BY o.objeto_id")
-def zonal_mean_whole(spark: SparkSession, d: str) -> DataFrame:
+def zonal_mean(spark: SparkSession, d: str) -> DataFrame:
     return spatial.zonal_mean(X.pixels(spark, d), X.objects(spark, d), "b2")
 
 
@@ -136,27 +129,6 @@ def raster_of(pixels: DataFrame, meta: dict) -> DataFrame:
     return pixels.select(row.alias("row"), col.alias("col"), "b1", "b2").groupBy("row", "col").agg(F.max("b1").alias("b1"), F.max("b2").alias("b2"))
 
 
-def grid(spark: SparkSession, d: str) -> DataFrame:
-    """The raster of META and the pixels in it."""
-    return raster_of(X.pixels(spark, d).where("pixel_x < 19992 AND pixel_y < 3000 AND pixel_y > 600"), META)
-
-
-# The raster of pixel_extraction_pip is a fixed box, in its SQL too; that of pixel_extraction_whole covers all pixels.
-@query(
-    X.WITH + """, grid AS (SELECT CAST(floor((pixel_y - 3000.0e0) / -30.0e0) AS INT) AS "row", CAST(floor((pixel_x + 1007.0e0) / 30.0e0) AS INT) AS col, max(b1) AS b1, max(b2) AS b2
-      FROM pixels WHERE pixel_x < 19992 AND pixel_y < 3000 AND pixel_y > 600 GROUP BY 1, 2),
-    placed AS (SELECT *, -1007.0e0 + (col + 0.5e0) * 30.0e0 AS pixel_x, 3000.0e0 - ("row" + 0.5e0) * 30.0e0 AS pixel_y FROM grid),
-    inside AS (SELECT o.objeto_id, o.clase, g.* FROM placed g JOIN objects o ON g.pixel_x > o.xmin AND g.pixel_x < o.xmax AND g.pixel_y > o.ymin AND g.pixel_y < o.ymax),
-    alone AS (SELECT objeto_id, clase, least(greatest(CAST(trunc(((xmin + xmax) / 2 + 1007.0e0) / 30.0e0) AS INT), 0), 699) AS col, least(greatest(CAST(trunc(((ymin + ymax) / 2 - 3000.0e0) / -30.0e0) AS INT), 0), 79) AS "row"
-      FROM objects WHERE objeto_id NOT IN (SELECT objeto_id FROM inside)),
-    every AS (SELECT objeto_id, clase, pixel_x, pixel_y, "row", col, b1, b2 FROM inside UNION ALL
-      SELECT a.objeto_id, a.clase, g.pixel_x, g.pixel_y, g."row", g.col, g.b1, g.b2 FROM alone a JOIN placed g ON a."row" = g."row" AND a.col = g.col)
-    SELECT objeto_id, clase, """ + ", ".join(r(c, c) for c in ("pixel_x", "pixel_y", "b1", "b2")) + ', "row", col FROM every'
-)
-def pixel_extraction_pip(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.extract_pixels(grid(spark, d), X.with_polygons(X.objects(spark, d)), META, ["b1", "b2"])
-
-
 def whole_meta(spark: SparkSession, d: str) -> dict:
     """A raster of 30 by 30 from the upper left corner of all objects, as wide and high as objects and pixels reach."""
     o = X.objects(spark, d).agg(F.min("xmin").alias("x0"), F.max("ymax").alias("y0"), F.max("xmax").alias("x1"), F.min("ymin").alias("y1")).head()
@@ -177,7 +149,7 @@ def whole_meta(spark: SparkSession, d: str) -> dict:
       SELECT a.objeto_id, a.clase, g.pixel_x, g.pixel_y, g."row", g.col, g.b1, g.b2 FROM alone a JOIN placed g ON a."row" = g."row" AND a.col = g.col)
     SELECT objeto_id, clase, """ + ", ".join(r(c, c) for c in ("pixel_x", "pixel_y", "b1", "b2")) + ', "row", col FROM every'
 )
-def pixel_extraction_whole(spark: SparkSession, d: str) -> DataFrame:
+def pixel_extraction_pip(spark: SparkSession, d: str) -> DataFrame:
     meta = whole_meta(spark, d)
     return spatial.extract_pixels(raster_of(X.pixels(spark, d), meta), X.with_polygons(X.objects(spark, d)), meta, ["b1", "b2"])
 
@@ -307,9 +279,9 @@ def pc1_texture(spark: SparkSession, d: str) -> DataFrame:
     return texture.texture_features(texture.cells(pixels, "pc1"))
 
 
-def lags_sql(where: str = "") -> str:
+def lags_sql() -> str:
     return (
-        X.WITH + f""", s AS (SELECT * FROM pixels{where}), pr AS (SELECT a.objeto_id, sqrt(power(a.pixel_x - b.pixel_x, 2) + power(a.pixel_y - b.pixel_y, 2)) AS d, power(a.b5 - b.b5, 2) / 2 AS g
+        X.WITH + f""", s AS (SELECT * FROM pixels), pr AS (SELECT a.objeto_id, sqrt(power(a.pixel_x - b.pixel_x, 2) + power(a.pixel_y - b.pixel_y, 2)) AS d, power(a.b5 - b.b5, 2) / 2 AS g
   FROM s a JOIN s b ON a.objeto_id = b.objeto_id AND (a.pixel_x < b.pixel_x OR (a.pixel_x = b.pixel_x AND a.pixel_y < b.pixel_y))),
   w AS (SELECT objeto_id, max(d) / 5 AS width FROM pr GROUP BY objeto_id),
   lg AS (SELECT pr.objeto_id, CAST(floor(d / width) AS INT) AS lag, (floor(d / width) + 0.5e0) * width AS h, g FROM pr JOIN w ON pr.objeto_id = w.objeto_id WHERE floor(d / width) < 5)"""
@@ -317,14 +289,8 @@ def lags_sql(where: str = "") -> str:
     )
 
 
-# local_variogram_lags takes the first twelve rows of an object, in its SQL too; local_variogram_lags_whole takes all.
-@query(lags_sql(" WHERE r < 12"), 4)
-def local_variogram_lags(spark: SparkSession, d: str) -> DataFrame:
-    return variogram.local_lags(X.pixels(spark, d).where("r < 12"), "b5")
-
-
 @query(lags_sql(), 4)
-def local_variogram_lags_whole(spark: SparkSession, d: str) -> DataFrame:
+def local_variogram_lags(spark: SparkSession, d: str) -> DataFrame:
     return variogram.local_lags(X.pixels(spark, d), "b5")
 
 
@@ -451,20 +417,17 @@ def mean_mahalanobis(spark: SparkSession, d: str) -> DataFrame:
     return separability.mean_mahalanobis(separability.class_distances(X.features(spark, d), ["f_sig", "f2"]))
 
 
-SAMPLE = " WHERE l_orderkey % 50 = 0"
-
-
-def score_sql(parts: list[tuple[str, str]], score: str, name: str, labels: tuple[str, ...], where: str = "") -> str:
+def score_sql(parts: list[tuple[str, str]], score: str, name: str, labels: tuple[str, ...]) -> str:
     return (
-        f"WITH v AS (SELECT CAST(l_orderkey AS BIGINT) AS k, l_linenumber AS line, l_partkey AS part, l_quantity AS q, l_discount AS d, l_tax AS t FROM lineitem{where}), "
+        f"WITH v AS (SELECT CAST(l_orderkey AS BIGINT) AS k, l_linenumber AS line, l_partkey AS part, l_quantity AS q, l_discount AS d, l_tax AS t FROM lineitem), "
         f"p AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in parts)} FROM v), s AS (SELECT *, {score} AS score FROM p) "
         f"SELECT k, line, part, {r('q', 'q')}, {r('score', name)}, CASE WHEN score >= 80 THEN '{labels[0]}' WHEN score >= 60 THEN '{labels[1]}' WHEN score >= 40 THEN '{labels[2]}' ELSE '{labels[3]}' END AS categoria, "
         + ", ".join(r(n, n) for n, _ in parts) + " FROM s"
     )
 
 
-def scored(spark: SparkSession, d: str, columns: dict, where: str = "") -> DataFrame:
-    v = spark.sql("SELECT CAST(l_orderkey AS BIGINT) AS k, l_linenumber AS line, l_partkey AS part, l_quantity AS q, l_discount AS d, l_tax AS t FROM {lineitem}" + where, **X.tables(spark, d, "lineitem"))
+def scored(spark: SparkSession, d: str, columns: dict) -> DataFrame:
+    v = spark.sql("SELECT CAST(l_orderkey AS BIGINT) AS k, l_linenumber AS line, l_partkey AS part, l_quantity AS q, l_discount AS d, l_tax AS t FROM {lineitem}", **X.tables(spark, d, "lineitem"))
     return v.withColumns(columns).drop("d", "t")
 
 
@@ -485,24 +448,13 @@ def tli_columns() -> dict:
     return indexes.tli(q, tax * 10, disc * 8 - 0.2, q / 25)
 
 
-# toi and tli score 2 % of the orders, as their SQL does; toi_whole and tli_whole score every row.
-@query(score_sql(*TOI_SQL, where=SAMPLE), 5)
-def toi(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d, toi_columns(), SAMPLE)
-
-
-@query(score_sql(*TLI_SQL, where=SAMPLE), 5)
-def tli(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d, tli_columns(), SAMPLE)
-
-
 @query(score_sql(*TOI_SQL), 5)
-def toi_whole(spark: SparkSession, d: str) -> DataFrame:
+def toi(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d, toi_columns())
 
 
 @query(score_sql(*TLI_SQL), 5)
-def tli_whole(spark: SparkSession, d: str) -> DataFrame:
+def tli(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d, tli_columns())
 
 
@@ -521,3 +473,9 @@ def tsne_2d(spark: SparkSession, d: str) -> DataFrame:
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
     rows = X.pixels(spark, d).withColumnsRenamed({"r": "row", "c": "col"})
     return features.extract_features(rows, X.with_polygons(X.objects(spark, d)), BANDS[:4], (2, 3, 1))
+
+
+# Names that these queries had while others of the plain name took a part of the rows.
+for _plain in ("toi", "tli", "zonal_mean", "local_variogram_lags", "pixel_extraction"):
+    _name = {"pixel_extraction": "pixel_extraction_pip"}.get(_plain, _plain)
+    QUERIES[f"{_plain}_whole"], ORACLES[f"{_plain}_whole"] = QUERIES[_name], ORACLES[_name]

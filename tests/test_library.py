@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from terralith.functions import crs
 from terralith.functions import geometry as G
-from terralith.operators import compat, separability, stats, texture, variogram
+from terralith.operators import compat, separability, spatial, stats, texture, variogram
 from terralith.plans import engine, registry
-from terralith.sources import raster, sinks, vector
+from terralith.sources import pixels, raster, sinks, vector
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -73,6 +73,91 @@ def test_hull_and_touches():
     assert G.touches(SQUARE, moved) and not G.touches(SQUARE, HOLED) and not G.touches(SQUARE, TWO[1:])
 
 
+def test_long_outlines_with_holes_as_by_numpy(spark):
+    """A star of 1,000 corners, which is not convex, with a hole: sums by numpy, and no more than linear work."""
+    t = np.linspace(0, 2 * np.pi, 1001)[:-1]
+    far = 50 + 20 * np.cos(9 * t)
+    star = np.stack([1000 + far * np.cos(t), far * np.sin(t)], 1)
+    hole = np.stack([1000 + 10 * np.cos(t[::-50]), 10 * np.sin(t[::-50])], 1)
+    closed = [np.concatenate([p, p[:1]]) for p in (star, hole)]
+    rows = spark.createDataFrame([(1, "a", [[ring(*p) for p in closed]])], SHAPES)
+    g = F.col("polygons")
+    got = rows.select(G.area(g).alias("a"), G.perimeter(g).alias("p"), G.centroid(g).alias("c"), G.shannon_shape(g).alias("s"), G.hull_shape(g).alias("h")).head()
+
+    def sums(p):
+        x, y = p[:, 0], p[:, 1]
+        k = x[:-1] * y[1:] - x[1:] * y[:-1]
+        return np.array([k.sum() / 2, ((x[:-1] + x[1:]) * k).sum() / 6, ((y[:-1] + y[1:]) * k).sum() / 6]) * np.sign(k.sum())
+
+    total = sums(closed[0]) - sums(closed[1])
+    assert got["a"] == pytest.approx(total[0], rel=1e-9) and got["p"] == pytest.approx(sum(np.linalg.norm(np.diff(p, axis=0), axis=1).sum() for p in closed), rel=1e-9)
+    centre = total[1:] / total[0]
+    assert (got["c"]["x"], got["c"]["y"]) == (pytest.approx(centre[0], rel=1e-9), pytest.approx(centre[1], abs=1e-6))
+    d = np.linalg.norm(closed[0] - centre, axis=1)
+    assert got["s"] == pytest.approx(float(-(d / d.sum() * np.log2(d / d.sum())).sum()), rel=1e-9)
+    assert got["h"]["hull_area"] > total[0]
+
+
+def test_sums_over_pairs_of_blocks_as_over_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, y, v = rng.uniform(0, 100, (3, 90))
+    x[1], y[1] = x[0], y[0]  # two objects at one place
+    points = spark.createDataFrame([(k, float(x[k]), float(y[k]), float(v[k])) for k in range(90)], "objeto_id long, cx double, cy double, value double")
+    d = np.hypot(x[:, None] - x, y[:, None] - y)
+    w = np.divide(1.0, d, out=np.zeros_like(d), where=d > 0)
+    z = v - v.mean()
+    monkeypatch.setattr(spatial, "PER_BLOCK", 13)
+    assert spatial.morans_i(points).head()["moran_i"] == pytest.approx(float(z @ (w @ z / w.sum(1)) / (z @ z)), rel=1e-9)
+    i, j = np.triu_indices(90, 1)
+    cutoff = d.max() / 2
+    near = d[i, j] < cutoff
+    lag = np.minimum(np.floor(d[i, j][near] / (cutoff / 15)), 14).astype(int)
+    half = (v[i] - v[j])[near] ** 2 / 2
+    got = spatial.semivariogram(points).orderBy("lag").collect()
+    assert [r["pairs"] for r in got] == np.bincount(lag, minlength=15).tolist()
+    assert [r["gamma"] for r in got] == pytest.approx([half[lag == k].mean() if (lag == k).any() else 0.0 for k in range(15)])
+
+
+def test_wide_correlations_as_one_by_one(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 20)) + 1e4
+    x[:, 3] = 2 * x[:, 2] + 0.1 * rng.normal(size=200)
+    x[:, 5] = 7.0
+    rows = [[None if rng.random() < 0.1 else float("nan") if rng.random() < 0.05 else float(u) for u in r] for r in x]
+    columns = [f"c{k}" for k in range(20)]
+    table = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns))
+    got = {(r["a"], r["b"]): r["r"] for r in stats.wide_pearson(table, columns).collect()}
+    few = {(r["a"], r["b"]): r["r"] for r in stats.pearson(table, columns[:6]).collect()}
+    assert len(got) == 190 and got["c2", "c5"] is None and got["c2", "c3"] > 0.9
+    assert {k: got[k] for k in few} == {k: v if v is None else pytest.approx(v, abs=1e-7) for k, v in few.items()}
+
+
+def test_components_and_pruning_as_by_numpy(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(150, 4))
+    x[:, 3] = x[:, 0] + 0.05 * rng.normal(size=150)
+    table = spark.createDataFrame([(k, "ab"[k % 2], *map(float, r)) for k, r in enumerate(x)], "objeto_id long, clase string, " + ", ".join(f"c{k} double" for k in range(4)))
+    columns = [f"c{k}" for k in range(4)]
+    values, vectors = np.linalg.eigh(np.corrcoef(x.T))
+    got = stats.pca(table, columns).orderBy("component").collect()
+    assert [r["ratio"] for r in got] == pytest.approx((values[::-1] / values.sum()).tolist())
+    assert got[0]["effective_dim"] == int((np.cumsum(values[::-1]) / values.sum() < 0.95).sum()) + 1
+    first = {r["variable"]: r["loading"] for r in stats.loadings(table, columns).where("component = 1").collect()}
+    assert np.abs(list(first.values())) == pytest.approx(np.abs(vectors[:, -1]))
+    assert len(separability.prune_collinear(table, columns)) == 3
+
+
+def test_pixel_tables_are_read_or_extracted(spark, tmp_path):
+    (tmp_path / "good.csv").write_text("objeto_id,clase,pixel_x,pixel_y,b1,extra\n1,a,2.5,3.5,7.25,x\n2,b,4.5,5.5,,y\n")
+    (tmp_path / "bad.csv").write_text("objeto_id,clase,pixel_x,pixel_y,b1\none,a,2.5,3.5,7.25\n")
+    other = lambda: spark.createDataFrame([(9,)], "objeto_id long")
+    assert [tuple(r) for r in pixels.pixels_or(spark, f"{tmp_path}/good.csv", ["b1"], other).orderBy("objeto_id").collect()] == [(1, "a", 2.5, 3.5, 7.25), (2, "b", 4.5, 5.5, None)]
+    for path in (f"{tmp_path}/bad.csv", f"{tmp_path}/none.csv", None):
+        assert pixels.pixels_or(spark, path, ["b1"], other).head()["objeto_id"] == 9
+    with pytest.raises(ValueError):
+        pixels.read_pixels(spark, f"{tmp_path}/good.csv", ["b2"])
+
+
 def test_checkerboard_texture(spark):
     grid = spark.createDataFrame([(1, r, c, float((r + c) % 2), r, c) for r in range(6) for c in range(6)], "objeto_id long, row int, col int, v double, pixel_y int, pixel_x int")
     got = texture.texture_features(texture.cells(grid, "v"), "objeto_id").head().asDict()
