@@ -202,19 +202,16 @@ def hull_measures(p: np.ndarray) -> tuple[float, float]:
     return float(a), float(low / high) if high > 0 and low > 0 else 1.0
 
 
-def vertices(g: list | None) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for poly in (g if g is not None else []) for ring in poly for p in ring], float).reshape(-1, 2)
-
-
 def hull_shape(g: Column) -> Column:
     """struct<hull_area, elongation>."""
 
     @F.pandas_udf(StructType([StructField("hull_area", DoubleType()), StructField("elongation", DoubleType())]))
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            yield pd.DataFrame([hull_measures(vertices(g)) for g in s], columns=["hull_area", "elongation"])
+    def measure(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for xs, ys in batches:
+            yield pd.DataFrame([hull_measures(np.stack([x, y], 1).astype(float)) for x, y in zip(xs, ys, strict=True)], columns=["hull_area", "elongation"])
 
-    return measure(g)
+    p = points(g)  # flat, as rings of several lengths make no array
+    return measure(p["x"], p["y"])
 
 
 def segments(g: list) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,9 +46,10 @@ def touch_degree(objects: DataFrame, key: str = "objeto_id", polygons: str = "po
     @F.pandas_udf("boolean")
     def touching(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
-            yield pd.Series([G.touches(x, y, tolerance) for x, y in zip(a, b, strict=True)], dtype=bool)
+            yield pd.Series([G.touches(json.loads(x), json.loads(y), tolerance) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    hits = pairs.where(touching("g1", "g2")).select(F.explode(F.array("k1", "k2")).alias("k"))
+    # as text: rings of several lengths make no array
+    hits = pairs.where(touching(F.to_json("g1"), F.to_json("g2"))).select(F.explode(F.array("k1", "k2")).alias("k"))
     return rows.select(F.col("k").alias(key)).join(hits.groupBy(F.col("k").alias(key)).agg(F.count("*").alias("neighbors")), key, "left").fillna(0, subset=["neighbors"])
 
 

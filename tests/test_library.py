@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terralith.functions import crs
 from terralith.functions import geometry as G
-from terralith.operators import compat, separability, spatial, stats, texture, variogram
+from terralith.operators import compat, separability, spatial, stats, texture, topology, variogram
 from terralith.plans import engine, registry
 from terralith.sources import pixels, raster, sinks, vector
 
@@ -98,6 +98,11 @@ def test_long_outlines_with_holes_as_by_numpy(spark):
     assert got["h"]["hull_area"] > total[0]
 
 
+def test_outlines_of_any_lengths_touch(shapes):
+    near = shapes.where("objeto_id IN (2, 4)").unionByName(shapes.sparkSession.createDataFrame([(9, "a", [[ring((4, 1), (6, 0), (7, 2), (6, 4), (4, 3), (4, 1))]])], SHAPES))
+    assert {r["objeto_id"]: r["neighbors"] for r in topology.touch_degree(near).collect()} == {2: 1, 4: 1, 9: 2}
+
+
 def test_sums_over_pairs_of_blocks_as_over_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x, y, v = rng.uniform(0, 100, (3, 90))
