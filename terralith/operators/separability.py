@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terralith.operators.stats import components, pearson, standardized
+from terralith.operators.stats import components, pearson, standardized, valid
 
 
 RANGES = 64  # of a variable's values, in mutual information
@@ -132,34 +130,112 @@ def elbow(inertia: DataFrame) -> DataFrame:
     return rows.withColumn("selected", -best["k"] == F.col("k"))
 
 
-def kmeans(features: DataFrame, columns: list[str], key: str = "objeto_id", most: int = 8, starts: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def square_gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres."""
+    return np.maximum((x * x).sum(1)[:, None] + (centres * centres).sum(1) - 2 * x @ centres.T, 0)
+
+
+def first_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k rows of the sample, each drawn in proportion to its squared distance from the nearest one drawn before."""
+    rng = np.random.default_rng(seed)
+    centres = sample[[rng.integers(len(sample))]]
+    while len(centres) < k:
+        gap = square_gaps(sample, centres).min(1)
+        at = rng.choice(len(sample), p=gap / gap.sum()) if gap.sum() > 0 else rng.integers(len(sample))
+        centres = np.vstack([centres, sample[at]])
+    return centres
+
+
+def cluster_sums(rows: DataFrame, columns: list[str], centres: dict[int, np.ndarray]) -> dict[tuple[int, int], tuple[float, float, np.ndarray]]:
+    """By run and cluster: members, their squared distances and their sum, for all runs in one pass over the rows."""
+
+    def sums(batches):  # noqa: ANN001, ANN202
+        total: dict = {}
+        for pdf in batches:
+            x = pdf.to_numpy(float)
+            for run, c in centres.items():
+                gap = square_gaps(x, c)
+                at = gap.argmin(1)
+                hot = np.eye(len(c))[at]
+                n, cost, t = total.get(run, (0, 0.0, 0.0))
+                total[run] = n + hot.sum(0), cost + gap.min(1) @ hot, t + hot.T @ x
+        for run, (n, cost, t) in total.items():
+            each = np.column_stack([n, cost, t])
+            yield pd.DataFrame({"run": run, "k": np.repeat(np.arange(len(n)), each.shape[1]), "i": np.tile(np.arange(each.shape[1]), len(n)), "x": each.ravel()})
+
+    parts = rows.select(*columns).mapInPandas(sums, "run int, k int, i int, x double")
+    # a row for each run, cluster and column, whatever the number of objects
+    found = parts.groupBy("run", "k", "i").agg(F.sum("x").alias("x")).orderBy("run", "k", "i").toArrow()
+    runs, ks, x = (found[c].to_numpy() for c in ("run", "k", "x"))
+    width = len(columns) + 2
+    return {(int(runs[j]), int(ks[j])): (x[j], x[j + 1], x[j + 2 : j + width]) for j in range(0, len(x), width)}
+
+
+def fitted_centres(rows: DataFrame, columns: list[str], centres: dict[int, np.ndarray], steps: int = 100, tol: float = 1e-4) -> tuple[dict[int, np.ndarray], dict[int, float]]:
+    """(centres, inertia) by run, after Lloyd's steps that all runs take together; a run rests when no centre moves further than
+    ``tol``.  A cluster without members keeps its centre."""
+    centres, active = dict(centres), set(centres)
+    for _ in range(steps):
+        if not active:
+            break
+        found = cluster_sums(rows, columns, {run: centres[run] for run in active})
+        for run in sorted(active):
+            old = centres[run]
+            new = np.stack([found[run, k][2] / found[run, k][0] if found[run, k][0] else c for k, c in enumerate(old)])
+            centres[run] = new
+            if np.sqrt(((new - old) ** 2).sum(1)).max() <= tol:
+                active.discard(run)
+    found = cluster_sums(rows, columns, centres)
+    return centres, {run: sum(found[run, k][1] for k in range(len(c))) for run, c in centres.items()}
+
+
+def kmeans(features: DataFrame, columns: list[str], key: str = "objeto_id", most: int = 8, starts: int = 10, seed: int = 42, sample: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(k, inertia, silhouette, davies_bouldin, gap, selected) for k from 2, and (key, cluster) of the selected k.
 
-    Columns are standardised; of ``starts`` runs the one with the least inertia counts.
+    Columns are standardised; of ``starts`` runs the one with the least inertia counts (a tie: the first).  All runs of all k take
+    their steps together, so a fit reads the rows as often as the slowest run has steps.  First centres are drawn from ``sample``
+    rows taken by the hash of their key; every step, inertia and measure is over all rows.  A missing value is an error.
     """
-    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(standardized(features, columns)).select(key, *columns, "features").persist()
-    n = rows.count()
-    out, labelled = [], {}
-    for k in range(2, min(most, n - 1) + 1):
-        models = [KMeans(k=k, seed=seed + s, maxIter=100, tol=1e-4).fit(rows) for s in range(starts)]
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        labelled[k] = best.transform(rows).withColumnRenamed("prediction", "cluster")
-        out.append((k, float(best.summary.trainingCost), silhouette(labelled[k], columns, "cluster", key).head()["silhouette"], davies_bouldin(labelled[k], columns, "cluster").head()["davies_bouldin"]))
+    rows = standardized(features.select(key, *columns), columns).persist()
+    complete = F.lit(True)
+    for c in columns:
+        complete = complete & valid(F.col(c).cast("double"))
+    n, full = rows.agg(F.count("*"), F.count(F.when(complete, 1))).head()
+    if full < n:
+        raise MissingValuesError(f"{n - full} of {n} rows have missing values")
+    ks = range(2, min(most, n - 1) + 1)
+    if not ks:
+        empty = features.sparkSession.createDataFrame([], "k int, inertia double, silhouette double, davies_bouldin double, gap double, selected boolean")
+        return empty, rows.select(key, F.lit(0).alias("cluster"))
+    some = rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).select(*columns).limit(sample).toPandas().to_numpy(float)
+    centres, inertia = fitted_centres(rows, columns, {k * starts + s: first_centres(some, k, seed + s) for k in ks for s in range(starts)})
+    best = {k: min(range(k * starts, (k + 1) * starts), key=lambda run: (inertia[run], run)) for k in ks}
+    names = [f"cluster_{k}" for k in ks]
+
+    def assign(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            x = pdf[columns].to_numpy(float)
+            yield pdf.assign(**{f"cluster_{k}": square_gaps(x, centres[run]).argmin(1).astype("int32") for k, run in best.items()})
+
+    labelled = rows.mapInPandas(assign, ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), *(f"{c} int" for c in names)])).persist()
+    shape = {r["label_of"]: r["silhouette"] for r in silhouettes(labelled, columns, names, key).collect()}
+    out = [(k, float(inertia[best[k]]), shape[f"cluster_{k}"], davies_bouldin(labelled, columns, f"cluster_{k}").head()["davies_bouldin"]) for k in ks]
     table = features.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double, davies_bouldin double")
     chosen = table.join(elbow(table).select("k", "gap", "selected"), "k")
-    k = chosen.where("selected").head()["k"] if out else None
-    return chosen, labelled[k].select(key, "cluster") if k else rows.select(key, F.lit(0).alias("cluster"))
+    k = chosen.where("selected").head()["k"]
+    return chosen, labelled.select(key, F.col(f"cluster_{k}").alias("cluster"))
 
 
-def silhouette(labelled: DataFrame, columns: list[str], label: str, key: str = "objeto_id", blocks: int = 16) -> DataFrame:
-    """One row: the mean silhouette with Euclidean distances; objects alone in their cluster count 0.
+def silhouettes(labelled: DataFrame, columns: list[str], labels: list[str], key: str = "objeto_id", blocks: int = 16) -> DataFrame:
+    """(label_of, silhouette): for each column of labels the mean silhouette with Euclidean distances; objects alone in their
+    cluster count 0.
 
-    The measure needs the distance of every two objects.  Objects are cut into blocks; each pair of blocks is a task that gives,
-    by object and cluster, a sum of distances, so pairs are never rows.
+    The measure needs the distance of every two objects, once for all labels.  Objects are cut into blocks; each pair of blocks is
+    a task that gives, by object and cluster, a sum of distances, so pairs are never rows.
     """
     n = labelled.count()
     blocks = max(blocks, n // 4000)
-    base = labelled.select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+    base = labelled.select(F.col(key).alias("id"), F.array(*(F.col(c).cast("string") for c in labels)).alias("label"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     dealt = base.select("*", F.lit(True).alias("own"), F.explode(every).alias("other")).select("id", "label", "x", "own", F.col("block").alias("u"), F.col("other").alias("v"))
     dealt = dealt.unionByName(base.select("*", F.lit(False).alias("own"), F.explode(every).alias("other")).select("id", "label", "x", "own", F.col("other").alias("u"), F.col("block").alias("v")))
@@ -167,22 +243,35 @@ def silhouette(labelled: DataFrame, columns: list[str], label: str, key: str = "
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf.own], pdf[~pdf.own]
         if not len(a) or not len(b):
-            return pd.DataFrame(columns=["id", "label", "near", "d", "n"])
+            return pd.DataFrame(columns=["label_of", "id", "label", "near", "d", "n"])
         x, z = np.stack(a.x.to_numpy()), np.stack(b.x.to_numpy())
-        names, at = np.unique(b.label.to_numpy().astype(str), return_inverse=True)
-        hot = np.eye(len(names))[at]
-        total = np.zeros((len(x), len(names)))
+        ours, theirs = (np.stack([np.array([str(v) for v in r]) for r in t.label]) for t in (a, b))
+        codes = [np.unique(theirs[:, i], return_inverse=True) for i in range(len(labels))]
+        hot = [np.eye(len(names))[at] for names, at in codes]
+        total = [np.zeros((len(x), h.shape[1])) for h in hot]
         for k in range(0, len(x), 256):
-            diff = x[k : k + 256, None] - z[None]
-            total[k : k + 256] = np.sqrt((diff * diff).sum(2)) @ hot
-        return pd.DataFrame({"id": np.repeat(a.id.to_numpy(), len(names)), "label": np.repeat(a.label.to_numpy(), len(names)), "near": np.tile(names, len(x)), "d": total.ravel(), "n": np.tile(hot.sum(0).astype(int), len(x))})
-
-    parts = dealt.groupBy("u", "v").applyInPandas(sums, "id long, label string, near string, d double, n long")
-    by = parts.groupBy("id", "label", "near").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+            square = np.zeros((len(x[k : k + 256]), len(z)))
+            for c in range(x.shape[1]):
+                square += (x[k : k + 256, c, None] - z[:, c]) ** 2
+            for t, h in zip(total, hot):
+                t[k : k + 256] = np.sqrt(square) @ h
+        out = [
+            pd.DataFrame({"label_of": name, "id": np.repeat(a.id.to_numpy(), len(names)), "label": np.repeat(ours[:, i], len(names)), "near": np.tile(names, len(x)), "d": total[i].ravel(), "n": np.tile(hot[i].sum(0).astype(int), len(x))})
+            for i, (name, (names, _)) in enumerate(zip(labels, codes))
+        ]
+        return pd.concat(out)
+
+    parts = dealt.groupBy("u", "v").applyInPandas(sums, "label_of string, id long, label string, near string, d double, n long")
+    by = parts.groupBy("label_of", "id", "label", "near").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
     own = F.col("label") == F.col("near")
-    per = by.groupBy("id").agg(F.max(F.when(own, F.try_divide("d", F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("d") / F.col("n"))).alias("b"), F.max(F.when(own, F.col("n"))).alias("n"))
+    per = by.groupBy("label_of", "id").agg(F.max(F.when(own, F.try_divide("d", F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("d") / F.col("n"))).alias("b"), F.max(F.when(own, F.col("n"))).alias("n"))
     s = F.when(F.col("n") > 1, F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))).otherwise(0.0)
-    return per.agg(F.avg(F.coalesce(s, F.lit(0.0))).alias("silhouette"))
+    return per.groupBy("label_of").agg(F.avg(F.coalesce(s, F.lit(0.0))).alias("silhouette"))
+
+
+def silhouette(labelled: DataFrame, columns: list[str], label: str, key: str = "objeto_id", blocks: int = 16) -> DataFrame:
+    """One row: the mean silhouette by one column of labels (null if there are no objects)."""
+    return silhouettes(labelled, columns, [label], key, blocks).agg(F.max("silhouette").alias("silhouette"))
 
 
 def davies_bouldin(labelled: DataFrame, columns: list[str], label: str) -> DataFrame:

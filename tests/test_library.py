@@ -221,3 +221,43 @@ def test_both_diagnoses_from_files(spark, tmp_path):
     with pytest.raises(ValueError):
         raster.read_raster(spark, "x.img")
     assert vector.split_path("/a/b.gpkg|layername=c") == ("/a/b.gpkg", "c")
+
+
+def test_kmeans_as_by_brute_force(spark):
+    """Three heaps: the steps end where plain Lloyd steps from the same starts end, and every pair counts in the silhouette."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(m, 0.6, (20, 2)) for m in (-4, 0, 5)])
+    rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "objeto_id long, a double, b double")
+    table, clusters = separability.kmeans(rows, ["a", "b"], most=4, starts=3)
+    z = (x - x.mean(0)) / x.std(0)
+
+    def lloyd(c):
+        for _ in range(100):
+            at = ((z[:, None] - c) ** 2).sum(2).argmin(1)
+            c = np.stack([z[at == k].mean(0) if (at == k).any() else c[k] for k in range(len(c))])
+        gap = ((z[:, None] - c) ** 2).sum(2)
+        return gap.min(1).sum(), gap.argmin(1)
+
+    got = {r["k"]: r for r in table.collect()}
+    sample = [r["objeto_id"] for r in rows.orderBy(F.xxhash64("objeto_id", F.lit(42)), "objeto_id").collect()]
+    for k in (2, 3, 4):
+        inertia, at = min((lloyd(separability.first_centres(z[sample], k, 42 + s)) for s in range(3)), key=lambda r: r[0])
+        assert got[k]["inertia"] == pytest.approx(inertia, rel=1e-6)
+        d = np.sqrt(((z[:, None] - z) ** 2).sum(2))
+        near = np.stack([d[:, at == j].sum(1) for j in range(k)], axis=1) / [(at == j).sum() for j in range(k)]
+        own = near[np.arange(60), at] * np.bincount(at)[at] / (np.bincount(at)[at] - 1)
+        near[np.arange(60), at] = np.inf
+        assert got[k]["silhouette"] == pytest.approx(((near.min(1) - own) / np.maximum(near.min(1), own)).mean(), rel=1e-6)
+    assert [k for k, r in got.items() if r["selected"]] == [3]
+    found = {r["objeto_id"]: r["cluster"] for r in clusters.collect()}
+    assert len(found) == 60 and all(len({found[i] for i in range(h, h + 20)}) == 1 for h in (0, 20, 40))
+
+
+def test_kmeans_of_few_or_missing_rows(spark):
+    few = spark.createDataFrame([(1, 1.0), (2, 2.0)], "objeto_id long, a double")
+    table, clusters = separability.kmeans(few, ["a"])
+    assert table.count() == 0 and {r["cluster"] for r in clusters.collect()} == {0}
+    same = spark.createDataFrame([(k, 1.0) for k in range(5)], "objeto_id long, a double")
+    assert {r["inertia"] for r in separability.kmeans(same, ["a"], most=3, starts=2)[0].collect()} == {0.0}
+    with pytest.raises(separability.MissingValuesError):
+        separability.kmeans(few.union(spark.sql("SELECT 3L, CAST(NULL AS DOUBLE)")), ["a"])
