@@ -261,3 +261,20 @@ def test_kmeans_of_few_or_missing_rows(spark):
     assert {r["inertia"] for r in separability.kmeans(same, ["a"], most=3, starts=2)[0].collect()} == {0.0}
     with pytest.raises(separability.MissingValuesError):
         separability.kmeans(few.union(spark.sql("SELECT 3L, CAST(NULL AS DOUBLE)")), ["a"])
+
+
+def test_separability_as_a_whole(spark):
+    """Three classes apart in all of six columns, one of them doubled: every section has its rows and the index its parts."""
+    rng = np.random.default_rng(42)
+    x = np.concatenate([rng.normal(m, 1.0, (10, 5)) for m in (0, 6, 12)])
+    x = np.column_stack([x, 2 * x[:, 0] + 1])
+    names = [f"f{i}" for i in range(6)]
+    table = spark.createDataFrame([(i, "abc"[i // 10], *map(float, v)) for i, v in enumerate(x)], f"objeto_id long, clase string, {', '.join(f'{c} double' for c in names)}")
+    got = engine.separable(table, most_clusters=4, starts=2)
+    assert ("f0", "f5") in {(r["a"], r["b"]) for r in got["collinearity"].collect()}
+    assert {r["variable"] for r in got["mutual_info"].collect()} == set(names)
+    assert [r["k"] for r in got["clustering"].where("selected").collect()] == [3]
+    assert all(r["purity"] == 1.0 and r["n"] == 10 for r in got["purity"].collect()) and got["correspondence"].count() == 9
+    assert got["distances"].count() == 3 and got["clusters"].count() == 30 and got["tsne"].count() == 30
+    tli = got["tli"].head()
+    assert tli["pureza"] == 100.0 and 0 < tli["tli"] <= 100
