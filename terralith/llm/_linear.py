@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS = "doc_id long, grade int, cols binary, vals binary"
@@ -28,6 +28,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def share_of(most: int, n: int, *key: str | Column) -> Column:
+    """Whether a row is among about ``most`` of ``n`` rows, by the 64-bit hash of its key; every row where ``n`` is no more than that.
+
+    The bound is a whole number of 64 bits, so that no share becomes 0 by rounding, however many rows there are.
+    """
+    if n <= most:
+        return F.lit(True)
+    return F.xxhash64(*key) < F.lit((most << 64) // n - (1 << 63))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` with a grade, about ``most`` of them at the most, chosen by a hash of their id.
 
@@ -36,7 +46,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int, id_col: str = "doc_i
     """
     known = labels.where("doc_id IS NOT NULL AND grade IS NOT NULL")
     n = known.count()
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < min(1_000_000, int(1e6 * most / max(1, n))))
+    chosen = known.where(share_of(most, n, "doc_id", F.lit("sample")))
     ids = chosen.groupBy(F.col("doc_id").alias("__id")).agg(F.min("grade").cast("int").alias("grade"))
     return docs.join(F.broadcast(ids), docs[id_col] == ids["__id"]).drop("__id")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ._linear import ROWS, dot, fitted, labelled, packed, push, sigmoid
+from ._linear import ROWS, dot, fitted, labelled, packed, push, share_of, sigmoid
 from ._text import LOWER, NO_LETTER, U64, chunks, owners, span_hash, words
 
 BITS = 20
@@ -234,8 +234,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = 12_000, learn
     patterns = sorted((r["code"], r["n"]) for r in vote_patterns(source, lexicon).collect())  # a bounded table, see above
     known, n = (np.array([p[k] for p in patterns], np.int64) for k in range(2))
     posterior, _, _, _ = label_model(votes_of(known), n) if len(known) else (np.zeros(0), 0.0, None, None)
-    share = min(1_000_000, int(1e6 * learn / max(1, n.sum())))
-    chosen = source.where("doc_id IS NOT NULL").where(F.pmod(F.xxhash64("doc_id", F.lit("learn")), F.lit(1_000_000)) < share)
+    chosen = source.where("doc_id IS NOT NULL").where(share_of(learn, int(n.sum()), "doc_id", F.lit("learn")))
     bound = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

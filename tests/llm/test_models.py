@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terralith.llm import katz, quality, toxicity
+from terralith.llm._linear import share_of
 
 DOCS = "doc_id long, text string"
 SF = "/root/testdata/sf0.1"  # sf0.01 holds about ten held-out toxic rows, too few to tell
@@ -215,3 +216,15 @@ def test_scores_of_empty_null_and_unlabelled(spark, module):
         assert len({r["score"] for r in got}) == 1 and got[0]["score"] < 0.5  # no voter says toxic
         assert {r["score"] for r in score(rows, train(rows.limit(0), none)).collect()} == {0.5}
     assert score(rows.limit(0), train(rows, none)).count() == 0
+
+
+@pytest.mark.parametrize("most,n,low,high", [(10**7, 10**12, 25, 90), (5, 3, 10**6, 10**6), (10**9, 10**12, 850, 1150)])
+def test_shares_of_very_many_rows_choose_rows(spark, most, n, low, high):
+    rows = spark.range(10**6 if most != 10**7 else 5 * 10**6)
+    assert low <= rows.where(share_of(most, n, "id", F.lit("sample"))).count() <= high
+
+
+def test_no_share_is_rounded_to_nothing():
+    """Bounds of 12,000 rows out of 1e12 and out of 1e16 differ from the least hash, and from each other."""
+    bounds = [(12_000 << 64) // n for n in (10**12, 10**16)]
+    assert bounds[0] > bounds[1] > 0
