@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html, jaccard, katz, media, mixing, quality, suffix, toxicity
+from . import chat, decontam, html, jaccard, katz, media, mixing, quality, search, suffix, toxicity, vectors
 from ._tables import read, written
 
 
@@ -63,6 +63,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(search.build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.compress(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_media_clips": op2_media_clips,
@@ -74,8 +82,12 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES = {
     "op5_mix_sources": mixing.ORACLE_SQL,
+    "op12_lexical_search": search.ORACLE_SQL,
+    "op13_vector_codes": vectors.ORACLE_SQL,
 }
