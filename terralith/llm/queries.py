@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html, jaccard, katz, media, mixing, quality, search, suffix, toxicity, vectors
+from . import chat, decontam, html, jaccard, katz, media, mixing, quality, search, suffix, toxicity, urls, vectors
 from ._tables import read, written
 
 
@@ -63,6 +63,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+#: Rules of ``op11_url_filter``.
+URL_RULES = [
+    urls.Rule("allow", "com", "/"),
+    urls.Rule("block", "example.com", "/en/"),
+    urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"),
+    urls.Rule("block", "net", "/fr/"),
+]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return urls.judge_urls(pages, urls.train_urls(pages, pages, text="html", markup=True), URL_RULES)
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(search.build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
 
@@ -82,6 +97,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
+    "op11_url_filter": op11_url_filter,
     "op12_lexical_search": op12_lexical_search,
     "op13_vector_codes": op13_vector_codes,
 }
