@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,7 +32,7 @@ BUCKETS = 64
 
 
 def bucket_of(term: str = "term") -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return (F.crc32(term) % BUCKETS).cast("int")
 
 
 @dataclass
@@ -44,54 +45,56 @@ class Index:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, n, term, tf, first) from (doc, doc_id, text): a row for each term of a document; ``first`` is 1 in one of them.
+    """(doc, doc_id, n, bucket, terms) from (doc, doc_id, text): a row for each document and bucket with (term, tf, first) of its terms.
 
-    Terms are counted where the document stands, so what is exchanged later is one row for a term and document.
+    Terms are counted where the document stands, so one row for many terms is exchanged; ``first`` is 1 once for a document.
     """
     of, lower = re.compile(TERM), str.maketrans(_UPPER, _LOWER)
-    names = ["doc", "doc_id", "n", "times", "term", "tf", "first"]
 
-    def table(held: dict[str, list]) -> pa.RecordBatch:
-        times = held["times"]
-        at = pa.array([i for i, k in enumerate(times) for _ in range(k)], pa.int32())
-        by_doc = [pa.array(held[c], pa.int64()).take(at) for c in ("doc", "doc_id", "n")]
-        first = [int(j == 0) for k in times for j in range(k)]
-        rest = [pa.array(held["term"], pa.string()), pa.array(held["tf"], pa.int64()), pa.array(first, pa.int32())]
-        return pa.RecordBatch.from_arrays(by_doc + rest, names=["doc", "doc_id", "n", "term", "tf", "first"])
+    def table(rows: list[tuple[int, int | None, int, int, int]], terms: list[str], tfs: list[int], firsts: list[int]) -> pa.RecordBatch:
+        doc, doc_id, n, bucket, ends = zip(*rows, strict=True)
+        entries = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(firsts, pa.int32())], ["term", "tf", "first"])
+        lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), entries)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (doc, doc_id, n)), pa.array(bucket, pa.int32()), lists], names=["doc", "doc_id", "n", "bucket", "terms"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {c: [] for c in names}
+        rows: list[tuple] = []
+        terms: list[str] = []
+        tfs: list[int] = []
+        firsts: list[int] = []
         for batch in batches:
             for doc, doc_id, text in zip(*(batch.column(k).to_pylist() for k in ("doc", "doc_id", "text")), strict=True):
                 found = Counter(of.findall(text.lower() if text.isascii() else text.translate(lower)))
-                if found:
-                    held["doc"].append(doc)
-                    held["doc_id"].append(doc_id)
-                    held["n"].append(found.total())
-                    held["times"].append(len(found))
-                    held["term"].extend(found.keys())
-                    held["tf"].extend(found.values())
-                if len(held["term"]) > 1 << 16:
-                    yield table(held)
-                    held = {c: [] for c in names}
-        if held["term"]:
-            yield table(held)
-
-    return docs.mapInArrow(run, "doc long, doc_id long, n long, term string, tf long, first int")
+                n, start = found.total(), len(terms)
+                by_bucket: dict[int, list[str]] = {}
+                for term in found:
+                    by_bucket.setdefault(crc32(term.encode()) % BUCKETS, []).append(term)
+                for bucket, some in by_bucket.items():
+                    terms += some
+                    rows.append((doc, doc_id, n, bucket, len(terms)))
+                tfs += map(found.__getitem__, terms[start:])
+                firsts += [1] * bool(found) + [0] * (len(found) - 1)
+                if len(terms) > 1 << 16:
+                    yield table(rows, terms, tfs, firsts)
+                    rows, terms, tfs, firsts = [], [], [], []
+        if rows:
+            yield table(rows, terms, tfs, firsts)
+
+    return docs.mapInArrow(run, "doc long, doc_id long, n long, bucket int, terms array<struct<term: string, tf: long, first: int>>")
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Index:
     """The index of all rows of ``docs``, each row a document of its own; null texts and ones without a term are in no posting.
 
     A bucket is cut into slices by a hash of the document, so a term that every document holds fills many tasks and files;
-    within a file postings are sorted by term.
+    within a file postings are sorted by bucket.
     """
     raw = F.col(text).cast("string")
     rows = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).cast("long").alias("doc_id"), raw.alias("text")).where("text IS NOT NULL")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = max(1, -(-4 * parts // BUCKETS))
-    dealt = _counted(rows).withColumn("bucket", bucket_of()).repartition(parts, "bucket", F.pmod(F.xxhash64("doc"), F.lit(slices)))
-    postings = written(dealt.sortWithinPartitions("bucket", "term"), "postings")
+    dealt = _counted(rows).repartition(parts, "bucket", F.pmod(F.xxhash64("doc"), F.lit(slices))).sortWithinPartitions("bucket")
+    postings = written(dealt.select("bucket", "doc", "doc_id", "n", F.inline("terms")), "postings")
     total = postings.agg(F.coalesce(F.sum("first"), F.lit(0)).alias("documents"), F.coalesce(F.sum("tf"), F.lit(0)).alias("length")).head()
     return Index(postings, total["documents"], total["length"])
 
