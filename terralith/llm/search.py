@@ -37,7 +37,10 @@ def bucket_of(term: str = "term") -> Column:
 
 @dataclass
 class Index:
-    """``postings`` (bucket, term, doc, doc_id, n, tf, first) of all documents; the number of those with a term, and of all terms."""
+    """``postings`` (bucket, doc, doc_id, n, term, tf) of all documents; the number of those with a term, and of all terms.
+
+    Bucket BUCKETS holds no postings, but a row for each document that has a term.
+    """
 
     postings: DataFrame
     documents: int
@@ -45,42 +48,36 @@ class Index:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, n, bucket, terms) from (doc, doc_id, text): a row for each document and bucket with (term, tf, first) of its terms.
+    """(doc, doc_id, n, bucket, terms, tfs) from (doc, doc_id, text): a row for each document and bucket of its terms.
 
-    Terms are counted where the document stands, so one row for many terms is exchanged; ``first`` is 1 once for a document.
+    Terms are counted where the document stands, and a row holds many, parted by spaces, which are in no term.  Bucket BUCKETS
+    gets a row without a term for each document that has any.
     """
     of, lower = re.compile(TERM), str.maketrans(_UPPER, _LOWER)
+    kinds = {"doc": pa.int64(), "doc_id": pa.int64(), "n": pa.int64(), "bucket": pa.int32(), "terms": pa.string(), "tfs": pa.string()}
 
-    def table(rows: list[tuple[int, int | None, int, int, int]], terms: list[str], tfs: list[int], firsts: list[int]) -> pa.RecordBatch:
-        doc, doc_id, n, bucket, ends = zip(*rows, strict=True)
-        entries = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(firsts, pa.int32())], ["term", "tf", "first"])
-        lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), entries)
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (doc, doc_id, n)), pa.array(bucket, pa.int32()), lists], names=["doc", "doc_id", "n", "bucket", "terms"])
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        terms: list[str] = []
-        tfs: list[int] = []
-        firsts: list[int] = []
         for batch in batches:
             for doc, doc_id, text in zip(*(batch.column(k).to_pylist() for k in ("doc", "doc_id", "text")), strict=True):
                 found = Counter(of.findall(text.lower() if text.isascii() else text.translate(lower)))
-                n, start = found.total(), len(terms)
                 by_bucket: dict[int, list[str]] = {}
                 for term in found:
                     by_bucket.setdefault(crc32(term.encode()) % BUCKETS, []).append(term)
-                for bucket, some in by_bucket.items():
-                    terms += some
-                    rows.append((doc, doc_id, n, bucket, len(terms)))
-                tfs += map(found.__getitem__, terms[start:])
-                firsts += [1] * bool(found) + [0] * (len(found) - 1)
-                if len(terms) > 1 << 16:
-                    yield table(rows, terms, tfs, firsts)
-                    rows, terms, tfs, firsts = [], [], [], []
+                n = found.total()
+                rows += [(doc, doc_id, n, bucket, " ".join(some), " ".join([str(found[t]) for t in some])) for bucket, some in by_bucket.items()]
+                if found:
+                    rows.append((doc, doc_id, n, BUCKETS, "", "0"))
+                if len(rows) > 1 << 14:
+                    yield table(rows)
+                    rows = []
         if rows:
-            yield table(rows, terms, tfs, firsts)
+            yield table(rows)
 
-    return docs.mapInArrow(run, "doc long, doc_id long, n long, bucket int, terms array<struct<term: string, tf: long, first: int>>")
+    return docs.mapInArrow(run, "doc long, doc_id long, n long, bucket int, terms string, tfs string")
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Index:
@@ -94,8 +91,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = max(1, -(-4 * parts // BUCKETS))
     dealt = _counted(rows).repartition(parts, "bucket", F.pmod(F.xxhash64("doc"), F.lit(slices))).sortWithinPartitions("bucket")
-    postings = written(dealt.select("bucket", "doc", "doc_id", "n", F.inline("terms")), "postings")
-    total = postings.agg(F.coalesce(F.sum("first"), F.lit(0)).alias("documents"), F.coalesce(F.sum("tf"), F.lit(0)).alias("length")).head()
+    each = F.arrays_zip(F.split("terms", " ").alias("term"), F.split("tfs", " ").alias("tf"))
+    postings = written(dealt.select("bucket", "doc", "doc_id", "n", F.inline(each)).withColumn("tf", F.col("tf").cast("long")), "postings")
+    total = postings.where(F.col("bucket") == BUCKETS).agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("length")).head()
     return Index(postings, total["documents"], total["length"])
 
 
@@ -113,10 +111,10 @@ def search(index: Index, items: DataFrame, k: int = 10, item_id: str = "item_id"
     """
     asked = written(asked_terms(items, item_id, text), "asked-terms")
     by_term = written(asked.groupBy("term").agg(F.collect_set(F.struct("item_id")).alias("items")).withColumn("term_no", F.monotonically_increasing_id()), "asked-items")
-    known = index.postings.select("bucket", "term", "doc", "doc_id", "n", "tf")
+    known = index.postings.where(F.col("bucket") < BUCKETS).select("bucket", "term", "doc", "doc_id", "n", "tf")
     if by_term.count() <= SENT:
         buckets = [r["bucket"] for r in by_term.select(bucket_of().alias("bucket")).distinct().collect()]
-        known = known.where(F.col("bucket").isin(buckets)) if len(buckets) < BUCKETS else known
+        known = known.where(F.col("bucket").isin(buckets))
     df = attach(known.select("term"), by_term.select("term", "term_no"), "term").groupBy("term", "term_no").agg(F.count("*").alias("df"))
     weight = F.floor(1000 * F.log((F.lit(2.0 * index.documents + 2)) / (2 * F.col("df") + 1).cast("double"))).cast("long")
     weights = written(df.select("term", "term_no", weight.alias("w")).where("w > 0"), "term-weights")

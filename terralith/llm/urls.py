@@ -104,7 +104,7 @@ def best_split(length: int, pieces: list[tuple[int, int, float]], unknown: float
     """(start, end) of the likeliest words of a run of ``length`` letters, by Viterbi.
 
     ``pieces`` are the known words in it (start, length, log probability); letters that belong to none make unknown words of
-    up to LONGEST letters, with ``unknown`` for the word and log 10 less for each letter.  Of equally likely splits the one
+    up to LONGEST letters, with ``unknown`` for the word and log 26 less for each letter.  Of equally likely splits the one
     whose last words are longer is taken.
     """
     at: dict[int, list[tuple[int, float]]] = {}
@@ -113,7 +113,7 @@ def best_split(length: int, pieces: list[tuple[int, int, float]], unknown: float
     best, back = [0.0] + [-math.inf] * length, [0] * (length + 1)
     for end in range(1, length + 1):
         known = at.get(end, [])
-        guesses = [(end - n, unknown - n * math.log(10)) for n in range(1, min(LONGEST, end) + 1)]
+        guesses = [(end - n, unknown - n * math.log(26)) for n in range(1, min(LONGEST, end) + 1)]
         for start, p in sorted(known + guesses):
             if best[start] + p > best[end]:
                 best[end], back[end] = best[start] + p, start

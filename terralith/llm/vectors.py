@@ -188,13 +188,14 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embeddin
     """(vec_id, code, error, label_error, codebooks_sha256) for each row of ``vectors`` with a whole vector.
 
     Rows whose vector is null, empty or holds a null, NaN or infinite component are left out, and so are those of another length
-    than most rows have (of several such lengths the greatest).  Repeated rows and rows without an id are rows like others; null labels are one label.
+    than most rows have (of several such lengths the greatest).  Repeated rows and rows without an id are rows like others; null
+    labels are one label.
     Components of 2^30 and more stand at 2^30; an error beyond 2^63 - 1 stands there.  A length that PARTS doesn't divide
     is filled up with zeros.  Columns other than the three are not looked at.  An empty table gives no rows.
     """
     all_rows = written(quantised(vectors, id_col, vector, label), "quantised")
     lengths = all_rows.where(F.size("v") > 0).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).head()
-    rows = all_rows.where(F.size("v") == (lengths["d"] if lengths else 0))
+    rows = all_rows.where(F.size("v") == (lengths["d"] if lengths else -1))
     books = train_codebooks(rows)
     codes = written(encode(rows, books), "codes")
     sums = codes.groupBy("label").agg(F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(_MOST).cast("decimal(38,0)")).cast("long").alias("label_error"))
