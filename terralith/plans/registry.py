@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralith.functions import geometry as G
 from terralith.operators import compat, features, indexes, separability, spatial, stats, texture, topology, tsne, variogram
 from terralith.plans import fixtures as X
+from terralith.sources import raster, sinks, vector
+from terralith.sources.parts import shared_folder
+from terralith.sources.shapefile import apart
 
 BANDS = ["b1", "b2", "b3", "b4", "b5"]
 NUMERIC = ["f0", "f1", "f2", "f3", "f4", "f5", "f_sig", "f_col"]
@@ -154,6 +157,82 @@ def pixel_extraction_pip(spark: SparkSession, d: str) -> DataFrame:
     return spatial.extract_pixels(raster_of(X.pixels(spark, d), meta), X.with_polygons(X.objects(spark, d)), meta, ["b1", "b2"])
 
 
+def with_far_polygons(objects: DataFrame) -> DataFrame:
+    """``with_polygons`` with a hole in each rectangle and, for every second object, a second rectangle 20 units wide above it."""
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    c = F.col
+
+    def ring(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+        return F.array(point(x0, y0), point(x0, y1), point(x1, y1), point(x1, y0), point(x0, y0))
+
+    main = F.array(ring(c("xmin"), c("ymin"), c("xmax"), c("ymax")), ring(c("xmin") + 10, c("ymin") + 10, c("xmin") + 30, c("ymin") + 40))
+    more = F.array(ring(c("xmin"), c("ymax") + 1, c("xmin") + 20, c("ymax") + 11))
+    return objects.withColumn("polygons", F.when(c("objeto_id") % 2 == 0, F.array(main, more)).otherwise(F.array(main)))
+
+
+LAYER_SQL = X.WITH + """, a AS (SELECT objeto_id, clase, (xmax - xmin) * (ymax - ymin) - 600.0e0 + CASE WHEN objeto_id % 2 = 0 THEN 200.0e0 ELSE 0.0e0 END AS geom_area,
+  2 * (xmax - xmin + ymax - ymin) + 100.0e0 + CASE WHEN objeto_id % 2 = 0 THEN 60.0e0 ELSE 0.0e0 END AS geom_perimeter, xmin, ymax FROM objects)
+SELECT objeto_id, clase, xmin + ymax / 3 AS reference_value, ymax - 1 AS reference_value_above, """ + r("geom_area", "geom_area") + ", " + r("geom_perimeter", "geom_perimeter") + " FROM a"
+
+
+def reread(spark: SparkSession, d: str, write: Callable, read: Callable, cut: int) -> DataFrame:
+    """All objects with two long-named values, written as a layer of several files and read back, with sizes of what was read.
+
+    ``cut`` letters of the values' names are kept by the format.
+    """
+    objects = with_far_polygons(X.objects(spark, d))
+    values = objects.select("clase", F.col("objeto_id").alias("number"), (F.col("xmin") + F.col("ymax") / 3).alias("reference_value"), (F.col("ymax") - 1).alias("reference_value_above"), "polygons")
+    path = shared_folder(spark, "layer")
+    write(values.repartition(4, "number"), path)
+    one, other = apart(["reference_value", "reference_value_above"], (), cut)
+    g = F.col("polygons")
+    return read(spark, path).select(
+        F.col("number").cast("long").alias("objeto_id"), "clase", F.col(one).cast("double").alias("reference_value"), F.col(other).cast("double").alias("reference_value_above"),
+        G.area(g).alias("geom_area"), G.perimeter(g).alias("geom_perimeter"),
+    )
+
+
+@query(LAYER_SQL, reference_value=12, reference_value_above=12)
+def geopackage_layer(spark: SparkSession, d: str) -> DataFrame:
+    return reread(spark, d, sinks.write_geopackage, lambda s, path: vector.read_geopackage(s, path, records=64), 1 << 20)
+
+
+@query(LAYER_SQL, reference_value=12, reference_value_above=12)
+def shapefile_layer(spark: SparkSession, d: str) -> DataFrame:
+    return reread(spark, d, sinks.write_shapefile, lambda s, path: vector.read_shapefile(s, path, records=64), 10)
+
+
+WINDOW = (2000.0, 500.0, 9000.0, 1900.0)
+
+
+@query(
+    X.WITH + f""" SELECT objeto_id, {r('(xmax - xmin) * (ymax - ymin) - 600.0e0 + CASE WHEN objeto_id % 2 = 0 THEN 200.0e0 ELSE 0.0e0 END', 'geom_area')} FROM objects
+    WHERE xmin <= {WINDOW[2]}e0 AND xmax >= {WINDOW[0]}e0 AND ymin <= {WINDOW[3]}e0 AND ymax + CASE WHEN objeto_id % 2 = 0 THEN 11.0e0 ELSE 0.0e0 END >= {WINDOW[1]}e0"""
+)
+def layer_window(spark: SparkSession, d: str) -> DataFrame:
+    """Objects whose box meets a window, by the spatial index of each file."""
+    path = shared_folder(spark, "layer")
+    sinks.write_geopackage(with_far_polygons(X.objects(spark, d)).select("objeto_id", "polygons").repartition(4, "objeto_id"), path)
+    found = vector.read_geopackage(spark, path, box=WINDOW, records=64)
+    return found.select(F.col("objeto_id_1").cast("long").alias("objeto_id"), G.area(F.col("polygons")).alias("geom_area"))
+
+
+@query(
+    X.WITH + """, o AS (SELECT min(xmin) AS x0, max(ymax) AS y0, max(xmax) AS x1, min(ymin) AS y1 FROM objects), p AS (SELECT min(pixel_x) - 15.0e0 AS x0, max(pixel_y) + 15.0e0 AS y0, max(pixel_x) + 15.0e0 AS x1, min(pixel_y) - 15.0e0 AS y1 FROM pixels),
+    b AS (SELECT least(o.x0, p.x0) AS x0, greatest(o.y0, p.y0) AS y0, greatest(o.x1, p.x1) AS x1, least(o.y1, p.y1) AS y1 FROM o, p),
+    g AS (SELECT CAST(floor((pixel_y - y0) / -30.0e0) AS INT) AS "row", CAST(floor((pixel_x - x0) / 30.0e0) AS INT) AS col, max(b2) AS b1 FROM pixels, b GROUP BY 1, 2)
+    SELECT "row", count(*) AS n, CAST(sum(col) AS BIGINT) AS cols, """ + ", ".join(r(f"{e}(b1)", c, 6) for e, c in (("sum", "total"), ("min", "low"), ("max", "high"))) + ' FROM g GROUP BY "row"',
+    6,
+)
+def ascii_grid_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a raster of all pixels, written as an ASCII grid and read back by splits of its text."""
+    meta = whole_meta(spark, d)
+    path = shared_folder(spark, "grid")
+    sinks.write_ascii_grid(raster_of(X.pixels(spark, d), meta), meta, path, "b2")
+    grid, _ = raster.read_ascii_grid(spark, path)
+    return grid.where("b1 IS NOT NULL").groupBy("row").agg(F.count("*").alias("n"), F.sum("col").alias("cols"), F.sum("b1").alias("total"), F.min("b1").alias("low"), F.max("b1").alias("high"))
+
+
 BOX = "-1007.0e0 AS rx0, 600.0e0 AS ry0, 19993.0e0 AS rx1, 3000.0e0 AS ry1"
 
 

@@ -11,25 +11,40 @@ from pyspark.sql import functions as F
 KEYS = {"objeto_id": "bigint", "clase": "string", "pixel_x": "double", "pixel_y": "double"}
 
 
-def read_pixels(spark: SparkSession, path: str, bands: list[str]) -> DataFrame:
-    """(objeto_id, clase, pixel_x, pixel_y, bands) from CSV with a header; more columns are left out.
-
-    A row whose object, place or band is no number is an error, and so is a missing column: both raise ValueError, the first
-    one when the table is read.
-    """
+def _wanted(spark: SparkSession, path: str, bands: list[str]) -> tuple[DataFrame, dict[str, str]]:
     raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
     wanted = KEYS | {b: "double" for b in bands}
     if missing := [c for c in wanted if c not in raw.columns]:
         raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return raw, wanted
+
+
+def read_pixels(spark: SparkSession, path: str, bands: list[str]) -> DataFrame:
+    """(objeto_id, clase, pixel_x, pixel_y, bands) from CSV with a header; more columns are left out.
+
+    A missing column raises ValueError; a row whose object, place or band is no number is an error when the table is read.
+    """
+    raw, wanted = _wanted(spark, path, bands)
     return raw.select(*(F.col(c).cast(t).alias(c) for c, t in wanted.items()))
 
 
+def faulty(spark: SparkSession, path: str, bands: list[str]) -> DataFrame:
+    """The rows, as text, that lack an object or a place, or have a value that is no number in any of the columns."""
+    raw, wanted = _wanted(spark, path, bands)
+    number = {c: F.col(c).try_cast(t) for c, t in wanted.items() if t != "string"}
+    bad = [n.isNull() if c in KEYS else F.col(c).isNotNull() & n.isNull() for c, n in number.items()]
+    return raw.where(F.array_contains(F.array(*bad), True))
+
+
 def pixels_or(spark: SparkSession, path: str | None, bands: list[str], extract: Callable[[], DataFrame]) -> DataFrame:
-    """The pixels of a CSV table, or those of ``extract`` where no path is given, nothing can be read, or a value is no number."""
+    """The pixels of a CSV table, or those of ``extract`` where no path is given, nothing can be read, or a value is no number.
+
+    The check reads the table once, all its rows and columns.
+    """
     if path:
         try:
             rows = read_pixels(spark, path, bands)
-            if rows.where(" OR ".join(f"{c} IS NULL" for c in ("objeto_id", "pixel_x", "pixel_y"))).isEmpty() and not rows.isEmpty():
+            if faulty(spark, path, bands).isEmpty() and not rows.isEmpty():
                 return rows
         except Exception as e:  # noqa: BLE001  Spark's and Hadoop's read errors share no class
             spark.sparkContext._jvm.org.apache.log4j.LogManager.getLogger("terralith").warn(f"pixel table {path} not used: {e}")

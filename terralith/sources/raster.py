@@ -1,10 +1,12 @@
 """Rasters: ESRI ASCII grids and GeoTIFF, as (row, col, b1 .. bN) with null for NoData, and their meta data.
 
-A GeoTIFF is a Python data source with one partition for each group of strips or tiles, so tasks decode their own part.
+A GeoTIFF is a Python data source with one partition for each group of strips or tiles, so tasks decode their own part; filters
+on row and col leave only the strips and tiles that meet them.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import struct
 import zlib
@@ -14,27 +16,67 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 
-def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """(pixels, meta) of an .asc grid of one band."""
-    head: dict[str, float] = {}
-    for line in spark.read.text(path).limit(8).collect():
-        parts = line[0].split()
-        if len(parts) == 2 and parts[0][:1].isalpha():
-            head[parts[0].lower()] = float(parts[1])
+# Words that begin the lines before the values of an ASCII grid.
+HEAD = ("ncols", "nrows", "xllcorner", "yllcorner", "xllcenter", "yllcenter", "cellsize", "nodata_value")
+
+
+def grid_meta(path: str, head: dict[str, float]) -> dict:
     if not {"ncols", "nrows", "cellsize"} <= head.keys():
         raise OSError(f"{path} is no ASCII grid")
     width, height, size = int(head["ncols"]), int(head["nrows"]), head["cellsize"]
     x0 = head["xllcorner"] if "xllcorner" in head else head["xllcenter"] - size / 2
     low = head["yllcorner"] if "yllcorner" in head else head["yllcenter"] - size / 2
-    nodata = head.get("nodata_value", -9999.0)
-    text = spark.read.text(path, wholetext=True).select(F.split(F.trim("value"), r"\s+").alias("v"))  # one file, one row
-    values = text.select(F.posexplode(F.slice("v", 2 * len(head) + 1, width * height)).alias("k", "v"))
-    x = F.col("v").cast("double")
-    pixels = values.select(F.floor(F.col("k") / width).cast("int").alias("row"), (F.col("k") % width).cast("int").alias("col"), F.when(x != nodata, x).alias("b1"))
-    return pixels, {"x0": x0, "dx": size, "y0": low + height * size, "dy": -size, "width": width, "height": height, "n_bands": 1, "epsg": None, "wkt": None}
+    return {"x0": x0, "dx": size, "y0": low + height * size, "dy": -size, "width": width, "height": height, "n_bands": 1, "epsg": None, "wkt": None}
+
+
+def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """(pixels, meta) of an .asc grid of one band: a file, or a folder of text parts in the order of their names.
+
+    Spark splits the text.  One pass counts the values of each split; their sums before each split number its values, wherever
+    lines break.  No row holds more than a line, and a task no more than some lines.  Values beyond the last cell are left out.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    first = lines.where(F.lower(F.split(F.trim("value"), r"\s+")[0]).isin(*HEAD)).select(F.split(F.trim("value"), r"\s+").alias("w")).limit(len(HEAD)).collect()
+    head = {r["w"][0].lower(): float(r["w"][1]) for r in first}
+    meta = grid_meta(path, head)
+    width, cells, nodata = meta["width"], meta["width"] * meta["height"], head.get("nodata_value", -9999.0)
+
+    def values(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], list[str]]]:
+        for line, file, at in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "at")), strict=True):
+            words = line.split()
+            if words and words[0].lower() not in HEAD:
+                yield (file, at), words
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], int] = {}
+        for batch in batches:
+            for split, words in values(batch):
+                held[split] = held.get(split, 0) + len(words)
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in held], pa.string()), pa.array([a for _, a in held], pa.int64()), pa.array(list(held.values()), pa.int64())], names=["file", "at", "n"])
+
+    counts = lines.mapInArrow(count, "file string, at long, n long").groupBy("file", "at").agg(F.sum("n").alias("n"))
+    before, total = {}, 0
+    for r in sorted(counts.collect()):  # a row for each split
+        before[r["file"], r["at"]] = total
+        total += r["n"]
+    if total < cells:
+        raise OSError(f"{path} has {total} values, {cells} cells")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = dict(before)
+        for batch in batches:
+            for split, words in values(batch):
+                for k in range(0, len(words), 1 << 16):
+                    v = np.array(words[k : k + (1 << 16)], np.float64)
+                    place = at[split] + np.arange(len(v))
+                    at[split] += len(v)
+                    v, place = v[place < cells], place[place < cells]
+                    yield pa.RecordBatch.from_arrays([pa.array((place // width).astype(np.int32)), pa.array((place % width).astype(np.int32)), pa.array(v, mask=(v == nodata) | np.isnan(v))], names=["row", "col", "b1"])
+
+    return lines.mapInArrow(number, "row int, col int, b1 double"), meta
 
 
 # TIFF tags.
@@ -133,8 +175,10 @@ def unpackbits(data: bytes) -> bytes:
 
 
 class Chunks(InputPartition):
-    def __init__(self, first: int, end: int):
-        self.first, self.end = first, end
+    """Strips or tiles, by number."""
+
+    def __init__(self, places: list[int]):
+        self.places = places
 
 
 class TiffReader(DataSourceReader):
@@ -150,11 +194,31 @@ class TiffReader(DataSourceReader):
             self.offsets, self.counts, self.w, self.h = t[STRIPS], t[COUNTS], self.width, min(t.get(ROWS, (self.height,))[0], self.height)
         self.across = -(-self.width // self.w)
         self.places = self.across * -(-self.height // self.h)
+        self.window = {"row": (0, self.height - 1), "col": (0, self.width - 1)}
         bits, form = t.get(BITS, (1,))[0], t.get(FORMAT, (1,))[0]
         self.kind = np.dtype(f"{self.order}{ {1: 'u', 2: 'i', 3: 'f'}[form] }{bits // 8}")
 
-    def partitions(self) -> list[InputPartition]:
-        return [Chunks(k, min(self.places, k + self.group)) for k in range(0, self.places, self.group)]
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Narrows the window of rows and columns; Spark still applies all filters to what the strips and tiles in it hold."""
+        for f in filters:
+            if isinstance(f, (EqualTo, EqualNullSafe, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.attribute in (("row",), ("col",)):
+                low, high = self.window[f.attribute[0]]
+                values = [v for v in (f.value if isinstance(f, In) else [f.value]) if v is not None]
+                if isinstance(f, (EqualTo, EqualNullSafe, In)):
+                    low, high = (max(low, min(values)), min(high, max(values))) if values else (1, 0)
+                elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    low = max(low, f.value + isinstance(f, GreaterThan))
+                else:
+                    high = min(high, f.value - isinstance(f, LessThan))
+                self.window[f.attribute[0]] = low, high
+            yield f
+
+    def partitions(self) -> list[Chunks]:
+        (top, bottom), (left, right) = self.window["row"], self.window["col"]
+        rows = range(max(0, top // self.h), min(-(-self.height // self.h), bottom // self.h + 1)) if top <= bottom else range(0)
+        cols = range(max(0, left // self.w), min(self.across, right // self.w + 1)) if left <= right else range(0)
+        places = [r * self.across + c for r in rows for c in cols]
+        return [Chunks(places[k : k + self.group]) for k in range(0, len(places), self.group)] or [Chunks([])]
 
     def block(self, k: int) -> np.ndarray:
         """(rows, columns, samples) of a strip or tile."""
@@ -183,7 +247,7 @@ class TiffReader(DataSourceReader):
 
     def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
         nodata = float(self.tags[NODATA][0]) if NODATA in self.tags and self.tags[NODATA][0].strip() else None
-        for k in range(partition.first, partition.end):
+        for k in partition.places:
             parts = [self.block(k + p * self.places) for p in range(self.planes)]
             a = np.concatenate(parts, axis=2).astype(float)
             r, c = np.mgrid[: a.shape[0], : self.w]
@@ -211,6 +275,14 @@ class GeoTiff(DataSource):
         return TiffReader(self.options["path"], int(self.options.get("group", "16")))
 
 
+def window(grid: DataFrame, meta: dict, box: tuple[float, float, float, float]) -> DataFrame:
+    """The cells of ``grid`` that meet a box (xmin, ymin, xmax, ymax): a range of rows and columns, which the source takes."""
+    cols = sorted((x - meta["x0"]) / meta["dx"] for x in (box[0], box[2]))
+    rows = sorted((y - meta["y0"]) / meta["dy"] for y in (box[1], box[3]))
+    inside = lambda c, ends: F.col(c).between(math.floor(ends[0]), math.floor(ends[1]))
+    return grid.where(inside("row", rows) & inside("col", cols))
+
+
 def read_raster(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """(pixels, meta), by the file's ending."""
     ending = os.path.splitext(path)[1].lower()
@@ -219,5 +291,6 @@ def read_raster(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     if ending in (".tif", ".tiff"):
         meta = tiff_meta(path)
         spark.dataSource.register(GeoTiff)
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # a reader that takes filters is refused without it
         return spark.read.format("geotiff").load(path), meta
     raise ValueError(f"{path}: rasters are .asc or .tif")

@@ -1,11 +1,17 @@
-"""Where results go: Parquet and CSV tables, GeoJSON layers, and HTML reports of small sections."""
+"""Where results go: Parquet and CSV tables, layers as GeoJSON, GeoPackage and shapefile, ASCII grids, and HTML reports of small sections."""
 
 from __future__ import annotations
 
 import html
+import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
+
+from terralith.sources.geopackage import GeoPackage
+from terralith.sources.parts import local, polygon_columns
+from terralith.sources.shapefile import Shapefile
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -22,6 +28,43 @@ def write_geojson(features: DataFrame, objects: DataFrame, path: str, key: str =
     joined.select(F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), properties.alias("properties"))).alias("value")).write.text(path)
 
 
+def write_geopackage(features: DataFrame, path: str, layer: str = "objects", epsg: int = 0, overwrite: bool = False) -> None:
+    """A folder of .gpkg files, one for each task, each with a spatial index; ``features`` has one column of polygons.
+
+    A job that fails leaves nothing.  Numbers and truth values keep their types, all else is text.
+    """
+    _write(features, GeoPackage, path, overwrite, layer=layer, srs=str(epsg))
+
+
+def write_shapefile(features: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A folder of shapefiles, one for each task, as ``write_geopackage``.  Names are cut to ten letters and told apart by numbers."""
+    _write(features, Shapefile, path, overwrite)
+
+
+def _write(features: DataFrame, source: type[DataSource], path: str, overwrite: bool, **options: str) -> None:
+    if len(polygon_columns(features.schema)) != 1:
+        raise ValueError("a layer has one column of polygons")
+    if not overwrite and os.path.isdir(local(path)) and os.listdir(local(path)):
+        raise FileExistsError(path)
+    features.sparkSession.dataSource.register(source)
+    features.write.format(source.name()).options(**options).mode("overwrite" if overwrite else "append").save(path)
+
+
+def write_ascii_grid(pixels: DataFrame, meta: dict, path: str, band: str = "b1", nodata: float = -9999.0) -> None:
+    """A folder of text parts that are an ASCII grid one after the other: a line for each row of ``pixels`` (row, col, band).
+
+    Cells without a value, or without a row in ``pixels``, are ``nodata``.  A task holds a row of the grid at a time.
+    """
+    head = {"ncols": meta["width"], "nrows": meta["height"], "xllcorner": meta["x0"], "yllcorner": meta["y0"] + meta["dy"] * meta["height"], "cellsize": meta["dx"], "nodata_value": nodata}
+    inside = pixels.where(F.col("row").between(0, meta["height"] - 1) & F.col("col").between(0, meta["width"] - 1))
+    cells = inside.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("col", band))).alias("cells"))
+    rows = pixels.sparkSession.range(meta["height"]).select(F.col("id").cast("int").alias("row")).join(cells, "row", "left")
+    text = F.transform(F.sequence(F.lit(0), F.lit(meta["width"] - 1)), lambda c: F.coalesce(F.try_element_at("cells", c).cast("string"), F.lit(str(nodata))))
+    lines = rows.select("row", F.array_join(text, " ").alias("value"))
+    first = pixels.sparkSession.createDataFrame([(-1, "\n".join(f"{k} {v!r}" for k, v in head.items()))], "row int, value string")
+    lines.unionByName(first).orderBy("row").select("value").write.text(path)
+
+
 def report(title: str, sections: dict[str, DataFrame], most: int = 200) -> str:
     """An HTML page of the sections' first ``most`` rows; sections are tables of a bounded size by nature."""
     out = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>"]

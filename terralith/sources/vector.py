@@ -7,17 +7,15 @@ path may name a layer: ``file.gpkg|layername=x``.
 from __future__ import annotations
 
 import os
-import sqlite3
-import struct
-from collections.abc import Iterator
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
-from pyspark.sql.window import Window
+from pyspark.sql.datasource import DataSource
+from pyspark.sql.types import StructType
 
-from terralith.functions.crs import GEOMETRY
+from terralith.sources.geopackage import GeoPackage, layers
+from terralith.sources.parts import part_files
+from terralith.sources.shapefile import Shapefile
 
 LAYER = "|layername="
 
@@ -52,145 +50,52 @@ def geometry(text: Column) -> Column:
     return F.when(F.size(F.flatten(g)) > 0, g)
 
 
-def wkb_polygons(data: bytes | None) -> list | None:
-    """Polygons of well-known binary (2D, or with further ordinates, which are dropped)."""
-    if not data:
-        return None
-
-    def read(at: int) -> tuple[list, int]:
-        order = "<" if data[at] else ">"
-        kind = struct.unpack_from(order + "I", data, at + 1)[0]
-        dims = 2 + bool(kind & 0x80000000) + bool(kind & 0x40000000) if kind & 0xC0000000 else 2 + {0: 0, 1: 1, 2: 1, 3: 2}[kind % 10000 // 1000]
-        at, base = at + 5 + 4 * bool(kind & 0x20000000), (kind & 0x0FFFFFFF) % 1000
-        n = struct.unpack_from(order + "I", data, at)[0]
-        at += 4
-        out: list = []
-        if base == 3:
-            rings = []
-            for _ in range(n):
-                m = struct.unpack_from(order + "I", data, at)[0]
-                xy = np.frombuffer(data, order + "f8", m * dims, at + 4).reshape(m, dims)[:, :2]
-                rings.append([{"x": float(x), "y": float(y)} for x, y in xy])
-                at += 4 + 8 * m * dims
-            return ([rings] if rings else []), at
-        if base == 6:
-            for _ in range(n):
-                part, at = read(at)
-                out += part
-            return out, at
-        raise ValueError(f"geometry type {base} is no polygon")
-
-    return read(0)[0] or None
-
-
-def to_wkb(polygons: list) -> bytes:
-    """Well-known binary of polygons."""
-
-    def one(rings: list) -> bytes:
-        return struct.pack("<BII", 1, 3, len(rings)) + b"".join(struct.pack("<I", len(r)) + np.array([(p["x"], p["y"]) for p in r], "<f8").tobytes() for r in rings)
-
-    return one(polygons[0]) if len(polygons) == 1 else struct.pack("<BII", 1, 6, len(polygons)) + b"".join(map(one, polygons))
-
-
-def shp_polygons(content: bytes) -> list | None:
-    """Polygons of a shape record: clockwise rings are outer, the others holes of the outer ring that holds them."""
-    kind = struct.unpack_from("<i", content)[0]
-    if kind == 0:
-        return None
-    if kind not in (5, 15, 25):
-        raise ValueError(f"shape type {kind} is no polygon")
-    parts, n = struct.unpack_from("<ii", content, 36)
-    cuts = [*struct.unpack_from(f"<{parts}i", content, 44), n]
-    xy = np.frombuffer(content, "<f8", 2 * n, 44 + 4 * parts).reshape(n, 2)
-    rings = [xy[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 2]
-    turn = [float((r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum()) for r in rings]
-    outer = [[r] for r, t in zip(rings, turn, strict=True) if t < 0] or [[r] for r in rings]
-    if any(t < 0 for t in turn):
-        from terralith.functions.geometry import inside
-
-        for r, t in zip(rings, turn, strict=True):
-            if t >= 0:
-                owner = next((o for o in outer if inside(np.hstack([o[0][:-1], o[0][1:]]), r[:1])[0]), outer[0])
-                owner.append(r)
-    return [[[{"x": float(x), "y": float(y)} for x, y in r] for r in o] for o in outer] or None
-
-
-def shapefile_rows(path: str) -> tuple[list[str], Iterator[tuple]]:
-    """(attribute names, rows): attributes as text, numbers and all."""
-    with open(f"{path[:-4]}.dbf", "rb") as f:
-        dbf = f.read()
-    n, head, size = struct.unpack_from("<IHH", dbf, 4)
-    fields, at = [], 32
-    while dbf[at] != 0x0D:
-        fields.append((dbf[at : at + 11].split(b"\0")[0].decode("latin-1"), dbf[at + 16]))
-        at += 32
-    with open(path, "rb") as f:
-        shp = f.read()
-
-    def rows() -> Iterator[tuple]:
-        at = 100
-        for k in range(n):
-            record, offset, values = dbf[head + k * size : head + (k + 1) * size], 1, []
-            for _, width in fields:
-                raw = record[offset : offset + width]
-                try:
-                    values.append(raw.decode("utf-8").strip(" \0") or None)
-                except UnicodeDecodeError:
-                    values.append(raw.decode("latin-1").strip(" \0") or None)
-                offset += width
-            length = struct.unpack_from(">i", shp, at + 4)[0] * 2
-            yield (k + 1, *values, shp_polygons(shp[at + 8 : at + 8 + length]))
-            at += 8 + length
-
-    return [f for f, _ in fields], rows()
-
-
-def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """The driver reads the file and hands on its features."""
-    names, rows = shapefile_rows(path)
-    schema = StructType([StructField("objeto_id", LongType()), *(StructField(n, StringType()) for n in names), StructField("polygons", GEOMETRY)])
-    return spark.createDataFrame(list(rows), schema)
-
-
-def read_geopackage(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
-    """A layer of a GeoPackage (the first feature table, if none is named), read by the driver."""
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        known = [r[0] for r in db.execute("SELECT table_name FROM gpkg_contents WHERE data_type = 'features' ORDER BY rowid")]
-        layer = layer or (known[0] if known else None)
-        if layer not in known:
-            raise ValueError(f"{path} has no layer {layer!r}; it has {', '.join(known)}")
-        column = db.execute("SELECT column_name FROM gpkg_geometry_columns WHERE table_name = ?", [layer]).fetchone()[0]
-        names = [r[1] for r in db.execute(f'PRAGMA table_info("{layer}")') if r[1] != column and not r[5]]
-        quoted = ", ".join(f'"{n}"' for n in [*names, column])
-        rows = [(k, *(None if v is None else str(v) for v in r[:-1]), wkb_polygons(gpkg_wkb(r[-1]))) for k, r in enumerate(db.execute(f'SELECT {quoted} FROM "{layer}" ORDER BY rowid'), 1)]
-    schema = StructType([StructField("objeto_id", LongType()), *(StructField(n, StringType()) for n in names), StructField("polygons", GEOMETRY)])
-    return spark.createDataFrame(rows, schema)
-
-
-def gpkg_wkb(blob: bytes | None) -> bytes | None:
-    """The well-known binary in a GeoPackage geometry; None for an empty one."""
-    if not blob or blob[:2] != b"GP" or blob[3] & 0x10:
-        return None
-    return blob[8 + {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}[blob[3] >> 1 & 7] :]
-
-
-def read_layer(spark: SparkSession, path: str) -> DataFrame:
-    """By the file's ending."""
+def read_shapefile(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, records: int = 20_000) -> DataFrame:
+    """A .shp file or a folder of them, ``records`` features a task; attributes are text.  ``box`` leaves features whose box meets it."""
+    return _load(spark, Shapefile, path, box, records)
+
+
+def read_geopackage(spark: SparkSession, path: str, layer: str | None = None, box: tuple[float, float, float, float] | None = None, records: int = 20_000) -> DataFrame:
+    """A layer of a GeoPackage, or of a folder of them (the first feature table, if none is named); as ``read_shapefile``."""
+    return _load(spark, GeoPackage, path, box, records, layer=layer)
+
+
+def catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, layer, title, geometry_type, epsg) of the layers and rasters in a folder; a path that ``read_layer`` or ``read_raster`` takes."""
+    from terralith.sources import raster
+
+    rows: list[tuple[str, str, str, str | None, int | None]] = []
+    for ending in (".asc", ".tif", ".tiff", ".geojson", ".shp", ".gpkg"):
+        for file in part_files(folder, ending):
+            name = os.path.splitext(os.path.basename(file))[0]
+            if ending == ".gpkg":
+                rows += [(f"{file}{LAYER}{layer}", layer, title, kind, srs if srs > 0 else None) for layer, title, _, kind, srs in layers(file)]
+            elif ending in (".tif", ".tiff"):
+                code = raster.tiff_meta(file)["epsg"]
+                rows.append((file, name, name, "RASTER", int(code.split(":")[1]) if code else None))
+            else:
+                rows.append((file, name, name, "RASTER" if ending == ".asc" else "MULTIPOLYGON" if ending == ".shp" else None, None))
+    return spark.createDataFrame(rows, "path string, layer string, title string, geometry_type string, epsg int")
+
+
+def _load(spark: SparkSession, source: type[DataSource], path: str, box: tuple | None, records: int, **options: str | None) -> DataFrame:
+    spark.dataSource.register(source)
+    options |= {"records": str(records), "box": ",".join(map(repr, map(float, box))) if box else None}
+    return spark.read.format(source.name()).options(**{k: v for k, v in options.items() if v is not None}).load(path)
+
+
+def read_layer(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """By the file's ending.  ``box`` (xmin, ymin, xmax, ymax) leaves features whose box meets it, where the format can tell."""
     file, layer = split_path(path)
     ending = os.path.splitext(file)[1].lower()
     if ending in (".geojson", ".json"):
         out = read_geojson(spark, file)
     elif ending == ".shp":
-        out = read_shapefile(spark, file)
+        out = read_shapefile(spark, file, box)
     elif ending == ".gpkg":
-        out = read_geopackage(spark, file, layer)
+        out = read_geopackage(spark, file, layer, box)
     else:
         raise ValueError(f"{path}: layers are .geojson, .shp or .gpkg")
     if out.isEmpty():
         raise ValueError(f"{path} holds no features")
     return out
-
-
-def numbered(features: DataFrame, order: list[str]) -> DataFrame:
-    """objeto_id for features that come from a table, by the given order (a global order: meant for layers, not for pixels)."""
-    return features.withColumn("objeto_id", F.row_number().over(Window.orderBy(*order)).cast("long"))

@@ -155,9 +155,11 @@ def test_components_and_pruning_as_by_numpy(spark):
 def test_pixel_tables_are_read_or_extracted(spark, tmp_path):
     (tmp_path / "good.csv").write_text("objeto_id,clase,pixel_x,pixel_y,b1,extra\n1,a,2.5,3.5,7.25,x\n2,b,4.5,5.5,,y\n")
     (tmp_path / "bad.csv").write_text("objeto_id,clase,pixel_x,pixel_y,b1\none,a,2.5,3.5,7.25\n")
+    (tmp_path / "band.csv").write_text("objeto_id,clase,pixel_x,pixel_y,b1\n1,a,2.5,3.5,7.25\n1,a,2.5,4.5,bad\n")
+    (tmp_path / "head.csv").write_text("objeto_id,clase,pixel_x,pixel_y,b1\n")
     other = lambda: spark.createDataFrame([(9,)], "objeto_id long")
     assert [tuple(r) for r in pixels.pixels_or(spark, f"{tmp_path}/good.csv", ["b1"], other).orderBy("objeto_id").collect()] == [(1, "a", 2.5, 3.5, 7.25), (2, "b", 4.5, 5.5, None)]
-    for path in (f"{tmp_path}/bad.csv", f"{tmp_path}/none.csv", None):
+    for path in (f"{tmp_path}/bad.csv", f"{tmp_path}/band.csv", f"{tmp_path}/head.csv", f"{tmp_path}/none.csv", None):
         assert pixels.pixels_or(spark, path, ["b1"], other).head()["objeto_id"] == 9
     with pytest.raises(ValueError):
         pixels.read_pixels(spark, f"{tmp_path}/good.csv", ["b2"])
