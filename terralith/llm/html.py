@@ -367,17 +367,42 @@ def extract(pages: DataFrame, model: bytes, column: str = "html") -> DataFrame:
     return pages.mapInArrow(run, schema)
 
 
-def labelled_pages(spark: SparkSession, n: int = 600, seed: int = 7) -> DataFrame:
-    """Pages composed at random of content and of the usual rest, labelled; the training set where none is given."""
+def labelled_pages(spark: SparkSession, n: int = 800, seed: int = 7) -> DataFrame:
+    """Pages composed at random of content and of the usual rest, labelled; the training set where none is given.
+
+    Layouts differ: one element around the article, an article with a head and a foot of its own, sections, paragraphs that
+    stand in the body, and blocks that each lie in an element with a name made by a program.  Where names tell nothing, what
+    isn't content can be told by its elements and links.
+    """
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("aeioubcdlmnprst") for _ in range(rng.randint(1, 9)))
     line = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
     sentence = lambda: " ".join(line(1, 30).capitalize() + rng.choice(".....!?") for _ in range(rng.randint(1, 6)))
     name = lambda *names: f' {rng.choice(["class", "id"])}="{rng.choice(names)}{rng.choice(["", "", " box", "-1", "-wrap"])}"' if rng.random() < 0.8 else ""
+    made = lambda: f' class="{rng.choice(["css-", "sc-", "x", "_", ""])}{"".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(4, 8)))}"'
+    other_label = lambda text: re.sub(r"<(\w+)", r'<\1 data-label="other"', text, count=1)
 
     def links() -> str:
         return "".join(f'<li><a href="/{word()}">{line(1, 3)}</a></li>' for _ in range(rng.randint(2, 9)))
 
+    def nameless() -> str:
+        """What isn't content, without a name that says so."""
+        mark = lambda: made() if rng.random() < 0.6 else ""
+        kind = rng.randrange(7)
+        if kind == 0:
+            return f"<nav{mark()}><ul>{links()}</ul></nav>"
+        if kind == 1:
+            return f"<div{mark()}><ul>{links()}</ul></div>"
+        if kind == 2:
+            return f'<header{mark()}><div{mark()}><a href="/">{line(1, 3)}</a></div><p>{line(2, 8)}</p></header>'
+        if kind == 3:
+            return f"<footer{mark()}><p>&copy; {line(1, 3)} &middot; {sentence()}</p></footer>"
+        if kind == 4:
+            return f"<aside{mark()}><h3>{line(1, 3)}</h3><ul>{links()}</ul><p>{sentence()}</p></aside>"
+        if kind == 5:
+            return f'<form{mark()}><label>{line(1, 3)}</label><input name="q"><button>{line(1, 2)}</button></form>'
+        return f"<div{mark()}>" + "".join(f'<a href="/{word()}">{line(1, 4)}</a> ' for _ in range(rng.randint(2, 6))) + "</div>"
+
     def other() -> str:
         kind = rng.randrange(14)
         text = sentence()
@@ -426,7 +451,42 @@ def labelled_pages(spark: SparkSession, n: int = 600, seed: int = 7) -> DataFram
             parts.insert(at, re.sub(r"<(\w+)", r'</p><\1 data-label="other"', other(), count=1))
         return "".join(parts)
 
+    def article() -> str:
+        """An article with a head, and mostly a foot, of its own; its paragraphs may stand in sections."""
+        head = f"<header{rng.choice(['', made()])}><h1>{line(1, 9)}</h1>{rng.choice(['', f'<p>{line(2, 6)}</p>', f'<p>{sentence()}</p>'])}</header>" if rng.random() < 0.8 else f"<h1>{line(1, 9)}</h1>"
+        body = [f"<p>{sentence()}</p>" if rng.random() < 0.6 else content() for _ in range(rng.randint(1, 5))]
+        if rng.random() < 0.5:
+            body = [f"<section{rng.choice(['', made()])}>{rng.choice(['', f'<h2>{line(1, 5)}</h2>'])}{b}</section>" for b in body]
+        foot = f'<footer data-label="other">{rng.choice([sentence(), f"<p>{sentence()}</p>", line(2, 6)])}</footer>' if rng.random() < 0.7 else ""
+        return f'<article{rng.choice(["", made(), name("post", "story", "entry")])} data-label="content">{head}{"".join(body)}{foot}</article>'
+
+    def blocks() -> list[str]:
+        """Paragraphs and headings, no element around them."""
+        out = [f"<h1>{line(1, 9)}</h1>"] if rng.random() < 0.9 else []
+        for _ in range(rng.randint(1, 9)):
+            out.append(rng.choice([f"<p>{sentence()}</p>"] * 6 + [f"<h2>{line(1, 6)}</h2>", f"<ul><li>{sentence()}</li><li>{line(1, 4)}</li></ul>", f"<blockquote><p>{sentence()}</p></blockquote>"]))
+        return out
+
+    def wrapped(block: str, depth: int, label: str) -> str:
+        return f"<div{made()}{label}>{wrapped(block, depth - 1, '') if depth else block}</div>"
+
     def page() -> str:
+        head, end = f"<!DOCTYPE html><html><head><title>{line(1, 9)}</title><style>p{{}}</style></head>", rng.choice(["</body></html>", ""])
+        layout = rng.randrange(20)
+        some = nameless if rng.random() < 0.7 else other
+        before, after = ["".join(other_label(some()) for _ in range(rng.randint(0, 3))) for _ in range(2)]
+        if layout < 4:
+            body = article()
+            for _ in range(rng.randint(0, 2)):
+                t = rng.choice(["div", "main", "section"])
+                body = f"<{t}{rng.choice(['', made(), name('container', 'page', 'main')])}>{body}</{t}>"
+            return f"{head}<body>{before}{body}{after}{end}"
+        if layout < 6:
+            return f'{head}<body data-label="content">{before}{"".join(blocks())}{after}{end}'
+        if layout < 10:
+            label, around = ' data-label="content"', rng.random() < 0.6
+            body = "".join(wrapped(b, rng.choice((0, 0, 1)), "" if around else label) for b in blocks())
+            return f"{head}<body>{before}" + (f"<div{rng.choice(['', made()])}{label}>{body}</div>" if around else body) + f"{after}{end}"
         before, after = ["".join(other() for _ in range(rng.randint(0, 4))) for _ in range(2)]
         tag = rng.choice(["article"] * 5 + ["main", "main", "div", "div", "section"])
         mark = name("content", "post", "article", "entry", "story", "main", "article-body", "post-content", "entry-content") if tag in ("article", "main") else f' class="{rng.choice(["content", "post", "article", "entry", "story", "article-body", "post-content", "main-content"])}"'
@@ -434,6 +494,6 @@ def labelled_pages(spark: SparkSession, n: int = 600, seed: int = 7) -> DataFram
         for _ in range(rng.randint(0, 2)):
             t = rng.choice(["div", "main", "section"]) + name("container", "wrapper", "page", "row", "layout", "main")
             body = f"<{t}>{other() if rng.random() < 0.3 else ''}{body}{other() if rng.random() < 0.3 else ''}</{t.split()[0]}>"
-        return f"<!DOCTYPE html><html><head><title>{line(1, 9)}</title><style>p{{}}</style></head><body>{before}{body}{after}" + rng.choice(["</body></html>", ""])
+        return f"{head}<body>{before}{body}{after}{end}"
 
     return spark.createDataFrame([(page(),) for _ in range(n)], "html string")
