@@ -149,7 +149,7 @@ def nearest(points: DataFrame, k: int = 3, key: str = "objeto_id", per_cell: int
 def extract_pixels(grid: DataFrame, objects: DataFrame, meta: dict, bands: list[str], key: str = "objeto_id", clase: str = "clase", polygons: str = "polygons", tile: int = 64, rule: str = "no pixel") -> DataFrame:
     """(key, clase, pixel_x, pixel_y, row, col, bands): pixels of ``grid`` (row, col, bands) whose centre lies inside an object.
 
-    Objects and pixels meet by square tiles of ``tile`` pixels, then by ray casting (boundary points are outside).  An object
+    Objects and pixels meet by square tiles of ``tile`` pixels inside the raster, then by ray casting (boundary points are outside).  An object
     without a pixel gets the one at its centroid, clamped to the raster: under the rule "no pixel" if none lies inside, under
     "no valid" if none of those inside has values in all bands.  Pixels with a missing band are dropped at the end.
 
@@ -159,9 +159,15 @@ def extract_pixels(grid: DataFrame, objects: DataFrame, meta: dict, bands: list[
         raise ValueError("rotated rasters are not supported")
     x0, dx, y0, dy = (float(meta[k]) for k in ("x0", "dx", "y0", "dy"))
     shapes = objects.where(G.present(F.col(polygons))).select(key, clase, F.col(polygons).alias("__g"), G.bounds(F.col(polygons)).alias("__b"))
-    tiles = lambda a, b, origin, step: F.sequence(*(F.floor((F.col(f"__b.{c}") - origin) / step / tile).cast("int") for c in (a, b)))
-    shapes = shapes.withColumn("tc", F.explode(tiles("x0", "x1", x0, dx))).withColumn("tr", F.explode(tiles("y1", "y0", y0, dy)))
-    placed = grid.withColumns({"pixel_x": x0 + (F.col("col") + 0.5) * dx, "pixel_y": y0 + (F.col("row") + 0.5) * dy, "tc": F.floor(F.col("col") / tile).cast("int"), "tr": F.floor(F.col("row") / tile).cast("int")})
+
+    def tiles(a: str, b: str, origin: float, step: float, cells: int) -> Column:
+        """The tiles from one side of a box to the other, but for those beyond the raster."""
+        first, last = (F.floor((F.col(f"__b.{c}") - origin) / step / tile) for c in (a, b))
+        first, last = F.greatest(first, F.lit(0)).cast("long"), F.least(last, F.lit((cells - 1) // tile)).cast("long")
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+    shapes = shapes.withColumn("tc", F.explode(tiles("x0", "x1", x0, dx, meta["width"]))).withColumn("tr", F.explode(tiles("y1", "y0", y0, dy, meta["height"])))
+    placed = grid.withColumns({"pixel_x": x0 + (F.col("col") + 0.5) * dx, "pixel_y": y0 + (F.col("row") + 0.5) * dy, "tc": F.floor(F.col("col") / tile), "tr": F.floor(F.col("row") / tile)})
     x, y = F.col("pixel_x"), F.col("pixel_y")
     in_box = x.between(F.col("__b.x0"), F.col("__b.x1")) & y.between(F.col("__b.y0"), F.col("__b.y1"))
     columns = [key, clase, "pixel_x", "pixel_y", "row", "col", *bands]

@@ -47,14 +47,70 @@ def band_statistics(pixels: DataFrame, bands: list[str], bins: int = 256) -> Dat
     return base.drop("low", "high").join(F.broadcast(entropy), "band")
 
 
-def object_band_statistics(pixels: DataFrame, bands: list[str], key: str = "objeto_id", bins: int = 16) -> DataFrame:
+#: Rows of an object and band from which its quantiles are found by selection, in many tasks.
+LARGE = 1_000_000
+RANGES = 256
+
+
+def quantiles(rows: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
+    """(by, q0, q1 ...): exact quantiles of x, interpolated between ranks, with no task that holds a group.
+
+    Values are counted by ranges that approximate quantiles cut, equal values as one; the counts say which ranges hold the ranks
+    that are asked for, and only those ranges are put in order, each for itself.
+    """
+    rows = rows.where("x IS NOT NULL")
+    cuts = rows.groupBy(by).agg(F.percentile_approx("x", [k / RANGES for k in range(1, RANGES)], 4 * RANGES).alias("cuts"))
+    ranged = rows.join(cuts, by).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("x"))))
+    values = ranged.groupBy(*by, "range", "x").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    counts = values.groupBy(*by, "range").agg(F.sum("n").alias("n")).withColumns({"before": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "total": F.sum("n").over(Window.partitionBy(by))})
+    place = lambda q: q * (F.col("total") - 1)
+    ends = [F.struct(F.lit(2 * i + up).alias("which"), (f(place(q))).cast("long").alias("rank")) for i, q in enumerate(shares) for up, f in enumerate((F.floor, F.ceil))]
+    asked = counts.withColumn("e", F.explode(F.array(*ends))).where((F.col("e.rank") >= F.col("before")) & (F.col("e.rank") < F.col("before") + F.col("n")))
+    asked = asked.select(*by, "range", "total", "before", "e.which", "e.rank")
+    order = Window.partitionBy(*by, "range").orderBy("x")
+    needed = values.join(asked.select(*by, "range").distinct(), [*by, "range"], "left_semi")
+    inside = needed.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    hits = inside.join(asked, [*by, "range"]).where((F.col("before") + F.col("upto") > F.col("rank")) & (F.col("before") + F.col("upto") - F.col("n") <= F.col("rank")))
+    at = lambda w: F.max(F.when(F.col("which") == w, F.col("x")))
+    found = hits.groupBy(by).agg(F.first("total").alias("total"), *(at(w).alias(f"v{w}") for w in range(2 * len(shares))))
+    part = lambda q: place(q) - F.floor(place(q))
+    return found.select(*by, *(((1 - part(q)) * F.col(f"v{2 * i}") + part(q) * F.col(f"v{2 * i + 1}")).alias(f"q{i}") for i, q in enumerate(shares)))
+
+
+def object_band_statistics(pixels: DataFrame, bands: list[str], key: str = "objeto_id", bins: int = 16, large: int = LARGE) -> DataFrame:
     """A row for each object and band: n, mean, median, std, min, max, p25, p75, skew, kurt, mad, entropy.
 
-    One shuffle by object and band carries the windows and both groupings.
+    One shuffle by object and band carries the windows and both groupings.  Objects of more than ``large`` rows, of which there
+    are few by nature, take sums, histograms and ``quantiles`` instead, which spread over all tasks; the results are the same.
     """
+    sizes = pixels.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > large).select(key).persist()
+    few = sizes.count()
+    if not few:
+        return _small_objects(melted(pixels, bands, key), key, bins)
+    mark = F.broadcast(sizes) if few <= 100_000 else sizes
+    small = _small_objects(melted(pixels.join(mark, key, "left_anti"), bands, key), key, bins)
+    return small.unionByName(_large_objects(melted(pixels.join(mark, key, "left_semi"), bands, key), key, bins))
+
+
+def _large_objects(long: DataFrame, key: str, bins: int) -> DataFrame:
+    by, x = [key, "band"], F.col("x")
+    skew, kurt = moments(x)
+    base = long.groupBy(by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), skew.alias("skew"), kurt.alias("kurt"))
+    binned = long.join(base.select(*by, "min", "max", F.col("n").alias("total")), by).groupBy(*by, bin_of(x, F.col("min"), F.col("max"), bins).alias("bin")).agg(F.count("*").alias("c"), F.first("total").alias("total"))
+    share = F.col("c") / F.col("total")
+    entropy = binned.groupBy(by).agg(F.abs(F.sum(-share * F.log2(share))).alias("entropy"))
+    q = quantiles(long, by, [0.25, 0.5, 0.75]).select(*by, F.col("q0").alias("p25"), F.col("q1").alias("median"), F.col("q2").alias("p75"))
+    apart = long.join(q.select(*by, "median"), by).select(*by, F.abs(x - F.col("median")).alias("x"))
+    mad = quantiles(apart, by, [0.5]).select(*by, F.col("q0").alias("mad"))
+    whole = base.join(q, by).join(mad, by).join(entropy, by)
+    return whole.select(*by, "n", "mean", "median", "std", "min", "max", "p25", "p75", "skew", "kurt", "mad", "entropy")
+
+
+def _small_objects(values: DataFrame, key: str, bins: int) -> DataFrame:
     by = Window.partitionBy(key, "band")
     x = F.col("x")
-    long = melted(pixels, bands, key).withColumns({"m": F.median(x).over(by), "low": F.min(x).over(by), "high": F.max(x).over(by)})
+    long = values.withColumns({"m": F.median(x).over(by), "low": F.min(x).over(by), "high": F.max(x).over(by)})
     placed = long.withColumn("bin", bin_of(x, F.col("low"), F.col("high"), bins))
     placed = placed.withColumn("share", F.count("*").over(Window.partitionBy(key, "band", "bin")) / F.count("*").over(by))
     skew, kurt = moments(x)

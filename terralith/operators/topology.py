@@ -28,20 +28,29 @@ def shapes(objects: DataFrame, key: str = "objeto_id", polygons: str = "polygons
 def touch_degree(objects: DataFrame, key: str = "objeto_id", polygons: str = "polygons", tolerance: float = 1e-9) -> DataFrame:
     """(key, neighbors): number of other objects whose boundary an object's boundary meets while their interiors don't.
 
-    Candidates are objects whose boxes meet.  Boxes are laid out in square cells as wide as the mean box; a pair is looked at
-    in the one cell that holds the lower left corner of what its boxes share, so no pair is seen twice and none is stored.
+    Candidates are objects whose boxes meet.  They are found on a grid of levels: the cells of a level are twice as wide as those
+    of the next finer one, and a box's own level is the first whose cells are as wide as itself.  There it lies in four cells at
+    most, and so it does on the coarser levels that some box has for its own, where it meets larger boxes.  A pair is looked at
+    on the level of the larger box, in the one cell that holds the lower left corner of what the boxes share.
     """
     g = F.col(polygons)
     rows = objects.where(G.present(g)).select(F.col(key).alias("k"), g.alias("g"), G.bounds(g).alias("b"))
-    width = rows.agg(F.avg(F.greatest(F.col("b.x1") - F.col("b.x0"), F.col("b.y1") - F.col("b.y0"))).alias("w")).head()["w"] or 1.0
-    width = max(width, 1e-300)
-    cell = lambda c: F.floor(F.col(c) / width).cast("long")
-    cells = rows.withColumn("gx", F.explode(F.sequence(cell("b.x0"), cell("b.x1")))).withColumn("gy", F.explode(F.sequence(cell("b.y0"), cell("b.y1"))))
-    slack = tolerance * width
-    left, right = cells.select("gx", "gy", *(F.col(c).alias(f"{c}1") for c in "kgb")), cells.select("gx", "gy", *(F.col(c).alias(f"{c}2") for c in "kgb"))
+    size = F.greatest(F.col("b.x1") - F.col("b.x0"), F.col("b.y1") - F.col("b.y0"))
+    width = rows.agg(F.avg(size).alias("w")).head()["w"] or 1.0
+    slack = tolerance * max(width, 1e-300)
+    # boxes that are millions of times finer than the mean share a level
+    rows = rows.withColumn("own", F.ceil(F.log2(F.greatest(size, F.lit(max(width, 1e-300) * 2.0**-20)))).cast("int"))
+    levels = F.array(*(F.lit(r["own"]) for r in sorted(rows.select("own").distinct().collect())))  # no more than a double has exponents
+    cell = lambda c: F.floor(c / F.pow(F.lit(2.0), "level")).cast("long")
+    span = lambda axis: F.sequence(cell(F.col(f"b.{axis}0")), cell(F.col(f"b.{axis}1")))
+    cells = rows.withColumn("level", F.explode(F.filter(levels, lambda v: v >= F.col("own")))).withColumn("gx", F.explode(span("x"))).withColumn("gy", F.explode(span("y")))
+    place = ["level", "gx", "gy"]
+    large = cells.where("level = own").select(*place, *(F.col(c).alias(f"{c}1") for c in "kgb"))
+    small = cells.select(*place, "own", *(F.col(c).alias(f"{c}2") for c in "kgb"))
     meet = (F.col("b1.x0") <= F.col("b2.x1") + slack) & (F.col("b2.x0") <= F.col("b1.x1") + slack) & (F.col("b1.y0") <= F.col("b2.y1") + slack) & (F.col("b2.y0") <= F.col("b1.y1") + slack)
-    once = (F.floor(F.least(F.greatest("b1.x0", "b2.x0"), F.col("b1.x1"), F.col("b2.x1")) / width) == F.col("gx")) & (F.floor(F.least(F.greatest("b1.y0", "b2.y0"), F.col("b1.y1"), F.col("b2.y1")) / width) == F.col("gy"))
-    pairs = left.join(right, ["gx", "gy"]).where((F.col("k1") < F.col("k2")) & meet & once)
+    corner = lambda axis: F.least(F.greatest(f"b1.{axis}0", f"b2.{axis}0"), F.col(f"b1.{axis}1"), F.col(f"b2.{axis}1"))
+    once = (cell(corner("x")) == F.col("gx")) & (cell(corner("y")) == F.col("gy")) & ((F.col("own") < F.col("level")) | (F.col("k1") < F.col("k2")))
+    pairs = large.join(small, place).where(meet & once)
 
     @F.pandas_udf("boolean")
     def touching(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
