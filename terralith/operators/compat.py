@@ -57,6 +57,16 @@ def resolution(objects: DataFrame, pixel_area: float, polygons: str = "polygons"
     return rows.agg(F.count("*").alias("n"), F.min("a").alias("area_min"), F.max("a").alias("area_max"), F.avg("a").alias("area_mean"), F.stddev_pop("a").alias("area_std"), F.avg(ratio).alias("ratio_mean"), F.median(ratio).alias("ratio_median"))
 
 
+def scale_histogram(objects: DataFrame, pixel_area: float, bins: int = 20, polygons: str = "polygons", key: str = "objeto_id") -> DataFrame:
+    """(bin, low, high, n): objects by a pixel's share of their area, in bins of equal width; bins without an object are left out."""
+    shares = ratios(objects, pixel_area, polygons, key).select("ratio")
+    span = shares.agg(F.min("ratio").alias("r0"), F.max("ratio").alias("r1"))
+    place = F.least(F.floor(F.coalesce(F.try_divide(F.col("ratio") - F.col("r0"), F.col("r1") - F.col("r0")), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
+    counts = shares.crossJoin(F.broadcast(span)).groupBy(place.alias("bin"), "r0", "r1").agg(F.count("*").alias("n"))  # one row on the right
+    edge = lambda k: F.col("r0") + (F.col("r1") - F.col("r0")) * k / bins
+    return counts.select("bin", edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"), "n")
+
+
 def ratios(objects: DataFrame, pixel_area: float, polygons: str = "polygons", key: str = "objeto_id") -> DataFrame:
     """(key, ratio): a pixel's share of each object's area."""
     return objects.where(G.present(F.col(polygons))).select(key, (F.lit(float(pixel_area)) / G.area(F.col(polygons))).alias("ratio")).where("ratio > 0")

@@ -101,7 +101,8 @@ def semivariogram_fit(lags: DataFrame, points: DataFrame) -> DataFrame:
     variance = points.agg(F.var_pop("value").alias("v")).head()["v"] or 0.0
     h, gamma = np.array([r["h"] for r in rows], float), np.array([r["gamma"] for r in rows], float)
     found = fit_global(h, gamma, variance, 2 * h[0] * len(h) if len(h) else 0.0)
-    return lags.sparkSession.createDataFrame([tuple(found.values())], "modelo string, nugget double, sill double, range double, mse double")
+    row = [v if v is None or isinstance(v, str) else float(v) for v in found.values()]
+    return lags.sparkSession.createDataFrame([row], "modelo string, nugget double, sill double, range double, mse double")
 
 
 def sampled(pixels: DataFrame, most: int = 400, key: str = "objeto_id") -> DataFrame:

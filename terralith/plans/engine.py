@@ -33,7 +33,7 @@ def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def observability(grid: DataFrame, meta: dict, objects: DataFrame, bands: list[str], class_field: str = "clase", band: str | None = None) -> dict[str, DataFrame]:
-    """Sections extents, coverage, resolution, spectral_stats, pearson, spearman, pca, moran, semivariogram_lags, semivariogram,
+    """Sections extents, coverage, resolution, scale_histogram, spectral_stats, pearson, spearman, pca, moran, semivariogram_lags, semivariogram,
     toi; and the table pixels.  ``band`` is the one of the spatial structure (the first, if not given)."""
     band = band or bands[0]
     pixels = spatial.extract_pixels(grid, objects, meta, bands, clase=class_field).persist()
@@ -44,6 +44,7 @@ def observability(grid: DataFrame, meta: dict, objects: DataFrame, bands: list[s
         "spectral_stats": stats.band_statistics(grid, bands), "pearson": correlations(grid, bands), "pca": stats.pca(grid, bands), "moran": spatial.morans_i(points),
         "semivariogram_lags": spatial.semivariogram(points),
     }
+    out["scale_histogram"] = compat.scale_histogram(objects, abs(meta["dx"] * meta["dy"]))
     out["spearman"] = stats.spearman(grid, bands) if len(bands) > 1 else out["pearson"]
     out["semivariogram"] = variogram.semivariogram_fit(out["semivariogram_lags"], points)
     entropy = out["spectral_stats"].agg(F.avg("entropia").alias("entropy"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terralith.functions import geometry as G
 from terralith.operators import compat, features, indexes, separability, spatial, stats, texture, topology, tsne, variogram
+from terralith.plans import engine
 from terralith.plans import fixtures as X
 from terralith.sources import raster, sinks, vector
 from terralith.sources.parts import shared_folder
@@ -140,8 +141,7 @@ def whole_meta(spark: SparkSession, d: str) -> dict:
     return {"x0": x0, "dx": 30.0, "y0": y0, "dy": -30.0, "width": math.ceil((max(o["x1"], p["x1"] + 15) - x0) / 30), "height": math.ceil((y0 - min(o["y1"], p["y1"] - 15)) / 30)}
 
 
-@query(
-    X.WITH + """, o AS (SELECT min(xmin) AS x0, max(ymax) AS y0, max(xmax) AS x1, min(ymin) AS y1 FROM objects), p AS (SELECT min(pixel_x) - 15.0e0 AS x0, max(pixel_y) + 15.0e0 AS y0, max(pixel_x) + 15.0e0 AS x1, min(pixel_y) - 15.0e0 AS y1 FROM pixels),
+EXTRACTION = X.WITH + """, o AS (SELECT min(xmin) AS x0, max(ymax) AS y0, max(xmax) AS x1, min(ymin) AS y1 FROM objects), p AS (SELECT min(pixel_x) - 15.0e0 AS x0, max(pixel_y) + 15.0e0 AS y0, max(pixel_x) + 15.0e0 AS x1, min(pixel_y) - 15.0e0 AS y1 FROM pixels),
     b AS (SELECT least(o.x0, p.x0) AS x0, greatest(o.y0, p.y0) AS y0, greatest(o.x1, p.x1) AS x1, least(o.y1, p.y1) AS y1 FROM o, p), meta AS (SELECT x0, y0, CAST(ceil((x1 - x0) / 30.0e0) AS INT) AS width, CAST(ceil((y0 - y1) / 30.0e0) AS INT) AS height FROM b),
     grid AS (SELECT CAST(floor((pixel_y - y0) / -30.0e0) AS INT) AS "row", CAST(floor((pixel_x - x0) / 30.0e0) AS INT) AS col, max(b1) AS b1, max(b2) AS b2 FROM pixels, meta GROUP BY 1, 2),
     placed AS (SELECT g.*, x0 + (col + 0.5e0) * 30.0e0 AS pixel_x, y0 - ("row" + 0.5e0) * 30.0e0 AS pixel_y FROM grid g, meta),
@@ -149,8 +149,10 @@ def whole_meta(spark: SparkSession, d: str) -> dict:
     alone AS (SELECT objeto_id, clase, least(greatest(CAST(trunc(((xmin + xmax) / 2 - x0) / 30.0e0) AS INT), 0), width - 1) AS col, least(greatest(CAST(trunc(((ymin + ymax) / 2 - y0) / -30.0e0) AS INT), 0), height - 1) AS "row"
       FROM objects, meta WHERE objeto_id NOT IN (SELECT objeto_id FROM inside)),
     every AS (SELECT objeto_id, clase, pixel_x, pixel_y, "row", col, b1, b2 FROM inside UNION ALL
-      SELECT a.objeto_id, a.clase, g.pixel_x, g.pixel_y, g."row", g.col, g.b1, g.b2 FROM alone a JOIN placed g ON a."row" = g."row" AND a.col = g.col)
-    SELECT objeto_id, clase, """ + ", ".join(r(c, c) for c in ("pixel_x", "pixel_y", "b1", "b2")) + ', "row", col FROM every'
+      SELECT a.objeto_id, a.clase, g.pixel_x, g.pixel_y, g."row", g.col, g.b1, g.b2 FROM alone a JOIN placed g ON a."row" = g."row" AND a.col = g.col)"""
+
+
+@query(EXTRACTION + " SELECT objeto_id, clase, " + ", ".join(r(c, c) for c in ("pixel_x", "pixel_y", "b1", "b2")) + ', "row", col FROM every'
 )
 def pixel_extraction_pip(spark: SparkSession, d: str) -> DataFrame:
     meta = whole_meta(spark, d)
@@ -233,6 +235,59 @@ def ascii_grid_rows(spark: SparkSession, d: str) -> DataFrame:
     return grid.where("b1 IS NOT NULL").groupBy("row").agg(F.count("*").alias("n"), F.sum("col").alias("cols"), F.sum("b1").alias("total"), F.min("b1").alias("low"), F.max("b1").alias("high"))
 
 
+@query(
+    X.WITH + f""", a AS (SELECT 900.0e0 / ((xmax - xmin) * (ymax - ymin)) AS x FROM objects), s AS (SELECT min(x) AS r0, max(x) AS r1 FROM a),
+    c AS (SELECT CAST(least(CASE WHEN r1 > r0 THEN floor((x - r0) / (r1 - r0) * 20) ELSE 0 END, 19) AS INT) AS bin, r0, r1, count(*) AS n FROM a, s GROUP BY 1, 2, 3)
+    SELECT bin, {r('r0 + (r1 - r0) * bin / 20', 'low', 8)}, {r('r0 + (r1 - r0) * (bin + 1) / 20', 'high', 8)}, n FROM c""", 8,
+)
+def scale_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return compat.scale_histogram(X.with_polygons(X.objects(spark, d)), 900.0)
+
+
+FAR = "sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2))"
+CLIPPED = "least(greatest({}, 0), 100)"
+
+
+@query(
+    EXTRACTION + f""", size AS (SELECT *, (xmax - xmin) * (ymax - ymin) AS area, (xmin + xmax) / 2 AS cx, (ymin + ymax) / 2 AS cy FROM objects),
+    cover AS (SELECT count(*) FILTER (WHERE xmin <= x0 + 30 * width AND xmax >= x0 AND ymin <= y0 AND ymax >= y0 - 30 * height) * 100.0e0 / count(*) AS pct, median(900.0e0 / area) AS ratio FROM size, meta),
+    long AS (SELECT 'b1' AS band, b1 AS x FROM grid UNION ALL SELECT 'b2', b2 FROM grid), mid AS (SELECT *, min(x) OVER w AS low, max(x) OVER w AS high, count(*) OVER w AS n FROM long WINDOW w AS (PARTITION BY band)),
+    e AS (SELECT band, abs(sum(-p * log2(p))) AS h FROM (SELECT band, count(*) / max(n) AS p FROM mid GROUP BY band, least(CASE WHEN high > low THEN floor((x - low) / (high - low) * 256) ELSE 0 END, 255)) q GROUP BY band),
+    v AS (SELECT o.objeto_id, o.cx, o.cy, coalesce(avg(p.b2), 0) AS value FROM size o LEFT JOIN every p ON o.objeto_id = p.objeto_id GROUP BY ALL), z AS (SELECT objeto_id, cx, cy, value - (SELECT avg(value) FROM v) AS z FROM v),
+    lagged AS (SELECT a.objeto_id, max(a.z) AS z, sum(b.z / {FAR}) / sum(1 / {FAR}) AS lag FROM z a JOIN z b ON a.objeto_id <> b.objeto_id GROUP BY a.objeto_id),
+    s AS (SELECT {CLIPPED.format('pct')} AS cobertura, {CLIPPED.format('(1 - ratio) * 100')} AS resolucion, {CLIPPED.format('(SELECT avg(h) FROM e) / 8 * 100')} AS informacion,
+      {CLIPPED.format('(1 - (SELECT abs(corr(b1, b2)) FROM grid)) * 100')} AS redundancia, {CLIPPED.format('(SELECT sum(z * lag) FROM lagged) / (SELECT sum(z * z) FROM z) * 100')} AS estructura FROM cover),
+    t AS (SELECT *, 0.2e0 * cobertura + 0.25e0 * resolucion + 0.25e0 * informacion + 0.15e0 * redundancia + 0.15e0 * estructura AS toi FROM s)
+    SELECT CASE WHEN toi >= 80 THEN '{indexes.TOI_LABELS[0]}' WHEN toi >= 60 THEN '{indexes.TOI_LABELS[1]}' WHEN toi >= 40 THEN '{indexes.TOI_LABELS[2]}' ELSE '{indexes.TOI_LABELS[3]}' END AS categoria, """
+    + ", ".join(r(c, c, 4) for c in ("toi", "cobertura", "resolucion", "informacion", "redundancia", "estructura")) + " FROM t", 4,
+)
+def observability_index(spark: SparkSession, d: str) -> DataFrame:
+    """The first diagnosis as a whole, over a raster of all pixels and a layer of all objects."""
+    meta = whole_meta(spark, d)
+    grid = raster_of(X.pixels(spark, d), meta)
+    return engine.observability(grid, meta, X.with_polygons(X.objects(spark, d)), ["b1", "b2"], band="b2")["toi"]
+
+
+@query()
+def learnability_index(spark: SparkSession, d: str) -> DataFrame:
+    """The second diagnosis as a whole, over all columns of the feature table.  K-means has no SQL."""
+    features = X.all_features(spark, d).drop("label", "f_const", "cluster")
+    return engine.separable(features, with_tsne=False)["tli"]
+
+
+@query(
+    f"""WITH long AS (SELECT vec_id, i, 'f' || i AS v, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range({X.EVERY}) t(i)
+      UNION ALL SELECT vec_id, {X.EVERY}, 'f_sig', CAST(embedding[2] AS DOUBLE) + 0.1e0 * label FROM embeddings
+      UNION ALL SELECT vec_id, {X.EVERY + 1}, 'f_col', 0.95e0 * CAST(embedding[2] AS DOUBLE) + 0.05e0 * CAST(embedding[3] AS DOUBLE) FROM embeddings),
+    c AS (SELECT a.v AS a, b.v AS b, corr(a.x, b.x) AS r FROM long a JOIN long b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.v, b.v)
+    SELECT a, b, {r('r', 'r')} FROM c ORDER BY abs(r) DESC, a, b LIMIT 8"""
+)
+def redundant_pairs_top8(spark: SparkSession, d: str) -> DataFrame:
+    """The eight pairs of all columns that are most alike, as the report shows them."""
+    pairs = stats.wide_pearson(X.all_features(spark, d), EVERY)
+    return pairs.orderBy(F.desc_nulls_last(F.abs("r")), "a", "b").limit(8)
+
+
 BOX = "-1007.0e0 AS rx0, 600.0e0 AS ry0, 19993.0e0 AS rx1, 3000.0e0 AS ry1"
 
 
