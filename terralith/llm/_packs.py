@@ -2,12 +2,18 @@
 
 Jobs that give numbers back to texts in several rounds work on packs: a pack and what is sent to it meet by its name, and
 what it sends is one row for each target instead of one for each word.
+
+``exchange`` takes what packs send to hash or range parts and brings the answers back.  The parts grow with the packs, so a row
+for each pack and part would be a number that grows with the square of the input.  Beyond FAN parts a pack sends one bundle to
+each of FAN groups of parts; bundles of some FAN packs meet in a cell, which sends one bundle to each part of its group; answers
+go back by the same two steps.  No step makes more than FAN rows for a pack (or the root of the parts, beyond FAN * FAN of them).
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import math
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import written
 from ._text import column_bytes
 
 LAST = (1 << 63) - 1  # stands for a missing id
 
 ROW = "pack string, kind int, part int, blob binary"
+FAN = 1024  # rows that a pack sends at most
+BUNDLE = -1  # the kind of a ROW whose blob holds ROWs
 _CODEC = pa.Codec("zstd", compression_level=1)
 
 
@@ -52,7 +61,7 @@ def packs(docs: DataFrame, id_col: str, text: str, size: int = 1 << 22) -> DataF
             head = np.concatenate([i, n]).astype(np.int64).tobytes()
             nonlocal made
             made += 1
-            name = f"{hashlib.md5(head + hashlib.md5(b).digest()).hexdigest()}-{task}-{made}"  # equal packs of several tasks stay apart
+            name = f"{task}-{made}"  # the table of packs is written once, so names stay
             return rows_of([(name, 0, 0, squeeze(head)), (name, 0, 1, squeeze(b))])
 
         for batch in batches:
@@ -91,3 +100,88 @@ def by_pack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, dict[tuple
             got[kind, part] = blob
             if len(got) == 2:
                 yield name, open_.pop(name)
+
+
+def bundled(pieces: list[tuple]) -> bytes:
+    return rows_of(pieces).serialize().to_pybytes()
+
+
+def pieces_of(blob: bytes) -> list[tuple]:
+    return tuples(pa.ipc.read_record_batch(pa.py_buffer(blob), rows_of([]).schema))
+
+
+def tuples(rows: pa.Table | pa.RecordBatch) -> list[tuple]:
+    return list(zip(*(rows.column(k).to_pylist() for k in ("pack", "kind", "part", "blob")), strict=True))
+
+
+def groups_of(parts: int, fan: int) -> int:
+    """Parts in a group: 1 where packs send to the parts themselves."""
+    return -(-parts // max(fan, math.isqrt(parts - 1) + 1))
+
+
+def outgoing(name: str, rows: list[tuple], parts: int, fan: int = FAN) -> pa.RecordBatch:
+    """What the pack ``name`` sends to parts 0 to ``parts`` - 1, for ``exchange``."""
+    width = groups_of(parts, fan)
+    if width == 1:
+        return rows_of(rows)
+    groups = defaultdict(list)
+    for row in rows:
+        groups[row[2] // width].append(row)
+    return rows_of([(name, BUNDLE, g, bundled(some)) for g, some in groups.items()])
+
+
+def received(got: pa.Table) -> tuple[str, dict[tuple[int, int], bytes]]:
+    """Name of a pack, and blobs by kind and part, from the pack's rows and what was sent to it."""
+    rows = {}
+    for _, kind, part, blob in tuples(got):
+        rows.update({(k, p): b for _, k, p, b in pieces_of(blob)} if kind == BUNDLE else {(kind, part): blob})
+    return got.column("pack")[0].as_py(), rows
+
+
+def exchange(rows: DataFrame, meet: Callable[[pa.Table], pa.Table], by: list[str], parts: int, fan: int = FAN, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """ROWs that ``meet`` gives for the ROWs of each group by ``by`` (part, or kind and part), for ``received``.
+
+    ``rows`` come from ``outgoing``.  ``meet`` answers to packs that it was sent something by, and may give rows without a name.
+    ``scratch`` gets the table that stands between the steps, which can go once the result is written.
+    """
+    width = groups_of(parts, fan)
+    if width == 1:
+        return rows.groupBy(*by).applyInArrow(meet, ROW)
+    blocks = 4 * width  # there is a part for each four packs, so a cell gets about as much as a pack holds
+    kinds = "kind" in by
+
+    def onward(got: pa.Table) -> pa.Table:
+        cell, to = "", defaultdict(list)
+        for name, _, group, blob in tuples(got):
+            cell = min(cell, f"{group}/{name}") if cell else f"{group}/{name}"
+            for row in pieces_of(blob):
+                to[row[1] if kinds else BUNDLE, row[2]].append(row)
+        return pa.Table.from_batches([rows_of([(cell, k, p, bundled(some)) for (k, p), some in to.items()])])
+
+    def met(got: pa.Table) -> pa.Table:
+        cell_of, every, back, out = {}, [], defaultdict(list), []
+        for cell, _, _, blob in tuples(got):
+            some = pieces_of(blob)
+            every += some
+            cell_of.update((row[0], cell) for row in some)
+        for row in tuples(meet(pa.Table.from_batches([rows_of(every)]))):
+            if row[0]:
+                back[cell_of[row[0]]].append(row)
+            else:
+                out.append(row)
+        part = every[0][2]
+        return pa.Table.from_batches([rows_of(out + [(cell, BUNDLE, part, bundled(some)) for cell, some in back.items()])])
+
+    def home(got: pa.Table) -> pa.Table:
+        to, group = defaultdict(list), int(got.column("pack")[0].as_py().split("/")[0])
+        for _, _, _, blob in tuples(got):
+            for row in pieces_of(blob):
+                to[row[0]].append(row)
+        return pa.Table.from_batches([rows_of([(name, BUNDLE, group, bundled(some)) for name, some in to.items()])])
+
+    block = F.pmod(F.xxhash64("pack"), F.lit(blocks)).alias("block")
+    answers = rows.groupBy("part", block).applyInArrow(onward, ROW).groupBy(*by).applyInArrow(met, ROW)
+    kept = written(answers, "answers")  # read twice: rows without a name, and those on their way back
+    if scratch is not None:
+        scratch.append(kept)
+    return kept.where("pack = ''").unionByName(kept.where("pack <> ''").groupBy("pack").applyInArrow(home, ROW))

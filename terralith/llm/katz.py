@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._packs import LAST, ROW, by_pack, expand, opened, packs, rows_of, squeeze
+from ._packs import BUNDLE, FAN, LAST, ROW, by_pack, exchange, expand, opened, outgoing, packs, received, rows_of, squeeze
 from ._tables import deleted, written
 from ._text import LOWER, U64, crc_mod, mix, owners, parts, span_hash, words
 
@@ -187,28 +187,25 @@ def meet(got: pa.Table) -> pa.Table:
     return pa.Table.from_batches([rows_of([*out, ("", STATS, part, stats_of(kind, total[total > 0]).tobytes())])])
 
 
-def short_counts(table: DataFrame, buckets: int) -> DataFrame:
+def short_counts(table: DataFrame, buckets: int, fan: int = FAN, scratch: list[DataFrame] | None = None) -> DataFrame:
     """ROW: totals of tokens and pairs for each pack, and counts of counts of each bucket."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, rows in by_pack(batches):
             s = Stream(*opened(rows), buckets)
+            out = []
             for kind, h, train, flag in ((TOKENS, s.tokens, s.token_train, s.token_asked), (PAIRS, s.pairs, s.pair_train, s.pair_asked)):
-                yield rows_of([question(name, kind, k, h[use], train[use], flag[use]) for k, use in enumerate(s.dealt[kind]) if len(use)])
+                out += [question(name, kind, k, h[use], train[use], flag[use]) for k, use in enumerate(s.dealt[kind]) if len(use)]
+            yield outgoing(name, out, buckets, fan)
 
-    return table.mapInArrow(send, ROW).groupBy("kind", "part").applyInArrow(meet, ROW)
+    return exchange(table.mapInArrow(send, ROW), meet, ["kind", "part"], buckets, fan, scratch)
 
 
-def by_name(got: pa.Table) -> tuple[str, dict[tuple[int, int], bytes]]:
-    rows = zip(*(got.column(c).to_pylist() for c in ("kind", "part", "blob")), strict=True)
-    return got.column("pack")[0].as_py(), {(k, p): b for k, p, b in rows}
-
-
-def triple_counts(together: DataFrame, buckets: int) -> DataFrame:
+def triple_counts(together: DataFrame, buckets: int, fan: int = FAN, scratch: list[DataFrame] | None = None) -> DataFrame:
     """ROW: the same for triples, from packs and their pairs' totals."""
 
     def send(got: pa.Table) -> pa.Table:
-        name, rows = by_name(got)
+        name, rows = received(got)
         s = Stream(*opened(rows), buckets).with_triples()
         use = s.shared(*s.answers(rows, PAIRS, s.dealt[PAIRS], len(s.pairs)))
         alone = np.ones(len(s.triples), bool)
@@ -216,9 +213,27 @@ def triple_counts(together: DataFrame, buckets: int) -> DataFrame:
         known = s.triple_train[alone & (s.triple_train > 0)]
         none = np.zeros(len(use), np.uint8)
         out = [question(name, TRIPLES, k, s.triples[use][x], s.triple_train[use][x], none[x]) for k, x in enumerate(s.deal(s.triples[use])) if len(x)]
-        return pa.Table.from_batches([rows_of([*out, ("", STATS, int(s.pairs[0] % U64(buckets)) if len(s.pairs) else 0, stats_of(TRIPLES, known).tobytes())])])
+        out.append(("", STATS, int(s.pairs[0] % U64(buckets)) if len(s.pairs) else 0, stats_of(TRIPLES, known).tobytes()))
+        return pa.Table.from_batches([outgoing(name, out, buckets, fan)])
+
+    return exchange(together.groupBy("pack").applyInArrow(send, ROW), meet, ["kind", "part"], buckets, fan, scratch)
+
 
-    return together.groupBy("pack").applyInArrow(send, ROW).groupBy("kind", "part").applyInArrow(meet, ROW)
+def summed(stats: DataFrame) -> np.ndarray:
+    """Rows of STATS, added up by kind in the tasks that hold them, then in a few tasks: at most some dozens come to the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                row = np.frombuffer(blob, np.int64)
+                total[int(row[0])] = total.get(int(row[0]), 0) + row
+        for kind, row in total.items():
+            row[0] = kind
+            yield pa.RecordBatch.from_arrays([pa.array([row.tobytes()], pa.binary())], names=["blob"])
+
+    rows = stats.select("blob").mapInArrow(add, "blob binary").repartition(8).mapInArrow(add, "blob binary").collect()
+    return np.array([np.frombuffer(bytes(r["blob"]), np.int64) for r in rows])
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -261,25 +276,27 @@ class Model:
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", buckets: int | None = None, fan: int = FAN) -> DataFrame:
     """RESULT: log10 probabilities of every whole text.  Documents with crc32(id) mod 7 of 2 are held out of the training.
 
     Null and empty texts hold the end token only; rows without an id belong to the training; repeated rows count each; an
     empty table gives no rows.  Without any training token all scores are 0.  ``buckets``: hash parts of the count tables (where
     it isn't given: one for each four packs of 4 MB, and two for each shuffle partition at least, so that parts don't grow).
+    ``fan``: the most rows that a pack sends at once; beyond that many buckets they are reached in two steps.
     """
     spark = docs.sparkSession
     table = written(packs(docs, id_col, text), "packs")
     buckets = buckets or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), table.where("kind = 0 AND part = 1").count() // 4)
-    counts = written(short_counts(table, buckets), "counts")
+    between: list[DataFrame] = []
+    counts = written(short_counts(table, buckets, fan, between), "counts")
     numbers = F.col("kind") == STATS
     together = table.unionByName(counts.where(~numbers))
-    triples = written(triple_counts(together, buckets), "triples")
-    stats = counts.where(numbers).unionByName(triples.where(numbers)).select("blob").collect()  # a row of 9 numbers for each bucket
-    model = Model(np.array([np.frombuffer(bytes(r["blob"]), np.int64) for r in stats]))
+    triples = written(triple_counts(together, buckets, fan, between), "triples")
+    deleted(*between)
+    model = Model(summed(counts.where(numbers).unionByName(triples.where(numbers))))
 
     def evaluate(got: pa.Table) -> pa.Table:
-        name, rows = by_name(got)
+        name, rows = received(got)
         ids, buf, offs = opened(rows)
         s = Stream(ids, buf, offs, buckets).with_triples()
         c1, asked1 = s.answers(rows, TOKENS, s.dealt[TOKENS], len(s.tokens))
@@ -321,8 +338,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         base = np.log10((c1 + 1) / (model.n + model.types + 1))
         by_doc = [ids.tobytes(), s.held.astype(np.int64).tobytes(), np.diff(s.first).astype(np.int64).tobytes(), np.bincount(s.doc, weights=c1[s.token] > 0, minlength=n).astype(np.int64).tobytes()]
         by_doc += [np.bincount(s.doc, weights=x, minlength=n).tobytes() for x in (base[s.token], log)]
-        out.append((name, SCORES, -1, squeeze(b"".join(by_doc))))
-        return pa.Table.from_batches([rows_of(out)])
+        return pa.Table.from_batches([outgoing(name, out, buckets, fan), rows_of([(name, SCORES, 0, squeeze(b"".join(by_doc)))])])
 
     everything, round_of = together.unionByName(triples.where(~numbers)), F.pmod(F.xxhash64("pack"), F.lit(ROUNDS))
     some = [written(everything.where(round_of == k).groupBy("pack").applyInArrow(evaluate, ROW), "evaluated") for k in range(ROUNDS)]
@@ -350,17 +366,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 out.append((name, BACKOFF, got.column("part")[0].as_py(), squeeze(docs_.astype(np.int64).tobytes() + total.tobytes())))
         return pa.Table.from_batches([rows_of(out)])
 
-    backoff = first.where(F.col("kind").isin(SUMS, ASKED)).groupBy("part").applyInArrow(weigh, ROW)
+    backoff = exchange(first.where(F.col("kind").isin(SUMS, ASKED, BUNDLE)), weigh, ["part"], buckets, fan)
     train_tokens = model.n
 
     def finish(got: pa.Table) -> pa.Table:
-        rows = list(zip(got.column("kind").to_pylist(), got.column("part").to_pylist(), got.column("blob").to_pylist(), strict=True))
-        data = expand(next(b for k, _, b in rows if k == SCORES))
+        _, rows = received(got)
+        data = expand(rows[SCORES, 0])
         n = len(data) // 48
         ids, held, size, known = (np.frombuffer(data, np.int64, n, 8 * n * k) for k in range(4))
         base, score = np.frombuffer(data, np.float64, n, 32 * n), np.frombuffer(data, np.float64, n, 40 * n).copy()
-        for _, _, blob in sorted((r for r in rows if r[0] == BACKOFF), key=lambda r: r[1]):
-            data = expand(blob)
+        for key in sorted(k for k in rows if k[0] == BACKOFF):
+            data = expand(rows[key])
             m = len(data) // 16
             score[np.frombuffer(data, np.int64, m)] += np.frombuffer(data, np.float64, m, 8 * m)
         doc = pa.array([None if i == LAST else i for i in ids.tolist()], pa.int64())

@@ -9,8 +9,8 @@ of it and what stands to the left.
 2. Each pack sends the hashes of its anchors to hash buckets (one row for a pack and bucket, each hash once) and gets back
    those that also stand in another document.  What repeats inside the pack is known there.
 3. The suffixes at repeated anchors, one for equal surroundings in a pack with the least document id, are sorted by pack and
-   exchanged as front-coded runs, dealt by ranges of their first bytes, so that the merged parts stand in order.  A task merges its runs with a loser tree that keeps each
-   head's common prefix with the last output: unequal prefix lengths decide without a look at the bytes, equal ones compare
+   exchanged as front-coded runs, dealt by ranges of their first GRAM bytes, so that the merged parts stand in order.  A task merges its
+   runs with a loser tree that keeps each head's common prefix with the last output: unequal prefix lengths decide without a look at the bytes, equal ones compare
    only what lies beyond.  The merge gives the sorted suffixes with their common prefixes, and from them, for each offset of
    the anchor in the passage, classes of equal passages with their least document id.
 4. Each pack gets a bit by suffix and offset, and removes bytes.
@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._packs import LAST, ROW, by_pack, expand, opened, packs, rows_of, squeeze
-from ._tables import written
+from ._packs import FAN, LAST, ROW, by_pack, exchange, expand, opened, outgoing, packs, received, rows_of, squeeze
+from ._tables import deleted, written
 from ._text import U64, mix, powers
 
 LENGTH, GRAM = 50, 24
@@ -88,7 +88,7 @@ def unsix(data: bytes) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
-def repeated_hashes(table: DataFrame, buckets: int) -> DataFrame:
+def repeated_hashes(table: DataFrame, buckets: int, fan: int = FAN, scratch: list[DataFrame] | None = None) -> DataFrame:
     """ROW of kind 1: for a pack, sorted hashes of anchors that stand in more than one document (of any pack)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +105,9 @@ def repeated_hashes(table: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(part, kind="stable")
             h, many, part = h[order], many[order], part[order]
             cuts = np.searchsorted(part, np.arange(buckets + 1))
-            yield rows_of([(name, 1, k, bytes(len(many[a:b]).to_bytes(4, "little") + np.packbits(many[a:b]).tobytes() + six(h[a:b]))) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
+            filled = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            out = [(name, 1, k, (b - a).item().to_bytes(4, "little") + np.packbits(many[a:b]).tobytes() + six(h[a:b])) for k, a, b in filled]
+            yield outgoing(name, out, buckets, fan)
 
     def meet(got: pa.Table) -> pa.Table:
         names, blobs = got.column("pack").to_pylist(), got.column("blob").to_pylist()
@@ -124,21 +126,21 @@ def repeated_hashes(table: DataFrame, buckets: int) -> DataFrame:
         cuts = np.cumsum([0, *map(len, hashes)])
         return pa.Table.from_batches([rows_of([(name, 1, part, six(every[a:b][keep[a:b]])) for name, a, b in zip(names, cuts[:-1], cuts[1:], strict=True)])])
 
-    return table.mapInArrow(send, ROW).groupBy("part").applyInArrow(meet, ROW)
+    return exchange(table.mapInArrow(send, ROW), meet, ["part"], buckets, fan, scratch)
 
 
 def first_bytes(key: np.ndarray) -> np.ndarray:
-    """The first eight bytes as numbers in the order of the bytes."""
-    return np.ascontiguousarray(key[:, :8]).view(">u8").ravel().astype(U64)
+    """The anchor's own GRAM bytes: passages that are compared agree in them, so a cut between them parts no equal passages."""
+    return np.ascontiguousarray(key[:, :GRAM]).view(f"S{GRAM}").ravel()
 
 
 def range_cuts(table: DataFrame, parts: int, packs_read: int = 256, of_each: int = 2048) -> np.ndarray:
-    """Numbers that cut the suffixes at anchors into ``parts`` ranges, from a sample; they only balance the parts.
+    """Sorted GRAM-byte strings that cut the suffixes at anchors into ``parts`` ranges, from a sample; they only balance the parts.
 
     ``packs_read`` packs give ``of_each`` anchors each, the ones with the least hashes, so what comes to the driver is bounded.
     """
     n = max(1, table.where("part = 1").count())
-    some = table.where(F.pmod(F.xxhash64("pack"), F.lit(1_000_000)) < int(1e6 * min(1.0, packs_read / n)))
+    some = table.where(F.xxhash64("pack") <= F.lit((1 << 64) * min(n, packs_read) // n - (1 << 63) - 1))  # a bound of 64 bits: never 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_pack(batches):
@@ -146,11 +148,11 @@ def range_cuts(table: DataFrame, parts: int, packs_read: int = 256, of_each: int
             _, pos, _, _, h = anchors(buf, offs)
             pos = pos[np.argsort(h, kind="stable")[:of_each]]
             padded = np.concatenate([buf, np.zeros(LENGTH, np.uint8)])
-            head = first_bytes(padded[pos[:, None] + np.arange(8)]) if len(pos) else np.zeros(0, U64)
+            head = first_bytes(padded[pos[:, None] + np.arange(GRAM)]) if len(pos) else np.zeros(0, f"S{GRAM}")
             yield pa.RecordBatch.from_arrays([pa.array([head.tobytes()], pa.binary())], names=["head"])
 
     found = some.mapInArrow(run, "head binary").collect()
-    heads = np.sort(np.concatenate([np.frombuffer(r["head"], U64) for r in found])) if found else np.zeros(0, U64)
+    heads = np.sort(np.frombuffer(b"".join(r["head"] for r in found), f"S{GRAM}"))
     return np.unique(heads[len(heads) * np.arange(1, parts) // parts]) if len(heads) else heads
 
 
@@ -317,28 +319,30 @@ def earlier_bits(shared: np.ndarray, other: np.ndarray, least: np.ndarray) -> np
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary, text_md5 string"
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", parts: int | None = None, fan: int = FAN) -> DataFrame:
     """RESULT: the removed byte spans (start, end, start, end ...) and the kept bytes of each document.
 
     Null texts count as empty; documents shorter than a passage lose nothing; rows without an id count as coming after all
     others; rows with equal ids don't take from each other.  An empty table gives no rows.  ``parts`` is the number of hash
     buckets and of merges (where it isn't given: one for each four packs of 4 MB, and four for each shuffle partition at least,
-    so that parts don't grow).
+    so that parts don't grow).  ``fan``: the most rows that a pack sends at once; beyond that many parts they are reached in two steps.
     """
     table = written(packs(docs, id_col, text), "packs")
     parts = parts or max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), table.where("part = 1").count() // 4)
     ranges = range_cuts(table, parts)
-    repeated = written(repeated_hashes(table, parts), "repeated")
+    between: list[DataFrame] = []
+    repeated = written(repeated_hashes(table, parts, fan, between), "repeated")
 
     def gathered(got: pa.Table) -> tuple[str, dict, np.ndarray]:
-        rows = {(k, p): b for k, p, b in zip(*(got.column(c).to_pylist() for c in ("kind", "part", "blob")), strict=True)}
+        name, rows = received(got)
         found = [unsix(b) for (k, _), b in rows.items() if k == 1]
-        return got.column("pack")[0].as_py(), rows, np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return name, rows, np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
     def send(got: pa.Table) -> pa.Table:
         name, rows, hashes = gathered(got)
         s = Suffixes(*opened(rows), hashes, ranges)
-        return pa.Table.from_batches([rows_of([(name, 2, k, front_coded(s.key[a:b], s.least[a:b])) for k, (a, b) in enumerate(zip(s.cuts[:-1], s.cuts[1:], strict=True)) if b > a])])
+        out = [(name, 2, k, front_coded(s.key[a:b], s.least[a:b])) for k, (a, b) in enumerate(zip(s.cuts[:-1], s.cuts[1:], strict=True)) if b > a]
+        return pa.Table.from_batches([outgoing(name, out, parts, fan)])
 
     def merge(got: pa.Table) -> pa.Table:
         names, part = got.column("pack").to_pylist(), got.column("part")[0].as_py()
@@ -352,7 +356,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return pa.Table.from_batches([rows_of([(n, 3, part, squeeze(bits[a:b].tobytes())) for n, a, b in zip(names, base[:-1], base[1:], strict=True)])])
 
     together = table.unionByName(repeated)
-    bits = written(together.groupBy("pack").applyInArrow(send, ROW).groupBy("part").applyInArrow(merge, ROW), "bits")
+    bits = written(exchange(together.groupBy("pack").applyInArrow(send, ROW), merge, ["part"], parts, fan, between), "bits")
+    deleted(*between)
 
     def cut(got: pa.Table) -> pa.Table:
         _, rows, hashes = gathered(got)

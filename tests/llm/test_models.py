@@ -6,10 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from terralith.llm import katz, quality, toxicity
+from terralith.llm import _packs, _tables, katz, quality, toxicity
 from terralith.llm._linear import share_of
 
 DOCS = "doc_id long, text string"
@@ -81,14 +82,14 @@ def brute_katz(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_katz_scores_as_computed_plainly(spark, seed):
+@pytest.mark.parametrize(("seed", "buckets", "fan"), [(1, 5, 1024), (2, 5, 1024), (1, 13, 3)])
+def test_katz_scores_as_computed_plainly(spark, seed, buckets, fan):
     rng = random.Random(seed)
     rows = [(i, " ".join(f"W{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.randint(0, 60)))) for i in range(90)]
     rows += [(150 + i, "w1 w2 w3 " * 9 + f"w{i}") for i in range(12)]  # histories that are followed by frequent tokens alone
     rows += [(200, None), (201, ""), (202, "  x\ty\n"), (203, "never seen words"), (204, "é É " * 500)]
     docs = spark.createDataFrame(rows, DOCS).repartition(6).selectExpr("*", "1 AS kind", "'' AS pack")
-    got = {r["doc_id"]: r for r in katz.score_documents(docs, buckets=5).collect()}
+    got = {r["doc_id"]: r for r in katz.score_documents(docs, buckets=buckets, fan=fan).collect()}
     want = brute_katz(rows)
     assert got.keys() == want.keys()
     for i, w in want.items():
@@ -104,6 +105,24 @@ def test_counts_keep_64_bits():
         assert got.tolist() == c.tolist() and bits.tolist() == [1] * len(c)
 
 
+def test_rows_between_packs_and_parts_grow_with_the_packs(spark):
+    rng, fan = random.Random(3), 8
+    for n in (1, 8):
+        rows = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(300))) for i in range(400 * n)]
+        table = _tables.written(_packs.packs(spark.createDataFrame(rows, DOCS).coalesce(1), "doc_id", "text", size=80_000), "packs")
+        packs = table.where("part = 1").count()
+        buckets, between, answers = 8 * n, [], {}
+        for most in (fan, 1024):
+            counts = _tables.written(katz.short_counts(table, buckets, most, between), "counts")
+            answers[most] = {name: _packs.received(pa.Table.from_pandas(rows)) for name, rows in counts.where("pack <> ''").toPandas().groupby("pack")}
+            if most == fan:
+                assert counts.where("pack <> ''").count() <= 2 * fan * packs  # of two kinds
+        assert {k: {x: katz.widened(b)[0].tolist() for x, b in v[1].items()} for k, v in answers[fan].items()} == {k: {x: katz.widened(b)[0].tolist() for x, b in v[1].items()} for k, v in answers[1024].items()}
+        assert len(between) == (n > 1)
+        if between:  # rows for a cell and part: a cell stands for a pack or more
+            assert between[0].where("pack <> ''").count() <= 2 * fan * 4 * buckets
+
+
 def test_katz_of_nothing_repeats_and_missing_ids(spark):
     assert katz.score_documents(spark.createDataFrame([], DOCS)).count() == 0
     got = katz.score_documents(spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], DOCS)).collect()

@@ -45,8 +45,18 @@ def test_repeats_as_by_brute_force(spark):
     rows += [(200, None), (201, ""), (202, rows[3][1]), (203, rows[3][1]), (7, rows[9][1]), (204, "a" * 49), (205, "a" * 50), (206, "a" * 5000)]
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, DOCS).repartition(5).selectExpr("*", "0 AS kept", "'' AS blob")
-    got = suffix.remove_repeats(docs, parts=6).collect()
-    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in got) == brute_repeats(rows)
+    want = brute_repeats(rows)
+    for parts, fan in ((6, 1024), (14, 3)):  # in one step, and in two
+        got = suffix.remove_repeats(docs, parts=parts, fan=fan).collect()
+        assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in got) == want
+
+
+def test_suffixes_with_a_common_head_are_cut_into_ranges(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join("the quality " + "".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(40))) for i in range(60)]
+    table = suffix.packs(spark.createDataFrame(rows, DOCS).coalesce(1), "doc_id", "text")
+    cuts = suffix.range_cuts(table, 8)
+    assert len(cuts) == 7 and len(set(cuts.tolist())) == 7
 
 
 def test_repeats_of_nothing_and_of_rows_without_id(spark):
