@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terralith.operators.stats import components, pearson, standardized, valid
+from terralith.sources.parts import settled
 
 
 RANGES = 64  # of a variable's values, in mutual information
@@ -52,35 +53,52 @@ def redundant_ratio(pairs: DataFrame, n: int) -> DataFrame:
 def mutual_information(features: DataFrame, columns: list[str], clase: str = "clase", k: int = 3) -> DataFrame:
     """(variable, mi) by Ross's nearest-neighbour estimator, all columns in one job.
 
-    In one dimension the k-th neighbour of the own class is among the k rows on either side in the class's order.  The number of
-    points nearer than it comes from bounds that are sorted in among the points.  digamma at whole numbers is a harmonic sum.
+    All is done for a distinct value of a column and class, which counts as often as it occurs.  A column's values are cut into RANGES
+    ranges, and no window is wider than one of them: in one dimension the k-th neighbour of the own class is among the k values on either
+    side in the class's order, and a range gets the k last values of those before it and the k first of those behind it.  The number
+    of points nearer than that neighbour comes from bounds that are sorted in among the points.  digamma at whole numbers is a
+    harmonic sum.  Missing values, and values that are alone in their class, are left out.
     """
-    long = features.select(F.col(clase).alias("y"), F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in columns))).alias("e")).select("y", "e.*").where("x IS NOT NULL")
-    by_class = Window.partitionBy("variable", "y")
-    order = by_class.orderBy("x")
-    around = F.filter(F.array(*(f("x", d).over(order) for f in (F.lag, F.lead) for d in range(1, k + 1))), lambda v: v.isNotNull())
-    rows = long.withColumns({"around": around, "nc": F.count("*").over(by_class), "id": F.monotonically_increasing_id()}).where("nc > 1")
-    kk = F.least(F.lit(k), F.col("nc") - 1)
-    far = F.array_sort(F.transform(F.col("around"), lambda v: F.struct(F.abs(v - F.col("x")).alias("d"), v.alias("v"))))
-    rows = rows.withColumn("kk", kk).withColumn("kth", F.element_at(far, F.col("kk").cast("int")))
+    long = features.select(F.col(clase).alias("y"), F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in columns))).alias("e")).select(F.coalesce(F.concat(F.lit("="), F.col("y").cast("string")), F.lit("")).alias("y"), "e.*").where("x IS NOT NULL")
+    values = settled(long.groupBy("variable", "y", "x").agg(F.count("*").alias("times")), "values")
+    cuts = values.groupBy("variable").agg(F.percentile_approx("x", [k / RANGES for k in range(1, RANGES)], 1000).alias("cuts"))  # a row for each column
+    in_range = F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("range")
+    values = values.join(F.broadcast(cuts), "variable").select("variable", "y", "x", "times", in_range)
+
+    group = ["variable", "y", "range"]
+    order = Window.partitionBy(*group).orderBy("x")
+    seen = F.struct("x", "times")
+    rows = values.withColumns({"around": F.filter(F.array(*(f(seen, d).over(order) for f in (F.lag, F.lead) for d in range(1, k + 1))), lambda v: v.isNotNull())})
+    rows = rows.withColumns({"head": F.lag("x", k).over(order).isNull(), "tail": F.lead("x", k).over(order).isNull()})
+    ends = rows.where("head OR tail").groupBy(*group).agg(F.collect_list(F.when(F.col("head"), seen)).alias("heads"), F.collect_list(F.when(F.col("tail"), seen)).alias("tails"))  # 2k values at most
+    by_class = Window.partitionBy("variable", "y").orderBy("range")  # a row for each range that holds something
+    beside = F.concat(F.flatten(F.collect_list("tails").over(by_class.rowsBetween(-k, -1))), F.flatten(F.collect_list("heads").over(by_class.rowsBetween(1, k))))
+    sizes = values.groupBy("variable", "y").agg(F.sum("times").alias("nc")).where("nc > 1")
+    rows = rows.join(ends.select(*group, beside.alias("beside")), group).join(sizes, ["variable", "y"])
+
+    own = F.struct(F.col("x"), (F.col("times") - 1).alias("times"))  # the value itself, where it stands again
+    far = F.array_sort(F.transform(F.concat(F.array(own), "around", "beside"), lambda v: F.struct(F.abs(v["x"] - F.col("x")).alias("d"), v["x"].alias("v"), v["times"].alias("times"))))
+    rows = rows.withColumns({"kk": F.least(F.lit(k), F.col("nc") - 1), "far": far})
+    # the first value up to which kk points are counted
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("double").alias("v"))
+    step = lambda s, e: F.when(s["n"] >= F.col("kk"), s).otherwise(F.struct((s["n"] + e["times"]).alias("n"), e["d"].alias("d"), e["v"].alias("v")))
+    rows = rows.withColumn("kth", F.aggregate("far", start, step))
     d, v, x = F.col("kth.d"), F.col("kth.v"), F.col("x")
     low, high = F.when(v < x, v).otherwise(x - d), F.when(v > x, v).otherwise(x + d)
-    # marks: points add 1; a bound counts the points below (upper) or up to it (lower)
+    rows = settled(rows.select("variable", "y", "x", "times", "kk", "nc", low.alias("low"), high.alias("high")), "neighbours")
+    # marks: points add their number; a bound counts the points below (upper) or up to it (lower)
     mark = lambda at, turn, sign: F.struct(at.alias("at"), F.lit(turn).alias("turn"), F.lit(sign).alias("sign"))
-    marks = rows.select("variable", "id", F.explode(F.array(mark(low, 2, -1), mark(high, 0, 1))).alias("m")).select("variable", "id", "m.*")
-    marks = marks.unionByName(long.select("variable", F.lit(None).cast("long").alias("id"), F.col("x").alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("sign")))
-    # a variable's values are cut into ranges, whose points are counted first, so that no task sorts a whole variable
-    cuts = long.groupBy("variable").agg(F.percentile_approx("x", [k / RANGES for k in range(1, RANGES)], 1000).alias("cuts"))  # a row for each column
+    marks = rows.select("variable", "y", "x", F.explode(F.array(mark(F.col("low"), 2, -1), mark(F.col("high"), 0, 1))).alias("m"), F.lit(0).cast("long").alias("times")).select("variable", "y", "x", "times", "m.*")
+    marks = marks.unionByName(values.select("variable", "y", "x", "times", F.col("x").alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("sign")))
     ranged = marks.join(F.broadcast(cuts), "variable").withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("at")))).drop("cuts")
-    points = F.sum(F.when(F.col("turn") == 1, 1).otherwise(0))
     earlier = F.coalesce(F.sum("points").over(Window.partitionBy("variable").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = ranged.groupBy("variable", "range").agg(points.alias("points")).withColumn("before", earlier).drop("points")
-    inside = points.over(Window.partitionBy("variable", "range").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0))
+    before = ranged.groupBy("variable", "range").agg(F.sum("times").alias("points")).withColumn("before", earlier).drop("points")
+    inside = F.sum("times").over(Window.partitionBy("variable", "range").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0))
     placed = ranged.withColumn("inside", inside).where("sign <> 0").join(before, ["variable", "range"])
-    m = placed.groupBy("variable", "id").agg(F.greatest(F.sum((F.col("before") + F.col("inside")) * F.col("sign")), F.lit(1)).alias("m"))
-    counts = rows.select("variable", "id", "kk", "nc").join(m, ["variable", "id"])
-    terms = counts.select("variable", F.lit(1).alias("one"), F.explode(F.array(*(F.struct(F.col(c).cast("long").alias("n"), F.lit(s).alias("s")) for c, s in (("kk", 1), ("nc", -1), ("m", -1))))).alias("t")).groupBy("variable", "t.n").agg(F.sum("t.s").alias("s"))
-    total = counts.groupBy("variable").agg(F.count("*").alias("total"))
+    m = placed.groupBy("variable", "y", "x").agg(F.greatest(F.sum((F.col("before") + F.col("inside")) * F.col("sign")), F.lit(1)).alias("m"))
+    counts = rows.select("variable", "y", "x", "times", "kk", "nc").join(m, ["variable", "y", "x"])
+    terms = counts.select("variable", F.lit(1).alias("one"), F.explode(F.array(*(F.struct(F.col(c).cast("long").alias("n"), (F.lit(s) * F.col("times")).alias("s")) for c, s in (("kk", 1), ("nc", -1), ("m", -1))))).alias("t")).groupBy("variable", "t.n").agg(F.sum("t.s").alias("s"))
+    total = counts.groupBy("variable").agg(F.sum("times").alias("total"))
     psi = lambda n: digamma(n)
     means = terms.join(total, "variable").groupBy("variable").agg(F.first("total").alias("total"), F.sum(psi(F.col("n")) * F.col("s") / F.col("total")).alias("v"))
     return means.select("variable", F.greatest(psi(F.col("total")) + F.col("v"), F.lit(0.0)).alias("mi"))

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from terralith.functions import geometry as G
 from terralith.operators.stats import valid
+from terralith.sources.parts import settled
 
 
 def centroids(objects: DataFrame, key: str = "objeto_id", polygons: str = "polygons") -> DataFrame:
@@ -114,36 +115,66 @@ def extreme_points(points: DataFrame) -> DataFrame:
     return points.select("cx", "cy").mapInPandas(corners, schema).repartition(1).mapInPandas(corners, schema)  # hulls' corners alone meet
 
 
-def nearest(points: DataFrame, k: int = 3, key: str = "objeto_id", per_cell: int = 8) -> DataFrame:
+def nearest(points: DataFrame, k: int = 3, key: str = "objeto_id", per_cell: int = 8, crowd: int = 64) -> DataFrame:
     """(key, proximity): mean distance to the k nearest other objects, or to as many as there are; null for a single one.
 
-    Objects lie in square cells of about ``per_cell`` each.  An object that finds its k nearest within one cell's width around
-    it is done; the others take twice the width, and so on, until the width covers all.
+    Objects at one place count as often as they stand there.  Places lie in square cells of about ``per_cell`` each; cells of more
+    than ``crowd`` places are cut into 16, and so on, so each place starts in a cell of at most ``crowd`` (closer than 2^-40 of the
+    extent, cells are cut no more).  From the narrowest cells up, a place that finds its k nearest within one cell's width is done,
+    and the others join those that start in cells four times as wide.  Of places that aren't done, less than k lie near each other,
+    so a wide cell that holds a cluster is met by few.
     """
     rows = points.select(key, "cx", "cy").persist()
-    box = rows.agg(F.count("*").alias("n"), F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1")).head()
-    n = box["n"]
+    places = rows.groupBy("cx", "cy").agg(F.count("*").alias("times")).persist()
+    box = places.agg(F.sum("times").alias("n"), F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1")).head()
+    n = box["n"] or 0
     if n < 2:
         return rows.select(key, F.lit(None).cast("double").alias("proximity"))
     side = max(box["x1"] - box["x0"], box["y1"] - box["y0"])
+
+    def celled(df: DataFrame, width: float) -> DataFrame:
+        return df.withColumns({"gx": F.floor((F.col("cx") - box["x0"]) / width).cast("long"), "gy": F.floor((F.col("cy") - box["y0"]) / width).cast("long")})
+
+    def found(asked: DataFrame, width: float, last: bool) -> DataFrame:
+        """``asked`` with proximity, null where a place doesn't have its k nearest within the width."""
+        open_, ring = asked.select("cx", "cy", "times"), F.array(*map(F.lit, (-1, 0, 1)))
+        asked = celled(asked.select("cx", "cy"), width).withColumn("dx", F.explode(ring)).withColumn("dy", F.explode(ring))
+        asked = asked.select(F.col("cx").alias("ax"), F.col("cy").alias("ay"), (F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"))
+        there = celled(places, width).withColumnsRenamed({"cx": "bx", "cy": "by"})
+        same = (F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by"))
+        d = asked.join(there, ["gx", "gy"]).select("ax", "ay", distance("ax", "ay", "bx", "by").alias("d"), (F.col("times") - same.cast("int")).alias("times"))
+        d = d.where("times > 0") if last else d.where((F.col("times") > 0) & (F.col("d") <= 0.99 * width))  # far from where cells' numbers are rounded
+        nearer = F.coalesce(F.sum("times").over(Window.partitionBy("ax", "ay").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        top = d.withColumn("take", F.least("times", F.lit(k) - nearer)).where("take > 0")
+        top = top.groupBy(F.col("ax").alias("cx"), F.col("ay").alias("cy")).agg((F.sum(F.col("d") * F.col("take")) / F.sum("take")).alias("proximity"), F.sum("take").alias("found"))
+        top = (top if last else top.where(F.col("found") == min(k, n - 1))).select("cx", "cy", "proximity")
+        return settled(open_.join(top, ["cx", "cy"], "left"), "nearest")
+
     width = max(side * math.sqrt(per_cell / n), side / 2**20) or 1.0
-    open_, done = rows, None
+    starts, inside = [], places
+    while True:  # places by the width of the cells in which they start
+        cells = celled(inside, width)
+        crowded = cells.groupBy("gx", "gy").agg(F.count("*").alias("m")).where(F.col("m") > crowd).persist()
+        if width / 4 < side / 2**40 or crowded.isEmpty():
+            starts.append((width, inside))
+            break
+        parted = settled(cells.join(crowded, ["gx", "gy"], "left").select("cx", "cy", "times", "m"), "crowded")
+        starts.append((width, parted.where("m IS NULL").drop("m")))
+        inside = parted.where("m IS NOT NULL").drop("m")
+        width /= 4
+
+    done, open_ = None, None
     while True:
+        if starts:
+            width, some = starts.pop()
+            open_ = some if open_ is None else open_.unionByName(some)
         last = width >= side
-        cell = lambda c: F.floor(F.col(c) / width).cast("long")  # noqa: B023, E731
-        ring = F.array(*map(F.lit, (-1, 0, 1)))
-        asked = open_.withColumns({"gx": cell("cx"), "gy": cell("cy")}).withColumn("dx", F.explode(ring)).withColumn("dy", F.explode(ring))
-        asked = asked.select(F.col(key).alias("i"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), (F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"))
-        there = rows.withColumns({"gx": cell("cx"), "gy": cell("cy")}).withColumnsRenamed({key: "j", "cx": "bx", "cy": "by"})
-        d = asked.join(there, ["gx", "gy"]).where("i != j").select("i", distance("ax", "ay", "bx", "by").alias("d"))
-        d = d if last else d.where(F.col("d") <= width)
-        top = d.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy("d"))).where(F.col("k") <= k).groupBy(F.col("i").alias(key)).agg(F.avg("d").alias("proximity"), F.count("*").alias("found"))
-        full = (top if last else top.where(F.col("found") == min(k, n - 1))).select(key, "proximity").persist()
+        asked = found(open_, width, last)
+        full, open_ = asked.where("proximity IS NOT NULL").drop("times"), asked.where("proximity IS NULL").drop("proximity")
         done = full if done is None else done.unionByName(full)
-        open_ = open_.join(full, key, "left_anti").persist()  # a round reads the one before, not all of them
-        if last or open_.isEmpty():
-            return done
-        width *= 4 if n < 10_000 else 2
+        if not starts and (last or open_.isEmpty()):
+            return rows.join(done, ["cx", "cy"]).select(key, "proximity")
+        width *= 4
 
 
 def extract_pixels(grid: DataFrame, objects: DataFrame, meta: dict, bands: list[str], key: str = "objeto_id", clase: str = "clase", polygons: str = "polygons", tile: int = 64, rule: str = "no pixel") -> DataFrame:

@@ -474,15 +474,38 @@ def mutual_information(spark: SparkSession, d: str) -> DataFrame:
     return separability.mutual_information(X.features(spark, d), MI_COLUMNS)
 
 
+#: All columns in long form (o: row, i: place of the column, v: its name, y: class), and their information in ``mi``.
+LONG_MI = f"""long AS (SELECT vec_id AS o, i, 'f' || i AS v, CAST(label AS STRING) AS y, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range({X.EVERY}) t(i)
+      UNION ALL SELECT vec_id, {X.EVERY}, 'f_sig', CAST(label AS STRING), CAST(embedding[2] AS DOUBLE) + 0.1e0 * label FROM embeddings
+      UNION ALL SELECT vec_id, {X.EVERY + 1}, 'f_col', CAST(label AS STRING), 0.95e0 * CAST(embedding[2] AS DOUBLE) + 0.05e0 * CAST(embedding[3] AS DOUBLE) FROM embeddings),
+    psi AS (SELECT n, -0.5772156649015329e0 + coalesce(sum(1.0e0 / (n - 1)) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS p FROM (SELECT n FROM range(2, 60000) t(n)) z UNION ALL SELECT 1, -0.5772156649015329e0),
+    near AS (SELECT o, v, x, nc, least(3, nc - 1) AS k, list_sort(list_filter([x - l1, x - l2, x - l3, r1 - x, r2 - x, r3 - x], lambda z: z IS NOT NULL))[least(3, nc - 1)] AS kd
+      FROM (SELECT *, count(*) OVER (PARTITION BY v, y) AS nc, lag(x, 1) OVER w AS l1, lag(x, 2) OVER w AS l2, lag(x, 3) OVER w AS l3, lead(x, 1) OVER w AS r1, lead(x, 2) OVER w AS r2, lead(x, 3) OVER w AS r3
+        FROM long WINDOW w AS (PARTITION BY v, y ORDER BY x)) q WHERE nc > 1),
+    around AS (SELECT n.o, n.v, n.nc, n.k, greatest(1, count(*) FILTER (WHERE abs(q.x - n.x) < n.kd)) AS m FROM near n JOIN long q ON n.v = q.v GROUP BY n.o, n.v, n.nc, n.k),
+    sizes AS (SELECT v, count(*) AS total FROM near GROUP BY v),
+    mi AS (SELECT a.v, greatest(0, max(t.p) + avg(pk.p - pn.p - pm.p)) AS mi
+      FROM around a JOIN sizes s ON a.v = s.v JOIN psi t ON t.n = s.total JOIN psi pk ON pk.n = a.k JOIN psi pn ON pn.n = a.nc JOIN psi pm ON pm.n = a.m GROUP BY a.v)"""
+
+
 # mutual_information takes three columns, as its SQL does; mutual_information_whole takes all.
-@query(digits=4)
+@query(f"WITH {LONG_MI} SELECT v AS variable, {r('mi', 'mi', 4)} FROM mi", 4)
 def mutual_information_whole(spark: SparkSession, d: str) -> DataFrame:
     return separability.mutual_information(X.all_features(spark, d), EVERY)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LONG_MI},
+    c AS (SELECT a.i, b.i AS j, a.v AS a, b.v AS b, corr(a.x, b.x) AS r FROM long a JOIN long b ON a.o = b.o AND a.i < b.i GROUP BY ALL),
+    pairs AS (SELECT row_number() OVER (ORDER BY c.i, c.j) AS p, c.a, c.b, CASE WHEN x.mi >= y.mi THEN c.b ELSE c.a END AS loser FROM c JOIN mi x ON x.v = c.a JOIN mi y ON y.v = c.b WHERE abs(c.r) > 0.85),
+    steps(p, gone) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[])
+      UNION ALL SELECT s.p + 1, CASE WHEN list_contains(s.gone, q.a) OR list_contains(s.gone, q.b) THEN s.gone ELSE list_append(s.gone, q.loser) END FROM steps s JOIN pairs q ON q.p = s.p + 1)
+    SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS INT) AS position, v AS variable
+    FROM (SELECT DISTINCT i, v FROM long) z WHERE NOT list_contains((SELECT arg_max(gone, p) FROM steps), v)"""
+)
 def collinearity_prune(spark: SparkSession, d: str) -> DataFrame:
-    kept = separability.prune_collinear(X.features(spark, d), NUMERIC)
+    """The columns, of all, that stay.  The result is over columns; pairs and information come from two jobs over all rows."""
+    kept = separability.prune_collinear(X.all_features(spark, d), EVERY)
     return spark.createDataFrame([(i, c) for i, c in enumerate(kept)], "position int, variable string")
 
 

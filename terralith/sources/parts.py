@@ -8,12 +8,13 @@ from __future__ import annotations
 import glob
 import os
 import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark import TaskContext
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -40,13 +41,26 @@ def part_files(path: str, ending: str) -> list[str]:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which the driver and all executors share."""
+    """A new folder below ``spark.checkpoint.dir``, which the driver and all executors share.
+
+    Where that is unset, a temporary folder takes its place in a session that runs in a single process, and in no other.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='terralith-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/terralith/{name}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: rounds read the one before, and a lost executor costs no more than a reread."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass
 class Part(WriterCommitMessage):
     """What a task has written: the name of its files without their endings, none if it had no rows; its place among the tasks."""

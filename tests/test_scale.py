@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terralith.functions import geometry as G
-from terralith.operators import spatial, stats, topology
+from terralith.operators import separability, spatial, stats, topology
 
 SHAPES = "objeto_id long, clase string, polygons array<array<array<struct<x:double,y:double>>>>"
 
@@ -68,3 +68,46 @@ def test_quantiles_of_large_objects_as_of_small_ones(spark):
     x = np.array([v for i, v, _ in values if i == 1])
     assert [spread[1, "b1"][c] for c in ("p25", "median", "p75")] == pytest.approx(np.quantile(x, [0.25, 0.5, 0.75]).tolist())
     assert spread[1, "b1"]["mad"] == pytest.approx(float(np.median(np.abs(x - np.median(x)))))
+
+
+def test_nearest_among_clustered_and_repeated_places(spark):
+    rng = np.random.default_rng(2)
+    p = np.concatenate([rng.uniform(0, 1e6, (12, 2)), 5e5 + rng.uniform(0, 1, (900, 2)), np.repeat([[7e5, 7e5], [2e5, 1e5]], [300, 2], 0)])
+    rows = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "objeto_id long, cx double, cy double")
+    got = {r["objeto_id"]: r["proximity"] for r in spatial.nearest(rows).collect()}
+    gaps = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
+    np.fill_diagonal(gaps, np.inf)
+    want = np.sort(gaps, 1)[:, :3].mean(1)
+    assert len(got) == len(p) and np.allclose([got[i] for i in range(len(p))], want, rtol=1e-9, atol=1e-12)
+
+
+def test_nearest_of_few(spark):
+    few = lambda *p: {r[0]: r[1] for r in spatial.nearest(spark.createDataFrame(list(p), "objeto_id long, cx double, cy double")).collect()}
+    assert few((1, 2.0, 3.0)) == {1: None}
+    assert few((1, 0.0, 0.0), (2, 3.0, 4.0)) == {1: 5.0, 2: 5.0}
+    assert few((1, 1.0, 1.0), (2, 1.0, 1.0), (3, 1.0, 1.0)) == {1: 0.0, 2: 0.0, 3: 0.0}
+
+
+def psi(n):
+    return -0.5772156649015329 + sum(1 / i for i in range(1, n))
+
+
+def brute_information(x, y):
+    terms = []
+    for i in range(len(x)):
+        same = np.sort([abs(x[j] - x[i]) for j in range(len(x)) if j != i and y[j] == y[i]])
+        if len(same):
+            k = min(3, len(same))
+            terms.append(psi(k) - psi(len(same) + 1) - psi(max(1, int((np.abs(x - x[i]) < same[k - 1]).sum()))))
+    return max(0.0, psi(len(terms)) + sum(terms) / len(terms))
+
+
+def test_information_with_repeated_values_lone_classes_and_few_values_a_range(spark):
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 3, 400).astype(object)
+    y[0], y[1:5] = "alone", None
+    a = rng.normal(size=400) + np.array([0.0 if v is None or v == "alone" else float(v) for v in y])
+    b = np.where(rng.random(400) < 0.4, 1.0, np.round(a * 8) / 8)  # one value holds two fifths of the rows; eighths, so that equal gaps are equal doubles
+    rows = spark.createDataFrame([(None if v is None else str(v), float(p), float(q)) for v, p, q in zip(y, a, b)], "clase string, a double, b double")
+    got = {r["variable"]: r["mi"] for r in separability.mutual_information(rows, ["a", "b"]).collect()}
+    assert got == {"a": pytest.approx(brute_information(a, y), rel=1e-9), "b": pytest.approx(brute_information(b, y), rel=1e-9)}
