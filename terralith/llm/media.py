@@ -13,9 +13,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +33,21 @@ ZIGZAG = [
 DC_BITS = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]
 DC_VALUES = list(range(12))
 AC_BITS = [0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 0x7D]
-AC_HEAD = "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a"
+AC_VALUES = [
+    1, 2, 3, 0, 4, 17, 5, 18, 33, 49, 65, 6, 19, 81, 97, 7, 34, 113, 20, 50,
+    129, 145, 161, 8, 35, 66, 177, 193, 21, 82, 209, 240, 36, 51, 98, 114, 130, 9, 10, 22,
+    23, 24, 25, 26, 37, 38, 39, 40, 41, 42, 52, 53, 54, 55, 56, 57, 58, 67, 68, 69,
+    70, 71, 72, 73, 74, 83, 84, 85, 86, 87, 88, 89, 90, 99, 100, 101, 102, 103, 104, 105,
+    106, 115, 116, 117, 118, 119, 120, 121, 122, 131, 132, 133, 134, 135, 136, 137, 138, 146, 147, 148,
+    149, 150, 151, 152, 153, 154, 162, 163, 164, 165, 166, 167, 168, 169, 170, 178, 179, 180, 181, 182,
+    183, 184, 185, 186, 194, 195, 196, 197, 198, 199, 200, 201, 202, 210, 211, 212, 213, 214, 215, 216,
+    217, 218, 225, 226, 227, 228, 229, 230, 231, 232, 233, 234, 241, 242, 243, 244, 245, 246, 247, 248,
+    249, 250,
+]
 
 SIDE, BLOCKS, FRAME, FPS = 24, 9, 576, 25
 
 
-def _ac_values() -> list[int]:
-    """The head of table K.5, then the remaining (run, size) pairs in rising order."""
-    head = list(bytes.fromhex(AC_HEAD))
-    return head + [v for v in (r << 4 | s for r in range(16) for s in range(1, 11)) if v not in head]
-
-
 def huffman(bits: list[int], values: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code and length by symbol, and length << 8 | symbol by the next 16 bits (0: no code)."""
     code, k = 0, 0
@@ -60,7 +64,7 @@ def huffman(bits: list[int], values: list[int]) -> tuple[np.ndarray, np.ndarray,
 
 @lru_cache(1)
 def standard() -> dict[tuple[int, int], tuple]:
-    return {(0, 0): huffman(DC_BITS, DC_VALUES), (1, 0): huffman(AC_BITS, _ac_values())}
+    return {(0, 0): huffman(DC_BITS, DC_VALUES), (1, 0): huffman(AC_BITS, AC_VALUES)}
 
 
 JPEG_HEAD = (
@@ -136,8 +140,25 @@ def avi(frames: list[bytes], side: int = SIDE, fps: int = FPS) -> bytes:
     return chunk(b"RIFF", b"AVI " + hdrl + movi + chunk(b"idx1", b"".join(index)))
 
 
+def stated(read: Callable) -> Callable:
+    """``read``, with a ValueError for whatever is malformed."""
+
+    @wraps(read)
+    def run(raw: bytes):  # noqa: ANN202
+        try:
+            return read(raw)
+        except (IndexError, KeyError, struct.error) as e:
+            raise ValueError(f"malformed media: {e}") from e
+
+    return run
+
+
+@stated
 def riff_frames(media: bytes) -> tuple[list[bytes], float]:
-    """Frames of the first video stream, by the index (or by walking through movi where there is none), and seconds a frame."""
+    """Frames of the first video stream, by the index (or by walking through movi where there is none), and seconds a frame.
+
+    A file that ends before its lists or frames do is refused with a ValueError.
+    """
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("no AVI file")
     view, frames, step = memoryview(media), [], 1 / FPS
@@ -148,6 +169,8 @@ def riff_frames(media: bytes) -> tuple[list[bytes], float]:
         while at + 8 <= end:
             kind, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
             if kind == b"LIST" and media[at + 8 : at + 12] == b"movi":
+                if at + 8 + size > len(media):
+                    raise ValueError("the file ends before its frames do")
                 movi = (at + 8, min(end, at + 8 + size))
             elif kind == b"LIST":
                 stack += [(at + 8 + size + size % 2, end)]
@@ -162,11 +185,15 @@ def riff_frames(media: bytes) -> tuple[list[bytes], float]:
         table = np.frombuffer(media, np.dtype([("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")]), index[1], index[0])
         base = movi[0] if media[movi[0] + int(table["at"][0]) :][:4] == table["id"][0] else 0
         video = np.char.endswith(table["id"], b"dc")
+        if (base + 8 + table["at"][video].astype(np.int64) + table["size"][video] > len(media)).any():
+            raise ValueError("the index leads beyond the file")
         frames = [bytes(view[base + a + 8 : base + a + 8 + s]) for a, s in zip(table["at"][video].tolist(), table["size"][video].tolist(), strict=True)]
     elif movi:
         at = movi[0] + 4
         while at + 8 <= movi[1]:
             size = struct.unpack_from("<I", media, at + 4)[0]
+            if at + 8 + size > movi[1]:
+                raise ValueError("a frame ends beyond its list")
             if media[at + 2 : at + 4] == b"dc":
                 frames.append(bytes(view[at + 8 : at + 8 + size]))
             at += 8 + size + size % 2
@@ -185,6 +212,7 @@ class Head:
     luma: np.ndarray  # (luma blocks, 64) pixels inside the picture
 
 
+@stated
 def jpeg_head(frame: bytes) -> Head:
     at, tables, quants, parts, shape = 2, dict(standard()), {}, [], (0, 0)
     tables[0, 1], tables[1, 1] = tables[0, 0], tables[1, 0]
@@ -212,6 +240,8 @@ def jpeg_head(frame: bytes) -> Head:
             chosen = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
             break
         at += 2 + length
+    if not parts or 0 in shape or any(0 in p[1:3] for p in parts):
+        raise ValueError("a frame without extent")
     if len(parts) == 1:
         parts[0][1:3] = 1, 1
     hm, vm = max(p[1] for p in parts), max(p[2] for p in parts)
@@ -276,6 +306,9 @@ def decode_scans(frames: list[bytes], head: Head) -> np.ndarray:
                 on = (real | (sym == 0xF0)) & (k < 63)
             if not on.all():
                 who, k = who[on], k[on]
+    ends = np.append(starts[1:], len(joined) - 16)
+    if (pos > (ends - np.searchsorted(stuffed, ends)) * 8).any():
+        raise ValueError("a frame ends before its blocks do")
     return out
 
 
@@ -392,26 +425,44 @@ def _rows(col: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
         i = j
 
 
-CLIPS = "doc_id long, clip_no int, first_frame int, end_frame int, start_s double, end_s double, level double"
+CLIPS = "doc_id long, clip_no int, first_frame int, end_frame int, start_s double, end_s double, level double, error string"
+
+
+def all_shares(files: list[list[bytes]]) -> list[np.ndarray | ValueError]:
+    """The luma histograms of each file's frames; of a file that can't be decoded, the error.  All go side by side, or one by
+    one where one of them is malformed."""
+    shares: list[list[np.ndarray]] = [[np.zeros((0, BINS))] for _ in files]
+    try:
+        for v, _, _, s in decode_all(files):
+            shares[v].append(s)
+    except ValueError as e:
+        return [e] if len(files) == 1 else [one for f in files for one in all_shares([f])]
+    return [np.concatenate(s) for s in shares]
 
 
 def media_clips(media: DataFrame, id_col: str = "doc_id", column: str = "media") -> DataFrame:
     """One row for each shot: its frames [first_frame, end_frame), its times, and its mean luma level (0 to 15).
 
-    Null media give no row.  A file that is no AVI with baseline JPEG frames fails the job with a ValueError.
+    Null media give no row, and neither does a file without frames.  A file that is no AVI with baseline JPEG frames, or ends
+    before its frames do, gives one row of nulls with the reason as ``error``; other files are not touched by it.
     """
     source = media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(column).alias("media")).where("media IS NOT NULL")
 
+    def opened(raw: bytes) -> tuple[list[bytes], float, str | None]:
+        try:
+            return *riff_frames(raw), None
+        except ValueError as e:
+            return [], 0.0, str(e)
+
     def clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in _rows(batch.column("media")):
-                files = [riff_frames(x.as_py()) for x in batch.column("media")[i:j]]
-                shares: list[list[np.ndarray]] = [[] for _ in files]
-                for v, _, _, s in decode_all([f for f, _ in files]):
-                    shares[v].append(s)
+                files = [opened(x.as_py()) for x in batch.column("media")[i:j]]
+                shares = all_shares([f for f, _, _ in files])
                 out = []
-                for doc, (frames, step), s in zip(batch.column("doc_id")[i:j].to_pylist(), files, shares, strict=True):
-                    out += [(doc, *clip) for clip in clip_rows(np.concatenate(s) if s else np.zeros((0, BINS)), step)]
+                for doc, (_, step, error), s in zip(batch.column("doc_id")[i:j].to_pylist(), files, shares, strict=True):
+                    error = str(s) if isinstance(s, ValueError) else error
+                    out += [(doc, *[None] * 6, error)] if error else [(doc, *clip, None) for clip in clip_rows(s, step)]
                 yield arrow_rows(out, CLIPS)
 
     return source.mapInArrow(clips, CLIPS)

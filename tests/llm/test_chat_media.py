@@ -91,3 +91,29 @@ def test_clips_are_timed_and_cover_the_media(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     clips = [r.asDict() for r in media.media_clips(media.store_texts(docs)).collect()]
     assert len(clips) == 3
+
+
+def test_malformed_media_give_a_row_with_the_reason(spark):
+    docs = spark.createDataFrame([(1, "lorem ipsum " * 500), (2, "a" * 600)], "doc_id long, text string")
+    whole = {r["doc_id"]: bytes(r["media"]) for r in media.store_texts(docs).collect()}
+    frames, _ = media.riff_frames(whole[1])
+    head = media.jpeg_head(frames[0]).size
+    scan = whole[1].index(b"\xff\xda")
+    bad = {
+        "half": whole[1][: len(whole[1]) // 2],
+        "index cut": whole[1][:-20],
+        "no avi": b"RIFF\4\0\0\0WAVE",
+        "empty": b"",
+        "scan header": whole[1][: scan + 4] + b"\x09" + whole[1][scan + 5 :],
+        "short frame": media.avi([frames[0][: head + 40]]),
+        "no picture": media.avi([b"\xff\xd8\xff\xda\0\x08\1\1\0\0\x3f\0"]),
+    }
+    rows = [(k, raw) for k, (_, raw) in enumerate(bad.items())] + [(100, whole[1]), (101, whole[2]), (102, None)]
+    table = spark.createDataFrame(rows, "doc_id long, media binary").coalesce(1)
+    got = [r.asDict() for r in media.media_clips(table).collect()]
+    for k, name in enumerate(bad):
+        mine = [r for r in got if r["doc_id"] == k]
+        assert len(mine) == 1 and mine[0]["error"] and mine[0]["clip_no"] is None, name
+    alone = media.media_clips(table.where("doc_id >= 100")).collect()
+    assert sorted(r["doc_id"] for r in alone if r["clip_no"] == 0) == [100, 101] and all(r["error"] is None for r in alone)
+    assert [r for r in got if r["doc_id"] >= 100] == [r.asDict() for r in alone]
