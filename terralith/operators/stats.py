@@ -212,11 +212,20 @@ def mean_abs_correlation(correlations: DataFrame, n: int) -> DataFrame:
 
 
 def positional(pixels: DataFrame, bands: list[str], order: list[str]) -> DataFrame:
-    """Valid values of each band numbered in order and put side by side, cut to the shortest band: pixels are mis-paired where
-    the bands' gaps differ.  Meant for parity on small rasters (numbering is global)."""
+    """(k, bands): valid values of each band numbered in order and put side by side, cut to the shortest band: pixels are
+    mis-paired where the bands' gaps differ.
+
+    A number is the place among the values that agree in the first column of ``order`` (a raster's row, an object), after all
+    values that come earlier in it: what one window holds is one such row, and one number for each.
+    """
     out = None
     for b in bands:
-        one = pixels.where(valid(F.col(b))).select(F.row_number().over(Window.orderBy(*order)).alias("k"), b)
+        one = pixels.where(valid(F.col(b))).select(*order, b)
+        strips = one.groupBy(order[0]).agg(F.count("*").alias("__n"))
+        earlier = F.coalesce(F.sum("__n").over(Window.orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        inside = F.row_number().over(Window.partitionBy(order[0]).orderBy(*order[1:]))
+        numbered = one.withColumn("__k", inside).join(strips.select(order[0], earlier.alias("__before")), order[0])
+        one = numbered.select((F.col("__before") + F.col("__k")).alias("k"), b)
         out = one if out is None else out.join(one, "k")
     return out
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terralith.operators.stats import valid
+
 DESCRIPTORS = ["nugget", "sill", "range", "RMF", "RSF", "FDO", "SDT", "FML", "MFM", "VFM", "AFM", "DMS", "HA"]
 
 
@@ -111,14 +113,27 @@ def sampled(pixels: DataFrame, most: int = 400, key: str = "objeto_id") -> DataF
     return pixels.withColumn("__n", n).where(F.col("__n") <= most).drop("__n")
 
 
+PER_BLOCK = 2048
+
+
 def local_lags(pixels: DataFrame, value: str = "v", bins: int = 5, key: str = "objeto_id") -> DataFrame:
     """(key, lag, h, gamma, pairs): mean semivariance of an object's pixels by distance, in bins up to the greatest distance;
-    empty bins have no row.  Pairs are made inside objects of bounded size and summed at once."""
-    a = pixels.select(key, F.col("pixel_x").alias("ax"), F.col("pixel_y").alias("ay"), F.col(value).alias("va"))
-    b = pixels.select(key, F.col("pixel_x").alias("bx"), F.col("pixel_y").alias("by"), F.col(value).alias("vb"))
-    d = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
-    pairs = a.join(b, key).where("ax < bx OR (ax = bx AND ay < by)").select(key, d.alias("d"), (F.pow(F.col("va") - F.col("vb"), 2) / 2).alias("g"))
-    by_distance = pairs.groupBy(key, "d").agg(F.sum("g").alias("g"), F.count("*").alias("n"))
+    empty bins have no row.  Pixels without a place or a value are left out; pixels at one place make no pair.
+
+    Pixels are dealt to blocks of about PER_BLOCK by a hash of their place, and two blocks are one key of the join, so that an
+    object of any size is spread over as many keys as it has pairs of blocks.  Pairs are added up by distance where they
+    arise; what is exchanged grows with the object's unlike distances.
+    """
+    rows = pixels.select(key, *(F.col(c).cast("double").alias(n) for c, n in (("pixel_x", "x"), ("pixel_y", "y"), (value, "v"))))
+    rows = rows.where(valid(F.col("x")) & valid(F.col("y")) & valid(F.col("v")))
+    blocks = F.ceil(F.count("*") / PER_BLOCK).cast("int").alias("blocks")
+    dealt = rows.join(rows.groupBy(key).agg(blocks), key).withColumn("own", F.pmod(F.xxhash64("x", "y"), F.col("blocks")).cast("int"))
+    every = lambda low, high: F.explode(F.sequence(low, high))
+    a = dealt.select(key, F.col("own").alias("lo"), every(F.col("own"), F.col("blocks") - 1).alias("hi"), *(F.col(c).alias(f"a{c}") for c in "xyv"))
+    b = dealt.select(key, every(F.lit(0), F.col("own")).alias("lo"), F.col("own").alias("hi"), "x", "y", "v")
+    square = lambda c: F.pow(F.col(f"a{c}") - F.col(c), F.lit(2))
+    pairs = a.join(b, [key, "lo", "hi"]).where("lo < hi OR ax < x OR (ax = x AND ay < y)")
+    by_distance = pairs.groupBy(key, F.sqrt(square("x") + square("y")).alias("d")).agg(F.sum(square("v") / 2).alias("g"), F.count("*").alias("n"))
     width = F.max("d").over(Window.partitionBy(key)) / bins
     binned = by_distance.withColumn("width", width).withColumn("lag", F.floor(F.col("d") / F.col("width")).cast("int")).where(F.col("lag") < bins)
     return binned.groupBy(key, "lag").agg(F.first((F.col("lag") + 0.5) * F.col("width")).alias("h"), (F.sum("g") / F.sum("n")).alias("gamma"), F.sum("n").alias("pairs"))
@@ -145,9 +160,10 @@ def descriptors(h: np.ndarray, g: np.ndarray, nugget: float, sill: float, a: flo
     return {k: float(v) for k, v in out.items()}
 
 
-def local_variograms(pixels: DataFrame, value: str = "pc1", key: str = "objeto_id", most: int = 400) -> DataFrame:
-    """(key, var_*): the descriptors of each object; null ones for objects of fewer than 5 pixels or without extent."""
-    rows = sampled(pixels, most, key).withColumn("v", F.col(value))
+def local_variograms(pixels: DataFrame, value: str = "pc1", key: str = "objeto_id", most: int | None = 400) -> DataFrame:
+    """(key, var_*): the descriptors of each object, from at most ``most`` of its pixels (None: all); null ones for objects of
+    fewer than 5 pixels or without extent."""
+    rows = (sampled(pixels, most, key) if most else pixels).withColumn("v", F.col(value))
     lags = local_lags(rows, "v", 5, key)
     base = rows.groupBy(key).agg(F.count("*").alias("n"), F.var_pop("v").alias("variance"))
     listed = base.join(lags.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("lag", "h", "gamma"))).alias("lags"), (F.max(F.col("h") / (F.col("lag") + 0.5)) * 5).alias("far")), key, "left")
@@ -169,15 +185,6 @@ def local_variograms(pixels: DataFrame, value: str = "pc1", key: str = "objeto_i
             frame = pd.DataFrame(out, columns=[key, *DESCRIPTORS])
             yield frame.rename(columns={d: f"var_{d}" for d in DESCRIPTORS})
 
-    return listed.select(key, "n", "variance", "lags", "far").mapInPandas(each, schema)
-
-
-def spherical_expr(h: Column, nugget: Column, sill: Column, a: Column) -> Column:
-    """Spherical model with the whole sill, as an expression."""
-    u = F.try_divide(h, a)
-    return F.when(h >= a, sill).otherwise(nugget + (sill - nugget) * (1.5 * u - 0.5 * u * u * u))
-
-
-def hole_effect_expr(h: Column, nugget: Column, part: Column, a: Column) -> Column:
-    u = F.lit(np.pi) * h / a
-    return F.when(h > 0, nugget + part * (1 - F.sin(u) / F.when(u != 0, u))).otherwise(nugget)
+    # a number of its own, as few bytes with much work (a fit for each object) must not be drawn together into one task
+    parts = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listed.select(key, "n", "variance", "lags", "far").repartition(parts, key).mapInPandas(each, schema)

@@ -112,6 +112,30 @@ def index_sql(a: str, b: str, name: str) -> str:
     return X.WITH + f" SELECT objeto_id, {r(f'avg({v})', name + '_mean')}, {r(f'stddev_pop({v})', name + '_std')}, {r(f'min({v})', name + '_min')}, {r(f'max({v})', name + '_max')} FROM pixels GROUP BY objeto_id"
 
 
+NODATA = ["b1", "b3", "b4"]
+
+
+def with_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels whose value 0 means that there is none."""
+    return X.pixels(spark, d).withColumns({b: F.nullif(F.col(b).cast("double"), F.lit(0.0)) for b in NODATA})
+
+
+NUMBERED = ", ".join(f"n{b} AS (SELECT row_number() OVER (ORDER BY objeto_id, r, c) AS k, CAST({b} AS DOUBLE) AS {b} FROM pixels WHERE {b} <> 0)" for b in NODATA)
+
+
+@query(X.WITH + f", {NUMBERED} SELECT nb1.k, " + ", ".join(r(b, b) for b in NODATA) + " FROM nb1 JOIN nb3 ON nb1.k = nb3.k JOIN nb4 ON nb1.k = nb4.k")
+def positional_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return stats.positional(with_gaps(spark, d), NODATA, ["objeto_id", "r", "c"])
+
+
+@query(
+    X.WITH + f", {NUMBERED}, z AS (SELECT b1, b3, b4 FROM nb1 JOIN nb3 ON nb1.k = nb3.k JOIN nb4 ON nb1.k = nb4.k) "
+    + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {r(f'corr({a}, {b})', 'r')} FROM z" for a, b in (("b1", "b3"), ("b1", "b4"), ("b3", "b4")))
+)
+def positional_pearson(spark: SparkSession, d: str) -> DataFrame:
+    return stats.pearson(stats.positional(with_gaps(spark, d), NODATA, ["objeto_id", "r", "c"]), NODATA)
+
+
 @query(index_sql("b1", "b3", "ndvi"))
 def object_ndvi(spark: SparkSession, d: str) -> DataFrame:
     return stats.ndvi(X.pixels(spark, d), "b1", "b3")
@@ -407,20 +431,62 @@ def edge_features(spark: SparkSession, d: str) -> DataFrame:
     return texture.edge_strength(cell_grid(spark, d))
 
 
+def eigen_sql(matrices: str, p: int, first: int) -> str:
+    """CTEs (of a WITH RECURSIVE) that end in eigen(key, k, value, vector): the ``first`` greatest eigenvalues of the matrices
+    (key, m) of p x p numbers in one list.
+
+    A matrix squared 24 times is, but for its trace, the projector on its leading vector; what that explains is then taken off.
+    """
+    cells, steps = f"range(0, {p * p})", f"range(0, {p})"
+    trace = lambda m: "(" + " + ".join(f"{m}[{i * p + i + 1}]" for i in range(p)) + ")"
+    product = lambda a, b: f"[list_sum([{a}[(ij // {p}) * {p} + k_ + 1] * {b}[k_ * {p} + ij % {p} + 1] for k_ in {steps}]) for ij in {cells}]"
+    unit = lambda m: f"[x / greatest(list_max([abs(y) for y in {m}]), 1e-300) for x in {m}]"
+    rest = f"[c[ij + 1] - {trace('cm')} / greatest(power({trace('m')}, 2), 1e-300) * m[ij + 1] for ij in {cells}]"
+    return f"""squares(key, k, it, c, m) AS (
+      SELECT key, 1, 0, m, {unit('m')} FROM ({matrices}) start
+      UNION ALL SELECT key, k, it, c, {unit('m')} FROM (
+        SELECT key, CASE WHEN it < 24 THEN k ELSE k + 1 END AS k, CASE WHEN it < 24 THEN it + 1 ELSE 0 END AS it,
+          CASE WHEN it < 24 THEN c ELSE {rest} END AS c,
+          CASE WHEN it < 24 THEN {product('m', 'm')} ELSE {rest} END AS m
+        FROM (SELECT *, {product('c', 'm')} AS cm FROM squares) x WHERE it < 24 OR k < {first}) y),
+    found AS (SELECT key, k, m, {trace(product('c', 'm'))} / greatest({trace('m')}, 1e-300) AS value, [m[i * {p} + i + 1] for i in {steps}] AS diagonal FROM squares WHERE it = 24),
+    top AS (SELECT *, list_position(diagonal, list_max(diagonal)) - 1 AS j FROM found),
+    eigen AS (SELECT key, k, greatest(value, 0) AS value, [m[i * {p} + j + 1] / sqrt(m[j * {p} + j + 1] * greatest({trace('m')}, 1e-300)) for i in {steps}] AS vector FROM top)"""
+
+
+def matrix_sql(f: str, columns: list[str]) -> str:
+    return "[" + ", ".join(f"{f}({a}, {b})" for a in columns for b in columns) + "]"
+
+
+LOCAL = ["b1", "b2", "b3", "b4"]
+LOCAL_PC1 = (
+    X.WITH.replace("WITH", "WITH RECURSIVE", 1)
+    + f", {eigen_sql(f'SELECT objeto_id AS key, {matrix_sql("covar_samp", LOCAL)} AS m FROM pixels GROUP BY objeto_id HAVING count(*) > 1', 4, 1)}"
+    + ", means AS (SELECT objeto_id, " + ", ".join(f"avg({b}) AS m{b}" for b in LOCAL) + """ FROM pixels GROUP BY objeto_id),
+    scored AS (SELECT p.*, CASE WHEN e.key IS NULL THEN p.b1 ELSE """ + " + ".join(f"(p.{b} - m.m{b}) * e.vector[{i}]" for i, b in enumerate(LOCAL, 1))
+    + " END AS pc1 FROM pixels p JOIN means m ON p.objeto_id = m.objeto_id LEFT JOIN eigen e ON p.objeto_id = e.key)"
+)
+
+
+@query(LOCAL_PC1 + f" SELECT objeto_id, r, c, {r('pc1', 'pc1', 4)} FROM scored", 4)
+def local_component_scores(spark: SparkSession, d: str) -> DataFrame:
+    return texture.local_component(X.pixels(spark, d), LOCAL).select("objeto_id", "r", "c", "pc1")
+
+
 @query()
 def pc1_texture(spark: SparkSession, d: str) -> DataFrame:
     pixels = texture.local_component(X.pixels(spark, d), ["b1", "b2", "b3", "b4"]).withColumnsRenamed({"r": "row", "c": "col"})
     return texture.texture_features(texture.cells(pixels, "pc1"))
 
 
-def lags_sql() -> str:
-    return (
+def lags_sql(summed: bool = True) -> str:
+    pairs = (
         X.WITH + f""", s AS (SELECT * FROM pixels), pr AS (SELECT a.objeto_id, sqrt(power(a.pixel_x - b.pixel_x, 2) + power(a.pixel_y - b.pixel_y, 2)) AS d, power(a.b5 - b.b5, 2) / 2 AS g
   FROM s a JOIN s b ON a.objeto_id = b.objeto_id AND (a.pixel_x < b.pixel_x OR (a.pixel_x = b.pixel_x AND a.pixel_y < b.pixel_y))),
   w AS (SELECT objeto_id, max(d) / 5 AS width FROM pr GROUP BY objeto_id),
   lg AS (SELECT pr.objeto_id, CAST(floor(d / width) AS INT) AS lag, (floor(d / width) + 0.5e0) * width AS h, g FROM pr JOIN w ON pr.objeto_id = w.objeto_id WHERE floor(d / width) < 5)"""
-        + f" SELECT objeto_id, lag, {r('min(h)', 'h', 4)}, {r('avg(g)', 'gamma', 4)}, count(*) AS pairs FROM lg GROUP BY objeto_id, lag"
     )
+    return pairs + f" SELECT objeto_id, lag, {r('min(h)', 'h', 4)}, {r('avg(g)', 'gamma', 4)}, count(*) AS pairs FROM lg GROUP BY objeto_id, lag" if summed else pairs
 
 
 @query(lags_sql(), 4)
@@ -428,19 +494,67 @@ def local_variogram_lags(spark: SparkSession, d: str) -> DataFrame:
     return variogram.local_lags(X.pixels(spark, d), "b5")
 
 
+SHAPE = {
+    "RMF": "CASE WHEN g[1] > 0 THEN list_max(g) / g[1] ELSE 0 END",
+    "RSF": "CASE WHEN g[1] > 0 THEN g[2] / g[1] ELSE 1 END",
+    "FDO": "(g[2] - g[1]) / (h[2] - h[1])",
+    "SDT": "CASE WHEN n >= 4 THEN (g[4] - 2 * g[3] + g[2]) / power(h[2] - h[1], 2) ELSE 0 END",
+    "FML": "h[m1]",
+    "MFM": "list_avg(g[1:m1])",
+    "VFM": "list_var_pop(g[1:m1])",
+    "AFM": "(h[2] - h[1]) / 2 * (g[1] + 2 * coalesce(list_sum(g[2:m1 - 1]), 0) + g[m1]) - g[1] * (h[m1] - h[1])",
+    "DMS": "h[m2] - h[m1]",
+    "HA": "CASE WHEN m2 > m1 AND g[m1] + g[m2] <> 0 THEN (h[2] - h[1]) / 2 * (g[m1] + 2 * coalesce(list_sum(g[m1 + 1:m2 - 1]), 0) + g[m2]) / ((h[m2] - h[m1]) * (g[m2] + g[m1]) / 2) ELSE 0 END",
+}
+
+
+@query(
+    lags_sql(False) + f""", gl AS (SELECT objeto_id, lag, min(h) AS h, avg(g) AS g FROM lg GROUP BY objeto_id, lag),
+    a AS (SELECT objeto_id, list(h ORDER BY lag) AS h, list(g ORDER BY lag) AS g, count(*) AS n FROM gl GROUP BY objeto_id),
+    pk AS (SELECT *, [i for i in range(2, n + 1) if g[i] >= g[i - 1] AND (i = n OR g[i] >= g[i + 1])] AS peaks FROM a WHERE n >= 3),
+    m AS (SELECT *, coalesce(peaks[1], list_position(g, list_max(g))) AS m1 FROM pk), mm AS (SELECT *, CASE WHEN peaks[2] > m1 THEN peaks[2] ELSE n END AS m2 FROM m)
+    SELECT objeto_id, """ + ", ".join(r(e, f"var_{c}", 4) for c, e in SHAPE.items()) + " FROM mm", 4,
+)
+def local_variogram_shape(spark: SparkSession, d: str) -> DataFrame:
+    shapes = variogram.local_variograms(X.pixels(spark, d), "b5", most=None)
+    return shapes.select("objeto_id", *(f"var_{c}" for c in SHAPE))
+
+
 @query()
 def local_variogram_descriptors(spark: SparkSession, d: str) -> DataFrame:
     return variogram.local_variograms(X.pixels(spark, d), "b5")
 
 
-@query()
+@query(
+    X.WITH.replace("WITH", "WITH RECURSIVE", 1)
+    + f""", {eigen_sql(f"SELECT 0 AS key, {matrix_sql('corr', CORR)} AS m FROM pixels", len(CORR), len(CORR))},
+    shares AS (SELECT k AS component, value / sum(value) OVER () AS ratio FROM eigen), run AS (SELECT *, sum(ratio) OVER (ORDER BY component) AS cumulative FROM shares)
+    SELECT component, {r('ratio', 'ratio')}, {r('cumulative', 'cumulative')}, CAST(min(CASE WHEN cumulative >= 0.95e0 - 1e-12 THEN component END) OVER () AS INT) AS effective_dim FROM run"""
+)
 def pca_variance(spark: SparkSession, d: str) -> DataFrame:
     return stats.pca(X.pixels(spark, d), CORR)
 
 
-@query()
+LOADED = ["f_sig", "f_col", "f1", "f3"]
+
+
+@query(
+    X.WITH_FEATURES.replace("WITH", "WITH RECURSIVE", 1)
+    + f", {eigen_sql(f'SELECT 0 AS key, {matrix_sql("corr", LOADED)} AS m FROM features', len(LOADED), 3)}"
+    + " UNION ALL ".join(f" SELECT k AS component, '{c}' AS variable, {r(f'vector[{i}]', 'loading')} FROM eigen" for i, c in enumerate(LOADED, 1))
+)
 def pca_loadings(spark: SparkSession, d: str) -> DataFrame:
-    return stats.loadings(X.features(spark, d), ["f_sig", "f_col", "f1", "f3"])
+    return stats.loadings(X.features(spark, d), LOADED)
+
+
+@query(
+    X.WITH_FEATURES.replace("WITH", "WITH RECURSIVE", 1)
+    + f""", {eigen_sql(f"SELECT 0 AS key, {matrix_sql('corr', NUMERIC)} AS m FROM features", len(NUMERIC), len(NUMERIC))},
+    shares AS (SELECT k AS component, value / sum(value) OVER () AS ratio FROM eigen), run AS (SELECT *, sum(ratio) OVER (ORDER BY component) AS cumulative FROM shares)
+    SELECT component, {r('ratio', 'ratio')}, {r('cumulative', 'cumulative')}, CAST(min(CASE WHEN cumulative >= 0.95e0 - 1e-12 THEN component END) OVER () AS INT) AS effective_dim FROM run"""
+)
+def feature_pca(spark: SparkSession, d: str) -> DataFrame:
+    return stats.pca(X.features(spark, d), NUMERIC)
 
 
 FPAIRS = [(a, b) for i, a in enumerate(NUMERIC) for b in NUMERIC[i + 1 :]]
@@ -494,6 +608,11 @@ def mutual_information_whole(spark: SparkSession, d: str) -> DataFrame:
     return separability.mutual_information(X.all_features(spark, d), EVERY)
 
 
+@query(f"WITH {LONG_MI}, o AS (SELECT DISTINCT i, v FROM long) SELECT mi.v AS variable, {r('mi', 'mi', 4)}, CAST(row_number() OVER (ORDER BY mi DESC, o.i) AS INT) AS rank FROM mi JOIN o ON o.v = mi.v", 4)
+def information_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return separability.ranked(separability.mutual_information(X.all_features(spark, d), EVERY), EVERY)
+
+
 @query(
     f"""WITH RECURSIVE {LONG_MI},
     c AS (SELECT a.i, b.i AS j, a.v AS a, b.v AS b, corr(a.x, b.x) AS r FROM long a JOIN long b ON a.o = b.o AND a.i < b.i GROUP BY ALL),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terralith.functions import geometry as G
-from terralith.operators import separability, spatial, stats, topology
+from terralith.operators import separability, spatial, stats, topology, variogram
 
 SHAPES = "objeto_id long, clase string, polygons array<array<array<struct<x:double,y:double>>>>"
 
@@ -111,3 +111,28 @@ def test_information_with_repeated_values_lone_classes_and_few_values_a_range(sp
     rows = spark.createDataFrame([(None if v is None else str(v), float(p), float(q)) for v, p, q in zip(y, a, b)], "clase string, a double, b double")
     got = {r["variable"]: r["mi"] for r in separability.mutual_information(rows, ["a", "b"]).collect()}
     assert got == {"a": pytest.approx(brute_information(a, y), rel=1e-9), "b": pytest.approx(brute_information(b, y), rel=1e-9)}
+
+
+def test_lags_of_an_object_in_many_blocks(spark, monkeypatch):
+    """Blocks of 20 pixels against all pairs; pixels at one place, without a value and objects of one pixel included."""
+    monkeypatch.setattr(variogram, "PER_BLOCK", 20)
+    rng = np.random.default_rng(5)
+    rows = [(1, float(x), float(y), float(v)) for x, y, v in rng.integers(0, 40, (300, 3))]
+    rows += [(2, float(k), 0.0, float(k % 3)) for k in range(25)] + [(3, 1.0, 1.0, 1.0), (4, 1.0, 1.0, None), (4, None, 1.0, 2.0), (1, 3.0, 3.0, float("nan"))]
+    got = variogram.local_lags(spark.createDataFrame(rows, "objeto_id long, pixel_x double, pixel_y double, v double")).collect()
+    assert {r["objeto_id"] for r in got} == {1, 2}
+    for key in (1, 2):
+        p = [r[1:] for r in rows if r[0] == key and r[3] == r[3]]
+        pairs = [(np.hypot(a[0] - b[0], a[1] - b[1]), (a[2] - b[2]) ** 2 / 2) for i, a in enumerate(p) for b in p[:i] if a[:2] != b[:2]]
+        width = max(d for d, _ in pairs) / 5
+        for r in (r for r in got if r["objeto_id"] == key):
+            want = [g for d, g in pairs if int(d // width) == r["lag"]]
+            assert r["pairs"] == len(want) and r["gamma"] == pytest.approx(np.mean(want)) and r["h"] == pytest.approx((r["lag"] + 0.5) * width)
+        assert sum(r["pairs"] for r in got if r["objeto_id"] == key) == sum(d // width < 5 for d, _ in pairs)
+
+
+def test_positions_count_through_rows_of_a_raster(spark):
+    rows = [(0, 0, 1.0, None), (0, 1, None, 10.0), (0, 2, 2.0, 20.0), (2, 0, 3.0, None), (2, 1, 4.0, 30.0)]
+    got = stats.positional(spark.createDataFrame(rows, "row int, col int, a double, b double"), ["a", "b"], ["row", "col"])
+    assert sorted(map(tuple, got.collect())) == [(1, 1.0, 10.0), (2, 2.0, 20.0), (3, 3.0, 30.0)]
+    assert got.where("false").count() == 0
