@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terralith.operators.stats import components, pearson, standardized, valid
+from terralith.operators.stats import WIDE, components, pearson, standardized, valid
 from terralith.sources.parts import settled
 
 
@@ -165,12 +168,13 @@ def first_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 def cluster_sums(rows: DataFrame, columns: list[str], centres: dict[int, np.ndarray]) -> dict[tuple[int, int], tuple[float, float, np.ndarray]]:
-    """By run and cluster: members, their squared distances and their sum, for all runs in one pass over the rows."""
+    """By run and cluster: members, their squared distances and their sum, for all runs in one pass over ``rows`` (x, the columns
+    in one array)."""
 
-    def sums(batches):  # noqa: ANN001, ANN202
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict = {}
-        for pdf in batches:
-            x = pdf.to_numpy(float)
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(-1, len(columns))
             for run, c in centres.items():
                 gap = square_gaps(x, c)
                 at = gap.argmin(1)
@@ -179,11 +183,12 @@ def cluster_sums(rows: DataFrame, columns: list[str], centres: dict[int, np.ndar
                 total[run] = n + hot.sum(0), cost + gap.min(1) @ hot, t + hot.T @ x
         for run, (n, cost, t) in total.items():
             each = np.column_stack([n, cost, t])
-            yield pd.DataFrame({"run": run, "k": np.repeat(np.arange(len(n)), each.shape[1]), "i": np.tile(np.arange(each.shape[1]), len(n)), "x": each.ravel()})
+            at = np.full(each.size, run, np.int32), np.repeat(np.arange(len(n), dtype=np.int32), each.shape[1]), np.tile(np.arange(each.shape[1], dtype=np.int32), len(n))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, at), pa.array(each.ravel())], names=["run", "k", "i", "x"])
 
-    parts = rows.select(*columns).mapInPandas(sums, "run int, k int, i int, x double")
+    parts = rows.mapInArrow(sums, "run int, k int, i int, x double")
     # a row for each run, cluster and column, whatever the number of objects
-    found = parts.groupBy("run", "k", "i").agg(F.sum("x").alias("x")).orderBy("run", "k", "i").toArrow()
+    found = parts.groupBy("run", "k", "i").agg(F.sum("x").alias("x")).toArrow().sort_by([("run", "ascending"), ("k", "ascending"), ("i", "ascending")])
     runs, ks, x = (found[c].to_numpy() for c in ("run", "k", "x"))
     width = len(columns) + 2
     return {(int(runs[j]), int(ks[j])): (x[j], x[j + 1], x[j + 2 : j + width]) for j in range(0, len(x), width)}
@@ -226,7 +231,9 @@ def kmeans(features: DataFrame, columns: list[str], key: str = "objeto_id", most
         empty = features.sparkSession.createDataFrame([], "k int, inertia double, silhouette double, davies_bouldin double, gap double, selected boolean")
         return empty, rows.select(key, F.lit(0).alias("cluster"))
     some = rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).select(*columns).limit(sample).toPandas().to_numpy(float)
-    centres, inertia = fitted_centres(rows, columns, {k * starts + s: first_centres(some, k, seed + s) for k in ks for s in range(starts)})
+    arrays = rows.select(F.array(*(F.col(c).cast("double") for c in columns)).alias("x")).persist()
+    centres, inertia = fitted_centres(arrays, columns, {k * starts + s: first_centres(some, k, seed + s) for k in ks for s in range(starts)})
+    arrays.unpersist()
     best = {k: min(range(k * starts, (k + 1) * starts), key=lambda run: (inertia[run], run)) for k in ks}
     names = [f"cluster_{k}" for k in ks]
 
@@ -244,47 +251,73 @@ def kmeans(features: DataFrame, columns: list[str], key: str = "objeto_id", most
     return chosen, labelled.select(key, F.col(f"cluster_{k}").alias("cluster"))
 
 
+def plain_gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of rows to rows by one product of matrices; those that are small against the rows' lengths, which would lose
+    their digits, by differences."""
+    lengths = (x * x).sum(1)[:, None] + (y * y).sum(1)
+    square = np.maximum(lengths - 2 * x @ y.T, 0)
+    i, j = np.nonzero(square <= 1e-6 * lengths)
+    for k in range(0, len(i), 1 << 15):
+        part = slice(k, k + (1 << 15))
+        square[i[part], j[part]] = ((x[i[part]] - y[j[part]]) ** 2).sum(1)
+    return np.sqrt(square, out=square)
+
+
+PER_BLOCK = 16_000
+
+
 def silhouettes(labelled: DataFrame, columns: list[str], labels: list[str], key: str = "objeto_id", blocks: int = 16) -> DataFrame:
     """(label_of, silhouette): for each column of labels the mean silhouette with Euclidean distances; objects alone in their
     cluster count 0.
 
-    The measure needs the distance of every two objects, once for all labels.  Objects are cut into blocks; each pair of blocks is
-    a task that gives, by object and cluster, a sum of distances, so pairs are never rows.
+    The measure needs the distance of every two objects, once for all labels.  Objects are cut into blocks; each two blocks are
+    a task, which takes their distances once for both sides and gives an object's sums by cluster in one array, so pairs are never rows.
     """
-    n = labelled.count()
-    blocks = max(blocks, n // 4000)
-    base = labelled.select(F.col(key).alias("id"), F.array(*(F.col(c).cast("string") for c in labels)).alias("label"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    dealt = base.select("*", F.lit(True).alias("own"), F.explode(every).alias("other")).select("id", "label", "x", "own", F.col("block").alias("u"), F.col("other").alias("v"))
-    dealt = dealt.unionByName(base.select("*", F.lit(False).alias("own"), F.explode(every).alias("other")).select("id", "label", "x", "own", F.col("other").alias("u"), F.col("block").alias("v")))
-
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.own], pdf[~pdf.own]
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=["label_of", "id", "label", "near", "d", "n"])
-        x, z = np.stack(a.x.to_numpy()), np.stack(b.x.to_numpy())
-        ours, theirs = (np.stack([np.array([str(v) for v in r]) for r in t.label]) for t in (a, b))
-        codes = [np.unique(theirs[:, i], return_inverse=True) for i in range(len(labels))]
-        hot = [np.eye(len(names))[at] for names, at in codes]
-        total = [np.zeros((len(x), h.shape[1])) for h in hot]
-        for k in range(0, len(x), 256):
-            square = np.zeros((len(x[k : k + 256]), len(z)))
-            for c in range(x.shape[1]):
-                square += (x[k : k + 256, c, None] - z[:, c]) ** 2
-            for t, h in zip(total, hot):
-                t[k : k + 256] = np.sqrt(square) @ h
-        out = [
-            pd.DataFrame({"label_of": name, "id": np.repeat(a.id.to_numpy(), len(names)), "label": np.repeat(ours[:, i], len(names)), "near": np.tile(names, len(x)), "d": total[i].ravel(), "n": np.tile(hot[i].sum(0).astype(int), len(x))})
-            for i, (name, (names, _)) in enumerate(zip(labels, codes))
-        ]
-        return pd.concat(out)
-
-    parts = dealt.groupBy("u", "v").applyInPandas(sums, "label_of string, id long, label string, near string, d double, n long")
-    by = parts.groupBy("label_of", "id", "label", "near").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
-    own = F.col("label") == F.col("near")
-    per = by.groupBy("label_of", "id").agg(F.max(F.when(own, F.try_divide("d", F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("d") / F.col("n"))).alias("b"), F.max(F.when(own, F.col("n"))).alias("n"))
-    s = F.when(F.col("n") > 1, F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))).otherwise(0.0)
-    return per.groupBy("label_of").agg(F.avg(F.coalesce(s, F.lit(0.0))).alias("silhouette"))
+    told = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in labels}
+    sizes = {c: {r["k"]: r["n"] for r in labelled.groupBy(told[c].alias("k")).agg(F.count("*").alias("n")).collect()} for c in labels}  # a row for each cluster
+    if not all(sizes.values()):
+        return labelled.sparkSession.createDataFrame([], "label_of string, silhouette double")
+    names = {c: sorted(v) for c, v in sizes.items()}
+    first = dict(zip(labels, np.cumsum([0, *(len(v) for v in names.values())]).tolist()))
+    width = sum(map(len, names.values()))
+    blocks = max(blocks, -(-sum(sizes[labels[0]].values()) // PER_BLOCK))
+    place = lambda c: (F.array_position(F.array(*map(F.lit, names[c])), told[c]) - 1 + first[c]).cast("int")
+    base = labelled.select(F.col(key).alias("id"), F.array(*map(place, labels)).alias("at"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"))
+    dealt = base.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"u": F.least("own", "other"), "v": F.greatest("own", "other")}).drop("other")
+
+    def sums(table: pa.Table) -> pa.Table:
+        own = table.column("own").to_numpy()
+        x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(columns))
+        at = table.column("at").combine_chunks().flatten().to_numpy().reshape(-1, len(labels))
+        hot = np.zeros((len(x), width))
+        hot[np.arange(len(x))[:, None], at] = 1
+        u = table.column("u")[0].as_py()
+        a, b = np.flatnonzero(own == u), np.flatnonzero(own != u)
+        same = u == table.column("v")[0].as_py()
+        b = a if same else b
+        total = np.zeros((len(x), width))
+        z, theirs = x[b], hot[b]
+        for k in range(0, len(a), 256):
+            part = a[k : k + 256]
+            d = plain_gaps(x[part], z)
+            total[part] += d @ theirs
+            if not same:
+                total[b] += d.T @ hot[part]
+        ends = pa.array(np.arange(0, total.size + 1, width, dtype=np.int32))
+        return pa.table({"id": table.column("id"), "s": pa.ListArray.from_arrays(ends, pa.array(total.ravel()))})
+
+    parts = dealt.select(F.col("id").cast("long").alias("id"), "at", "x", "own", "u", "v").groupBy("u", "v").applyInArrow(sums, "id long, s array<double>")
+    by = parts.groupBy("id").agg(*(F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width)))
+    rows = base.select(F.col("id").cast("long").alias("id"), "at").join(by, "id")
+    each = []
+    for i, c in enumerate(labels):
+        own = F.col("at")[i]
+        near = [(first[c] + k, sizes[c][name]) for k, name in enumerate(names[c])]
+        a = F.coalesce(*(F.when((own == j) & F.lit(n > 1), F.col(f"s{j}") / (n - 1 or 1)) for j, n in near))
+        b = F.array_min(F.array(*(F.when(own != j, F.col(f"s{j}") / n) for j, n in near)))
+        s = F.when(a.isNull(), 0.0).otherwise(F.try_divide(b - a, F.greatest(a, b)))
+        each.append(F.struct(F.lit(c).alias("label_of"), F.coalesce(s, F.lit(0.0)).alias("s")))
+    return rows.select(F.explode(F.array(*each)).alias("e")).groupBy("e.label_of").agg(F.avg("e.s").alias("silhouette"))
 
 
 def silhouette(labelled: DataFrame, columns: list[str], label: str, key: str = "objeto_id", blocks: int = 16) -> DataFrame:
@@ -324,19 +357,65 @@ def global_purity(labelled: DataFrame, clase: str = "clase", cluster: str = "clu
     return best.agg((F.sum("best") / F.sum("n")).alias("global_purity"))
 
 
+def class_moments(rows: DataFrame, columns: list[str], turn: np.ndarray, clase: str) -> DataFrame:
+    """(k, n, m, c): by class the rows, and of ``columns`` times ``turn`` the means and the upper half of the sample covariance.
+
+    Each task adds up a matrix for each class.  Rows with a missing value count in n alone.
+    """
+    d = turn.shape[1]
+    upper = np.triu_indices(d)
+
+    def merged(one: tuple, two: tuple) -> tuple:
+        (_, f1, m1, c1), (_, f2, m2, c2) = one, two
+        f, gap = f1 + f2, m2 - m1
+        return one[0] + two[0], f, m1 + gap * (f2 / max(1, f)), c1 + c2 + np.outer(gap, gap) * (f1 * f2 / max(1, f))
+
+    def of(n: int, z: np.ndarray) -> tuple:
+        m = z.mean(0) if len(z) else np.zeros(d)
+        return n, len(z), m, (z - m).T @ (z - m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            x = np.stack([batch.column(f"x{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(len(columns))], 1)
+            names = batch.column("k").dictionary_encode()
+            at, full = names.indices.to_numpy(zero_copy_only=False), np.isfinite(x).all(1)
+            for i, k in enumerate(names.dictionary.to_pylist()):
+                one = of(int((at == i).sum()), x[(at == i) & full] @ turn)
+                total[k] = merged(total[k], one) if k in total else one
+        out = [[k, n, f, m.tolist(), c.ravel().tolist()] for k, (n, f, m, c) in total.items()]
+        yield pa.RecordBatch.from_pylist([dict(zip(PARTS, r)) for r in out], schema=pa.schema(list(zip(PARTS, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))))))
+
+    def add(table: pa.Table) -> pa.Table:
+        total = None
+        for r in table.to_pylist():
+            one = r["n"], r["full"], np.array(r["m"]), np.array(r["c"]).reshape(d, d)
+            total = one if total is None else merged(total, one)
+        n, f, m, c = total
+        return pa.table({"k": table.column("k")[:1], "n": pa.array([n]), "m": pa.array([m.tolist()]), "c": pa.array([(c[upper] / max(1, f - 1)).tolist()])})
+
+    named = rows.where(F.col(clase).isNotNull()).select(F.col(clase).cast("string").alias("k"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)))
+    parts = named.mapInArrow(run, "k string, n long, full long, m array<double>, c array<double>")
+    return parts.groupBy("k").applyInArrow(add, "k string, n long, m array<double>, c array<double>")  # a row for each task and class
+
+
+PARTS = ("k", "n", "full", "m", "c")
+
+
 def class_distances(features: DataFrame, columns: list[str], clase: str = "clase", dimensions: int | None = None, ridge: float = 1e-4) -> DataFrame:
     """(a, b, mahalanobis, bhattacharyya) of each two classes, in the space of the first principal components (all columns as
-    they are, if ``dimensions`` is None).  Class means and covariances come from one aggregation."""
-    space = features
-    names = columns
-    if dimensions is not None:
-        _, vectors = components(features, columns)
-        z = standardized(features, columns)
-        names = [f"pc{k}" for k in range(min(max(1, dimensions), len(columns)))]
-        space = z.select(clase, *(sum(F.col(c) * float(vectors[i, k]) for i, c in enumerate(columns)).alias(n) for k, n in enumerate(names)))
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    stats = space.groupBy(F.col(clase).alias("k")).agg(F.count("*").alias("n"), F.array(*(F.avg(c) for c in names)).alias("m"), F.array(*(F.coalesce(F.covar_samp(names[i], names[j]), F.lit(0.0)) for i, j in pairs)).alias("c"))
-    d = len(names)
+    they are, if ``dimensions`` is None).  Class means and covariances come from one aggregation, or, for many columns, one pass."""
+    if dimensions is None and len(columns) <= WIDE:
+        d = len(columns)
+        pairs = [(i, j) for i in range(d) for j in range(i, d)]
+        stats = features.groupBy(F.col(clase).alias("k")).agg(F.count("*").alias("n"), F.array(*(F.avg(c) for c in columns)).alias("m"), F.array(*(F.coalesce(F.covar_samp(columns[i], columns[j]), F.lit(0.0)) for i, j in pairs)).alias("c"))
+    elif dimensions is None:
+        d = len(columns)
+        stats = class_moments(features, columns, np.eye(d), clase)
+    else:
+        d = min(max(1, dimensions), len(columns))
+        stats = class_moments(standardized(features, columns), columns, components(features, columns)[1][:, :d], clase)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
 
     def measure(batches):  # noqa: ANN001, ANN202
         upper = tuple(np.array(pairs).T)

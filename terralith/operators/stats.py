@@ -146,7 +146,7 @@ def safe_corr(a: str, b: str) -> Column:
 
 
 def gram(rows: DataFrame, columns: list[str], centre: dict[str, float]) -> DataFrame:
-    """(i, n, sa, sb, saa, sbb, sab): for each column, arrays over all columns of sums over the rows that hold both.
+    """(i, j, n, sa, sb, saa, sbb, sab): for each two columns (i <= j) sums over the rows that hold both.
 
     Each task adds up matrices of its rows, about a centre that keeps digits; one row a column and task is shuffled.
     """
@@ -168,7 +168,7 @@ def gram(rows: DataFrame, columns: list[str], centre: dict[str, float]) -> DataF
 
     names = ["n", "sa", "sb", "saa", "sbb", "sab"]
     parts = rows.select(*(F.col(c).cast("double").alias(c) for c in columns)).mapInArrow(run, "i int, " + ", ".join(f"{c} array<double>" for c in names))
-    cells = parts.select("i", F.posexplode(F.arrays_zip(*names)).alias("j", "v")).where("i < j")
+    cells = parts.select("i", F.posexplode(F.arrays_zip(*names)).alias("j", "v")).where("i <= j")
     return cells.groupBy("i", "j").agg(*(F.sum(f"v.{c}").alias(c) for c in names))
 
 
@@ -177,7 +177,7 @@ def wide_pearson(rows: DataFrame, columns: list[str]) -> DataFrame:
     clean = lambda c: F.when(valid(F.col(c)), F.col(c).cast("double"))
     means = rows.agg(*(F.avg(clean(c)).alias(c) for c in columns)).head().asDict()
     flat = rows.agg(*((F.min(clean(c)) == F.max(clean(c))).alias(c) for c in columns)).head().asDict()
-    s = gram(rows, columns, {c: m or 0.0 for c, m in means.items()})
+    s = gram(rows, columns, {c: m or 0.0 for c, m in means.items()}).where("i < j")
     top = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")
     spread = lambda a, b: F.greatest(F.col(a) - F.col(b) * F.col(b) / F.col("n"), F.lit(0.0))
     r = F.try_divide(top, F.sqrt(spread("saa", "sa")) * F.sqrt(spread("sbb", "sb")))
@@ -239,7 +239,9 @@ def standardized(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def covariance(rows: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """(means, sample covariance, rows) in one aggregation."""
+    """(means, sample covariance, rows): in one aggregation, or for many columns by sums of matrices."""
+    if len(columns) > WIDE:
+        return wide_covariance(rows, columns)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     r = rows.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)), *(F.covar_samp(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs)).head()
     cov = np.zeros((len(columns), len(columns)))
@@ -248,6 +250,18 @@ def covariance(rows: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndar
     return np.array([r[f"m{i}"] or 0.0 for i in range(len(columns))]), cov, r["n"]
 
 
+def wide_covariance(rows: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """``covariance`` for many columns, whose aggregates would be too many for one plan; a row for each two columns is collected."""
+    clean = lambda c: F.when(valid(F.col(c)), F.col(c).cast("double"))
+    one = rows.agg(F.count("*").alias("n"), *(F.avg(clean(c)).alias(f"m{i}") for i, c in enumerate(columns))).head()
+    means = np.array([one[f"m{i}"] or 0.0 for i in range(len(columns))])
+    cov = np.zeros((len(columns), len(columns)))
+    for r in gram(rows, columns, dict(zip(columns, means.tolist(), strict=True))).collect():
+        if r["n"] > 1:
+            cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = (r["sab"] - r["sa"] * r["sb"] / r["n"]) / (r["n"] - 1)
+    return means, cov, one["n"]
+
+
 def components(rows: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(eigenvalues, unit vectors as columns) of standardised columns, greatest first, signs set by the largest loading."""
     _, cov, _ = covariance(rows, columns)
