@@ -7,10 +7,11 @@ values lie outside the bounds, they are returned as they are.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,6 +87,53 @@ def fit(h: np.ndarray, y: np.ndarray, shape: Callable, nugget: tuple[float, floa
     return best
 
 
+def fit_many(h: np.ndarray, y: np.ndarray, held: np.ndarray, variance: np.ndarray, far: np.ndarray, steps: int = 200) -> np.ndarray:
+    """Rows of (nugget, sill, range): ``fit`` of the spherical model with ``whole_sill`` for many local variograms at once.
+
+    A row of ``h`` and ``y`` is a variogram, ``held`` tells which of its lags there are.
+    """
+
+    def at(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        u = np.minimum(h[:, None] / np.maximum(a, 1e-12)[..., None], 1)
+        x = 1.5 * u - 0.5 * u**3
+        rest, x, z = (1 - x) * held[:, None], x * held[:, None], np.broadcast_to((y * held)[:, None], x.shape)
+        rr, rx, xx, ry, xz = (np.einsum("nsl,nsl->ns", p, q) for p, q in ((rest, rest), (rest, x), (x, x), (rest, z), (x, z)))
+        det = rr * xx - rx * rx
+        whole = np.abs(det) > 1e-14
+        safe = np.where(whole, det, 1)
+        most_n, most_s = 2 * variance[:, None], 3 * variance[:, None]
+        tries = [((xx * ry - rx * xz) / safe, (rr * xz - rx * ry) / safe)]
+        tries += [(v + 0 * rr, (xz - v * rx) / np.maximum(xx, 1e-300)) for v in (0.0, most_n)]
+        tries += [((ry - v * rx) / np.maximum(rr, 1e-300), v + 0 * rr) for v in (0.0, most_s)]
+        best = None
+        for k, (p, q) in enumerate(tries):
+            p, q = np.minimum(np.maximum(p, 0), most_n), np.minimum(np.maximum(q, 0), most_s)
+            error = ((z - p[..., None] * rest - q[..., None] * x) ** 2).sum(-1)
+            if k == 0:
+                best = np.where(whole, error, np.inf), p, q
+                continue
+            better = error < best[0]
+            best = tuple(np.where(better, new, old) for new, old in zip((error, p, q), best, strict=True))
+        return best
+
+    last = 1.5 * far
+    first = np.maximum(10.0, last * 1e-3)
+    grid = first[:, None] + (last - first)[:, None] * (np.arange(steps) / (steps - 1))
+    k = at(grid)[0].argmin(1)
+    row = np.arange(len(h))
+    low, high, start = grid[row, np.maximum(0, k - 1)], grid[row, np.minimum(steps - 1, k + 1)], grid[row, k]
+    golden = (np.sqrt(5) - 1) / 2
+    for _ in range(60):
+        x, z = high - golden * (high - low), low + golden * (high - low)
+        error = at(np.stack([x, z], 1))[0]
+        left = error[:, 0] <= error[:, 1]
+        low, high = np.where(left, low, x), np.where(left, z, high)
+    ends = np.stack([start, (low + high) / 2], 1)
+    error, p, q = at(ends)
+    j = error.argmin(1)
+    return np.stack([p[row, j], q[row, j], ends[row, j]], 1)
+
+
 def fit_global(h: np.ndarray, gamma: np.ndarray, variance: float, cutoff: float) -> dict:
     """The better of spherical and hole-effect by squared error (hole only if strictly better); sill = nugget + partial sill."""
     start = (float(gamma[0]), variance - float(gamma[0]), cutoff / 2)
@@ -120,25 +168,60 @@ def local_lags(pixels: DataFrame, value: str = "v", bins: int = 5, key: str = "o
     """(key, lag, h, gamma, pairs): mean semivariance of an object's pixels by distance, in bins up to the greatest distance;
     empty bins have no row.  Pixels without a place or a value are left out; pixels at one place make no pair.
 
-    Pixels are dealt to blocks of about PER_BLOCK by a hash of their place, and two blocks are one key of the join, so that an
-    object of any size is spread over as many keys as it has pairs of blocks.  Pairs are added up by distance where they
-    arise; what is exchanged grows with the object's unlike distances.
+    Pixels are dealt to blocks of about PER_BLOCK by a hash of their place, and two blocks are one task's group, so that an
+    object of any size is spread over as many groups as it has pairs of blocks.  Pairs are never rows: a group gives a row for
+    each bin.  Objects of several blocks are gone over twice, first for their greatest distance.
     """
     rows = pixels.select(key, *(F.col(c).cast("double").alias(n) for c, n in (("pixel_x", "x"), ("pixel_y", "y"), (value, "v"))))
     rows = rows.where(valid(F.col("x")) & valid(F.col("y")) & valid(F.col("v")))
-    blocks = F.ceil(F.count("*") / PER_BLOCK).cast("int").alias("blocks")
-    dealt = rows.join(rows.groupBy(key).agg(blocks), key).withColumn("own", F.pmod(F.xxhash64("x", "y"), F.col("blocks")).cast("int"))
-    every = lambda low, high: F.explode(F.sequence(low, high))
-    a = dealt.select(key, F.col("own").alias("lo"), every(F.col("own"), F.col("blocks") - 1).alias("hi"), *(F.col(c).alias(f"a{c}") for c in "xyv"))
-    b = dealt.select(key, every(F.lit(0), F.col("own")).alias("lo"), F.col("own").alias("hi"), "x", "y", "v")
-    square = lambda c: F.pow(F.col(f"a{c}") - F.col(c), F.lit(2))
-    pairs = a.join(b, [key, "lo", "hi"]).where("lo < hi OR ax < x OR (ax = x AND ay < y)")
-    by_distance = pairs.groupBy(key, F.sqrt(square("x") + square("y")).alias("d")).agg(F.sum(square("v") / 2).alias("g"), F.count("*").alias("n"))
-    width = F.max("d").over(Window.partitionBy(key)) / bins
-    binned = by_distance.withColumn("width", width).withColumn("lag", F.floor(F.col("d") / F.col("width")).cast("int")).where(F.col("lag") < bins)
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / PER_BLOCK).cast("int").alias("blocks")).persist()
+    dealt = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("x", "y"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other")
+    group = [key, "lo", "hi"]
+    named = rows.select(key).schema[0]
+    schema = lambda rest: f"`{key}` {named.dataType.simpleString()}, {rest}"
+
+    def farthest(table: pa.Table) -> pa.Table:
+        far = max((float(d.max()) for d, _ in block_gaps(table) if len(d)), default=0.0)
+        return pa.table({key: table.column(key)[:1], "far": pa.array([far])})
+
+    def sums(table: pa.Table) -> pa.Table:
+        far, parts = table.column("far")[0].as_py(), block_gaps(table)
+        if far is None:  # all in this group
+            parts = list(parts)
+            far = max((float(d.max()) for d, _ in parts if len(d)), default=0.0)
+        n, g, width = np.zeros(bins), np.zeros(bins), far / bins
+        for d, v in parts if far > 0 else ():
+            lag = np.minimum(d / width, bins).astype(np.int64)
+            n += np.bincount(lag, minlength=bins)[:bins]
+            g += np.bincount(lag, weights=v, minlength=bins)[:bins]
+        some = np.flatnonzero(n)
+        return pa.table({key: pa.chunked_array([pa.concat_arrays([table.column(key)[:1].combine_chunks()] * len(some))]) if len(some) else table.column(key)[:0], "lag": pa.array(some.astype(np.int32)), "width": pa.array(np.full(len(some), width)), "g": pa.array(g[some]), "n": pa.array(n[some].astype(np.int64))})
+
+    if sizes.where("blocks > 1").isEmpty():
+        dealt = dealt.withColumn("far", F.lit(None).cast("double"))
+    else:
+        fars = dealt.where("blocks > 1").groupBy(group).applyInArrow(farthest, schema("far double")).groupBy(key).agg(F.max("far").alias("far"))
+        dealt = dealt.join(fars, key, "left")
+    binned = dealt.select(*group, "own", "far", "x", "y", "v").groupBy(group).applyInArrow(sums, schema("lag int, width double, g double, n long"))
     return binned.groupBy(key, "lag").agg(F.first((F.col("lag") + 0.5) * F.col("width")).alias("h"), (F.sum("g") / F.sum("n")).alias("gamma"), F.sum("n").alias("pairs"))
 
 
+def block_gaps(table: pa.Table, step: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(distances, semivariances) of the pairs of the blocks ``lo`` and ``hi`` of an object, once each, some rows at a time."""
+    own, x, y, v = (table.column(c).to_numpy() for c in ("own", "x", "y", "v"))
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    a = np.flatnonzero(own == lo)
+    b = a if lo == hi else np.flatnonzero(own == hi)
+    for k in range(0, len(a), step):
+        i, j = a[k : k + step], b[k:] if lo == hi else b
+        d = np.sqrt((x[i, None] - x[j]) ** 2 + (y[i, None] - y[j]) ** 2)
+        use = d > 0
+        if lo == hi:
+            use[:, : len(i)] &= np.arange(len(i))[:, None] < np.arange(len(i))
+        yield d[use], ((v[i, None] - v[j]) ** 2)[use] / 2
+
+
 def descriptors(h: np.ndarray, g: np.ndarray, nugget: float, sill: float, a: float) -> dict[str, float]:
     """What a local variogram looks like: ratios and slopes at the origin, the first two maxima, and areas around them."""
     out = {"nugget": nugget, "sill": sill, "range": a}
@@ -170,20 +253,28 @@ def local_variograms(pixels: DataFrame, value: str = "pc1", key: str = "objeto_i
     schema = f"{key} long, " + ", ".join(f"var_{d} double" for d in DESCRIPTORS)
 
     def each(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            out = []
-            for k, n, variance, lags_, far in zip(pdf[key], pdf["n"], pdf["variance"], pdf["lags"], pdf["far"], strict=True):
-                if n < 5 or lags_ is None or not far or far <= 0:
-                    out.append({"nugget": 0.0, "sill": float(variance), "range": 30.0} | {key: k})
-                    continue
-                h, g = np.array([x["h"] for x in lags_]), np.array([x["gamma"] for x in lags_])
-                start = (0.05 * variance, variance, 0.5 * far)
-                fitted = start
-                if len(h) >= 3 and variance > 0 and 10 <= start[2]:
-                    _, *fitted = fit(h, g, spherical, (0.0, 2 * variance), (0.0, 3 * variance), (10.0, 1.5 * far), whole_sill=True)
-                out.append(descriptors(h, g, *map(float, fitted)) | {key: k})
-            frame = pd.DataFrame(out, columns=[key, *DESCRIPTORS])
-            yield frame.rename(columns={d: f"var_{d}" for d in DESCRIPTORS})
+        for whole in batches:
+            for first in range(0, len(whole), 256):
+                yield described(whole.iloc[first : first + 256])
+
+    def described(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: dict[int, tuple] = {}
+        for i, (n, variance, lags_, far) in enumerate(zip(pdf["n"], pdf["variance"], pdf["lags"], pdf["far"], strict=True)):
+            if n >= 5 and lags_ is not None and far and far > 0:
+                found[i] = np.array([x["h"] for x in lags_]), np.array([x["gamma"] for x in lags_]), (0.05 * variance, variance, 0.5 * far)
+        fitted = {i: start for i, (_, _, start) in found.items()}
+        if asked := [i for i, (h, _, start) in found.items() if len(h) >= 3 and start[1] > 0 and 10 <= start[2]]:
+            h, g, held = (np.zeros((len(asked), 5)) for _ in range(3))
+            for k, i in enumerate(asked):
+                n = len(found[i][0])
+                h[k, :n], g[k, :n], held[k, :n] = found[i][0], found[i][1], 1
+            start = np.array([found[i][2] for i in asked])
+            fitted |= dict(zip(asked, fit_many(h, g, held, start[:, 1], start[:, 2] / 0.5), strict=True))
+        out = []
+        for i, (k, variance) in enumerate(zip(pdf[key], pdf["variance"], strict=True)):
+            out.append((descriptors(*found[i][:2], *map(float, fitted[i])) if i in found else {"nugget": 0.0, "sill": float(variance), "range": 30.0}) | {key: k})
+        frame = pd.DataFrame(out, columns=[key, *DESCRIPTORS])
+        return frame.rename(columns={d: f"var_{d}" for d in DESCRIPTORS})
 
     # a number of its own, as few bytes with much work (a fit for each object) must not be drawn together into one task
     parts = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from terralith.operators import separability, stats
+from terralith.operators import separability, stats, variogram
 
 
 def test_many_columns_without_an_aggregate_for_each_pair(spark):
@@ -28,3 +28,26 @@ def test_many_columns_without_an_aggregate_for_each_pair(spark):
         a, b = near[y[i]], min(v for c, v in near.items() if c != y[i])
         s.append((b - a) / max(a, b))
     assert separability.silhouette(rows, names, "clase", blocks=3).head()["silhouette"] == pytest.approx(np.mean(s), rel=1e-9)
+
+
+def test_many_fits_at_once_equal_one_by_one():
+    rng = np.random.default_rng(8)
+    n = rng.integers(3, 6, 60)
+    far = rng.uniform(25, 3000, 60)
+    h, g, held = (np.zeros((60, 5)) for _ in range(3))
+    for k in range(60):
+        h[k, : n[k]], held[k, : n[k]] = (np.arange(n[k]) + 0.5) * far[k] / 5, 1
+        g[k, : n[k]] = np.sort(rng.uniform(0, 4, n[k])) if k % 2 else rng.uniform(0, 4, n[k])
+    variance = rng.uniform(0.1, 3, 60)
+    got = variogram.fit_many(h, g, held, variance, far)
+    shape = lambda k, p, q, a: ((g[k, : n[k]] - p - (q - p) * variogram.spherical(h[k, : n[k]], a)) ** 2).sum()
+    for k in range(60):
+        error, *_ = variogram.fit(h[k, : n[k]], g[k, : n[k]], variogram.spherical, (0.0, 2 * variance[k]), (0.0, 3 * variance[k]), (10.0, 1.5 * far[k]), whole_sill=True)
+        assert shape(k, *got[k]) == pytest.approx(error, rel=1e-6, abs=1e-12)
+
+
+def test_lags_exchange_a_row_for_each_bin(spark):
+    """Pairs of an object's pixels are no rows of the plan."""
+    rows = spark.range(900).selectExpr("id % 3 AS objeto_id", "CAST(id * id % 97 AS DOUBLE) AS pixel_x", "CAST(id % 101 AS DOUBLE) AS pixel_y", "CAST(id % 7 AS DOUBLE) AS v")
+    lags = variogram.local_lags(rows)
+    assert lags.count() == 15 and "SortMergeJoin" not in (plan := lags._jdf.queryExecution().optimizedPlan().toString()) and "FlatMapGroupsInArrow" in plan
