@@ -59,10 +59,15 @@ def write_ascii_grid(pixels: DataFrame, meta: dict, path: str, band: str = "b1",
     """
     head = {"ncols": meta["width"], "nrows": meta["height"], "xllcorner": meta["x0"], "yllcorner": meta["y0"] + meta["dy"] * meta["height"], "cellsize": meta["dx"], "nodata_value": nodata}
     inside = pixels.where(F.col("row").between(0, meta["height"] - 1) & F.col("col").between(0, meta["width"] - 1))
-    cells = inside.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("col", band))).alias("cells"))
+    cell = F.struct(F.col("col").cast("int").alias("col"), F.coalesce(F.col(band).cast("string"), F.lit(str(nodata))).alias("text"))
+    cells = inside.groupBy("row").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     rows = pixels.sparkSession.range(meta["height"]).select(F.col("id").cast("int").alias("row")).join(cells, "row", "left")
-    text = F.transform(F.sequence(F.lit(0), F.lit(meta["width"] - 1)), lambda c: F.coalesce(F.try_element_at("cells", c).cast("string"), F.lit(str(nodata))))
-    lines = rows.select("row", F.array_join(text, " ").alias("value"))
+    # each value is told with the empty cells before it, so that a line takes as many steps as it has values
+    empty = lambda n: F.when(n < 0, F.raise_error(F.lit("two values for one cell of the grid"))).otherwise(F.repeat(F.lit(f" {nodata}"), n))
+    until = lambda i: F.coalesce(F.get("cells", i)["col"], F.lit(-1))
+    told = F.transform("cells", lambda c, i: F.concat(empty(c["col"] - until(i - 1) - 1), F.lit(" "), c["text"]))
+    line = F.concat(F.array_join(told, ""), empty(F.lit(meta["width"] - 1) - until(F.size("cells") - 1)))
+    lines = rows.select("row", F.substring(F.coalesce(line, F.repeat(F.lit(f" {nodata}"), F.lit(meta["width"]))), 2, 1 << 30).alias("value"))
     first = pixels.sparkSession.createDataFrame([(-1, "\n".join(f"{k} {v!r}" for k, v in head.items()))], "row int, value string")
     lines.unionByName(first).orderBy("row").select("value").write.text(path)
 
