@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terralith.sources.parts import settled
+
 
 def valid(x: Column) -> Column:
     """Neither null nor NaN nor infinite."""
@@ -49,6 +49,8 @@ def band_statistics(pixels: DataFrame, bands: list[str], bins: int = 256) -> Dat
 
 #: Rows of an object and band from which its quantiles are found by selection, in many tasks.
 LARGE = 1_000_000
+#: Values that one task puts in order, so that its memory does not grow with the input.
+PER_TASK = 1_000_000
 RANGES = 256
 
 
@@ -84,12 +86,14 @@ def object_band_statistics(pixels: DataFrame, bands: list[str], key: str = "obje
     One shuffle by object and band carries the windows and both groupings.  Objects of more than ``large`` rows, of which there
     are few by nature, take sums, histograms and ``quantiles`` instead, which spread over all tasks; the results are the same.
     """
-    sizes = pixels.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > large).select(key).persist()
-    few = sizes.count()
+    counts = pixels.groupBy(key).agg(F.count("*").alias("n")).persist()
+    few, total = counts.agg(F.count_if(F.col("n") > large), F.coalesce(F.sum("n"), F.lit(0))).head()
+    parts = -(-total * len(bands) // PER_TASK)
     if not few:
-        return _small_objects(melted(pixels, bands, key), key, bins)
+        return _small_objects(melted(pixels, bands, key), key, bins, parts)
+    sizes = counts.where(F.col("n") > large).select(key)
     mark = F.broadcast(sizes) if few <= 100_000 else sizes
-    small = _small_objects(melted(pixels.join(mark, key, "left_anti"), bands, key), key, bins)
+    small = _small_objects(melted(pixels.join(mark, key, "left_anti"), bands, key), key, bins, parts)
     return small.unionByName(_large_objects(melted(pixels.join(mark, key, "left_semi"), bands, key), key, bins))
 
 
@@ -107,7 +111,9 @@ def _large_objects(long: DataFrame, key: str, bins: int) -> DataFrame:
     return whole.select(*by, "n", "mean", "median", "std", "min", "max", "p25", "p75", "skew", "kurt", "mad", "entropy")
 
 
-def _small_objects(values: DataFrame, key: str, bins: int) -> DataFrame:
+def _small_objects(values: DataFrame, key: str, bins: int, parts: int) -> DataFrame:
+    if parts > int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        values = values.repartition(parts, key, "band")
     by = Window.partitionBy(key, "band")
     x = F.col("x")
     long = values.withColumns({"m": F.median(x).over(by), "low": F.min(x).over(by), "high": F.max(x).over(by)})
@@ -198,12 +204,34 @@ def pearson(rows: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)))).alias("e")).select("e.*")
 
 
+def average_ranks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, x, rank): the average rank of each distinct value of a column; a value counts as often as it occurs.
+
+    Distinct values are cut into ranges and put in order within them, so no task holds a column.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in columns)))
+    values = settled(rows.select(each.alias("e")).groupBy("e.column", "e.x").agg(F.count("*").alias("n")), "values")
+    cuts = values.groupBy("column").agg(F.percentile_approx("x", [k / RANGES for k in range(1, RANGES)], 4 * RANGES).alias("cuts"))  # a row for each column
+    ranged = values.join(F.broadcast(cuts), "column").withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
+    earlier = Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    before = ranged.groupBy("column", "range").agg(F.sum("n").alias("n")).select("column", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("column", "range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("upto", inside).join(F.broadcast(before), ["column", "range"]).select("column", "x", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
+
+
+BROADCAST = 200_000  # distinct values of a column whose ranks go to all tasks
+
+
 def spearman(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) for i < j by average ranks, over rows without a missing value (ranked by a distributed sort)."""
+    """(a, b, r) for i < j by average ranks, over rows without a missing value.  Ranks are those of distinct values, joined to the rows."""
     full = rows.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna()
-    vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(full).select("v")
-    m = Correlation.corr(vectors, "v", "spearman").head()[0].toArray()
-    return rows.sparkSession.createDataFrame([(a, b, None if np.isnan(m[i, j]) else float(m[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j], "a string, b string, r double")
+    ranks = settled(average_ranks(full, columns), "ranks")
+    many = {r["column"] for r in ranks.groupBy("column").agg(F.count("*").alias("n")).where(F.col("n") > BROADCAST).collect()}
+    for c in columns:
+        one = ranks.where(F.col("column") == c).select(F.col("x").alias("__x"), F.col("rank").alias("__rank"))
+        joined = full.join(one if c in many else F.broadcast(one), F.col(c) == F.col("__x"))
+        full = joined.withColumn(c, F.col("__rank")).drop("__x", "__rank")
+    return pearson(full, columns)
 
 
 def mean_abs_correlation(correlations: DataFrame, n: int) -> DataFrame:
