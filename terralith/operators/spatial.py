@@ -26,7 +26,7 @@ def distance(ax: str, ay: str, bx: str, by: str) -> Column:
     return F.sqrt(F.pow(F.col(ax) - F.col(bx), 2) + F.pow(F.col(ay) - F.col(by), 2))
 
 
-PER_BLOCK = 2000
+PER_BLOCK = 4000
 
 
 def block_pairs(points: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, key: str) -> DataFrame:
@@ -48,7 +48,7 @@ def block_pairs(points: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame,
 
 
 def gaps(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    return np.hypot(a["cx"].to_numpy()[:, None] - b["cx"].to_numpy(), a["cy"].to_numpy()[:, None] - b["cy"].to_numpy())
+    return np.sqrt((a["cx"].to_numpy()[:, None] - b["cx"].to_numpy()) ** 2 + (a["cy"].to_numpy()[:, None] - b["cy"].to_numpy()) ** 2)
 
 
 def morans_i(points: DataFrame, key: str = "objeto_id") -> DataFrame:
@@ -59,10 +59,16 @@ def morans_i(points: DataFrame, key: str = "objeto_id") -> DataFrame:
     z = rows.crossJoin(F.broadcast(mean)).withColumn("value", F.col("value") - F.col("mean")).drop("mean")  # one row is broadcast
 
     def weigh(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
-        d = gaps(a, b)
-        w = np.divide(1.0, d, out=np.zeros_like(d), where=d > 0)
-        sides = [(a, w, b)] if same else [(a, w, b), (b, w.T, a)]
-        return pd.concat([pd.DataFrame({"i": x[key].to_numpy(), "w": m.sum(1), "wz": m @ y["value"].to_numpy()}) for x, m, y in sides])
+        ours, theirs = np.zeros((2, len(a))), np.zeros((2, len(b)))
+        z = b["value"].to_numpy()
+        for k in range(0, len(a), 256):  # some rows at a time, so that no matrix of the blocks is held
+            part = a.iloc[k : k + 256]
+            d = gaps(part, b)
+            w = np.divide(1.0, d, out=np.zeros_like(d), where=d > 0)
+            ours[:, k : k + 256] = w.sum(1), w @ z
+            theirs += w.sum(0), part["value"].to_numpy() @ w
+        sides = [(a, ours)] if same else [(a, ours), (b, theirs)]
+        return pd.concat([pd.DataFrame({"i": x[key].to_numpy(), "w": w, "wz": wz}) for x, (w, wz) in sides])
 
     sums = block_pairs(z, weigh, "i long, w double, wz double", key).groupBy("i").agg(F.try_divide(F.sum("wz"), F.sum("w")).alias("lag"))
     lagged = z.join(sums, z[key] == sums["i"], "left")
@@ -177,10 +183,11 @@ def nearest(points: DataFrame, k: int = 3, key: str = "objeto_id", per_cell: int
         width *= 4
 
 
-def extract_pixels(grid: DataFrame, objects: DataFrame, meta: dict, bands: list[str], key: str = "objeto_id", clase: str = "clase", polygons: str = "polygons", tile: int = 64, rule: str = "no pixel") -> DataFrame:
+def extract_pixels(grid: DataFrame, objects: DataFrame, meta: dict, bands: list[str], key: str = "objeto_id", clase: str = "clase", polygons: str = "polygons", tile: int | None = None, rule: str = "no pixel") -> DataFrame:
     """(key, clase, pixel_x, pixel_y, row, col, bands): pixels of ``grid`` (row, col, bands) whose centre lies inside an object.
 
-    Objects and pixels meet by square tiles of ``tile`` pixels inside the raster, then by ray casting (boundary points are outside).  An object
+    Objects and pixels meet by square tiles of ``tile`` pixels (None: about half as wide as the mean object) inside the raster, then
+    by ray casting (boundary points are outside).  Pixels inside are settled as a table, as they tell which objects have none.  An object
     without a pixel gets the one at its centroid, clamped to the raster: under the rule "no pixel" if none lies inside, under
     "no valid" if none of those inside has values in all bands.  Pixels with a missing band are dropped at the end.
 
@@ -190,6 +197,9 @@ def extract_pixels(grid: DataFrame, objects: DataFrame, meta: dict, bands: list[
         raise ValueError("rotated rasters are not supported")
     x0, dx, y0, dy = (float(meta[k]) for k in ("x0", "dx", "y0", "dy"))
     shapes = objects.where(G.present(F.col(polygons))).select(key, clase, F.col(polygons).alias("__g"), G.bounds(F.col(polygons)).alias("__b"))
+    if tile is None:  # a pixel meets the boxes of its tile, a box is sent to each of its tiles
+        wide = shapes.agg(F.avg(F.least(F.col("__b.x1") - F.col("__b.x0"), F.lit(abs(dx) * meta["width"])) / abs(dx)).alias("w")).head()["w"] or 64.0
+        tile = 2 ** max(3, min(8, round(math.log2(max(wide, 1.0))) - 1))
 
     def tiles(a: str, b: str, origin: float, step: float, cells: int) -> Column:
         """The tiles from one side of a box to the other, but for those beyond the raster."""
@@ -203,12 +213,16 @@ def extract_pixels(grid: DataFrame, objects: DataFrame, meta: dict, bands: list[
     in_box = x.between(F.col("__b.x0"), F.col("__b.x1")) & y.between(F.col("__b.y0"), F.col("__b.y1"))
     columns = [key, clase, "pixel_x", "pixel_y", "row", "col", *bands]
     inside = placed.join(shapes, ["tc", "tr"]).where(in_box).where(G.contains(F.col("__g"), x, y)).select(columns)
+    inside = settled(inside, "inside")
     full = inside.dropna(subset=bands)
     found = inside if rule == "no pixel" else full
     c = G.centroid(F.col(polygons))
     clamp = lambda v, most: F.least(F.greatest(v.cast("int"), F.lit(0)), F.lit(most - 1))
     alone = objects.where(G.present(F.col(polygons))).join(found.select(key).distinct(), key, "left_anti")
     alone = alone.select(key, clase, clamp((c["x"] - x0) / dx, meta["width"]).alias("col"), clamp((c["y"] - y0) / dy, meta["height"]).alias("row"))
+    alone = settled(alone, "alone")
+    if alone.isEmpty():
+        return full
     fallback = alone.join(placed.drop("tc", "tr"), ["row", "col"]).select(columns)
     return full.unionByName(fallback.dropna(subset=bands))
 

@@ -1,9 +1,14 @@
 """Steps whose work must grow no faster than the rows, against plain numpy."""
 
+import time
+
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from terralith.operators import separability, stats, variogram
+from terralith.operators import separability, spatial, stats, variogram
+from terralith.sources import raster, sinks
 
 
 def test_many_columns_without_an_aggregate_for_each_pair(spark):
@@ -51,3 +56,64 @@ def test_lags_exchange_a_row_for_each_bin(spark):
     rows = spark.range(900).selectExpr("id % 3 AS objeto_id", "CAST(id * id % 97 AS DOUBLE) AS pixel_x", "CAST(id % 101 AS DOUBLE) AS pixel_y", "CAST(id % 7 AS DOUBLE) AS v")
     lags = variogram.local_lags(rows)
     assert lags.count() == 15 and "SortMergeJoin" not in (plan := lags._jdf.queryExecution().optimizedPlan().toString()) and "FlatMapGroupsInArrow" in plan
+
+
+def test_ranks_of_repeated_values_and_missing_ones(spark, monkeypatch):
+    """Joined by broadcast and by shuffle; ranks are put in order by ranges of values."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 40, (300, 3)).astype(float)
+    x[:, 1] += x[:, 0]
+    rows = spark.createDataFrame([tuple(map(float, v)) for v in x] + [(1.0, None, 2.0)], "a double, b double, c double").repartition(3)
+    rank = np.stack([[(c < v).sum() + ((c == v).sum() + 1) / 2 for v in c] for c in x.T])
+    want = np.corrcoef(rank)
+    for most in (200_000, 10):
+        monkeypatch.setattr(stats, "BROADCAST", most)
+        got = {(r["a"], r["b"]): r["r"] for r in stats.spearman(rows, ["a", "b", "c"]).collect()}
+        assert got == {("a", "b"): pytest.approx(want[0, 1]), ("a", "c"): pytest.approx(want[0, 2]), ("b", "c"): pytest.approx(want[1, 2])}
+    assert {(r["column"], r["x"]): r["rank"] for r in stats.average_ranks(rows.dropna(), ["a", "b"]).collect()} == {(n, v): k for n, c, rk in zip("ab", x.T, rank) for v, k in zip(c, rk)}
+
+
+def test_tasks_of_object_statistics_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(stats, "PER_TASK", 100)
+    rows = spark.range(2000).selectExpr("id % 40 AS objeto_id", "CAST(id % 7 AS DOUBLE) AS b1", "CAST(id AS DOUBLE) AS b2")
+    got = stats.object_band_statistics(rows, ["b1", "b2"])
+    assert "RepartitionByExpression [objeto_id#" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and ", 40" in plan
+    assert got.count() == 80
+
+
+def test_wide_rows_of_a_grid_take_as_many_steps_as_values(spark, tmp_path):
+    """A line of 60,000 cells with 30,000 values, and empty ends; looked up in a map, it took 60,000 times 30,000 steps."""
+    meta = {"x0": 0.0, "dx": 1.0, "y0": 3.0, "dy": -1.0, "width": 60_000, "height": 3}
+    cells = spark.range(30_000).selectExpr("CAST(1 AS INT) AS row", "CAST(2 * id + 1 AS INT) AS col", "CAST(id AS DOUBLE) AS b1").unionAll(spark.sql("SELECT 2, 5, CAST(NULL AS DOUBLE)"))
+    start = time.time()
+    sinks.write_ascii_grid(cells, meta, f"file://{tmp_path}/g")
+    took = time.time() - start
+    grid, _ = raster.read_ascii_grid(spark, f"file://{tmp_path}/g")
+    assert grid.count() == 180_000 and took < 8
+    got = grid.where("b1 IS NOT NULL").agg(F.count("*"), F.min("row"), F.max("row"), F.count_if(F.col("col") != 2 * F.col("b1") + 1)).head()
+    assert tuple(got) == (30_000, 1, 1, 0)
+
+
+def test_extraction_settles_what_lies_inside_once(spark, monkeypatch):
+    """The join of pixels and outlines runs once; without objects that have no pixel, the grid is read no second time."""
+    seen, real = [], spatial.settled
+    monkeypatch.setattr(spatial, "settled", lambda df, name: seen.append(name) or real(df, name))
+    grid = spark.range(400).selectExpr("CAST(id DIV 20 AS INT) AS row", "CAST(id % 20 AS INT) AS col", "CAST(id AS DOUBLE) AS b1")
+    meta = {"x0": 0.0, "dx": 1.0, "y0": 20.0, "dy": -1.0, "width": 20, "height": 20}
+    ring = lambda a, b: [[[{"x": x, "y": y} for x, y in ((a, a), (b, a), (b, b), (a, b), (a, a))]]]
+    shapes = spark.createDataFrame([(1, "a", ring(0.0, 7.0)), (2, "a", ring(5.0, 19.0))], "objeto_id long, clase string, polygons array<array<array<struct<x:double,y:double>>>>")
+    got = spatial.extract_pixels(grid, shapes, meta, ["b1"])
+    assert seen == ["inside", "alone"] and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["objeto_id"]: r["count"] for r in got.groupBy("objeto_id").count().collect()} == {1: 49, 2: 196}
+
+
+def test_moran_in_slices_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "PER_BLOCK", 300)
+    rng = np.random.default_rng(7)
+    p, z = rng.integers(0, 60, (800, 2)).astype(float), rng.normal(size=800)
+    rows = pd.DataFrame({"objeto_id": np.arange(800), "cx": p[:, 0], "cy": p[:, 1], "value": z})
+    got = spatial.morans_i(spark.createDataFrame(rows)).head()
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
+    w = np.divide(1.0, d, out=np.zeros_like(d), where=d > 0)
+    z = z - z.mean()
+    assert got["moran_i"] == pytest.approx(float(z @ (w @ z / w.sum(1)) / (z @ z)), rel=1e-9)
