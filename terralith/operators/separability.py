@@ -65,8 +65,7 @@ def mutual_information(features: DataFrame, columns: list[str], clase: str = "cl
     long = features.select(F.col(clase).alias("y"), F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in columns))).alias("e")).select(F.coalesce(F.concat(F.lit("="), F.col("y").cast("string")), F.lit("")).alias("y"), "e.*").where("x IS NOT NULL")
     values = settled(long.groupBy("variable", "y", "x").agg(F.count("*").alias("times")), "values")
     cuts = values.groupBy("variable").agg(F.percentile_approx("x", [k / RANGES for k in range(1, RANGES)], 1000).alias("cuts"))  # a row for each column
-    in_range = F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("range")
-    values = values.join(F.broadcast(cuts), "variable").select("variable", "y", "x", "times", in_range)
+    values = values.join(F.broadcast(cuts), "variable").select("variable", "y", "x", "times", range_of(F.col("x")).alias("range"))
 
     group = ["variable", "y", "range"]
     order = Window.partitionBy(*group).orderBy("x")
@@ -80,20 +79,19 @@ def mutual_information(features: DataFrame, columns: list[str], clase: str = "cl
     rows = rows.join(ends.select(*group, beside.alias("beside")), group).join(sizes, ["variable", "y"])
 
     own = F.struct(F.col("x"), (F.col("times") - 1).alias("times"))  # the value itself, where it stands again
-    far = F.array_sort(F.transform(F.concat(F.array(own), "around", "beside"), lambda v: F.struct(F.abs(v["x"] - F.col("x")).alias("d"), v["x"].alias("v"), v["times"].alias("times"))))
+    far = F.array_sort(F.transform(F.concat(F.array(own), "around", "beside"), lambda v: F.struct(F.abs(v["x"] - F.col("x")).alias("d"), v["times"].alias("times"))))
     rows = rows.withColumns({"kk": F.least(F.lit(k), F.col("nc") - 1), "far": far})
     # the first value up to which kk points are counted
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("double").alias("v"))
-    step = lambda s, e: F.when(s["n"] >= F.col("kk"), s).otherwise(F.struct((s["n"] + e["times"]).alias("n"), e["d"].alias("d"), e["v"].alias("v")))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("d"))
+    step = lambda s, e: F.when(s["n"] >= F.col("kk"), s).otherwise(F.struct((s["n"] + e["times"]).alias("n"), e["d"].alias("d")))
     rows = rows.withColumn("kth", F.aggregate("far", start, step))
-    d, v, x = F.col("kth.d"), F.col("kth.v"), F.col("x")
-    low, high = F.when(v < x, v).otherwise(x - d), F.when(v > x, v).otherwise(x + d)
-    rows = settled(rows.select("variable", "y", "x", "times", "kk", "nc", low.alias("low"), high.alias("high")), "neighbours")
+    rows = rows.withColumn("b", nearer_than("x", "kth.d"))
+    rows = settled(rows.select("variable", "y", "x", "times", "kk", "nc", "b.low", "b.high"), "neighbours")
     # marks: points add their number; a bound counts the points below (upper) or up to it (lower)
     mark = lambda at, turn, sign: F.struct(at.alias("at"), F.lit(turn).alias("turn"), F.lit(sign).alias("sign"))
     marks = rows.select("variable", "y", "x", F.explode(F.array(mark(F.col("low"), 2, -1), mark(F.col("high"), 0, 1))).alias("m"), F.lit(0).cast("long").alias("times")).select("variable", "y", "x", "times", "m.*")
     marks = marks.unionByName(values.select("variable", "y", "x", "times", F.col("x").alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("sign")))
-    ranged = marks.join(F.broadcast(cuts), "variable").withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("at")))).drop("cuts")
+    ranged = marks.join(F.broadcast(cuts), "variable").withColumn("range", range_of(F.col("at"))).drop("cuts")
     earlier = F.coalesce(F.sum("points").over(Window.partitionBy("variable").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     before = ranged.groupBy("variable", "range").agg(F.sum("times").alias("points")).withColumn("before", earlier).drop("points")
     inside = F.sum("times").over(Window.partitionBy("variable", "range").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0))
@@ -107,6 +105,47 @@ def mutual_information(features: DataFrame, columns: list[str], clase: str = "cl
     return means.select("variable", F.greatest(psi(F.col("total")) + F.col("v"), F.lit(0.0)).alias("mi"))
 
 
+def range_of(x: Column) -> Column:
+    """How many of the column ``cuts`` (in order, RANGES - 1) lie below: first of each eighth one, then of those between."""
+    eighths = F.size(F.filter(F.transform(F.sequence(F.lit(8), F.lit(RANGES - 8), F.lit(8)), lambda i: F.get("cuts", i - 1)), lambda c: c < x))
+    return eighths * 8 + F.size(F.filter(F.slice("cuts", eighths * 8 + 1, 7), lambda c: c < x))
+
+
+def last_at(x: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The greatest double q up to x with x - q >= d, by bisection over the doubles in order: the difference is rounded, x - d too."""
+
+    def number(q: np.ndarray) -> np.ndarray:
+        bits = q.view(np.int64)
+        return np.where(bits < 0, -(bits & np.int64(2**63 - 1)), bits)
+
+    def double(k: np.ndarray) -> np.ndarray:
+        return np.where(k < 0, -np.abs(k).view(float), np.abs(k).view(float))
+
+    with np.errstate(over="ignore"):
+        low, high = number(x - 2 * d), number(x + 0.0)  # holds at low, and nowhere above high
+        high = np.maximum(low, high) + 1
+        for _ in range(66):
+            wide = low + 1 < high
+            if not wide.any():
+                break
+            mid = (low >> 1) + (high >> 1) + (low & high & 1)  # their difference may be beyond 64 bits
+            held = x - double(mid) >= d
+            low, high = np.where(wide & held, mid, low), np.where(wide & ~held, mid, high)
+        return double(low)
+
+
+def nearer_than(x: str, d: str) -> Column:
+    """(low, high): of all doubles, just those between them differ from x by less than d when differences are rounded."""
+
+    @F.pandas_udf("low double, high double")
+    def bounds(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for a, b in batches:
+            v, w = a.to_numpy(float), b.to_numpy(float)
+            yield pd.DataFrame({"low": last_at(v, w), "high": -last_at(-v, w)})
+
+    return bounds(x, d)
+
+
 def digamma(n: Column) -> Column:
     """At whole numbers; exact sums up to 64, an asymptotic series (to 1e-16) beyond."""
     x = n.cast("double")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terralith.operators import separability, spatial, stats, variogram
 from terralith.sources import raster, sinks
+from tests.test_scale import brute_information
 
 
 def test_many_columns_without_an_aggregate_for_each_pair(spark):
@@ -117,3 +118,22 @@ def test_moran_in_slices_of_many_blocks(spark, monkeypatch):
     w = np.divide(1.0, d, out=np.zeros_like(d), where=d > 0)
     z = z - z.mean()
     assert got["moran_i"] == pytest.approx(float(z @ (w @ z / w.sum(1)) / (z @ z)), rel=1e-9)
+
+
+def test_information_where_equal_gaps_are_unlike_doubles(spark):
+    """Tenths: x - d, rounded, lies on either side of the value that is d away; differences are compared as SQL does."""
+    rng = np.random.default_rng(11)
+    y = rng.integers(0, 3, 500)
+    a = np.round(rng.normal(size=500) * 4 + y) / 10
+    b = rng.integers(-40, 40, 500).astype(float) * 0.1 + 0.1 * y
+    rows = spark.createDataFrame([(str(c), float(p), float(q)) for c, p, q in zip(y, a, b)], "clase string, a double, b double")
+    got = {r["variable"]: r["mi"] for r in separability.mutual_information(rows, ["a", "b"]).collect()}
+    assert got == {"a": pytest.approx(brute_information(a, y), rel=1e-9, abs=1e-12), "b": pytest.approx(brute_information(b, y), rel=1e-9, abs=1e-12)}
+
+
+def test_bounds_are_the_last_doubles_that_far():
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=300) / 10, [1.0, 0.3, -0.3, 0.0, 5.0]])
+    d = np.concatenate([np.abs(rng.normal(size=300)) / 10, [1.0, 0.0, 0.3, 0.1, 1e300]])
+    low = separability.last_at(x, d)
+    assert (x - low >= d).all() and (x[d > 0] - np.nextafter(low, np.inf)[d > 0] < d[d > 0]).all() and low[301] == 0.3
