@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -236,3 +237,34 @@ def test_mix_as_by_sql(spark):
 def test_mix_of_nothing_and_of_empty_texts(spark):
     assert mixed(spark, [])[1] == []
     assert [r["taken"] for r in mixed(spark, [(1, None, None), (2, "a", "")])[1]] == [0, 0]
+
+
+def test_windows_are_summed_once_and_not_copied():
+    """Rows shorter than a window used to double what the sums of windows hold; the sums themselves must stay."""
+    at = np.concatenate([np.arange(0, 4000, 40), np.arange(4000, 4101)])  # rows of 40 blocks and of one
+    total = np.random.default_rng(0).standard_normal((4100, 128)).astype(np.float32)
+    tracemalloc.start()
+    for scale, first, end, v in decontam.windows(at, total):
+        real = np.flatnonzero(first >= 0)
+        assert len(real) == 100 * (41 - scale) + 100
+        assert all(np.allclose(v[k], total[first[k] : end[k]].sum(0), atol=1e-4) for k in real[:: len(real) // 50])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4.6 * total.nbytes
+
+
+def test_sketch_equals_the_product_of_matrices(spark):
+    """A'(A basis) by plain matrices, over more words than a tile holds."""
+    rng = np.random.default_rng(0)
+    docs = [" ".join(f"w{x}" for x in rng.integers(0, 300, n)) for n in (5000, 70, 3, 9000)]
+    idf = rng.random(decontam.SIZE).astype(np.float32) + 1
+    want, basis = np.zeros((decontam.SIZE, 5)), rng.standard_normal((decontam.SIZE, 5)).astype(np.float32)
+    for text in docs:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        col = (decontam.tokens(raw, np.array([0, len(raw)]))[0] & decontam.U64(decontam.SIZE - 1)).astype(np.int64)
+        for k in range(0, len(col), decontam.PASSAGE):
+            one = col[k : k + decontam.PASSAGE]
+            a = np.bincount(one, weights=idf[one], minlength=decontam.SIZE)
+            want += np.outer(a, a @ basis) / (idf[one].astype(float) ** 2).sum()
+    got = decontam.sketch(spark.createDataFrame([(x,) for x in docs], "text string"), idf, basis)
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-4)
