@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import secrets
+from collections.abc import Iterator
+from multiprocessing.connection import Client, Connection, Listener
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import BarrierTaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralith.operators.stats import standardized
+from terralith.llm._tables import written
+from terralith.operators.stats import covariance, standardized
 
 
 def distances(x: np.ndarray, part: slice) -> np.ndarray:
@@ -78,14 +85,229 @@ def embed(x: np.ndarray, perplexity: float, iterations: int = 1000, seed: int =
     return y - y.mean(0), lost
 
 
-def tsne(features: DataFrame, columns: list[str], key: str = "objeto_id", iterations: int = 1000, seed: int = 42) -> DataFrame:
-    """(key, x, y) of all objects.  One task embeds them: each step takes the distances of all pairs."""
-    rows = standardized(features, columns).select(key, *columns)
+NEAR = 3  # neighbours whose affinities count, in perplexities: the Barnes-Hut method's number
+NODE = 1 / 3  # greatest distance of grid nodes; the kernel's width is 1
+LEAST = 64  # grid nodes across the places, at least
+BLOCKS, ROWS = 64, 512  # blocks of objects at most, and rows of a block at least
+
+
+def nearest(x: np.ndarray, others: list[tuple[int, np.ndarray]], start: int, k: int, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances and numbers of the k nearest others of each row; ``x`` stands at ``start``, each of ``others`` at its number."""
+    far, who = np.full((len(x), k), np.inf), np.full((len(x), k), -1)
+    for a in range(0, len(x), step):
+        mine = x[a : a + step]
+        rows = np.arange(len(mine))
+        for at, z in others:
+            d = np.maximum((mine * mine).sum(1)[:, None] + (z * z).sum(1) - 2 * mine @ z.T, 0)
+            own = start + a + rows - at
+            inside = (own >= 0) & (own < len(z))
+            d[rows[inside], own[inside]] = np.inf
+            if len(z) > k:
+                one = np.argpartition(d, k - 1, axis=1)[:, :k]
+                d, number = np.take_along_axis(d, one, 1), one + at
+            else:
+                number = np.broadcast_to(at + np.arange(len(z)), d.shape)
+            d, number = np.concatenate([far[a : a + step], d], 1), np.concatenate([who[a : a + step], number], 1)
+            best = np.argpartition(d, k - 1, axis=1)[:, :k]
+            far[a : a + step], who[a : a + step] = np.take_along_axis(d, best, 1), np.take_along_axis(number, best, 1)
+    return far, who
+
+
+def conditional(d: np.ndarray, perplexity: float) -> np.ndarray:
+    """Probabilities of the neighbours of each row from their squared distances, by bisection to the wanted perplexity."""
+    d = d - d.min(1, keepdims=True)
+    n = len(d)
+    low, high, beta = np.zeros(n), np.full(n, np.inf), np.ones(n)
+    for _ in range(64):
+        p = np.exp(-d * beta[:, None])
+        total = p.sum(1)
+        wide = np.log(total) + beta * (d * p).sum(1) / total > np.log(perplexity)
+        low, high = np.where(wide, beta, low), np.where(wide, high, beta)
+        beta = np.where(np.isinf(high), beta * 2, (low + high) / 2)
+    p = np.exp(-d * beta[:, None])
+    return p / p.sum(1, keepdims=True)
+
+
+def even(n: int) -> int:
+    """A length of at least n that is quick to transform."""
+    return min(a * 2 ** max(1, (-(-n // a) - 1).bit_length()) for a in (1, 3, 5, 9, 15))
+
+
+class Repulsion:
+    """Sums of 1 / (1 + d^2) over all places, and their slopes, by cubic splines on a grid and one convolution.
+
+    Work and memory grow with the places and the area that they cover.  No place is left out.
+    """
+
+    def __init__(self) -> None:
+        self.known: tuple = ()
+        self.kernel = np.zeros(0)
+
+    def __call__(self, y: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, float]:
+        """(sums of q^2 (y_i - y_j) for the rows of ``part``, sum of q over all pairs)."""
+        low, wide = y.min(0), np.maximum(np.ptp(y, axis=0), 1e-12)
+        h = min(NODE, float(wide.max()) / LEAST)
+        n = (wide / h).astype(int) + 5
+        size = even(2 * int(n[0])), even(2 * int(n[1]))
+        if self.known != (h, size):
+            a, b = (h * np.minimum(np.arange(m), m - np.arange(m)) for m in size)
+            sharp = [((2 + np.cos(2 * np.pi * np.arange(m) / m)) / 3) ** 2 for m in size]
+            self.kernel = np.fft.rfft2(1 / (1 + a[:, None] ** 2 + b[None, :] ** 2)) / (sharp[0][:, None] * sharp[1][None, : size[1] // 2 + 1])
+            if h == NODE:  # closer nodes, for places that are nearly one, need all digits
+                self.kernel = self.kernel.astype(np.complex64)
+            self.known = h, size
+
+        def splines(z: np.ndarray, slope: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            u = (z - low) / h + 1
+            node = np.minimum(u.astype(int), n - 3)
+            t = (u - node)[:, :, None]
+            w = np.concatenate([(1 - t) ** 3, 3 * t**3 - 6 * t**2 + 4, -3 * t**3 + 3 * t**2 + 3 * t + 1, t**3], 2) / 6
+            s = np.concatenate([-((1 - t) ** 2), 3 * t**2 - 4 * t, -3 * t**2 + 2 * t + 1, t**2], 2) / (2 * h) if slope else w
+            at = node[:, :, None] + np.arange(-1, 3)
+            return at[:, 0, :, None] * n[1] + at[:, 1, None, :], w, s
+
+        at, w, _ = splines(y, False)
+        mass = np.bincount(at.ravel(), weights=(w[:, 0, :, None] * w[:, 1, None, :]).ravel(), minlength=n[0] * n[1]).reshape(n)
+        field = np.fft.irfft2(np.fft.rfft2(mass.astype(np.float32 if h == NODE else float), s=size) * self.kernel, s=size)[: n[0], : n[1]]
+        total = float((mass * field).sum()) - len(y)
+        at, w, s = splines(y[part], True)
+        near = field.ravel()[at]
+        slope = np.stack([np.einsum("ia,ib,iab->i", s[:, 0], w[:, 1], near), np.einsum("ia,ib,iab->i", w[:, 0], s[:, 1], near)], 1)
+        return -slope / 2, total
+
+
+class Peers:
+    """Connections between the tasks of a barrier stage; Spark's own ``allGather``, which takes a second a call, gives the addresses."""
+
+    def __init__(self, context: BarrierTaskContext, key: bytes) -> None:
+        self.rank, hosts = context.partitionId(), [t.address.rsplit(":", 1)[0] for t in context.getTaskInfos()]
+        self.peers: dict[int, Connection] = {}
+        with Listener((hosts[self.rank], 0), backlog=len(hosts), authkey=key) as door:
+            ports = [int(x) for x in context.allGather(str(door.address[1]))]
+            for k in range(self.rank):  # a task waits for lower ones alone, so none waits in a circle
+                self.peers[k] = Client((hosts[k], ports[k]), authkey=key)
+                self.peers[k].send(self.rank)
+            for _ in range(len(hosts) - 1 - self.rank):
+                one = door.accept()
+                self.peers[one.recv()] = one
+
+    def gather(self, own: bytes) -> list[bytes]:
+        """What each task has given, in their order: tasks meet two by two, and the lower one sends first."""
+        n = len(self.peers) + 1
+        out = [own] * n
+        for turn in range(n):
+            k = (turn - self.rank) % n
+            if k > self.rank:
+                self.peers[k].send_bytes(own)
+                out[k] = self.peers[k].recv_bytes()
+            elif k < self.rank:
+                out[k] = self.peers[k].recv_bytes()
+                self.peers[k].send_bytes(own)
+        return out
+
+
+def slots(spark: SparkSession) -> int:
+    """Tasks that run at a time, by the executors that are there."""
+    sc = spark.sparkContext
+    most = sc.defaultParallelism
+    if not sc.master.startswith("local[") and (cores := sc.getConf().get("spark.executor.cores", None)):
+        most = min(most, max(1, len(sc._jsc.sc().statusTracker().getExecutorInfos()) - 1) * int(cores))
+    return max(1, most)
+
+
+def tsne(features: DataFrame, columns: list[str], key: str = "objeto_id", iterations: int = 1000, seed: int = 42, tasks: int | None = None) -> DataFrame:
+    """(key, x, y) of all objects, by nearest neighbours as in the Barnes-Hut method.
+
+    Affinities are those of each object's ``NEAR`` times perplexity nearest others, which blocks of objects find exactly in tasks of
+    their own (the one step that compares all pairs, once).  ``tasks`` tasks, all the slots of the cluster by default, then move
+    their objects together (barrier mode): a step needs the objects' neighbours and ``Repulsion``, so its work grows with the
+    objects.  Tasks send each other the places, 8 bytes an object.  ``embed`` is the same with the affinities of all pairs.
+    """
+    spark = features.sparkSession
+    rows = written(standardized(features, columns).select(F.col(key).cast("long").alias("key"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x")).orderBy("key", "x").withColumn("at", F.monotonically_increasing_id()), "objects")
+    part = F.shiftright("at", 33)
+    counts = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    n = sum(c for _, c in counts)
+    if n < 3:
+        return rows.select(F.col("key").alias(key), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    starts = np.zeros(counts[-1][0] + 1, np.int64)
+    starts[[p for p, _ in counts]] = np.cumsum([0, *(c for _, c in counts)])[:-1]
+    number = F.get(F.lit(starts.tolist()), part) + F.col("at").bitwiseAND((1 << 33) - 1)
+    perplexity = min(30.0, max(2.0, n / 3))
+    k, size, width = min(n - 1, int(NEAR * perplexity + 1)), max(ROWS, -(-n // BLOCKS)), len(columns)
+    count = -(-n // size)
+
+    def pack(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("number").to_numpy())
+        x = np.array(table.column("x").to_pylist(), float)[order]
+        return pa.table({"block": table.column("block")[:1], "keys": pa.array([table.column("key").to_numpy()[order].tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary())})
+
+    numbered = rows.withColumn("number", number)
+    blocks = written(numbered.withColumn("block", F.floor(F.col("number") / size).cast("int")).select("block", "number", "key", "x").groupBy("block").applyInArrow(pack, "block int, keys binary, x binary"), "blocks")
+    matrix = lambda blob: np.frombuffer(blob).reshape(-1, width)
+    target = "block int, i binary, j binary, p binary"
+
+    def link(table: pa.Table) -> pa.Table:
+        own = table.column("asked")[0].as_py()
+        x = {b: matrix(blob) for b, blob in zip(table.column("block").to_pylist(), table.column("x").to_pylist(), strict=True)}
+        d, j = nearest(x[own], [(b * size, x[b]) for b in sorted(x)], own * size, k)
+        p = conditional(d, perplexity).ravel().astype(np.float32)
+        i, j = np.repeat(own * size + np.arange(len(j)), k).astype(np.int32), j.ravel().astype(np.int32)
+        out = [(own, i, j, p)]
+        for b in np.unique(j // size).tolist():
+            some = j // size == b
+            out.append((b, j[some], i[some], p[some]))
+        return pa.table({"block": pa.array([r[0] for r in out], pa.int32())} | {c: pa.array([r[at].tobytes() for r in out], pa.binary()) for at, c in enumerate("ijp", 1)})
+
+    def merge(table: pa.Table) -> pa.Table:
+        i, j, p = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("i", np.int32), ("j", np.int32), ("p", np.float32)))
+        pair = i.astype(np.int64) * n + j
+        order = np.lexsort((p, pair))  # sums don't depend on the order of arrival
+        head = np.flatnonzero(np.diff(pair[order], prepend=-1))
+        value = (np.add.reduceat(p[order].astype(float), head) / (2 * n)).astype(np.float32)
+        return pa.table({"block": table.column("block")[:1], "i": pa.array([i[order][head].tobytes()], pa.binary()), "j": pa.array([j[order][head].tobytes()], pa.binary()), "p": pa.array([value.tobytes()], pa.binary())})
+
+    asked = blocks.select("block", "x").withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    links = written(asked.groupBy("asked").applyInArrow(link, target).groupBy("block").applyInArrow(merge, target), "affinities")
+    mean, cov, _ = covariance(rows.select(*(F.get("x", F.lit(c)).alias(f"c{c}") for c in range(width))), [f"c{c}" for c in range(width)])
+    values, axes = np.linalg.eigh(np.nan_to_num(np.asarray(cov, float)))
+    axes = axes[:, ::-1][:, :2]
+    axes = np.pad(axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1, 1), ((0, 0), (0, 2 - axes.shape[1])))
+    spread, mean = 1e-4 / max(1e-12, np.sqrt(max(0, values[-1]) * (n - 1) / n)), np.asarray(mean, float)
+
+    secret = secrets.token_bytes(32)
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        peers = Peers(BarrierTaskContext.get(), secret)
+        mine = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["block"])
+        own = np.concatenate([np.zeros(0, np.int64), *(r["block"] * size + np.arange(len(r["keys"]) // 8) for r in mine)])
+        owners = [np.array(json.loads(x), np.int64) for x in peers.gather(json.dumps([r["block"] for r in mine]).encode())]
+        theirs = [np.concatenate([np.zeros(0, np.int64), *(np.arange(b * size, min(n, b * size + size)) for b in x)]) for x in owners]
+        y = np.concatenate([np.zeros((0, 2)), *((matrix(r["x"]) - mean) @ axes * spread + 1e-6 * np.random.default_rng([seed, r["block"]]).standard_normal((len(r["keys"]) // 8, 2)) for r in mine)])
+        i, j, p = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], kind) for r in mine)]) for c, kind in (("i", np.int32), ("j", np.int32), ("p", np.float32)))
+        local = np.searchsorted(own, i)
+        places, repulsion = np.zeros((n, 2)), Repulsion()
+
+        def share() -> None:
+            for at, x in zip(theirs, peers.gather(y.astype(np.float32).tobytes()), strict=True):
+                places[at] = np.frombuffer(x, np.float32).reshape(-1, 2)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        n = len(pdf)
-        y, _ = embed(pdf[columns].to_numpy(float), min(30.0, max(2.0, n / 3)), iterations, seed)
-        return pd.DataFrame({key: pdf[key].to_numpy(), "x": y[:, 0], "y": y[:, 1]})
+        speed, gain, rate = np.zeros_like(y), np.ones_like(y), max(n / 48, 50)
+        for step in range(iterations):
+            share()
+            away, total = repulsion(places, own)
+            apart = places[i] - places[j]
+            w = p / (1 + (apart * apart).sum(1))
+            pull = np.stack([np.bincount(local, weights=w * apart[:, c], minlength=len(own)) for c in (0, 1)], 1)
+            grad = 4 * ((12 if step < 250 else 1) * pull - away / total)
+            gain = np.maximum(np.where(np.sign(grad) == np.sign(speed), gain * 0.8, gain + 0.2), 0.01)
+            speed = (0.5 if step < 250 else 0.8) * speed - rate * gain * grad
+            y = y + speed
+        share()
+        y = y - places.mean(0)
+        keys = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["keys"], np.int64) for r in mine)])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(y[:, 0]), pa.array(y[:, 1])], names=[key, "x", "y"])
 
-    return rows.withColumn("__all", F.lit("all")).groupBy("__all").applyInPandas(run, f"{key} long, x double, y double")
+    together = min(tasks or slots(spark), count)
+    spread_out = links.join(blocks, "block").repartitionById(together, F.pmod("block", F.lit(together)).cast("int"))
+    return written(spread_out.mapInArrow(move, f"{key} long, x double, y double", barrier=True), "tsne")

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terralith.operators import separability, spatial, stats, variogram
+from terralith.operators import separability, spatial, stats, tsne, variogram
 from terralith.sources import raster, sinks
 from tests.test_scale import brute_information
 
@@ -137,3 +137,35 @@ def test_bounds_are_the_last_doubles_that_far():
     d = np.concatenate([np.abs(rng.normal(size=300)) / 10, [1.0, 0.0, 0.3, 0.1, 1e300]])
     low = separability.last_at(x, d)
     assert (x - low >= d).all() and (x[d > 0] - np.nextafter(low, np.inf)[d > 0] < d[d > 0]).all() and low[301] == 0.3
+
+
+def test_repulsion_equals_the_sum_of_all_pairs():
+    """Places that nearly meet, and ones far apart."""
+    for scale, most in ((1e-4, 1e-5), (1, 1e-3), (8, 0.01)):
+        y = np.random.default_rng(0).normal(size=(2000, 2)) * scale
+        apart = y[:, None] - y[None]
+        q = 1 / (1 + (apart**2).sum(-1))
+        want = (q[..., None] ** 2 * apart).sum(1)
+        got, total = tsne.Repulsion()(y, np.arange(2000))
+        assert np.sqrt(((got - want) ** 2).sum() / (want**2).sum()) < most and total == pytest.approx(q.sum() - 2000, rel=1e-3)
+
+
+def test_tsne_of_few_objects_lies_as_well_as_with_all_pairs(spark):
+    """1,200 objects in three blocks, moved by two tasks: groups stay together, and each object comes back once."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(400, 3)) + 12 * k for k in range(3)])
+    rows = spark.createDataFrame([(7 * k + 1, *map(float, v)) for k, v in enumerate(x)], "objeto_id long, a double, b double, c double")
+    got = tsne.tsne(rows, ["a", "b", "c"], iterations=300, tasks=2).orderBy("objeto_id").toPandas()
+    assert got["objeto_id"].tolist() == [7 * k + 1 for k in range(1200)]
+    y = got[["x", "y"]].to_numpy()
+    own = ((y[:, None] - y[None]) ** 2).sum(-1) + 1e18 * np.eye(1200)
+    assert (own.argmin(1) // 400 == np.arange(1200) // 400).mean() > 0.99 and np.allclose(y.mean(0), 0, atol=1e-3)
+
+
+def test_nearest_others_are_exact():
+    x = np.random.default_rng(2).normal(size=(700, 4))
+    d, j = tsne.nearest(x[300:500], [(0, x[:300]), (300, x[300:500]), (500, x[500:])], 300, 20)
+    full = ((x[300:500, None] - x[None]) ** 2).sum(-1)
+    full[np.arange(200), 300 + np.arange(200)] = np.inf
+    want = np.sort(full, 1)[:, :20]
+    assert np.allclose(np.sort(d, 1), want) and np.allclose(np.sort(np.take_along_axis(full, j, 1), 1), want)
