@@ -12,9 +12,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from terralith.operators.stats import valid
 
@@ -155,12 +154,6 @@ def semivariogram_fit(lags: DataFrame, points: DataFrame) -> DataFrame:
     return lags.sparkSession.createDataFrame([row], "modelo string, nugget double, sill double, range double, mse double")
 
 
-def sampled(pixels: DataFrame, most: int = 400, key: str = "objeto_id") -> DataFrame:
-    """At most ``most`` pixels of an object, chosen by a hash of their place (the sampling is part of the operator)."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("pixel_x", "pixel_y", F.lit(42)), "pixel_x", "pixel_y"))
-    return pixels.withColumn("__n", n).where(F.col("__n") <= most).drop("__n")
-
-
 PER_BLOCK = 2048
 
 
@@ -243,10 +236,10 @@ def descriptors(h: np.ndarray, g: np.ndarray, nugget: float, sill: float, a: flo
     return {k: float(v) for k, v in out.items()}
 
 
-def local_variograms(pixels: DataFrame, value: str = "pc1", key: str = "objeto_id", most: int | None = 400) -> DataFrame:
-    """(key, var_*): the descriptors of each object, from at most ``most`` of its pixels (None: all); null ones for objects of
-    fewer than 5 pixels or without extent."""
-    rows = (sampled(pixels, most, key) if most else pixels).withColumn("v", F.col(value))
+def local_variograms(pixels: DataFrame, value: str = "pc1", key: str = "objeto_id") -> DataFrame:
+    """(key, var_*): the descriptors of each object, from all its pixels; null ones for objects of fewer than 5 pixels or
+    without extent."""
+    rows = pixels.withColumn("v", F.col(value))
     lags = local_lags(rows, "v", 5, key)
     base = rows.groupBy(key).agg(F.count("*").alias("n"), F.var_pop("v").alias("variance"))
     listed = base.join(lags.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("lag", "h", "gamma"))).alias("lags"), (F.max(F.col("h") / (F.col("lag") + 0.5)) * 5).alias("far")), key, "left")

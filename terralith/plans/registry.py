@@ -516,7 +516,7 @@ SHAPE = {
     SELECT objeto_id, """ + ", ".join(r(e, f"var_{c}", 4) for c, e in SHAPE.items()) + " FROM mm", 4,
 )
 def local_variogram_shape(spark: SparkSession, d: str) -> DataFrame:
-    shapes = variogram.local_variograms(X.pixels(spark, d), "b5", most=None)
+    shapes = variogram.local_variograms(X.pixels(spark, d), "b5")
     return shapes.select("objeto_id", *(f"var_{c}" for c in SHAPE))
 
 

@@ -61,6 +61,24 @@ def test_lags_whole_take_every_pair_of_an_object(spark):
     assert all(got[k]["gamma"] == pytest.approx(sum(v) / len(v), abs=1e-3) for k, v in want.items())
 
 
+def shape_of(x, y, v):
+    """RSF, FDO and FML of one object, by brute force over all pairs of its pixels."""
+    i, j = np.triu_indices(len(v), 1)
+    d, g = np.hypot(x[i] - x[j], y[i] - y[j]), (v[i] - v[j]) ** 2 / 2
+    lag = np.floor(d / (d.max() / 5))
+    h, g = (np.arange(5) + 0.5) * d.max() / 5, np.array([g[(lag == k) & (d > 0)].mean() for k in range(5)])
+    peaks = [k for k in range(1, 5) if g[k] >= g[k - 1] and (k == 4 or g[k] >= g[k + 1])]
+    return g[1] / g[0], (g[1] - g[0]) / (h[1] - h[0]), h[peaks[0] if peaks else g.argmax()]
+
+
+def test_variogram_descriptors_come_from_every_pixel_of_an_object(spark):
+    pixels = fixtures.pixels(spark, SF).where("objeto_id = 3").toPandas()
+    assert len(pixels) > 500
+    got = registry.QUERIES["local_variogram_descriptors"](spark, SF).where("objeto_id = 3").head()
+    want = shape_of(*(pixels[c].to_numpy() for c in ("pixel_x", "pixel_y", "b5")))
+    assert (got["var_RSF"], got["var_FDO"], got["var_FML"]) == pytest.approx(want, abs=1e-4)
+
+
 def test_tsne_gives_a_row_for_every_object(spark):
     rows = spark.range(3050).selectExpr("id AS objeto_id", "sin(id) AS a", "cos(id * id) AS b")
     assert tsne.tsne(rows, ["a", "b"], iterations=1).count() == 3050
