@@ -79,6 +79,16 @@ def test_variogram_descriptors_come_from_every_pixel_of_an_object(spark):
     assert (got["var_RSF"], got["var_FDO"], got["var_FML"]) == pytest.approx(want, abs=1e-4)
 
 
+def test_feature_table_takes_every_pixel_of_an_object(spark):
+    """The variogram of the first component, by brute force over all pixels."""
+    pixels = fixtures.pixels(spark, SF).where("objeto_id = 3").toPandas()
+    bands = pixels[registry.BANDS[:4]].to_numpy(float)
+    component = (bands - bands.mean(0)) @ np.linalg.eigh(np.cov(bands.T))[1][:, -1]
+    got = registry.QUERIES["feature_table"](spark, SF).where("objeto_id = 3").head()
+    want = shape_of(pixels["pixel_x"].to_numpy(), pixels["pixel_y"].to_numpy(), component)
+    assert (got["var_RSF"], got["var_FDO"], got["var_FML"]) == pytest.approx(want, abs=1e-3)
+
+
 def test_tsne_gives_a_row_for_every_object(spark):
     rows = spark.range(3050).selectExpr("id AS objeto_id", "sin(id) AS a", "cos(id * id) AS b")
     assert tsne.tsne(rows, ["a", "b"], iterations=1).count() == 3050
