@@ -268,3 +268,21 @@ def test_sketch_equals_the_product_of_matrices(spark):
             want += np.outer(a, a @ basis) / (idf[one].astype(float) ** 2).sum()
     got = decontam.sketch(spark.createDataFrame([(x,) for x in docs], "text string"), idf, basis)
     assert np.allclose(got, want, rtol=1e-4, atol=1e-4)
+
+
+def test_the_index_is_fitted_on_every_row(spark, monkeypatch):
+    """More passages than the index was once fitted on."""
+    seen, real = [], decontam.sketch
+    passages = lambda texts: texts.count() if "text" in texts.columns else texts.agg(F.sum(F.length("sizes"))).head()[0]
+    monkeypatch.setattr(decontam, "sketch", lambda texts, *more: seen.append(passages(texts)) or real(texts, *more))
+    docs = spark.range(160_000).selectExpr("id AS doc_id", "concat('w', id % 700, ' w', id % 11) AS text")
+    decontam.contaminated(docs, spark.createDataFrame([(1, "five words that nobody said")], "item_id long, text string"))
+    assert seen == [160_001] * 2
+
+
+def test_sums_of_groups_of_unlike_sizes():
+    rng = np.random.default_rng(1)
+    table, at, sizes = rng.standard_normal((50, 3)), rng.integers(0, 50, 9000), rng.permutation(np.repeat([1, 2, 29], [1000, 1000, 200]))
+    starts = np.cumsum(sizes) - sizes
+    want = np.stack([table[at[s : s + n]].sum(0) for s, n in zip(starts, sizes)])
+    assert np.allclose(decontam.group_sums(table, at, starts, sizes), want)
