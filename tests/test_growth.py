@@ -1,5 +1,7 @@
 """Steps whose work must grow no faster than the rows, against plain numpy."""
 
+import queue
+import threading
 import time
 
 import numpy as np
@@ -169,3 +171,60 @@ def test_nearest_others_are_exact():
     full[np.arange(200), 300 + np.arange(200)] = np.inf
     want = np.sort(full, 1)[:, :20]
     assert np.allclose(np.sort(d, 1), want) and np.allclose(np.sort(np.take_along_axis(full, j, 1), 1), want)
+
+
+def test_nearest_others_of_many_objects_need_few_of_all_pairs():
+    """Exact with copies among the objects too, and several times as quick as a look at all pairs."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60_000, 6)) + rng.integers(0, 3, (60_000, 1))
+    x[:30] = x[30]
+    x = x[np.argsort(tsne.z_order(x, x.mean(0), np.eye(6), x.std() / 8), kind="stable")]
+    parts = [(b, x[b : b + 5000]) for b in range(0, len(x), 5000)]
+    start = time.perf_counter()
+    d, j = tsne.nearest(x[5000:6024], parts, 5000, 91)
+    took, start, want = time.perf_counter() - start, time.perf_counter(), []
+    for a in range(5000, 6024, 256):
+        full = np.maximum((x[a : a + 256] ** 2).sum(1)[:, None] + (x * x).sum(1) - 2 * x[a : a + 256] @ x.T, 0)
+        full[np.arange(256), np.arange(a, a + 256)] = np.inf
+        want.append(np.sort(np.partition(full, 90, axis=1)[:, :91], 1))
+    assert np.allclose(np.sort(d, 1), np.concatenate(want), atol=1e-9) and took < 0.6 * (time.perf_counter() - start)
+    assert all(len(set(r)) == 91 for r in j.tolist()) and (j != np.arange(5000, 6024)[:, None]).all()
+
+
+def test_few_places_far_apart_make_no_wide_grid():
+    y = np.random.default_rng(1).normal(size=(30, 2)) * 3000
+    apart = y[:, None] - y[None]
+    q = 1 / (1 + (apart**2).sum(-1))
+    start = time.perf_counter()
+    got, total = tsne.Repulsion()(y, np.arange(30))
+    assert np.allclose(got, (q[..., None] ** 2 * apart).sum(1), rtol=1e-9, atol=0) and total == pytest.approx(q.sum() - 30, rel=1e-6) and time.perf_counter() - start < 1
+
+
+class Thread:
+    """What ``Repulsion`` needs of ``tsne.Peers``, for tasks that are threads."""
+
+    def __init__(self, rank, ways):
+        self.rank, self.ways, self.peers = rank, ways, {k: None for k in range(len(ways)) if k != rank}
+
+    def swap(self, parts):
+        for k, one in enumerate(parts):
+            self.ways[self.rank][k].put(one)
+        return [self.ways[k][self.rank].get(timeout=60) for k in range(len(parts))]
+
+
+@pytest.mark.parametrize("scale", [(1e-4, 1e-4), (20.0, 20.0), (20.0, 1e-3)])
+def test_tasks_share_the_grid(monkeypatch, scale):
+    monkeypatch.setattr(tsne, "SHARED", 0)
+    y = np.random.default_rng(0).normal(size=(3000, 2)) * scale
+    want, total = tsne.Repulsion()(y, np.arange(3000))
+    ways = [[queue.Queue() for _ in range(7)] for _ in range(7)]
+    got, totals = np.zeros_like(want), []
+
+    def run(k):
+        got[k::7], one = tsne.Repulsion(Thread(k, ways))(y, np.arange(k, 3000, 7))
+        totals.append(one)
+
+    threads = [threading.Thread(target=run, args=(k,)) for k in range(7)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-4 * np.abs(want).max()) and totals == [pytest.approx(total, rel=1e-6)] * 7 and len(set(totals)) == 1
