@@ -106,3 +106,13 @@ def test_queries_have_stable_names():
     names = list(entry.queries())
     assert [next(n for n in names if n.startswith(f"op{k}_")) for k in range(1, 11)] and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_decontamination_fits_its_index_on_every_row(spark, monkeypatch):
+    """More passages than the index was once fitted on."""
+    seen, real = [], pipeline.decontam.sketch
+    passages = lambda texts: texts.count() if "text" in texts.columns else texts.selectExpr("sum(length(sizes))").head()[0]
+    monkeypatch.setattr(pipeline.decontam, "sketch", lambda texts, *more: seen.append(passages(texts)) or real(texts, *more))
+    docs = spark.range(160_000).selectExpr("id AS doc_id", "concat('w', id % 700, ' w', id % 11) AS text")
+    pipeline.benchmark_decontamination(spark, docs, "/root/testdata/sf0.001")
+    assert len(seen) == 2 and min(seen) > 160_000
